@@ -139,9 +139,7 @@ def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     the correct answer, pieces 1..9 are its distractors. Whole texts are used.
     """
     docs = table(spark, sf_dir, "documents")
-    pieces = F.filter(
-        F.transform(F.split(F.col("text"), PIECE_SPLIT), lambda p: F.regexp_replace(p, WS, "")),
-        lambda p: p != "")
+    pieces = _doc_pieces(docs)
     return (docs.select("doc_id", "source", "lang", F.posexplode(pieces).alias("pos", "piece"))
             .select(
                 "doc_id", "source", "lang",
@@ -153,12 +151,44 @@ def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(reference, hypothesis) text pairs: each turn against the next turn of its conversation."""
-    from pyspark.sql import Window
+    """(reference, hypothesis) text pairs: each turn against the next turn of its conversation.
+
+    An equi-join on (conv_id, turn + 1): keys are unique per side, so a very
+    long conversation spreads over many tasks instead of one window partition.
+    """
     conv = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (conv.select("conv_id", "turn", "text",
-                        F.lead("text").over(w).alias("next_text"))
-            .where(F.col("next_text").isNotNull())
-            .select(F.col("conv_id"), F.col("turn"),
-                    F.col("text").alias("reference"), F.col("next_text").alias("hypothesis")))
+    a = conv.select("conv_id", "turn", F.col("text").alias("reference"))
+    b = conv.select("conv_id", (F.col("turn") - 1).alias("turn"),
+                    F.col("text").alias("hypothesis"))
+    return a.join(b, ["conv_id", "turn"], "inner")
+
+
+def _doc_pieces(docs: DataFrame) -> Column:
+    return F.filter(
+        F.transform(F.split(F.col("text"), PIECE_SPLIT), lambda p: F.regexp_replace(p, WS, "")),
+        lambda p: p != "")
+
+
+def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question items cut from whole documents, ten pieces per item.
+
+    Built by slicing each document's piece array (no shuffle): piece 0 of a
+    block is the correct answer, the rest (up to 9) are its distractors in order.
+    """
+    docs = table(spark, sf_dir, "documents")
+    p = _doc_pieces(docs)
+    nblocks = F.floor((F.size(p) + (ITEM_WIDTH - 1)) / ITEM_WIDTH).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), nblocks - 1),
+                         lambda b: F.slice(p, b * ITEM_WIDTH + 1, ITEM_WIDTH))
+    return (docs.where(F.size(p) > 0)
+            .select("doc_id", "source", "lang", F.posexplode(blocks).alias("block", "piece"))
+            .select(
+                "doc_id", "source", "lang", F.col("block").cast("int").alias("block"),
+                F.concat(F.lit("doc"), _s(F.col("doc_id")), F.lit("/"), _s(F.col("block")))
+                .alias("question"),
+                F.col("piece")[0].alias("correct_answer"),
+                F.slice(F.col("piece"), 2, ITEM_WIDTH - 1).alias("distractors"),
+                F.lit(None).cast("array<string>").alias("options"),
+                F.col("source").alias("subject"),
+                F.concat(F.lit("set"), _s(F.col("doc_id") % N_SETS)).alias("distractor_set"),
+            ))

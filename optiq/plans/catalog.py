@@ -86,3 +86,113 @@ def _rbins(spark, sf):
 @register("calibration_metrics")
 def _cal(spark, sf):
     return P.calibration_metrics(B.responses(spark, sf))
+
+
+# ---------------------------------------------------------------- reply parsing
+from optiq.functions import parse as PF  # noqa: E402
+from optiq.plans import evaluate as EV  # noqa: E402
+
+
+@register("extract_answer")
+def _extract_answer(spark, sf):
+    raw = B.raw_responses(spark, sf)
+    return raw.select("response_id", PF.extract_answer(F.col("raw_response")).alias("extracted"))
+
+
+@register("snap_to_option")
+def _snap(spark, sf):
+    raw = B.raw_responses(spark, sf)
+    a = PF.extract_answer(F.col("raw_response"))
+    return raw.select("response_id", F.when(a.isNotNull(), PF.snap_to_option(a, F.col("options")))
+                      .alias("snapped"))
+
+
+@register("fallback_answer")
+def _fallback(spark, sf):
+    raw = B.raw_responses(spark, sf)
+    return raw.select("response_id",
+                      PF.parse_answer(F.col("raw_response"), F.col("options")).alias("llm_answer"))
+
+
+@register("extract_confidence")
+def _conf(spark, sf):
+    raw = B.raw_responses(spark, sf)
+    return raw.select("response_id", PF.extract_confidence(F.col("raw_response")).alias("confidence"))
+
+
+@register("extract_reasoning")
+def _reasoning(spark, sf):
+    raw = B.raw_responses(spark, sf)
+    return raw.select("response_id",
+                      PF.extract_reasoning(F.col("raw_response")).alias("reasoning_text"))
+
+
+def _flat_metrics(df):
+    m = F.col("reasoning_metrics")
+    return [m["reasoning_length"].alias("reasoning_length"), m["steps_count"].alias("steps_count"),
+            m["uncertainty_markers"].alias("uncertainty_markers")]
+
+
+@register("reasoning_metrics")
+def _rmetrics(spark, sf):
+    raw = B.raw_responses(spark, sf)
+    t = PF.extract_reasoning(F.col("raw_response"))
+    return raw.select("response_id", PF.reasoning_metrics(t).alias("reasoning_metrics")).select(
+        "response_id", *_flat_metrics(None))
+
+
+@register("grade_exact")
+def _grade(spark, sf):
+    g = EV.grade_replies(B.raw_responses(spark, sf))
+    return g.select("response_id", "model", "question", "distractor_set", "correct_answer",
+                    "llm_answer", "is_correct", "confidence", "response_time")
+
+
+def _received(raw):
+    return raw.where(~F.col("raw_response").startswith("Error:"))
+
+
+@register("error_rows")
+def _errors(spark, sf):
+    raw = B.raw_responses(spark, sf)
+    g = EV.grade_with_errors(raw.drop("raw_response"), _received(raw))
+    return g.select("response_id", "model", "distractor_set", "error", "llm_answer", "is_correct",
+                    "confidence", "response_time", *_flat_metrics(g))
+
+
+@register("parse_metrics_column")
+def _pmc(spark, sf):
+    g = EV.grade_replies(B.raw_responses(spark, sf))
+    m = F.col("reasoning_metrics")
+    as_repr = F.concat(F.lit("{'reasoning_length': "), m["reasoning_length"].cast("string"),
+                       F.lit(", 'steps_count': "), m["steps_count"].cast("string"),
+                       F.lit(", 'uncertainty_markers': "), m["uncertainty_markers"].cast("string"),
+                       F.lit("}"))
+    stored = F.when(F.col("response_id") % 2 == 0, as_repr).otherwise(F.lit("not a dict"))
+    p = PF.parse_metrics_column(stored)
+    return g.select("response_id", p["reasoning_length"].alias("reasoning_length"),
+                    p["steps_count"].alias("steps_count"),
+                    p["uncertainty_markers"].alias("uncertainty_markers"))
+
+
+def _reasoning_table(spark, sf):
+    g = EV.grade_replies(B.raw_responses(spark, sf))
+    return (g.where(F.length("reasoning_text") > 0)
+            .select("response_id", "model", "distractor_set", "is_correct", "response_time",
+                    *_flat_metrics(g))
+            .withColumn("time_per_step",
+                        F.col("response_time") / F.greatest(F.col("steps_count"), F.lit(1))))
+
+
+@register("reasoning_table")
+def _rtable(spark, sf):
+    return _reasoning_table(spark, sf)
+
+
+@register("reasoning_by_outcome")
+def _rbo(spark, sf):
+    t = _reasoning_table(spark, sf)
+    return (t.groupBy("model", "steps_count", "uncertainty_markers")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
+                 F.avg("time_per_step").alias("avg_time_per_step")))

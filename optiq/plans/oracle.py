@@ -76,6 +76,22 @@ TEXT_PIECES = f"""text_pieces AS (
                              lambda x: x <> '') AS p
           FROM documents)))"""
 
+TEXT_ITEMS = f"""text_items AS (
+  SELECT doc_id, source, lang, CAST(b AS INTEGER) AS block,
+         'doc' || CAST(doc_id AS VARCHAR) || '/' || CAST(b AS VARCHAR) AS question,
+         p[b * 10 + 1] AS correct_answer,
+         list_slice(p, b * 10 + 2, b * 10 + 10) AS distractors,
+         CAST(NULL AS VARCHAR[]) AS options,
+         source AS subject,
+         'set' || CAST(doc_id % 5 AS VARCHAR) AS distractor_set
+  FROM (SELECT *, unnest(range(CAST((len(p) + 9) // 10 AS BIGINT))) AS b
+        FROM (SELECT doc_id, source, lang,
+                     list_filter(list_transform(regexp_split_to_array(text, '\\. |\\n'),
+                                                lambda x: regexp_replace(x, {_WS}, '', 'g')),
+                                 lambda x: x <> '') AS p
+              FROM documents)
+        WHERE len(p) > 0))"""
+
 CONV_PAIRS = """conversation_pairs AS (
   SELECT a.conv_id, a.turn, a.text AS reference, b.text AS hypothesis
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
@@ -210,3 +226,102 @@ SELECT cal.model, {f4('any_value(e.ece)')} AS ece,
        {f4('avg(c)')} AS avg_confidence, {f4('avg(y)')} AS avg_accuracy,
        {f4('avg(c) - avg(y)')} AS overconfidence
 FROM cal JOIN e ON cal.model = e.model GROUP BY cal.model"""
+
+# ---------------------------------------------------------------- reply parsing
+_ANS_RE = "'(?i)answer:?\\s*([^\\n]+?)(?:\\n|$|confidence)'"
+_STRIP = "'^\\s+|\\s+$'"
+_MARKERS = " OR ".join(f"contains(lower(line), '{m}')" for m in
+                       ["reasoning:", "step ", "thinking:", "first,", "second,", "third,"])
+_UNC = " + ".join(f"(length(lower(t)) - length(replace(lower(t), '{w}', ''))) // {len(w)}"
+                  for w in ["maybe", "perhaps", "possibly", "likely", "unlikely", "might",
+                            "could", "not sure", "unclear"])
+_STEPS = "'step \\d|first[,:]|second[,:]|third[,:]|finally[,:]'"
+
+PARSED = f"""ex AS (
+  SELECT *, CASE WHEN regexp_extract(raw_response, {_ANS_RE}, 1) <> ''
+                 THEN regexp_replace(regexp_extract(raw_response, {_ANS_RE}, 1), {_STRIP}, '', 'g')
+            END AS extracted,
+         regexp_extract(lower(raw_response), 'confidence:?\\s*(\\d+)', 1) AS c
+  FROM raw_responses),
+lines AS (
+  SELECT response_id, regexp_replace(raw_line, {_STRIP}, '', 'g') AS line, pos
+  FROM (SELECT response_id, unnest(string_split(raw_response, chr(10))) AS raw_line,
+               unnest(range(len(string_split(raw_response, chr(10))))) AS pos
+        FROM raw_responses)),
+flags AS (
+  SELECT *, ({_MARKERS}) AS marker,
+         (starts_with(line, 'confidence:') OR starts_with(line, 'answer:')) AS stop
+  FROM lines),
+st AS (
+  SELECT *, coalesce(last_value(CASE WHEN marker THEN 1 WHEN stop THEN 0 END IGNORE NULLS)
+           OVER (PARTITION BY response_id ORDER BY pos
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state
+  FROM flags),
+kept AS (
+  SELECT response_id, string_agg(line, chr(10) ORDER BY pos) AS reasoning_text
+  FROM st WHERE marker OR (state = 1 AND line <> '' AND NOT stop) GROUP BY response_id),
+parsed AS (
+  SELECT ex.*,
+         CASE WHEN extracted IS NOT NULL
+              THEN coalesce(list_filter(options, lambda o: contains(lower(extracted), lower(o)))[1],
+                            extracted)
+              ELSE coalesce(list_filter(options, lambda o: contains(raw_response, o))[1],
+                            'Error: No clear answer') END AS llm_answer,
+         CASE WHEN c = '' THEN NULL WHEN length(ltrim(c, '0')) = 0 THEN 0
+              WHEN length(ltrim(c, '0')) > 3 THEN 100
+              ELSE least(100, CAST(ltrim(c, '0') AS INTEGER)) END AS confidence,
+         coalesce(kept.reasoning_text, '') AS reasoning_text
+  FROM ex LEFT JOIN kept ON ex.response_id = kept.response_id),
+graded AS (
+  SELECT *, coalesce(llm_answer = correct_answer, false) AS is_correct,
+         CASE WHEN t = '' THEN 0 ELSE length(t) END AS reasoning_length,
+         CASE WHEN t = '' THEN 0
+              ELSE greatest(1, len(regexp_extract_all(lower(t), {_STEPS}))) END AS steps_count,
+         CASE WHEN t = '' THEN 0 ELSE {_UNC} END AS uncertainty_markers
+  FROM (SELECT *, reasoning_text AS t FROM parsed))"""
+
+ORACLE["extract_answer"] = with_(RAW_RESPONSES, PARSED) + "SELECT response_id, extracted FROM ex"
+ORACLE["snap_to_option"] = with_(RAW_RESPONSES, PARSED) + """
+SELECT response_id, CASE WHEN extracted IS NOT NULL THEN llm_answer END AS snapped FROM parsed"""
+ORACLE["fallback_answer"] = with_(RAW_RESPONSES, PARSED) + "SELECT response_id, llm_answer FROM parsed"
+ORACLE["extract_confidence"] = with_(RAW_RESPONSES, PARSED) + "SELECT response_id, confidence FROM parsed"
+ORACLE["extract_reasoning"] = with_(RAW_RESPONSES, PARSED) + \
+    "SELECT response_id, reasoning_text FROM parsed"
+ORACLE["reasoning_metrics"] = with_(RAW_RESPONSES, PARSED) + """
+SELECT response_id, CAST(reasoning_length AS INTEGER) AS reasoning_length,
+       CAST(steps_count AS INTEGER) AS steps_count,
+       CAST(uncertainty_markers AS INTEGER) AS uncertainty_markers FROM graded"""
+ORACLE["grade_exact"] = with_(RAW_RESPONSES, PARSED) + f"""
+SELECT response_id, model, question, distractor_set, correct_answer, llm_answer, is_correct,
+       confidence, {f4('response_time')} AS response_time FROM graded"""
+ORACLE["error_rows"] = with_(RAW_RESPONSES, PARSED) + f"""
+SELECT response_id, model, distractor_set, err AS error,
+       CASE WHEN err THEN 'Error' ELSE llm_answer END AS llm_answer,
+       NOT err AND is_correct AS is_correct,
+       CASE WHEN err THEN NULL ELSE confidence END AS confidence,
+       CASE WHEN err THEN NULL ELSE {f4('response_time')} END AS response_time,
+       CAST(CASE WHEN err THEN 0 ELSE reasoning_length END AS INTEGER) AS reasoning_length,
+       CAST(CASE WHEN err THEN 0 ELSE steps_count END AS INTEGER) AS steps_count,
+       CAST(CASE WHEN err THEN 0 ELSE uncertainty_markers END AS INTEGER) AS uncertainty_markers
+FROM (SELECT *, starts_with(raw_response, 'Error:') AS err FROM graded)"""
+ORACLE["parse_metrics_column"] = with_(RAW_RESPONSES, PARSED) + """
+SELECT response_id,
+       CAST(CASE WHEN response_id % 2 = 0 THEN reasoning_length ELSE 0 END AS INTEGER) AS reasoning_length,
+       CAST(CASE WHEN response_id % 2 = 0 THEN steps_count ELSE 0 END AS INTEGER) AS steps_count,
+       CAST(CASE WHEN response_id % 2 = 0 THEN uncertainty_markers ELSE 0 END AS INTEGER)
+         AS uncertainty_markers
+FROM graded"""
+_RT = f"""rt AS (
+  SELECT response_id, model, distractor_set, is_correct, {f4('response_time')} AS response_time,
+         CAST(reasoning_length AS INTEGER) AS reasoning_length,
+         CAST(steps_count AS INTEGER) AS steps_count,
+         CAST(uncertainty_markers AS INTEGER) AS uncertainty_markers,
+         response_time / greatest(steps_count, 1) AS time_per_step
+  FROM graded WHERE length(reasoning_text) > 0)"""
+ORACLE["reasoning_table"] = with_(RAW_RESPONSES, PARSED, _RT) + f"""
+SELECT * REPLACE ({f4('time_per_step')} AS time_per_step) FROM rt"""
+ORACLE["reasoning_by_outcome"] = with_(RAW_RESPONSES, PARSED, _RT) + f"""
+SELECT model, steps_count, uncertainty_markers, count(*) AS n,
+       {f4('avg(CAST(is_correct AS DOUBLE))')} AS accuracy,
+       {f4('avg(time_per_step)')} AS avg_time_per_step
+FROM rt GROUP BY model, steps_count, uncertainty_markers"""
