@@ -196,3 +196,38 @@ def _rbo(spark, sf):
             .agg(F.count(F.lit(1)).alias("n"),
                  F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
                  F.avg("time_per_step").alias("avg_time_per_step")))
+
+
+# ---------------------------------------------------------------- inference
+from optiq.operators import inference as INF  # noqa: E402
+
+
+@register("anova_oneway")
+def _anova(spark, sf):
+    return INF.anova_oneway(B.responses(spark, sf))
+
+
+@register("anova_pvalues")
+def _anova_p(spark, sf):
+    """ANOVA with the F-tail p-value (pandas UDF on the result table)."""
+    return INF.anova_oneway(B.responses(spark, sf), with_p=True)
+
+
+@register("anova_error_isolated")
+def _anova_iso(spark, sf):
+    """A degenerate variable (constant option count) is reported with a status, not raised."""
+    r = B.responses(spark, sf).withColumn("n_options", F.lit(B.N_OPTIONS))
+    dvs = {"accuracy": "is_correct", "n_options": "n_options"}
+    t = INF.anova_oneway(r, by="model", factor="distractor_set", dvs=dvs)
+    return t.where(F.col("source") != "Within").select("model", "dependent_var", "status", "f")
+
+
+@register("tukey_hsd")
+def _tukey(spark, sf):
+    return INF.tukey_hsd(INF.group_stats(B.responses(spark, sf)))
+
+
+@register("tukey_pvalues")
+def _tukey_p(spark, sf):
+    """Tukey pairs with studentized-range p, only where the ANOVA p < 0.05."""
+    return INF.tukey_hsd(INF.group_stats(B.responses(spark, sf)), alpha=0.05, with_p=True)

@@ -325,3 +325,72 @@ SELECT model, steps_count, uncertainty_markers, count(*) AS n,
        {f4('avg(CAST(is_correct AS DOUBLE))')} AS accuracy,
        {f4('avg(time_per_step)')} AS avg_time_per_step
 FROM rt GROUP BY model, steps_count, uncertainty_markers"""
+
+# ---------------------------------------------------------------- inference
+_LONG = """long AS (
+  SELECT model, dependent_var, distractor_set AS level, v FROM (
+    SELECT model, distractor_set, 'accuracy' AS dependent_var, CAST(is_correct AS DOUBLE) AS v
+    FROM responses
+    UNION ALL SELECT model, distractor_set, 'confidence', CAST(confidence AS DOUBLE) FROM responses
+    UNION ALL SELECT model, distractor_set, 'response_time', response_time FROM responses)
+  WHERE v IS NOT NULL AND model IS NOT NULL AND distractor_set IS NOT NULL),
+g AS (
+  SELECT *, avg(v) OVER (PARTITION BY model, dependent_var, level) AS gm,
+         avg(v) OVER (PARTITION BY model, dependent_var) AS grand,
+         count(*) OVER (PARTITION BY model, dependent_var) AS nn
+  FROM long),
+parts AS (
+  SELECT model, dependent_var, any_value(nn) AS N, count(DISTINCT level) AS k,
+         sum((gm - grand) * (gm - grand)) AS ssb, sum((v - gm) * (v - gm)) AS ssw
+  FROM g GROUP BY model, dependent_var)"""
+
+ORACLE["anova_oneway"] = with_(RESPONSES, _LONG) + f"""
+SELECT model, dependent_var, source, {f4('ss')} AS ss, df, {f4('ms')} AS ms, {f4('f')} AS f,
+       {f4('np2')} AS np2, status
+FROM (
+  SELECT model, dependent_var, 'distractor_set' AS source, ssb AS ss, CAST(k - 1 AS BIGINT) AS df,
+         CASE WHEN k > 1 THEN ssb / (k - 1) END AS ms,
+         CASE WHEN k >= 2 AND N - k > 0 AND ssw <> 0 THEN (ssb / (k - 1)) / (ssw / (N - k)) END AS f,
+         CASE WHEN ssb + ssw <> 0 THEN ssb / (ssb + ssw) END AS np2,
+         CASE WHEN k < 2 THEN 'single_level' WHEN N - k <= 0 THEN 'no_within_df'
+              WHEN ssw = 0 THEN 'no_within_variance' ELSE 'ok' END AS status
+  FROM parts
+  UNION ALL
+  SELECT model, dependent_var, 'Within', ssw, CAST(N - k AS BIGINT),
+         CASE WHEN N - k > 0 THEN ssw / (N - k) END, NULL, NULL,
+         CASE WHEN k < 2 THEN 'single_level' WHEN N - k <= 0 THEN 'no_within_df'
+              WHEN ssw = 0 THEN 'no_within_variance' ELSE 'ok' END
+  FROM parts)"""
+
+ORACLE["anova_error_isolated"] = with_(RESPONSES) + f""",
+long AS (
+  SELECT model, distractor_set AS level, 'accuracy' AS dependent_var, CAST(is_correct AS DOUBLE) AS v
+  FROM responses
+  UNION ALL SELECT model, distractor_set, 'n_options', 4.0 FROM responses),
+g AS (
+  SELECT *, avg(v) OVER (PARTITION BY model, dependent_var, level) AS gm,
+         avg(v) OVER (PARTITION BY model, dependent_var) AS grand,
+         count(*) OVER (PARTITION BY model, dependent_var) AS nn
+  FROM long WHERE v IS NOT NULL),
+parts AS (
+  SELECT model, dependent_var, any_value(nn) AS N, count(DISTINCT level) AS k,
+         sum((gm - grand) * (gm - grand)) AS ssb, sum((v - gm) * (v - gm)) AS ssw
+  FROM g GROUP BY model, dependent_var)
+SELECT model, dependent_var,
+       CASE WHEN k < 2 THEN 'single_level' WHEN N - k <= 0 THEN 'no_within_df'
+            WHEN ssw = 0 THEN 'no_within_variance' ELSE 'ok' END AS status,
+       {f4('CASE WHEN k >= 2 AND N - k > 0 AND ssw <> 0 THEN (ssb / (k - 1)) / (ssw / (N - k)) END')} AS f
+FROM parts"""
+
+ORACLE["tukey_hsd"] = with_(RESPONSES, _LONG) + f""",
+gs AS (SELECT model, dependent_var, level, count(*) AS n, avg(v) AS m, var_samp(v) AS var
+       FROM long GROUP BY ALL),
+pp AS (SELECT a.model, a.dependent_var, a.level AS A, b.level AS B, a.n AS nA, b.n AS nB,
+              a.m AS mA, b.m AS mB, a.var AS vA, b.var AS vB, parts.ssw / (parts.N - parts.k) AS msw
+       FROM gs a JOIN gs b ON a.model = b.model AND a.dependent_var = b.dependent_var AND a.level < b.level
+       JOIN parts ON parts.model = a.model AND parts.dependent_var = a.dependent_var)
+SELECT model, dependent_var, A, B, {f4('mA')} AS mean_a, {f4('mB')} AS mean_b, {f4('mA - mB')} AS diff,
+       {f4('sqrt(msw * (1.0 / nA + 1.0 / nB))')} AS se,
+       {f4('(mA - mB) / sqrt(msw * (1.0 / nA + 1.0 / nB))')} AS t,
+       {f4('(mA - mB) / sqrt(((nA - 1) * coalesce(vA, 0) + (nB - 1) * coalesce(vB, 0)) / (nA + nB - 2)) * (1 - 3.0 / (4.0 * (nA + nB) - 9))')} AS hedges
+FROM pp"""
