@@ -126,7 +126,8 @@ def tukey_hsd(stats: DataFrame, by: str = "model", alpha: float | None = None,
     return out.drop("n_levels", "n_total")
 
 
-def correlation_long(df: DataFrame, metrics: list[str]) -> DataFrame:
+def correlation_long(df: DataFrame, metrics: list[str],
+                     pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Pearson matrix in long form (metric_a, metric_b, r), pairwise-complete rows.
 
     One aggregation pass: for each ordered pair the covariance and the two
@@ -134,7 +135,7 @@ def correlation_long(df: DataFrame, metrics: list[str]) -> DataFrame:
     columns give NULL, never an error.
     """
     aggs = []
-    for a, b in product(metrics, metrics):
+    for a, b in (pairs if pairs is not None else product(metrics, metrics)):
         x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
         y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
         r = F.try_divide(F.covar_samp(x, y),
@@ -144,9 +145,12 @@ def correlation_long(df: DataFrame, metrics: list[str]) -> DataFrame:
     return df.agg(F.array(*aggs).alias("m")).select(F.explode("m").alias("c")).select("c.*")
 
 
-def argmax_abs(corr: DataFrame, target: str, exclude_self: bool = True) -> DataFrame:
-    """Metrics with the largest and smallest |r| against ``target``."""
-    c = corr.where((F.col("metric_a") == target) & F.col("r").isNotNull())
+def argmax_abs(df: DataFrame, metrics: list[str], target: str,
+               exclude_self: bool = True) -> DataFrame:
+    """Metrics with the largest and smallest |r| against ``target`` (ties: by name)."""
+    pairs = [(target, m) for m in metrics if not (exclude_self and m == target)]
+    corr = correlation_long(df, metrics, pairs)
+    c = corr.where(F.col("r").isNotNull())
     if exclude_self:
         c = c.where(F.col("metric_b") != target)
     # ties broken by metric name for a deterministic answer

@@ -25,6 +25,7 @@ N_OPTIONS = 4
 OPTION_NAMES = ("Alpha", "Beta", "Gamma", "Delta")
 ITEM_WIDTH = 10            # embeddings: 1 correct answer + 9 distractors per item
 N_SETS = 5
+SET_NAMES = ("click", "error", "purchase", "signup", "view")   # same names as events.event_type
 PIECE_SPLIT = r"\. |\n"    # documents: sentence / line pieces
 WS = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
@@ -33,6 +34,10 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def _set_name(i: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in SET_NAMES]), (i % N_SETS + 1).cast("int"))
+
+
 def _chosen_index(event_id: Column, is_correct: Column) -> Column:
     correct = (event_id % N_QUESTIONS) % N_OPTIONS
     wrong = (correct + 1 + event_id % 3) % N_OPTIONS
@@ -126,7 +131,7 @@ def vector_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select(
         item.alias("item_id"),
         (vid % ITEM_WIDTH).cast("int").alias("slot"),
-        F.concat(F.lit("set"), _s(item % N_SETS)).alias("distractor_set"),
+        _set_name(item).alias("distractor_set"),
         F.col("label"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
@@ -146,7 +151,7 @@ def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.floor(F.col("pos") / ITEM_WIDTH).cast("int").alias("block"),
                 (F.col("pos") % ITEM_WIDTH).cast("int").alias("slot"),
                 F.col("piece").alias("text"),
-                F.concat(F.lit("set"), _s(F.col("doc_id") % N_SETS)).alias("distractor_set"),
+                _set_name(F.col("doc_id")).alias("distractor_set"),
             ))
 
 
@@ -190,5 +195,5 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.slice(F.col("piece"), 2, ITEM_WIDTH - 1).alias("distractors"),
                 F.lit(None).cast("array<string>").alias("options"),
                 F.col("source").alias("subject"),
-                F.concat(F.lit("set"), _s(F.col("doc_id") % N_SETS)).alias("distractor_set"),
+                _set_name(F.col("doc_id")).alias("distractor_set"),
             ))

@@ -231,3 +231,117 @@ def _tukey(spark, sf):
 def _tukey_p(spark, sf):
     """Tukey pairs with studentized-range p, only where the ANOVA p < 0.05."""
     return INF.tukey_hsd(INF.group_stats(B.responses(spark, sf)), alpha=0.05, with_p=True)
+
+
+# ---------------------------------------------------------------- text quality
+from optiq.operators import textsim as TS  # noqa: E402
+from optiq.plans import quality as QL  # noqa: E402
+
+
+@register("tokenize")
+def _tokenize(spark, sf):
+    p = B.text_pieces(spark, sf)
+    return p.select("doc_id", "block", "slot",
+                    F.size(TS.tokenize(F.col("text"), "lower")).alias("n_lower"),
+                    F.size(TS.tokenize(F.col("text"), "raw")).alias("n_raw"),
+                    F.array_join(TS.tokenize(F.col("text"), "punct"), " ").alias("punct_tokens"))
+
+
+@register("lexicon_relevance")
+def _lex(spark, sf):
+    d = QL.text_distractors(spark, sf)
+    return d.select("question", "pos", TS.lexicon_relevance(F.col("distractor"), QL.TEST_LEXICON)
+                    .alias("relevance"))
+
+
+@register("grammar_inverse")
+def _ginv(spark, sf):
+    p = B.text_pieces(spark, sf)
+    return p.select("doc_id", "block", "slot", TS.grammar_hits(F.col("text")).alias("hits"),
+                    TS.grammar_inverse(F.col("text")).alias("grammar_score"))
+
+
+@register("grammar_ratio")
+def _gratio(spark, sf):
+    p = B.text_pieces(spark, sf)
+    return p.select("doc_id", "block", "slot", TS.grammar_ratio(F.col("text")).alias("grammar_score"))
+
+
+@register("cosine_to_answer")
+def _cos(spark, sf):
+    return TS.cosine_to_answer(B.vector_slots(spark, sf))
+
+
+@register("diversity_pairwise")
+def _div(spark, sf):
+    return TS.diversity(B.vector_slots(spark, sf))
+
+
+@register("cosine_paired")
+def _cpaired(spark, sf):
+    return QL.vector_quality_per_question(spark, sf).select("question", "semantic_similarity")
+
+
+@register("meteor")
+def _meteor(spark, sf):
+    return TS.meteor(B.conversation_pairs(spark, sf), ["conv_id", "turn"])
+
+
+@register("meteor_max_ref")
+def _meteor_max(spark, sf):
+    d = QL.text_distractors(spark, sf)
+    pairs = d.select("question", "pos", F.col("correct_answer").alias("hypothesis"),
+                     F.col("distractor").alias("reference"))
+    return TS.meteor_max_ref(pairs, ["question"], "pos")
+
+
+@register("quality_per_question")
+def _qpq(spark, sf):
+    return QL.quality_per_question(spark, sf)
+
+
+@register("quality_agg")
+def _qagg(spark, sf):
+    return QL.quality_agg(QL.quality_per_question(spark, sf))
+
+
+@register("quality_summary_row")
+def _qsr(spark, sf):
+    return QL.legacy_quality(spark, sf)
+
+
+def _fanout(spark, sf):
+    return S.set_summary(B.responses(spark, sf)).join(QL.legacy_quality(spark, sf),
+                                                      "distractor_set", "left")
+
+
+@register("join_quality_fanout")
+def _jqf(spark, sf):
+    return _fanout(spark, sf).select("distractor_set", "question", "accuracy", "response_time",
+                                     "meteor_scores", "legal_relevance_scores", "grammar_scores")
+
+
+@register("fanout_means")
+def _fm(spark, sf):
+    return S.fanout_means(_fanout(spark, sf))
+
+
+LEGACY_METRICS = ["accuracy", "response_time", "meteor_scores", "legal_relevance_scores",
+                  "grammar_scores"]
+
+
+@register("corr_matrix_quality")
+def _cmq(spark, sf):
+    return INF.correlation_long(_fanout(spark, sf), LEGACY_METRICS)
+
+
+@register("argmax_abs")
+def _amax(spark, sf):
+    return INF.argmax_abs(_fanout(spark, sf), LEGACY_METRICS, "accuracy")
+
+
+@register("corr_matrix_metrics")
+def _cmm(spark, sf):
+    return INF.correlation_long(QL.quality_per_question(spark, sf),
+                                ["meteor_score", "semantic_similarity", "grammar_score",
+                                 "diversity_score"])

@@ -59,7 +59,7 @@ RAW_RESPONSES = f"""raw_responses AS (
 
 VECTOR_SLOTS = """vector_slots AS (
   SELECT vec_id // 10 AS item_id, CAST(vec_id % 10 AS INTEGER) AS slot,
-         'set' || CAST(vec_id // 10 % 5 AS VARCHAR) AS distractor_set, label,
+         ['click', 'error', 'purchase', 'signup', 'view'][vec_id // 10 % 5 + 1] AS distractor_set, label,
          CAST(embedding AS DOUBLE[]) AS vector
   FROM embeddings)"""
 
@@ -67,7 +67,7 @@ _WS = "'^[ \\t\\r\\n]+|[ \\t\\r\\n]+$'"
 TEXT_PIECES = f"""text_pieces AS (
   SELECT doc_id, source, lang, CAST(pos // 10 AS INTEGER) AS block,
          CAST(pos % 10 AS INTEGER) AS slot, text,
-         'set' || CAST(doc_id % 5 AS VARCHAR) AS distractor_set
+         ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS distractor_set
   FROM (
     SELECT doc_id, source, lang, unnest(p) AS text, unnest(range(len(p))) AS pos
     FROM (SELECT doc_id, source, lang,
@@ -83,7 +83,7 @@ TEXT_ITEMS = f"""text_items AS (
          list_slice(p, b * 10 + 2, b * 10 + 10) AS distractors,
          CAST(NULL AS VARCHAR[]) AS options,
          source AS subject,
-         'set' || CAST(doc_id % 5 AS VARCHAR) AS distractor_set
+         ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS distractor_set
   FROM (SELECT *, unnest(range(CAST((len(p) + 9) // 10 AS BIGINT))) AS b
         FROM (SELECT doc_id, source, lang,
                      list_filter(list_transform(regexp_split_to_array(text, '\\. |\\n'),
@@ -394,3 +394,228 @@ SELECT model, dependent_var, A, B, {f4('mA')} AS mean_a, {f4('mB')} AS mean_b, {
        {f4('(mA - mB) / sqrt(msw * (1.0 / nA + 1.0 / nB))')} AS t,
        {f4('(mA - mB) / sqrt(((nA - 1) * coalesce(vA, 0) + (nB - 1) * coalesce(vB, 0)) / (nA + nB - 2)) * (1 - 3.0 / (4.0 * (nA + nB) - 9))')} AS hedges
 FROM pp"""
+
+# ---------------------------------------------------------------- text quality
+from optiq.operators.textsim import PUNCTUATION as _PUNCT  # noqa: E402
+
+_TOK = "list_filter(string_split_regex(lower({x}), '\\s+'), lambda t: t <> '')"
+_TOKRAW = "list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')"
+_LEXICON = "['the', 'of', 'and', 'de', 'la', 'der', 'to', 'in']"
+
+
+def _on(a: str, b: str, keys) -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+
+
+def meteor_sql(src: str, keys, name: str) -> str:
+    k = ", ".join(keys)
+    tok_h = _TOK.format(x="hypothesis")
+    tok_r = _TOK.format(x="reference")
+    return f"""{name}_h AS (
+  SELECT {k}, unnest(tl) AS tok, unnest(range(len(tl))) AS tpos FROM (SELECT {k}, {tok_h} AS tl FROM {src})),
+{name}_r AS (
+  SELECT {k}, unnest(tl) AS tok, unnest(range(len(tl))) AS tpos FROM (SELECT {k}, {tok_r} AS tl FROM {src})),
+{name}_ho AS (SELECT *, row_number() OVER (PARTITION BY {k}, tok ORDER BY tpos DESC) AS occ FROM {name}_h),
+{name}_ro AS (SELECT *, row_number() OVER (PARTITION BY {k}, tok ORDER BY tpos DESC) AS occ FROM {name}_r),
+{name}_m AS (
+  SELECT {", ".join("h." + x for x in keys)}, h.tpos AS h_pos, r.tpos AS r_pos
+  FROM {name}_ho h JOIN {name}_ro r ON {_on("h", "r", keys)} AND h.tok = r.tok AND h.occ = r.occ),
+{name}_c AS (
+  SELECT {k}, count(*) AS m,
+         sum(CASE WHEN lh IS NULL OR h_pos <> lh + 1 OR r_pos <> lr + 1 THEN 1 ELSE 0 END) AS chunks
+  FROM (SELECT *, lag(h_pos) OVER (PARTITION BY {k} ORDER BY h_pos) AS lh,
+               lag(r_pos) OVER (PARTITION BY {k} ORDER BY h_pos) AS lr FROM {name}_m)
+  GROUP BY {k}),
+{name}_len AS (SELECT {k}, len({tok_h}) AS h_len, len({tok_r}) AS r_len FROM {src}),
+{name} AS (
+  SELECT {", ".join("l." + x for x in keys)},
+         CASE WHEN coalesce(c.m, 0) > 0 AND h_len > 0 AND r_len > 0 THEN
+           (1 - 0.5 * pow(CAST(c.chunks AS DOUBLE) / c.m, 3.0))
+           * ((CAST(c.m AS DOUBLE) / h_len) * (CAST(c.m AS DOUBLE) / r_len)
+              / (0.9 * (CAST(c.m AS DOUBLE) / h_len) + 0.1 * (CAST(c.m AS DOUBLE) / r_len)))
+         ELSE 0.0 END AS meteor
+  FROM {name}_len l LEFT JOIN {name}_c c ON {_on("l", "c", keys)})"""
+
+
+def lexicon_sql(x: str, lexicon: str = _LEXICON) -> str:
+    punct = _PUNCT.replace("'", "''")
+    toks = f"list_distinct(list_filter(string_split_regex(translate(lower({x}), '{punct}', ''), '\\s+'), lambda t: t <> ''))"
+    return (f"CASE WHEN len({toks}) > 0 THEN CAST(len(list_intersect({toks}, {lexicon})) AS DOUBLE)"
+            f" / len({toks}) ELSE 0.0 END")
+
+
+def grammar_hits_sql(x: str) -> str:
+    toks = _TOK.format(x=x)
+    rules = ["'  '", "' [,.;:!?]'", "'^[a-z]'", "'[^.!?]$'"]
+    counts = " + ".join(f"len(regexp_extract_all({x}, {r}))" for r in rules)
+    rep = (f"CASE WHEN len({toks}) >= 2 THEN len(list_filter(range(2, len({toks}) + 1), "
+           f"lambda i: ({toks})[i] = ({toks})[i - 1])) ELSE 0 END")
+    return f"CAST({counts} + {rep} AS INTEGER)"
+
+
+TEXT_DISTRACTORS = """text_distractors AS (
+  SELECT doc_id, block, question, correct_answer, distractor_set,
+         unnest(distractors) AS distractor, unnest(range(len(distractors))) AS pos
+  FROM text_items)"""
+
+ORACLE["tokenize"] = with_(TEXT_PIECES) + f"""
+SELECT doc_id, block, slot, CAST(len({_TOK.format(x='text')}) AS INTEGER) AS n_lower,
+       CAST(len({_TOKRAW.format(x='text')}) AS INTEGER) AS n_raw,
+       array_to_string(regexp_extract_all(text, '(\\w+|[^\\w\\s])', 1), ' ') AS punct_tokens
+FROM text_pieces"""
+
+ORACLE["lexicon_relevance"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS) + f"""
+SELECT question, pos, {f4(lexicon_sql('distractor'))} AS relevance FROM text_distractors"""
+
+ORACLE["grammar_inverse"] = with_(TEXT_PIECES) + f"""
+SELECT doc_id, block, slot, {grammar_hits_sql('text')} AS hits,
+       {f4('1.0 / (1.0 + ' + grammar_hits_sql('text') + ')')} AS grammar_score
+FROM text_pieces"""
+
+_NTOK = f"len({_TOK.format(x='text')})"
+ORACLE["grammar_ratio"] = with_(TEXT_PIECES) + f"""
+SELECT doc_id, block, slot,
+       {f4(f'CASE WHEN {_NTOK} > 0 THEN 1.0 - CAST(least({grammar_hits_sql("text")}, {_NTOK}) AS DOUBLE) / {_NTOK} ELSE 1.0 END')} AS grammar_score
+FROM text_pieces"""
+
+_COS = ("CASE WHEN sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) <> 0 THEN "
+        "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END")
+
+ORACLE["cosine_to_answer"] = with_(VECTOR_SLOTS) + f"""
+SELECT d.item_id, d.slot, d.distractor_set,
+       {f4(_COS.format(a='a.vector', b='d.vector'))} AS similarity
+FROM vector_slots d JOIN vector_slots a ON a.item_id = d.item_id AND a.slot = 0
+WHERE d.slot > 0"""
+
+ORACLE["diversity_pairwise"] = with_(VECTOR_SLOTS) + f""",
+dv AS (SELECT * FROM vector_slots WHERE slot > 0 AND list_dot_product(vector, vector) > 0),
+pr AS (SELECT a.item_id, avg({_COS.format(a='a.vector', b='b.vector')}) AS mc
+       FROM dv a JOIN dv b ON a.item_id = b.item_id AND a.slot < b.slot GROUP BY a.item_id),
+g AS (SELECT item_id, any_value(distractor_set) AS distractor_set, count(*) AS n FROM dv GROUP BY item_id)
+SELECT g.item_id, g.distractor_set, g.n AS n_distractors,
+       {f4('CASE WHEN g.n >= 2 THEN 1.0 - pr.mc ELSE 0.0 END')} AS diversity
+FROM g LEFT JOIN pr ON g.item_id = pr.item_id"""
+
+VECTOR_QUALITY = f"""vq_o AS (SELECT item_id // 2 AS question_id, slot, vector, distractor_set
+              FROM vector_slots WHERE slot > 0 AND item_id % 2 = 0),
+vq_n AS (SELECT item_id // 2 AS question_id, slot, vector FROM vector_slots
+         WHERE slot > 0 AND item_id % 2 = 1),
+vq_sem AS (SELECT o.question_id, avg({_COS.format(a='o.vector', b='n.vector')}) AS s
+           FROM vq_o o JOIN vq_n n ON o.question_id = n.question_id AND o.slot = n.slot
+           GROUP BY o.question_id),
+vq_nz AS (SELECT * FROM vq_n WHERE list_dot_product(vector, vector) > 0),
+vq_pr AS (SELECT a.question_id, avg({_COS.format(a='a.vector', b='b.vector')}) AS mc
+          FROM vq_nz a JOIN vq_nz b ON a.question_id = b.question_id AND a.slot < b.slot
+          GROUP BY a.question_id),
+vq_cnt AS (SELECT question_id, count(*) AS n FROM vq_nz GROUP BY question_id),
+vq_types AS (SELECT question_id, any_value(distractor_set) AS distractor_type FROM vq_o GROUP BY question_id),
+vector_quality AS (
+  SELECT 'vec' || CAST(t.question_id AS VARCHAR) AS question, t.distractor_type,
+         coalesce(vq_sem.s, 0.0) AS semantic_similarity,
+         coalesce(CASE WHEN vq_cnt.n >= 2 THEN 1.0 - vq_pr.mc ELSE 0.0 END, 0.0) AS diversity_score
+  FROM vq_types t LEFT JOIN vq_sem ON t.question_id = vq_sem.question_id
+  LEFT JOIN vq_pr ON t.question_id = vq_pr.question_id
+  LEFT JOIN vq_cnt ON t.question_id = vq_cnt.question_id)"""
+
+ORACLE["cosine_paired"] = with_(VECTOR_SLOTS, VECTOR_QUALITY) + f"""
+SELECT question, {f4('semantic_similarity')} AS semantic_similarity FROM vector_quality"""
+
+ORACLE["meteor"] = with_(CONV_PAIRS, meteor_sql("conversation_pairs", ["conv_id", "turn"], "met")) + f"""
+SELECT conv_id, turn, {f4('meteor')} AS meteor FROM met"""
+
+ORACLE["meteor_max_ref"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """mp AS (
+  SELECT question, pos, correct_answer AS hypothesis, distractor AS reference FROM text_distractors)""",
+    meteor_sql("mp", ["question", "pos"], "met")) + f"""
+SELECT question, {f4('max(meteor)')} AS meteor FROM met GROUP BY question"""
+
+TEXT_QUALITY = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """tq_pairs AS (
+  SELECT o.doc_id, o.block, o.pos, o.distractor AS reference, n.distractor AS hypothesis
+  FROM text_distractors o JOIN text_distractors n
+    ON o.doc_id = n.doc_id AND n.block = o.block + 1 AND o.pos = n.pos)""",
+    meteor_sql("tq_pairs", ["doc_id", "block", "pos"], "tqm")) + f""",
+tq_q AS (SELECT DISTINCT o.doc_id, o.block, o.question, o.distractor_set
+         FROM text_distractors o JOIN text_distractors n ON o.doc_id = n.doc_id AND n.block = o.block + 1),
+tq_m AS (SELECT doc_id, block, avg(meteor) AS meteor_score FROM tqm GROUP BY doc_id, block),
+tq_g AS (SELECT doc_id, block - 1 AS block, avg(1.0 / (1.0 + {grammar_hits_sql('distractor')})) AS grammar_score
+         FROM text_distractors GROUP BY doc_id, block),
+text_quality AS (
+  SELECT q.question, q.distractor_set AS distractor_type,
+         coalesce(tq_m.meteor_score, 0.0) AS meteor_score, coalesce(tq_g.grammar_score, 0.0) AS grammar_score
+  FROM tq_q q LEFT JOIN tq_m ON q.doc_id = tq_m.doc_id AND q.block = tq_m.block
+  LEFT JOIN tq_g ON q.doc_id = tq_g.doc_id AND q.block = tq_g.block)"""
+
+_QPQ = TEXT_QUALITY + ",\n" + VECTOR_SLOTS + ",\n" + VECTOR_QUALITY + """,
+qpq AS (
+  SELECT question, distractor_type, meteor_score, CAST(NULL AS DOUBLE) AS semantic_similarity,
+         grammar_score, CAST(NULL AS DOUBLE) AS diversity_score FROM text_quality
+  UNION ALL
+  SELECT question, distractor_type, NULL, semantic_similarity, NULL, diversity_score FROM vector_quality)
+"""
+
+ORACLE["quality_per_question"] = _QPQ + f"""
+SELECT question, distractor_type, {f4('meteor_score')} AS meteor_score,
+       {f4('semantic_similarity')} AS semantic_similarity, {f4('grammar_score')} AS grammar_score,
+       {f4('diversity_score')} AS diversity_score FROM qpq"""
+
+ORACLE["quality_agg"] = _QPQ + "SELECT distractor_type, " + ", ".join(
+    f"{f4(f'avg({m})')} AS {m}_mean, {f4(f'stddev_samp({m})')} AS {m}_std"
+    for m in ["meteor_score", "semantic_similarity", "grammar_score", "diversity_score"]) + \
+    " FROM qpq GROUP BY distractor_type"
+
+_NT = f"len({_TOK.format(x='distractor')})"
+LEGACY = with_(RESPONSES, TEXT_ITEMS, TEXT_DISTRACTORS, """lq_pairs AS (
+  SELECT question, pos, correct_answer AS reference, distractor AS hypothesis FROM text_distractors)""",
+    meteor_sql("lq_pairs", ["question", "pos"], "lqm")) + f""",
+legacy AS (
+  SELECT o.question, o.distractor_set, o.legal_relevance_scores, o.grammar_scores, m.meteor_scores
+  FROM (SELECT question, distractor_set, avg({lexicon_sql('distractor')}) AS legal_relevance_scores,
+               avg(CASE WHEN {_NT} > 0 THEN 1.0 - CAST(least({grammar_hits_sql('distractor')}, {_NT}) AS DOUBLE) / {_NT} ELSE 1.0 END) AS grammar_scores
+        FROM text_distractors GROUP BY question, distractor_set) o
+  LEFT JOIN (SELECT question, avg(meteor) AS meteor_scores FROM lqm GROUP BY question) m
+    ON o.question = m.question),
+ss AS (SELECT distractor_set, avg(CAST(is_correct AS DOUBLE)) * 100.0 AS accuracy,
+              avg(response_time) AS response_time, count(*) AS n_responses
+       FROM responses WHERE distractor_set IS NOT NULL GROUP BY distractor_set),
+fan AS (SELECT ss.*, legacy.question, legacy.legal_relevance_scores, legacy.grammar_scores,
+               legacy.meteor_scores
+        FROM ss LEFT JOIN legacy ON ss.distractor_set = legacy.distractor_set)
+"""
+
+ORACLE["quality_summary_row"] = LEGACY + f"""
+SELECT question, distractor_set, {f4('legal_relevance_scores')} AS legal_relevance_scores,
+       {f4('grammar_scores')} AS grammar_scores, {f4('meteor_scores')} AS meteor_scores FROM legacy"""
+
+ORACLE["join_quality_fanout"] = LEGACY + f"""
+SELECT distractor_set, question, {f4('accuracy')} AS accuracy, {f4('response_time')} AS response_time,
+       {f4('meteor_scores')} AS meteor_scores, {f4('legal_relevance_scores')} AS legal_relevance_scores,
+       {f4('grammar_scores')} AS grammar_scores FROM fan"""
+
+ORACLE["fanout_means"] = LEGACY + f"""
+SELECT {f4('avg(accuracy)')} AS average_accuracy, {f4('avg(response_time)')} AS average_response_time,
+       'fanout' AS weighting FROM fan
+UNION ALL
+SELECT {f4('avg(accuracy)')}, {f4('avg(response_time)')}, 'per_set' FROM ss"""
+
+
+def corr_sql(src: str, metrics) -> str:
+    parts = []
+    for a in metrics:
+        for b in metrics:
+            x = f"CASE WHEN {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END"
+            y = f"CASE WHEN {a} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
+            r = (f"CASE WHEN stddev_samp({x}) * stddev_samp({y}) <> 0 THEN covar_samp({x}, {y}) / "
+                 f"(stddev_samp({x}) * stddev_samp({y})) END")
+            parts.append(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, {f4(r)} AS r FROM {src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+_LEG_METRICS = ["accuracy", "response_time", "meteor_scores", "legal_relevance_scores", "grammar_scores"]
+ORACLE["corr_matrix_quality"] = LEGACY + corr_sql("fan", _LEG_METRICS)
+ORACLE["argmax_abs"] = LEGACY + f""", c AS ({corr_sql("fan", _LEG_METRICS)}),
+cc AS (SELECT * FROM c WHERE metric_a = 'accuracy' AND metric_b <> 'accuracy' AND r IS NOT NULL)
+SELECT (SELECT metric_b FROM cc ORDER BY abs(r) DESC, metric_b DESC LIMIT 1) AS top_metric,
+       (SELECT r FROM cc ORDER BY abs(r) DESC, metric_b DESC LIMIT 1) AS top_r,
+       (SELECT metric_b FROM cc ORDER BY abs(r), metric_b LIMIT 1) AS lowest_metric,
+       (SELECT r FROM cc ORDER BY abs(r), metric_b LIMIT 1) AS lowest_r"""
+ORACLE["corr_matrix_metrics"] = _QPQ + corr_sql(
+    "qpq", ["meteor_score", "semantic_similarity", "grammar_score", "diversity_score"])

@@ -21,6 +21,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
     # Broadcast only what is proven small: 32 MB bound, AQE may re-plan below it.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
