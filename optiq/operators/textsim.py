@@ -43,12 +43,17 @@ def tokenize(text: Column, mode: str = "lower") -> Column:
 
 def lexicon_relevance(text: Column, lexicon: list[str] = LEGAL_KEYWORDS) -> Column:
     """|distinct tokens in lexicon| / |distinct tokens|; 0 without tokens.
-    Tokens: lower-case, ASCII punctuation deleted, whitespace split."""
+    Tokens: lower-case, ASCII punctuation deleted, whitespace split.
+    One fold over the distinct tokens counts both sides (tokens built once)."""
     toks = F.array_distinct(F.filter(
         F.split(F.translate(F.lower(text), PUNCTUATION, ""), r"\s+"), lambda x: x != ""))
     lex = F.array(*[F.lit(w) for w in lexicon])
-    n = F.size(toks)
-    return F.when(n > 0, F.size(F.array_intersect(toks, lex)) / n).otherwise(F.lit(0.0))
+    init = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hit"))
+    return F.aggregate(
+        toks, init,
+        lambda acc, x: F.struct((acc["n"] + 1).alias("n"),
+                                (acc["hit"] + F.array_contains(lex, x).cast("int")).alias("hit")),
+        lambda acc: F.when(acc["n"] > 0, acc["hit"] / acc["n"]).otherwise(F.lit(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,8 +121,8 @@ def cosine_paired(orig: DataFrame, new: DataFrame, key: str = "question") -> Dat
 
 
 # ---------------------------------------------------------------- METEOR
-def _token_rows(pairs: DataFrame, keys: list[str], col: str, side: str, mode: str) -> DataFrame:
-    t = pairs.select(*keys, F.posexplode(tokenize(F.col(col), mode)).alias("_tp", "tok"))
+def _token_rows(toks: DataFrame, keys: list[str], col: str, side: str) -> DataFrame:
+    t = toks.select(*keys, F.posexplode(F.col(col)).alias("_tp", "tok"))
     # occurrence number counted from the end: greedy last-to-last matching
     w = Window.partitionBy(*keys, "tok").orderBy(F.col("_tp").desc())
     return t.withColumn("occ", F.row_number().over(w)).withColumnRenamed("_tp", f"{side}_pos")
@@ -136,10 +141,11 @@ def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
     Score = F_mean * (1 - gamma * (chunks/m)^beta), F_mean = PR / (alpha P + (1-alpha) R);
     0 without matches or with an empty side.
     """
-    lens = pairs.select(*keys, F.size(tokenize(F.col(hypothesis), mode)).alias("h_len"),
-                        F.size(tokenize(F.col(reference), mode)).alias("r_len"))
-    h = _token_rows(pairs, keys, hypothesis, "h", mode)
-    r = _token_rows(pairs, keys, reference, "r", mode)
+    toks = pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_ht"),
+                        tokenize(F.col(reference), mode).alias("_rt"))
+    lens = toks.select(*keys, F.size("_ht").alias("h_len"), F.size("_rt").alias("r_len"))
+    h = _token_rows(toks, keys, "_ht", "h")
+    r = _token_rows(toks, keys, "_rt", "r")
     m = h.join(r, [*keys, "tok", "occ"]).select(*keys, "h_pos", "r_pos")
     w = Window.partitionBy(*keys).orderBy("h_pos")
     brk = ((F.lag("h_pos").over(w).isNull())

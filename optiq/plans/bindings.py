@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optiq.sources.tables import table
+from optiq.sources.tables import spread, table
 
 # Fixed values of the bindings (shared with the SQL oracle).
 N_QUESTIONS = 200          # responses.question = 'q' || event_id % N_QUESTIONS
@@ -86,7 +86,7 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     with upper-case labels, inline lower-case labels, prose "answer is:",
     no answer label, absurd confidence digits, and an error message.
     """
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"), "event_id")
     eid, uid = F.col("event_id"), F.col("user_id")
     qname = F.concat(F.lit("q"), _s(eid % N_QUESTIONS))
     opts = _options(qname)
@@ -143,7 +143,7 @@ def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     Pieces are grouped ten at a time into question items: piece 0 of a block is
     the correct answer, pieces 1..9 are its distractors. Whole texts are used.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     pieces = _doc_pieces(docs)
     return (docs.select("doc_id", "source", "lang", F.posexplode(pieces).alias("pos", "piece"))
             .select(
@@ -161,7 +161,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     An equi-join on (conv_id, turn + 1): keys are unique per side, so a very
     long conversation spreads over many tasks instead of one window partition.
     """
-    conv = table(spark, sf_dir, "conversations")
+    conv = spread(table(spark, sf_dir, "conversations"), "conv_id")
     a = conv.select("conv_id", "turn", F.col("text").alias("reference"))
     b = conv.select("conv_id", (F.col("turn") - 1).alias("turn"),
                     F.col("text").alias("hypothesis"))
@@ -180,12 +180,14 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     Built by slicing each document's piece array (no shuffle): piece 0 of a
     block is the correct answer, the rest (up to 9) are its distractors in order.
     """
-    docs = table(spark, sf_dir, "documents")
-    p = _doc_pieces(docs)
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    # the piece array is materialised once per document before slicing blocks
+    with_p = docs.select("doc_id", "source", "lang", _doc_pieces(docs).alias("p"))
+    p = F.col("p")
     nblocks = F.floor((F.size(p) + (ITEM_WIDTH - 1)) / ITEM_WIDTH).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), nblocks - 1),
                          lambda b: F.slice(p, b * ITEM_WIDTH + 1, ITEM_WIDTH))
-    return (docs.where(F.size(p) > 0)
+    return (with_p.where(F.size(p) > 0)
             .select("doc_id", "source", "lang", F.posexplode(blocks).alias("block", "piece"))
             .select(
                 "doc_id", "source", "lang", F.col("block").cast("int").alias("block"),

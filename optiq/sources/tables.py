@@ -21,3 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute rows on ``key`` when the scan gives fewer partitions than
+    the session can run at once (e.g. one small single-row-group file feeding a
+    CPU-heavy text stage). At cluster scale scans already yield many splits and
+    this is a no-op, so no shuffle is added there."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
