@@ -345,3 +345,80 @@ def _cmm(spark, sf):
     return INF.correlation_long(QL.quality_per_question(spark, sf),
                                 ["meteor_score", "semantic_similarity", "grammar_score",
                                  "diversity_score"])
+
+
+# ---------------------------------------------------------------- reshape / charts
+from optiq.operators import charts as CH  # noqa: E402
+from optiq.operators import reshape as RS  # noqa: E402
+
+MODELS = [f"model_{i}" for i in range(B.N_MODELS)]
+SETS = list(B.SET_NAMES)
+
+
+def _responses_long(spark, sf):
+    r = B.responses(spark, sf)
+    return RS.melt(r, ["question", "distractor_set", "model"], ["confidence", "response_time"])
+
+
+@register("melt")
+def _melt(spark, sf):
+    return RS.melt(S.distractor_stats(B.responses(spark, sf)), ["model", "distractor_set"],
+                   ["is_correct_mean", "confidence_mean", "response_time_mean",
+                    "calibration_error"])
+
+
+@register("describe_by_group")
+def _describe(spark, sf):
+    return RS.describe_by_group(_responses_long(spark, sf), ["distractor_set", "metric"])
+
+
+@register("boxplot_stats")
+def _box(spark, sf):
+    return RS.boxplot_stats(B.responses(spark, sf), "model", "distractor_set", "response_time")
+
+
+@register("pivot_heatmap")
+def _heat(spark, sf):
+    st = S.distractor_stats(B.responses(spark, sf))
+    return RS.pivot_wide(st, ["distractor_set"], "model", MODELS, "is_correct_mean", agg="first")
+
+
+@register("pivot_mean")
+def _pmean(spark, sf):
+    return RS.pivot_wide(_responses_long(spark, sf), ["question", "distractor_set"], "metric",
+                         ["confidence", "response_time"], dropna=True)
+
+
+@register("explode_list_metric")
+def _explode(spark, sf):
+    items = B.text_items(spark, sf).select("question", "distractors")
+    return RS.explode_list_metric(items, "distractors", "distractor")
+
+
+@register("explode_distractors")
+def _explode_map(spark, sf):
+    """Numbered distractor map -> one row per (question, key, value)."""
+    from optiq.operators.bank import number_distractors
+    items = B.text_items(spark, sf).select(
+        "question", number_distractors(F.col("distractors")).alias("m"))
+    return items.select("question", F.explode("m").alias("key", "distractor"))
+
+
+@register("item_scatter")
+def _scatter(spark, sf):
+    return CH.item_scatter(P.item_analysis(B.responses(spark, sf)))
+
+
+@register("calibration_compare")
+def _calcmp(spark, sf):
+    return P.calibration_compare(P.calibration_metrics(B.responses(spark, sf)))
+
+
+@register("metric_bars")
+def _bars(spark, sf):
+    return CH.metric_bars(QL.quality_agg(QL.quality_per_question(spark, sf)))
+
+
+@register("quality_vs_accuracy")
+def _qva(spark, sf):
+    return CH.quality_vs_accuracy(_fanout(spark, sf))

@@ -619,3 +619,95 @@ SELECT (SELECT metric_b FROM cc ORDER BY abs(r) DESC, metric_b DESC LIMIT 1) AS
        (SELECT r FROM cc ORDER BY abs(r), metric_b LIMIT 1) AS lowest_r"""
 ORACLE["corr_matrix_metrics"] = _QPQ + corr_sql(
     "qpq", ["meteor_score", "semantic_similarity", "grammar_score", "diversity_score"])
+
+# ---------------------------------------------------------------- reshape / charts
+_DSTATS = """ds AS (
+  SELECT model, distractor_set, avg(CAST(is_correct AS DOUBLE)) AS is_correct_mean,
+         avg(confidence) AS confidence_mean, avg(response_time) AS response_time_mean,
+         abs(avg(CAST(is_correct AS DOUBLE)) - avg(confidence) / 100.0) AS calibration_error
+  FROM responses WHERE model IS NOT NULL AND distractor_set IS NOT NULL GROUP BY ALL)"""
+_RLONG = """rl AS (
+  SELECT question, distractor_set, model, 'confidence' AS metric, CAST(confidence AS DOUBLE) AS value
+  FROM responses
+  UNION ALL SELECT question, distractor_set, model, 'response_time', response_time FROM responses)"""
+
+ORACLE["melt"] = with_(RESPONSES, _DSTATS) + f"""
+SELECT model, distractor_set, metric, {f4('value')} AS value FROM ds
+UNPIVOT INCLUDE NULLS (value FOR metric IN (is_correct_mean, confidence_mean, response_time_mean,
+                                            calibration_error))"""
+
+ORACLE["describe_by_group"] = with_(RESPONSES, _RLONG) + f"""
+SELECT distractor_set, metric, count(value) AS count, {f4('avg(value)')} AS mean,
+       {f4('stddev_samp(value)')} AS std, {f4('min(value)')} AS min, {f4('max(value)')} AS max,
+       {f4('quantile_cont(value, 0.25)')} AS q25, {f4('quantile_cont(value, 0.5)')} AS q50,
+       {f4('quantile_cont(value, 0.75)')} AS q75
+FROM rl WHERE value IS NOT NULL GROUP BY distractor_set, metric"""
+
+ORACLE["boxplot_stats"] = with_(RESPONSES) + f""",
+q AS (SELECT model, distractor_set, count(response_time) AS count,
+             quantile_cont(response_time, 0.25) AS q1, quantile_cont(response_time, 0.5) AS median,
+             quantile_cont(response_time, 0.75) AS q3
+      FROM responses WHERE response_time IS NOT NULL GROUP BY model, distractor_set),
+j AS (SELECT r.model, r.distractor_set, r.response_time AS v, q.*,
+             r.response_time >= q.q1 - 1.5 * (q.q3 - q.q1) AND r.response_time <= q.q3 + 1.5 * (q.q3 - q.q1) AS inside
+      FROM responses r JOIN q ON r.model = q.model AND r.distractor_set = q.distractor_set
+      WHERE r.response_time IS NOT NULL)
+SELECT model, distractor_set, any_value(count) AS count, {f4('any_value(q1)')} AS q1,
+       {f4('any_value(median)')} AS median, {f4('any_value(q3)')} AS q3,
+       {f4('min(CASE WHEN inside THEN v END)')} AS whisker_low,
+       {f4('max(CASE WHEN inside THEN v END)')} AS whisker_high,
+       CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
+FROM j GROUP BY model, distractor_set"""
+
+ORACLE["pivot_heatmap"] = with_(RESPONSES, _DSTATS) + f"""
+SELECT distractor_set,
+       {f4("max(CASE WHEN model = 'model_0' THEN is_correct_mean END)")} AS model_0,
+       {f4("max(CASE WHEN model = 'model_1' THEN is_correct_mean END)")} AS model_1,
+       {f4("max(CASE WHEN model = 'model_2' THEN is_correct_mean END)")} AS model_2
+FROM ds GROUP BY distractor_set"""
+
+ORACLE["pivot_mean"] = with_(RESPONSES, _RLONG) + f"""
+SELECT * FROM (
+  SELECT question, distractor_set,
+         {f4("avg(CASE WHEN metric = 'confidence' THEN value END)")} AS confidence,
+         {f4("avg(CASE WHEN metric = 'response_time' THEN value END)")} AS response_time
+  FROM rl GROUP BY question, distractor_set)
+WHERE confidence IS NOT NULL AND response_time IS NOT NULL"""
+
+ORACLE["explode_list_metric"] = with_(TEXT_ITEMS) + """
+SELECT question, CASE WHEN len(distractors) = 0 THEN NULL ELSE d END AS distractor
+FROM (SELECT question, distractors,
+             unnest(CASE WHEN len(distractors) = 0 THEN [NULL] ELSE distractors END) AS d
+      FROM text_items)"""
+
+ORACLE["explode_distractors"] = with_(TEXT_ITEMS) + """
+SELECT question, CAST(i + 1 AS VARCHAR) AS key, d AS distractor
+FROM (SELECT question, unnest(distractors) AS d, unnest(range(len(distractors))) AS i FROM text_items)"""
+
+_ITEMS_CTE = ORACLE["item_analysis"]
+ORACLE["item_scatter"] = "WITH ia AS (" + _ITEMS_CTE.replace("WITH ", "WITH ", 1) + ")\n" + """
+SELECT question, subject, difficulty, discrimination, avg_response_time, avg_confidence,
+       confidence_discrimination, difficulty > 0.5 AS hard, discrimination > 0.3 AS discriminating
+FROM ia"""
+
+ORACLE["calibration_compare"] = "WITH cm AS (" + ORACLE["calibration_metrics"] + ")\n" + \
+    "SELECT model, ece, overconfidence FROM cm"
+
+ORACLE["metric_bars"] = _QPQ + """,
+qa AS (SELECT distractor_type, avg(meteor_score) AS meteor_score_mean,
+              avg(semantic_similarity) AS semantic_similarity_mean,
+              avg(grammar_score) AS grammar_score_mean, avg(diversity_score) AS diversity_score_mean
+       FROM qpq GROUP BY distractor_type)
+SELECT distractor_type, metric, """ + f4("value") + """ AS value FROM (
+  SELECT distractor_type, 'Meteor Score' AS metric, meteor_score_mean AS value FROM qa
+  UNION ALL SELECT distractor_type, 'Semantic Similarity', semantic_similarity_mean FROM qa
+  UNION ALL SELECT distractor_type, 'Grammar Score', grammar_score_mean FROM qa
+  UNION ALL SELECT distractor_type, 'Diversity Score', diversity_score_mean FROM qa)"""
+
+ORACLE["quality_vs_accuracy"] = LEGACY + f"""
+SELECT distractor_set, {f4('any_value(accuracy)')} AS accuracy,
+       {f4('any_value(response_time)')} AS response_time,
+       {f4('avg(meteor_scores)')} AS meteor_scores,
+       {f4('avg(legal_relevance_scores)')} AS legal_relevance_scores,
+       {f4('avg(grammar_scores)')} AS grammar_scores
+FROM fan GROUP BY distractor_set"""
