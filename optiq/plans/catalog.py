@@ -422,3 +422,171 @@ def _bars(spark, sf):
 @register("quality_vs_accuracy")
 def _qva(spark, sf):
     return CH.quality_vs_accuracy(_fanout(spark, sf))
+
+
+# ---------------------------------------------------------------- bank preparation
+from optiq.operators import bank as BK  # noqa: E402
+from optiq.operators import joins as J  # noqa: E402
+
+
+def _items(spark, sf):
+    return B.text_items(spark, sf)
+
+
+@register("sample_exact_n")
+def _sample(spark, sf):
+    return BK.sample_exact_n(_items(spark, sf).select("question", "subject"), 150, seed=0)
+
+
+@register("sample_balanced")
+def _balanced(spark, sf):
+    return BK.sample_balanced(_items(spark, sf).select("question", "subject"), 5, "subject", 0)
+
+
+@register("cycle_fill")
+def _cycle(spark, sf):
+    return BK.cycle_fill(_items(spark, sf).select("question"), 150, seed=0)
+
+
+@register("replicate_bank")
+def _replicate(spark, sf):
+    return BK.replicate_bank(_items(spark, sf).select("question"), 3)
+
+
+@register("union_subjects")
+def _union(spark, sf):
+    it = _items(spark, sf).select("question", "subject", "lang")
+    u = BK.union_subjects(it.where(F.col("lang") == "en"), it.where(F.col("lang") != "en"))
+    return u.groupBy("subject").agg(F.count(F.lit(1)).alias("n_questions"))
+
+
+def _assembled(spark, sf):
+    return BK.assemble_options(_items(spark, sf), seed=0)
+
+
+@register("assemble_options")
+def _assemble(spark, sf):
+    return _assembled(spark, sf).select(
+        "question", F.concat_ws(" | ", "presented_options").alias("presented_options"))
+
+
+def _plan(spark, sf):
+    return BK.build_eval_plan(_assembled(spark, sf), MODELS, 5)
+
+
+@register("build_eval_plan")
+def _bplan(spark, sf):
+    return _plan(spark, sf).select("question", "plan_set", "model", "request_reasoning")
+
+
+@register("format_prompt")
+def _prompt(spark, sf):
+    p = _plan(spark, sf)
+    return p.select("question", "plan_set", "model",
+                    BK.format_prompt(F.col("question"), F.col("presented_options"),
+                                     F.col("request_reasoning")).alias("prompt"))
+
+
+@register("parse_generated_lines")
+def _gen_lines(spark, sf):
+    conv = B.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    lines = BK.parse_generated_lines(F.col("text"), 9, F.col("text").isNull())
+    return conv.select("conv_id", "turn", F.size(lines).alias("n_lines"),
+                       F.concat_ws(" | ", lines).alias("lines"))
+
+
+@register("strip_enumeration")
+def _strip_enum(spark, sf):
+    conv = B.table(spark, sf, "conversations")
+    lines = F.split(F.col("text"), "\n")
+    return conv.select("conv_id", "turn", F.posexplode(lines).alias("line_no", "line")).select(
+        "conv_id", "turn", "line_no", BK.strip_enumeration(F.col("line")).alias("line"))
+
+
+@register("pool_pick")
+def _pool(spark, sf):
+    it = _items(spark, sf)
+    weak, moderate = F.slice("distractors", 1, 4), F.slice("distractors", 5, 5)
+    return it.select("question",
+                     F.when(F.size(weak) > 0, BK.pool_pick(weak, "weak", F.col("question")))
+                     .alias("weak"),
+                     F.when(F.size(moderate) > 0, BK.pool_pick(moderate, "moderate",
+                                                               F.col("question")))
+                     .alias("moderate"))
+
+
+# ---------------------------------------------------------------- joins and dedupe
+def _bench_pieces(spark, sf):
+    bm = B.table(spark, sf, "benchmark")
+    return bm.select("item_id", F.posexplode(F.split("text", B.PIECE_SPLIT)).alias("pos", "t")) \
+        .select("item_id", "pos", F.regexp_replace("t", B.WS, "").alias("correct_answer")) \
+        .where(F.col("correct_answer") != "") \
+        .withColumn("load_pos", F.struct("item_id", "pos"))
+
+
+@register("dedupe_first")
+def _dfirst(spark, sf):
+    it = _items(spark, sf).select("correct_answer", "question",
+                                  F.struct("doc_id", "block").alias("load_pos"))
+    return J.dedupe_first(it, "correct_answer", "load_pos").select("correct_answer", "question")
+
+
+@register("dedupe_last")
+def _dlast(spark, sf):
+    it = _items(spark, sf).select("correct_answer", "question",
+                                  F.struct("doc_id", "block").alias("load_pos"))
+    return J.dedupe_last(it, "correct_answer", "load_pos").select("correct_answer", "question")
+
+
+@register("join_reference_answers")
+def _jref(spark, sf):
+    sets = _items(spark, sf).select("question", "correct_answer")
+    j = J.join_reference_answers(sets, _bench_pieces(spark, sf), "correct_answer")
+    return j.select("question", "correct_answer", F.col("ref_item_id").alias("ref_item_id"))
+
+
+@register("join_original_first")
+def _jfirst(spark, sf):
+    sets = _items(spark, sf).select("question", "correct_answer")
+    j = J.join_original_first(sets, _bench_pieces(spark, sf), "correct_answer")
+    return j.select("question", "correct_answer", F.col("orig_item_id").alias("orig_item_id"))
+
+
+@register("unmatched_questions")
+def _unmatched(spark, sf):
+    sets = _items(spark, sf).select("question", "correct_answer")
+    return J.unmatched_questions(sets, _bench_pieces(spark, sf), "correct_answer").select("question")
+
+
+@register("join_index")
+def _jindex(spark, sf):
+    r = B.responses(spark, sf)
+    acc = r.groupBy("distractor_set").agg((F.avg(F.col("is_correct").cast("double")) * 100.0)
+                                          .alias("accuracy"))
+    rt = r.groupBy("distractor_set").agg(
+        F.avg("response_time").alias("response_time"))
+    return acc.join(rt, "distractor_set", "left")
+
+
+@register("value_counts_top1")
+def _vc(spark, sf):
+    r = B.responses(spark, sf)
+    return S.value_counts_top1(r.where(~F.col("is_correct")), "question", "llm_answer")
+
+
+@register("conditional_mean")
+def _cm(spark, sf):
+    return S.conditional_mean(B.responses(spark, sf), "question", "confidence",
+                              F.col("is_correct"))
+
+
+@register("nunique")
+def _nu(spark, sf):
+    return B.responses(spark, sf).groupBy("question").agg(
+        F.countDistinct("is_correct").alias("n_distinct_outcomes"))
+
+
+@register("first_value")
+def _fv(spark, sf):
+    return B.responses(spark, sf).groupBy("question").agg(
+        F.min_by("subject", "response_id").alias("subject"))

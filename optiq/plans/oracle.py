@@ -711,3 +711,129 @@ SELECT distractor_set, {f4('any_value(accuracy)')} AS accuracy,
        {f4('avg(legal_relevance_scores)')} AS legal_relevance_scores,
        {f4('avg(grammar_scores)')} AS grammar_scores
 FROM fan GROUP BY distractor_set"""
+
+# ---------------------------------------------------------------- bank preparation
+ORACLE["sample_exact_n"] = with_(TEXT_ITEMS) + """
+SELECT question, subject FROM text_items ORDER BY md5('0|' || question), question LIMIT 150"""
+
+ORACLE["sample_balanced"] = with_(TEXT_ITEMS) + """
+SELECT question, subject FROM (
+  SELECT question, subject,
+         row_number() OVER (PARTITION BY subject ORDER BY md5('0|' || question), question) AS rk
+  FROM text_items) WHERE rk <= 5"""
+
+ORACLE["cycle_fill"] = with_(TEXT_ITEMS) + """
+SELECT question, round FROM text_items
+CROSS JOIN (SELECT unnest(range(greatest(1, 150 // (SELECT count(*) FROM text_items) + 1))) AS round)
+ORDER BY round, md5('0|' || CAST(round AS VARCHAR) || '|' || question), question LIMIT 150"""
+
+ORACLE["replicate_bank"] = with_(TEXT_ITEMS) + """
+SELECT question, CAST(copy AS INTEGER) AS copy FROM text_items CROSS JOIN range(1, 4) AS t(copy)"""
+
+ORACLE["union_subjects"] = with_(TEXT_ITEMS) + """
+SELECT subject, count(*) AS n_questions FROM (
+  SELECT subject FROM text_items WHERE lang = 'en'
+  UNION ALL SELECT subject FROM text_items WHERE lang <> 'en') GROUP BY subject"""
+
+ASSEMBLED = """assembled AS (
+  SELECT *, list_transform(
+           list_sort(list_transform(
+             CASE WHEN list_contains(coalesce(options, distractors), correct_answer)
+                  THEN coalesce(options, distractors)
+                  ELSE list_append(coalesce(options, distractors), correct_answer) END,
+             lambda o: {'h': md5('0|' || question || '|' || o), 'o': o})),
+           lambda s: s.o) AS presented_options
+  FROM text_items)"""
+
+ORACLE["assemble_options"] = with_(TEXT_ITEMS, ASSEMBLED) + """
+SELECT question, array_to_string(presented_options, ' | ') AS presented_options FROM assembled"""
+
+PLAN = """plan0 AS (
+  SELECT *, 'original' AS plan_set FROM assembled
+  UNION ALL SELECT *, distractor_set AS plan_set FROM assembled),
+plan AS (
+  SELECT p.*, m.model,
+         row_number() OVER (PARTITION BY plan_set, model ORDER BY doc_id, block) <= 5 AS request_reasoning
+  FROM plan0 p CROSS JOIN (SELECT unnest(['model_0', 'model_1', 'model_2']) AS model) m)"""
+
+ORACLE["build_eval_plan"] = with_(TEXT_ITEMS, ASSEMBLED, PLAN) + """
+SELECT question, plan_set, model, request_reasoning FROM plan"""
+
+_PR = ("Please think through this step-by-step before answering. "
+       "First provide your reasoning, then clearly state your final answer.' || chr(10) || chr(10) || '"
+       "Please end your response with:' || chr(10) || '"
+       "Answer: [exact text of your chosen option]' || chr(10) || '"
+       "Confidence: [0-100] (your confidence in this answer)' || chr(10) || '")
+_PS = ("Respond with your answer choice exactly as it appears in the options.' || chr(10) || '"
+       "Also rate your confidence from 0-100, where 100 means absolutely certain.' || chr(10) || chr(10) || '"
+       "Format: Answer: [your answer]' || chr(10) || 'Confidence: [0-100]' || chr(10) || '")
+ORACLE["format_prompt"] = with_(TEXT_ITEMS, ASSEMBLED, PLAN) + f"""
+SELECT question, plan_set, model,
+       'Question: ' || question || chr(10) || 'Options: ' || array_to_string(presented_options, ', ')
+       || chr(10) || chr(10)
+       || CASE WHEN request_reasoning THEN '{_PR}' ELSE '{_PS}' END AS prompt
+FROM plan"""
+
+_GL = ("list_filter(list_transform(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)), "
+       "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1:9]")
+ORACLE["parse_generated_lines"] = f"""
+SELECT conv_id, turn, CAST(len({_GL}) AS INTEGER) AS n_lines, array_to_string({_GL}, ' | ') AS lines
+FROM conversations WHERE role = 'assistant'"""
+
+ORACLE["strip_enumeration"] = """
+SELECT conv_id, turn, CAST(line_no AS INTEGER) AS line_no,
+       regexp_replace(line, '^\\d+[.)]\\s*', '') AS line
+FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS line_no FROM conversations)"""
+
+_PICK_IDX = "(CAST(('0x' || substr(md5('{seed}|' || question), 1, 8)) AS BIGINT) % len({pool})) + 1"
+ORACLE["pool_pick"] = with_(TEXT_ITEMS) + f"""
+SELECT question,
+       CASE WHEN len(distractors[1:4]) > 0
+            THEN (distractors[1:4])[{_PICK_IDX.format(seed='weak', pool='distractors[1:4]')}] END AS weak,
+       CASE WHEN len(distractors[5:9]) > 0
+            THEN (distractors[5:9])[{_PICK_IDX.format(seed='moderate', pool='distractors[5:9]')}] END AS moderate
+FROM text_items"""
+
+# ---------------------------------------------------------------- joins and dedupe
+BENCH_PIECES = f"""bench_pieces AS (
+  SELECT item_id, pos, correct_answer FROM (
+    SELECT item_id, regexp_replace(t, {_WS}, '', 'g') AS correct_answer, pos
+    FROM (SELECT item_id, unnest(regexp_split_to_array(text, '\\. |\\n')) AS t,
+                 unnest(range(len(regexp_split_to_array(text, '\\. |\\n')))) AS pos FROM benchmark))
+  WHERE correct_answer <> '')"""
+
+ORACLE["dedupe_first"] = with_(TEXT_ITEMS) + """
+SELECT correct_answer, arg_min(question, (doc_id, block)) AS question FROM text_items GROUP BY correct_answer"""
+ORACLE["dedupe_last"] = with_(TEXT_ITEMS) + """
+SELECT correct_answer, arg_max(question, (doc_id, block)) AS question FROM text_items GROUP BY correct_answer"""
+ORACLE["join_reference_answers"] = with_(TEXT_ITEMS, BENCH_PIECES) + """
+SELECT t.question, t.correct_answer, r.item_id AS ref_item_id FROM text_items t
+JOIN (SELECT correct_answer, arg_max(item_id, (item_id, pos)) AS item_id FROM bench_pieces GROUP BY ALL) r
+  ON t.correct_answer = r.correct_answer"""
+ORACLE["join_original_first"] = with_(TEXT_ITEMS, BENCH_PIECES) + """
+SELECT t.question, t.correct_answer, r.item_id AS orig_item_id FROM text_items t
+JOIN (SELECT correct_answer, arg_min(item_id, (item_id, pos)) AS item_id FROM bench_pieces GROUP BY ALL) r
+  ON t.correct_answer = r.correct_answer"""
+ORACLE["unmatched_questions"] = with_(TEXT_ITEMS, BENCH_PIECES) + """
+SELECT question FROM text_items t
+WHERE NOT EXISTS (SELECT 1 FROM bench_pieces b WHERE b.correct_answer = t.correct_answer)"""
+ORACLE["join_index"] = with_(RESPONSES) + f"""
+SELECT a.distractor_set, {f4('a.accuracy')} AS accuracy, {f4('b.response_time')} AS response_time
+FROM (SELECT distractor_set, avg(CAST(is_correct AS DOUBLE)) * 100.0 AS accuracy FROM responses GROUP BY ALL) a
+LEFT JOIN (SELECT distractor_set, avg(response_time) AS response_time FROM responses GROUP BY ALL) b
+  ON a.distractor_set = b.distractor_set"""
+ORACLE["value_counts_top1"] = with_(RESPONSES) + """
+SELECT question, llm_answer AS top_llm_answer, n AS top_count FROM (
+  SELECT question, llm_answer, n,
+         row_number() OVER (PARTITION BY question ORDER BY n DESC, llm_answer) AS rk
+  FROM (SELECT question, llm_answer, count(*) AS n FROM responses
+        WHERE NOT is_correct AND llm_answer IS NOT NULL GROUP BY ALL)) WHERE rk = 1"""
+ORACLE["conditional_mean"] = with_(RESPONSES) + f"""
+SELECT question, {f4('avg(CASE WHEN is_correct THEN confidence END)')} AS confidence_when_true,
+       {f4('avg(CASE WHEN NOT is_correct THEN confidence END)')} AS confidence_when_false
+FROM responses GROUP BY question"""
+ORACLE["nunique"] = with_(RESPONSES) + """
+SELECT question, count(DISTINCT is_correct) AS n_distinct_outcomes FROM responses GROUP BY question"""
+ORACLE["first_value"] = with_(RESPONSES) + """
+SELECT question, arg_min(subject, response_id) AS subject FROM responses GROUP BY question"""
