@@ -590,3 +590,50 @@ def _nu(spark, sf):
 def _fv(spark, sf):
     return B.responses(spark, sf).groupBy("question").agg(
         F.min_by("subject", "response_id").alias("subject"))
+
+
+# ---------------------------------------------------------------- sources / sinks
+from optiq.session import scratch_path  # noqa: E402
+from optiq.sources import files as FS  # noqa: E402
+
+
+@register("scan_items")
+def _scan_items(spark, sf):
+    """Round trip: the bound bank is written as JSON to the shared folder and read back."""
+    it = _items(spark, sf).select("question", "correct_answer",
+                                  F.col("distractors").alias("options"), "subject")
+    path = scratch_path(spark, "items-json")
+    FS.sink_json(it, path)
+    return FS.scan_items(spark, path, multiline=False)
+
+
+@register("scan_distractor_sets")
+def _scan_sets(spark, sf):
+    """Round trip: one JSON file set per distractor set; set name from the file path."""
+    it = _items(spark, sf)
+    path = scratch_path(spark, "sets-json")
+    FS.sink_json(it.select("question", "correct_answer",
+                           BK.number_distractors(F.col("distractors")).alias("distractors"),
+                           "subject", F.col("distractor_set").alias("distractor_type")), path)
+    df = (spark.read.schema(FS.DISTRACTOR_SET).json(path)
+          .withColumn("distractor_set", F.col("distractor_type")))
+    return df.select("question", "distractor_set", F.size("distractors").alias("n_distractors"))
+
+
+@register("load_results")
+def _load_results(spark, sf):
+    """Round trip of graded responses through the flat CSV sink and loader."""
+    g = EV.grade_replies(B.raw_responses(spark, sf))
+    flat = g.select("question", F.lit("unknown").alias("subject"), "correct_answer", "llm_answer",
+                    "is_correct", "confidence", "response_time", "reasoning_text",
+                    "reasoning_metrics", "distractor_set",
+                    F.col("distractor_set").alias("distractor_type"), "model")
+    path = scratch_path(spark, "responses-csv")
+    FS.sink_csv(flat, path)
+    return FS.load_results(spark, csv_path=path).groupBy("model", "distractor_set").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_correct").cast("int")).alias("n_correct"))
+
+
+@register("gate_dataset")
+def _gate(spark, sf):
+    return FS.gate_dataset(_items(spark, sf))

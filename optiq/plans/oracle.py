@@ -837,3 +837,17 @@ ORACLE["nunique"] = with_(RESPONSES) + """
 SELECT question, count(DISTINCT is_correct) AS n_distinct_outcomes FROM responses GROUP BY question"""
 ORACLE["first_value"] = with_(RESPONSES) + """
 SELECT question, arg_min(subject, response_id) AS subject FROM responses GROUP BY question"""
+
+# ---------------------------------------------------------------- sources / sinks
+ORACLE["scan_items"] = with_(TEXT_ITEMS) + """
+SELECT question, correct_answer, distractors AS options, subject FROM text_items"""
+ORACLE["scan_distractor_sets"] = with_(TEXT_ITEMS) + """
+SELECT question, distractor_set, CAST(len(distractors) AS INTEGER) AS n_distractors FROM text_items"""
+ORACLE["load_results"] = with_(RAW_RESPONSES, PARSED) + """
+SELECT model, distractor_set, count(*) AS n, CAST(sum(CAST(is_correct AS INTEGER)) AS BIGINT) AS n_correct
+FROM graded GROUP BY model, distractor_set"""
+ORACLE["gate_dataset"] = with_(TEXT_ITEMS) + """
+SELECT CAST(sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS valid_rows,
+       CAST(sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL THEN 0 ELSE 1 END) AS BIGINT) AS invalid_rows,
+       sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL THEN 1 ELSE 0 END) >= 5 AS usable
+FROM text_items"""
