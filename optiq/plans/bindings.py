@@ -54,7 +54,11 @@ def _k(props: Column) -> Column:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded replies: one row per (model, question, set) answer."""
-    ev = table(spark, sf_dir, "events")
+    return responses_from_events(table(spark, sf_dir, "events"))
+
+
+def responses_from_events(ev: DataFrame) -> DataFrame:
+    """The responses projection; works on batch and streaming event frames alike."""
     eid, uid = F.col("event_id"), F.col("user_id")
     ok = _is_correct(eid, uid)
     k = _k(F.col("props"))
