@@ -121,40 +121,66 @@ def cosine_paired(orig: DataFrame, new: DataFrame, key: str = "question") -> Dat
 
 
 # ---------------------------------------------------------------- METEOR
-def _token_rows(toks: DataFrame, keys: list[str], col: str, side: str) -> DataFrame:
-    t = toks.select(*keys, F.posexplode(F.col(col)).alias("_tp", "tok"))
-    # occurrence number counted from the end: greedy last-to-last matching
-    w = Window.partitionBy(*keys, "tok").orderBy(F.col("_tp").desc())
-    return t.withColumn("occ", F.row_number().over(w)).withColumnRenamed("_tp", f"{side}_pos")
-
-
 def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
            hypothesis: str = "hypothesis", mode: str = "lower",
            alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA) -> DataFrame:
     """Unigram METEOR (exact-match stage) per pair of texts.
 
     Alignment: the k-th last hypothesis occurrence of a token matches its k-th
-    last reference occurrence (the greedy scan's result), found by an
-    equi-join on (pair, token, occurrence). Chunks are counted over matches in
+    last reference occurrence (the greedy scan's result), found by grouping
+    on (pair, token, occurrence). Chunks are counted over matches in
     hypothesis order: a new chunk starts where either position does not
     continue the previous match.
     Score = F_mean * (1 - gamma * (chunks/m)^beta), F_mean = PR / (alpha P + (1-alpha) R);
     0 without matches or with an empty side.
+
+    One linear plan, two shuffles, the pair table read once: both token lists
+    are exploded together (side 1 = hypothesis, 2 = reference) with one
+    sentinel row per pair that carries the lengths; a window on (pair, token)
+    numbers occurrences per side; an aggregate on (pair, token, occurrence)
+    pairs the positions; a window on the pair counts chunk breaks.
     """
-    toks = pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_ht"),
-                        tokenize(F.col(reference), mode).alias("_rt"))
-    lens = toks.select(*keys, F.size("_ht").alias("h_len"), F.size("_rt").alias("r_len"))
-    h = _token_rows(toks, keys, "_ht", "h")
-    r = _token_rows(toks, keys, "_rt", "r")
-    m = h.join(r, [*keys, "tok", "occ"]).select(*keys, "h_pos", "r_pos")
-    w = Window.partitionBy(*keys).orderBy("h_pos")
-    brk = ((F.lag("h_pos").over(w).isNull())
-           | (F.col("h_pos") != F.lag("h_pos").over(w) + 1)
-           | (F.col("r_pos") != F.lag("r_pos").over(w) + 1))
-    stats = (m.withColumn("_b", brk.cast("int"))
-             .groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.sum("_b").alias("chunks")))
-    j = lens.join(stats, keys, "left")
-    mm = F.coalesce(F.col("m"), F.lit(0)).cast("double")
+    arr_t = "array<struct<side:int,p:int,tok:string>>"
+
+    def side(arr: Column, code: int) -> Column:
+        n = F.size(arr)
+        z = F.arrays_zip(F.array_repeat(F.lit(code), n),
+                         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), arr).cast(arr_t)
+        return F.when(n > 0, z).otherwise(F.array().cast(arr_t))
+
+    toks = pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_h"),
+                        tokenize(F.col(reference), mode).alias("_r"))
+    sentinel = F.array(F.struct(F.lit(0).alias("side"), F.lit(-1).alias("p"),
+                                F.lit(None).cast("string").alias("tok")))
+    rows = F.concat(side(F.col("_h"), 1), side(F.col("_r"), 2), sentinel)
+    tok = toks.select(*keys, F.size("_h").alias("h_len"), F.size("_r").alias("r_len"),
+                      F.explode(rows).alias("e")).select(*keys, "h_len", "r_len", "e.side", "e.p",
+                                                         "e.tok")
+    sd = F.col("side")
+    # occurrence from the end, per side, inside one (pair, token) partition
+    w_occ = (Window.partitionBy(*keys, "tok").orderBy(sd, F.col("p").desc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    occ = F.when(sd == 1, F.sum((sd == 1).cast("int")).over(w_occ)).otherwise(
+        F.sum((sd == 2).cast("int")).over(w_occ))
+    g = (tok.withColumn("occ", occ)
+         .groupBy(*keys, "tok", "occ")
+         .agg(F.max(F.when(sd == 1, F.col("p"))).alias("hp"),
+              F.max(F.when(sd == 2, F.col("p"))).alias("rp"),
+              F.max(F.when(sd == 0, F.col("h_len"))).alias("h_len"),
+              F.max(F.when(sd == 0, F.col("r_len"))).alias("r_len")))
+    both = F.col("hp").isNotNull() & F.col("rp").isNotNull()
+    g = g.select(*keys, "h_len", "r_len", F.when(both, F.col("hp")).alias("h_pos"),
+                 F.when(both, F.col("rp")).alias("r_pos"))
+    # unmatched rows have NULL h_pos and sort first, so they never split a chunk
+    w = Window.partitionBy(*keys).orderBy(F.col("h_pos").asc_nulls_first())
+    brk = F.when(F.col("h_pos").isNotNull(),
+                 (F.lag("h_pos").over(w).isNull()
+                  | (F.col("h_pos") != F.lag("h_pos").over(w) + 1)
+                  | (F.col("r_pos") != F.lag("r_pos").over(w) + 1)).cast("int"))
+    j = (g.withColumn("_b", brk).groupBy(*keys)
+         .agg(F.count("h_pos").alias("m"), F.sum("_b").alias("chunks"),
+              F.max("h_len").alias("h_len"), F.max("r_len").alias("r_len")))
+    mm = F.col("m").cast("double")
     p = mm / F.col("h_len")
     rc = mm / F.col("r_len")
     fmean = p * rc / (alpha * p + (1 - alpha) * rc)
