@@ -25,10 +25,11 @@ QUERIES: dict[str, Query] = {}
 def stable(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            cols.append(F.col(f.name).cast("float").cast("double").alias(f.name))
+            cols.append(c.cast("float").cast("double").alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(c)
     return df.select(*cols)
 
 
@@ -637,3 +638,96 @@ def _load_results(spark, sf):
 @register("gate_dataset")
 def _gate(spark, sf):
     return FS.gate_dataset(_items(spark, sf))
+
+
+# ---------------------------------------------------------------- helpers as queries
+from optiq.functions import arrays as AR  # noqa: E402
+
+
+@register("item_discrimination")
+def _idisc(spark, sf):
+    return P.item_discrimination(B.responses(spark, sf))
+
+
+@register("list_mean")
+def _lmean(spark, sf):
+    it = _items(spark, sf)
+    return it.select("question", AR.list_mean(F.transform("distractors", lambda d: F.length(d)))
+                     .alias("mean_distractor_length"))
+
+
+@register("array_except")
+def _aexcept(spark, sf):
+    a = _assembled(spark, sf)
+    wrong = AR.array_except_value(F.col("presented_options"), F.col("correct_answer"))
+    return a.select("question", F.size(wrong).alias("n_wrong"),
+                    F.concat_ws(" | ", wrong).alias("wrong_options"))
+
+
+@register("zip_positional")
+def _zip(spark, sf):
+    it = _items(spark, sf)
+    orig = it.select("doc_id", "block", "question", F.col("distractors").alias("a"))
+    new = it.select("doc_id", (F.col("block") - 1).alias("block"), F.col("distractors").alias("b"))
+    z = orig.join(new, ["doc_id", "block"]).select(
+        "question", AR.zip_positional(F.col("a"), F.col("b")).alias("z"))
+    return z.select("question", F.size("z").alias("n_pairs"),
+                    F.concat_ws(" | ", F.transform("z", lambda p: F.concat(p["a"], F.lit(" -> "),
+                                                                           p["b"]))).alias("pairs"))
+
+
+@register("set_trend")
+def _trend(spark, sf):
+    """Per-set accuracy and latency with the set's rank by accuracy (chart order).
+    The window runs on the aggregated table: one row per set."""
+    from pyspark.sql import Window
+    s = S.set_summary(B.responses(spark, sf))
+    return s.withColumn("accuracy_rank", F.rank().over(Window.orderBy(F.col("accuracy").desc())))
+
+
+@register("scan_summary_maps")
+def _maps(spark, sf):
+    """Round trip of the legacy {set: value} envelope through JSON."""
+    s = S.set_summary(B.responses(spark, sf))
+    env = s.agg(F.map_from_entries(F.collect_list(F.struct("distractor_set", "accuracy")))
+                .alias("accuracy_summary"),
+                F.map_from_entries(F.collect_list(F.struct("distractor_set", "response_time")))
+                .alias("response_time_summary"))
+    path = scratch_path(spark, "summary-maps")
+    FS.sink_json(env, path)
+    return FS.scan_summary_maps(spark, path)
+
+
+@register("normalize_json")
+def _norm(spark, sf):
+    """Nested replies written as JSON, read with a schema and flattened."""
+    g = EV.grade_replies(B.raw_responses(spark, sf)).select("response_id", "reasoning_metrics")
+    path = scratch_path(spark, "nested-json")
+    FS.sink_json(g, path)
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("response_id", T.LongType()),
+                           T.StructField("reasoning_metrics", FS.METRICS)])
+    return FS.normalize_json(spark.read.schema(schema).json(path))
+
+
+@register("distinct_values")
+def _distinct(spark, sf):
+    r = B.responses(spark, sf)
+    return (r.select(F.lit("model").alias("column"), F.col("model").alias("value")).distinct()
+            .unionByName(r.select(F.lit("distractor_set").alias("column"),
+                                  F.col("distractor_set").alias("value")).distinct()))
+
+
+@register("json_extract")
+def _jx(spark, sf):
+    ev = B.table(spark, sf, "events")
+    return ev.select("event_id", PF.json_extract(F.col("props"), "$.k", "-1").alias("k"),
+                     PF.json_extract(F.col("props"), "$.missing", "none").alias("missing"))
+
+
+@register("cross_models")
+def _xmodels(spark, sf):
+    """Items x models as a generator column; counted per model and set."""
+    it = _items(spark, sf).select("question", "distractor_set")
+    x = it.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
+    return x.groupBy("model", "distractor_set").agg(F.count(F.lit(1)).alias("n_calls"))

@@ -851,3 +851,59 @@ SELECT CAST(sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL TH
        CAST(sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL THEN 0 ELSE 1 END) AS BIGINT) AS invalid_rows,
        sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL THEN 1 ELSE 0 END) >= 5 AS usable
 FROM text_items"""
+
+# ---------------------------------------------------------------- helpers as queries
+ORACLE["item_discrimination"] = with_(RESPONSES) + f""",
+scored AS (SELECT *, avg(CAST(is_correct AS DOUBLE)) OVER (PARTITION BY model) AS overall_score
+           FROM responses WHERE question IS NOT NULL AND model IS NOT NULL)
+SELECT question,
+       {f4('''CASE WHEN count(*) > 1 AND count(DISTINCT is_correct) > 1 AND stddev_samp(overall_score) > 0
+              THEN covar_samp(CAST(is_correct AS DOUBLE), overall_score)
+                   / (stddev_samp(CAST(is_correct AS DOUBLE)) * stddev_samp(overall_score)) END''')} AS discrimination
+FROM scored GROUP BY question"""
+
+ORACLE["list_mean"] = with_(TEXT_ITEMS) + f"""
+SELECT question, {f4('list_avg(list_transform(distractors, lambda d: CAST(length(d) AS DOUBLE)))')} AS mean_distractor_length
+FROM text_items"""
+
+ORACLE["array_except"] = with_(TEXT_ITEMS, ASSEMBLED) + """
+SELECT question, CAST(len(list_filter(presented_options, lambda o: o <> correct_answer)) AS INTEGER) AS n_wrong,
+       array_to_string(list_filter(presented_options, lambda o: o <> correct_answer), ' | ') AS wrong_options
+FROM assembled"""
+
+ORACLE["zip_positional"] = with_(TEXT_ITEMS) + """
+SELECT o.question, CAST(least(len(o.distractors), len(n.distractors)) AS INTEGER) AS n_pairs,
+       array_to_string(list_transform(range(1, least(len(o.distractors), len(n.distractors)) + 1),
+                       lambda i: o.distractors[i] || ' -> ' || n.distractors[i]), ' | ') AS pairs
+FROM text_items o JOIN text_items n ON o.doc_id = n.doc_id AND n.block = o.block + 1"""
+
+ORACLE["set_trend"] = with_(RESPONSES) + f"""
+SELECT distractor_set, {f4('accuracy')} AS accuracy, {f4('response_time')} AS response_time, n_responses,
+       CAST(rank() OVER (ORDER BY accuracy DESC) AS INTEGER) AS accuracy_rank
+FROM (SELECT distractor_set, avg(CAST(is_correct AS DOUBLE)) * 100.0 AS accuracy,
+             avg(response_time) AS response_time, count(*) AS n_responses
+      FROM responses WHERE distractor_set IS NOT NULL GROUP BY distractor_set)"""
+
+ORACLE["scan_summary_maps"] = with_(RESPONSES) + f"""
+SELECT distractor_set, {f4('avg(CAST(is_correct AS DOUBLE)) * 100.0')} AS accuracy,
+       {f4('avg(response_time)')} AS response_time
+FROM responses WHERE distractor_set IS NOT NULL GROUP BY distractor_set"""
+
+ORACLE["normalize_json"] = with_(RAW_RESPONSES, PARSED) + """
+SELECT response_id, CAST(reasoning_length AS INTEGER) AS "reasoning_metrics.reasoning_length",
+       CAST(steps_count AS INTEGER) AS "reasoning_metrics.steps_count",
+       CAST(uncertainty_markers AS INTEGER) AS "reasoning_metrics.uncertainty_markers"
+FROM graded"""
+
+ORACLE["distinct_values"] = with_(RESPONSES) + """
+SELECT DISTINCT 'model' AS "column", model AS value FROM responses
+UNION ALL SELECT DISTINCT 'distractor_set', distractor_set FROM responses"""
+
+ORACLE["json_extract"] = """
+SELECT event_id, coalesce(json_extract_string(props, '$.k'), '-1') AS k,
+       coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events"""
+
+ORACLE["cross_models"] = with_(TEXT_ITEMS) + """
+SELECT m.model, distractor_set, count(*) AS n_calls
+FROM text_items CROSS JOIN (SELECT unnest(['model_0', 'model_1', 'model_2']) AS model) m
+GROUP BY m.model, distractor_set"""
