@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from optiq.session import cut_lineage
+
 ITEMS = T.StructType([
     T.StructField("question", T.StringType()),
     T.StructField("correct_answer", T.StringType()),
@@ -78,9 +80,13 @@ def scan_tolerant(spark: SparkSession, path: str, multiline: bool = True,
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
           .option("pathGlobFilter", glob).json(path)
           .withColumn("file_name", F.col("_metadata.file_name")))
+    # The parse is materialised once (reliable checkpoint in the shared folder):
+    # both outputs then come from the same parse, and Spark forbids queries on
+    # raw JSON that reference only the corrupt-record column.
+    df = cut_lineage(df)
     bad = F.col("_corrupt_record").isNotNull()
-    return df.where(~bad).drop("_corrupt_record"), df.where(bad).select("file_name",
-                                                                         "_corrupt_record")
+    return (df.where(~bad).drop("_corrupt_record"),
+            df.where(bad).select("file_name", "_corrupt_record"))
 
 
 def load_results(spark: SparkSession, csv_path: str | None = None,
