@@ -123,8 +123,11 @@ def cosine_paired(orig: DataFrame, new: DataFrame, key: str = "question") -> Dat
 # ---------------------------------------------------------------- METEOR
 def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
            hypothesis: str = "hypothesis", mode: str = "lower",
-           alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA) -> DataFrame:
-    """Unigram METEOR (exact-match stage) per pair of texts.
+           alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA,
+           stem_stage: bool = False) -> DataFrame:
+    """Unigram METEOR per pair of texts: exact-match stage, and with
+    ``stem_stage`` a second stage that re-matches leftover tokens on their
+    Porter stem (the stemmer runs once per distinct leftover token).
 
     Alignment: the k-th last hypothesis occurrence of a token matches its k-th
     last reference occurrence (the greedy scan's result), found by grouping
@@ -157,21 +160,47 @@ def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
                       F.explode(rows).alias("e")).select(*keys, "h_len", "r_len", "e.side", "e.p",
                                                          "e.tok")
     sd = F.col("side")
-    # occurrence from the end, per side, inside one (pair, token) partition
-    w_occ = (Window.partitionBy(*keys, "tok").orderBy(sd, F.col("p").desc())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    occ = F.when(sd == 1, F.sum((sd == 1).cast("int")).over(w_occ)).otherwise(
-        F.sum((sd == 2).cast("int")).over(w_occ))
-    g = (tok.withColumn("occ", occ)
-         .groupBy(*keys, "tok", "occ")
-         .agg(F.max(F.when(sd == 1, F.col("p"))).alias("hp"),
-              F.max(F.when(sd == 2, F.col("p"))).alias("rp"),
-              F.max(F.when(sd == 0, F.col("h_len"))).alias("h_len"),
-              F.max(F.when(sd == 0, F.col("r_len"))).alias("r_len")))
-    both = F.col("hp").isNotNull() & F.col("rp").isNotNull()
-    g = g.select(*keys, "h_len", "r_len", F.when(both, F.col("hp")).alias("h_pos"),
-                 F.when(both, F.col("rp")).alias("r_pos"))
-    # unmatched rows have NULL h_pos and sort first, so they never split a chunk
+    hp, rp = F.col("hp"), F.col("rp")
+
+    def align(rows: DataFrame, key: str) -> DataFrame:
+        """Greedy last-to-last alignment on ``key``: occurrences are numbered
+        from the end per side inside one (pair, key) partition, then grouped."""
+        w_occ = (Window.partitionBy(*keys, key).orderBy(sd, F.col("p").desc())
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        occ = F.when(sd == 1, F.sum((sd == 1).cast("int")).over(w_occ)).otherwise(
+            F.sum((sd == 2).cast("int")).over(w_occ))
+        return (rows.withColumn("occ", occ).groupBy(*keys, key, "occ")
+                .agg(F.max(F.when(sd == 1, F.col("p"))).alias("hp"),
+                     F.max(F.when(sd == 2, F.col("p"))).alias("rp"),
+                     F.max(F.when(sd == 0, F.col("h_len"))).alias("h_len"),
+                     F.max(F.when(sd == 0, F.col("r_len"))).alias("r_len")))
+
+    g = align(tok, "tok")
+    out_cols = [*keys, "h_len", "r_len", "h_pos", "r_pos"]
+    lens = g.where(F.col("h_len").isNotNull()).select(
+        *keys, "h_len", "r_len", F.lit(None).cast("int").alias("h_pos"),
+        F.lit(None).cast("int").alias("r_pos"))
+    exact = g.where(hp.isNotNull() & rp.isNotNull()).select(
+        *keys, F.lit(None).cast("long").alias("h_len"), F.lit(None).cast("long").alias("r_len"),
+        hp.alias("h_pos"), rp.alias("r_pos"))
+    parts = [lens, exact]
+    if stem_stage:
+        from optiq.functions.stemmer import stem
+        from optiq.operators.joins import join_bounded
+        left = g.where(hp.isNull() != rp.isNull()).select(
+            *keys, F.when(hp.isNotNull(), F.lit(1)).otherwise(F.lit(2)).alias("side"),
+            F.coalesce(hp, rp).alias("p"), "tok",
+            F.lit(None).cast("long").alias("h_len"), F.lit(None).cast("long").alias("r_len"))
+        vocab = left.select("tok").distinct().withColumn("stem", stem(F.col("tok")))
+        g2 = align(join_bounded(left, vocab, "tok"), "stem")
+        parts.append(g2.where(hp.isNotNull() & rp.isNotNull()).select(
+            *keys, F.lit(None).cast("long").alias("h_len"), F.lit(None).cast("long").alias("r_len"),
+            hp.alias("h_pos"), rp.alias("r_pos")))
+    g = parts[0]
+    for part in parts[1:]:
+        g = g.unionByName(part)
+    g = g.select(*out_cols)
+    # matches in hypothesis order; the length row has NULL h_pos and sorts first
     w = Window.partitionBy(*keys).orderBy(F.col("h_pos").asc_nulls_first())
     brk = F.when(F.col("h_pos").isNotNull(),
                  (F.lag("h_pos").over(w).isNull()

@@ -731,3 +731,9 @@ def _xmodels(spark, sf):
     it = _items(spark, sf).select("question", "distractor_set")
     x = it.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
     return x.groupBy("model", "distractor_set").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
+@register("meteor_stem")
+def _meteor_stem(spark, sf):
+    """METEOR with the Porter stem stage (no SQL stemmer: checked by unit tests)."""
+    return TS.meteor(B.conversation_pairs(spark, sf), ["conv_id", "turn"], stem_stage=True)

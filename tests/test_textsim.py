@@ -79,3 +79,47 @@ def test_cosine_zero_vector_and_lexicon(spark):
                      TS.lexicon_relevance(F.col("t")).alias("l")).collect()
     assert rows[0].c is None and math.isclose(rows[1].c, 1 / math.sqrt(2))
     assert math.isclose(rows[0].l, 2 / 3) and rows[1].l == 0.0
+
+
+def py_meteor_stem(ref, hyp, alpha=0.9, beta=3.0, gamma=0.5):
+    from optiq.functions.stemmer import porter_stem
+    h = [(i, w) for i, w in enumerate(hyp.lower().split())]
+    r = [(j, w) for j, w in enumerate(ref.lower().split())]
+    nh, nr = len(h), len(r)
+
+    def greedy(h, r, key):
+        out = []
+        for i in range(len(h))[::-1]:
+            for j in range(len(r))[::-1]:
+                if key(h[i][1]) == key(r[j][1]):
+                    out.append((h[i][0], r[j][0]))
+                    h.pop(i)
+                    r.pop(j)
+                    break
+        return out
+    matches = greedy(h, r, lambda w: w) + greedy(h, r, porter_stem)
+    matches.sort()
+    m = len(matches)
+    if m == 0 or nh == 0 or nr == 0:
+        return 0.0
+    p, rc = m / nh, m / nr
+    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
+    chunks = 1 + sum(1 for a, b in zip(matches, matches[1:])
+                     if not (b[0] == a[0] + 1 and b[1] == a[1] + 1))
+    return (1 - gamma * (chunks / m) ** beta) * fmean
+
+
+STEM_PAIRS = PAIRS + [
+    ("the cats were running fast", "a cat runs fast"),
+    ("connected connections connect", "connecting connection"),
+    ("generalizations of oscillators", "oscillator generalization"),
+]
+
+
+def test_meteor_stem_stage_matches_greedy(spark):
+    df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(STEM_PAIRS)],
+                               "id int, reference string, hypothesis string")
+    got = {r.id: r.meteor for r in TS.meteor(df, ["id"], stem_stage=True).collect()}
+    for i, (r, h) in enumerate(STEM_PAIRS):
+        assert math.isclose(got[i], py_meteor_stem(r, h), abs_tol=1e-12), (r, h)
+    assert got[len(PAIRS)] > 0.0
