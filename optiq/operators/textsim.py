@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from optiq.session import cut_lineage
+
 # ---- fixed values --------------------------------------------------------------
 # keyword set of the legacy relevance metric
 LEGAL_KEYWORDS = ["theft", "robbery", "assault", "battery", "fraud", "trespassing", "burglary",
@@ -176,29 +178,27 @@ def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
                      F.max(F.when(sd == 0, F.col("r_len"))).alias("r_len")))
 
     g = align(tok, "tok")
+    both = hp.isNotNull() & rp.isNotNull()
     out_cols = [*keys, "h_len", "r_len", "h_pos", "r_pos"]
-    lens = g.where(F.col("h_len").isNotNull()).select(
-        *keys, "h_len", "r_len", F.lit(None).cast("int").alias("h_pos"),
-        F.lit(None).cast("int").alias("r_pos"))
-    exact = g.where(hp.isNotNull() & rp.isNotNull()).select(
-        *keys, F.lit(None).cast("long").alias("h_len"), F.lit(None).cast("long").alias("r_len"),
-        hp.alias("h_pos"), rp.alias("r_pos"))
-    parts = [lens, exact]
-    if stem_stage:
+    if not stem_stage:
+        # one branch: the length row and unmatched rows get NULL positions
+        g = g.select(*keys, "h_len", "r_len", F.when(both, hp).alias("h_pos"),
+                     F.when(both, rp).alias("r_pos"))
+    else:
         from optiq.functions.stemmer import stem
         from optiq.operators.joins import join_bounded
-        left = g.where(hp.isNull() != rp.isNull()).select(
+        base = cut_lineage(g)  # one materialisation feeds the three branches below
+        lens_exact = base.select(*keys, "h_len", "r_len", F.when(both, hp).alias("h_pos"),
+                                 F.when(both, rp).alias("r_pos"))
+        left = base.where(hp.isNull() != rp.isNull()).select(
             *keys, F.when(hp.isNotNull(), F.lit(1)).otherwise(F.lit(2)).alias("side"),
             F.coalesce(hp, rp).alias("p"), "tok",
             F.lit(None).cast("long").alias("h_len"), F.lit(None).cast("long").alias("r_len"))
         vocab = left.select("tok").distinct().withColumn("stem", stem(F.col("tok")))
         g2 = align(join_bounded(left, vocab, "tok"), "stem")
-        parts.append(g2.where(hp.isNotNull() & rp.isNotNull()).select(
+        g = lens_exact.unionByName(g2.where(both).select(
             *keys, F.lit(None).cast("long").alias("h_len"), F.lit(None).cast("long").alias("r_len"),
             hp.alias("h_pos"), rp.alias("r_pos")))
-    g = parts[0]
-    for part in parts[1:]:
-        g = g.unionByName(part)
     g = g.select(*out_cols)
     # matches in hypothesis order; the length row has NULL h_pos and sorts first
     w = Window.partitionBy(*keys).orderBy(F.col("h_pos").asc_nulls_first())

@@ -176,15 +176,20 @@ def _pmc(spark, sf):
                     p["uncertainty_markers"].alias("uncertainty_markers"))
 
 
-def _reasoning_table(spark, sf):
+def _reasoning_rows(spark, sf):
+    """Graded replies with parsed reasoning metrics and seconds per step."""
     g = EV.grade_replies(B.raw_responses(spark, sf))
-    return (g.where(F.length("reasoning_text") > 0)
-            .select("response_id", "model", "distractor_set", "is_correct", "response_time",
-                    *_flat_metrics(g))
+    return (g.select("response_id", "model", "distractor_set", "is_correct", "response_time",
+                     *_flat_metrics(g))
             .withColumn("time_per_step",
                         F.col("response_time") / F.greatest(F.col("steps_count"), F.lit(1))))
 
 
+def _reasoning_table(spark, sf):
+    # non-empty reasoning <=> reasoning_length > 0
+    return _reasoning_rows(spark, sf).where(F.col("reasoning_length") > 0)
+
+
 @register("reasoning_table")
 def _rtable(spark, sf):
     return _reasoning_table(spark, sf)
@@ -192,11 +197,17 @@ def _rtable(spark, sf):
 
 @register("reasoning_by_outcome")
 def _rbo(spark, sf):
-    t = _reasoning_table(spark, sf)
-    return (t.groupBy("model", "steps_count", "uncertainty_markers")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
-                 F.avg("time_per_step").alias("avg_time_per_step")))
+    """Accuracy and time per step by (model, steps, uncertainty markers) over
+    replies with reasoning. Written as conditional aggregates over all replies
+    (a row filter would be pushed below the projection and run the reasoning
+    fold twice); groups with no reasoning rows are dropped after aggregation."""
+    r = _reasoning_rows(spark, sf)
+    has = F.col("reasoning_length") > 0
+    return (r.groupBy("model", "steps_count", "uncertainty_markers")
+            .agg(F.count(F.when(has, F.lit(1))).alias("n"),
+                 F.avg(F.when(has, F.col("is_correct").cast("double"))).alias("accuracy"),
+                 F.avg(F.when(has, F.col("time_per_step"))).alias("avg_time_per_step"))
+            .where(F.col("n") > 0))
 
 
 # ---------------------------------------------------------------- inference

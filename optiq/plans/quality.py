@@ -35,15 +35,15 @@ def text_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("distractor").alias("reference"))
     new = d.select("doc_id", (F.col("block") - 1).alias("block"), "pos",
                    F.col("distractor").alias("hypothesis"))
-    has_new = new.select("doc_id", "block").distinct()
-    qs = orig.select("doc_id", "block", "question", "distractor_set").distinct().join(
-        has_new, ["doc_id", "block"])
+    # every item with a successor has a pair at position 0, so the METEOR
+    # output (keyed with question and type) lists exactly those questions
     pairs = orig.join(new, ["doc_id", "block", "pos"])
-    met = (TS.meteor(pairs, ["doc_id", "block", "pos"])
-           .groupBy("doc_id", "block").agg(F.avg("meteor").alias("meteor_score")))
+    met = (TS.meteor(pairs, ["doc_id", "block", "question", "distractor_set", "pos"])
+           .groupBy("doc_id", "block", "question", "distractor_set")
+           .agg(F.avg("meteor").alias("meteor_score")))
     gram = (new.groupBy("doc_id", "block")
             .agg(F.avg(TS.grammar_inverse(F.col("hypothesis"))).alias("grammar_score")))
-    return (qs.join(met, ["doc_id", "block"], "left").join(gram, ["doc_id", "block"], "left")
+    return (met.join(gram, ["doc_id", "block"], "left")
             .select("question", F.col("distractor_set").alias("distractor_type"),
                     F.coalesce("meteor_score", F.lit(0.0)).alias("meteor_score"),
                     F.coalesce("grammar_score", F.lit(0.0)).alias("grammar_score")))

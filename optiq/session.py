@@ -23,6 +23,8 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
+    # Reliable checkpoints are removed once their DataFrame is garbage collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Broadcast only what is proven small: 32 MB bound, AQE may re-plan below it.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }

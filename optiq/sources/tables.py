@@ -28,8 +28,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     the session can run at once (e.g. one small single-row-group file feeding a
     CPU-heavy text stage). At cluster scale scans already yield many splits and
     this is a no-op, so no shuffle is added there."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave partitioning to the planner
+        return df
+    if have >= want:
         return df
     return df.repartition(want, key)
