@@ -123,10 +123,10 @@ def cosine_paired(orig: DataFrame, new: DataFrame, key: str = "question") -> Dat
 
 
 # ---------------------------------------------------------------- METEOR
-def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
-           hypothesis: str = "hypothesis", mode: str = "lower",
-           alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA,
-           stem_stage: bool = False) -> DataFrame:
+def _meteor_setwise(pairs: DataFrame, keys: list[str], reference: str = "reference",
+                    hypothesis: str = "hypothesis", mode: str = "lower",
+                    alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA,
+                    stem_stage: bool = False, tokenized: bool = False) -> DataFrame:
     """Unigram METEOR per pair of texts: exact-match stage, and with
     ``stem_stage`` a second stage that re-matches leftover tokens on their
     Porter stem (the stemmer runs once per distinct leftover token).
@@ -153,8 +153,11 @@ def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
                          F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), arr).cast(arr_t)
         return F.when(n > 0, z).otherwise(F.array().cast(arr_t))
 
-    toks = pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_h"),
-                        tokenize(F.col(reference), mode).alias("_r"))
+    if tokenized:
+        toks = pairs.select(*keys, F.col(hypothesis).alias("_h"), F.col(reference).alias("_r"))
+    else:
+        toks = pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_h"),
+                            tokenize(F.col(reference), mode).alias("_r"))
     sentinel = F.array(F.struct(F.lit(0).alias("side"), F.lit(-1).alias("p"),
                                 F.lit(None).cast("string").alias("tok")))
     rows = F.concat(side(F.col("_h"), 1), side(F.col("_r"), 2), sentinel)
@@ -219,6 +222,77 @@ def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
     return j.select(*keys, score.alias("meteor"))
 
 
+def _score(m: Column, chunks: Column, h_len: Column, r_len: Column,
+           alpha: float, beta: float, gamma: float) -> Column:
+    mm = m.cast("double")
+    p = mm / h_len
+    rc = mm / r_len
+    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
+    pen = gamma * F.pow(chunks / mm, F.lit(beta))
+    return F.when((mm > 0) & (h_len > 0) & (r_len > 0), (F.lit(1.0) - pen) * fmean).otherwise(
+        F.lit(0.0))
+
+
+def _meteor_inline(toks: DataFrame, keys: list[str], alpha: float, beta: float,
+                   gamma: float) -> DataFrame:
+    """Exact stage inside the row for short pairs (token lists in ``_h``, ``_r``):
+    hypothesis token i with k - 1 equal tokens after it matches the k-th last
+    equal reference token; chunks are breaks between consecutive matches."""
+    h, r = F.col("_h"), F.col("_r")
+    nh, nr = F.size(h), F.size(r)
+
+    def ref_pos(i):
+        x = F.get(h, i)
+        occ = F.size(F.filter(F.slice(h, i + 2, F.greatest(nh, F.lit(1))), lambda y: y == x)) + 1
+        cand = F.filter(F.sequence(F.lit(0), F.greatest(nr - 1, F.lit(0))),
+                        lambda j: F.get(r, j) == x)
+        return F.when(F.size(cand) >= occ, F.element_at(cand, -occ))
+
+    pairs_t = "array<struct<i:int,j:int>>"
+    matches = F.when(
+        (nh > 0) & (nr > 0),
+        F.filter(F.transform(F.sequence(F.lit(0), F.greatest(nh - 1, F.lit(0))),
+                             lambda i: F.struct(i.alias("i"), ref_pos(i).alias("j"))),
+                 lambda s: s["j"].isNotNull())).otherwise(F.array().cast(pairs_t))
+    step1 = toks.select(*keys, nh.alias("h_len"), nr.alias("r_len"), matches.alias("_m"))
+    mt = F.col("_m")
+    m = F.size(mt)
+    brk = F.size(F.filter(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1))), lambda k: (k < m) & (
+        (F.get(mt, k)["i"] != F.get(mt, k - 1)["i"] + 1)
+        | (F.get(mt, k)["j"] != F.get(mt, k - 1)["j"] + 1))))
+    return step1.select(*keys, _score(m, F.when(m > 0, brk + 1), F.col("h_len"), F.col("r_len"),
+                                      alpha, beta, gamma).alias("meteor"))
+
+
+# pairs with at most this many (hypothesis x reference) token comparisons are
+# aligned inside the row; larger pairs use the shuffle-based alignment
+INLINE_MAX_CELLS = 1024
+
+
+def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
+           hypothesis: str = "hypothesis", mode: str = "lower",
+           alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA,
+           stem_stage: bool = False, inline_max_cells: int = INLINE_MAX_CELLS) -> DataFrame:
+    """Unigram METEOR per pair of texts (exact stage; optional Porter stem stage).
+
+    Two exact routes with identical results: short pairs are aligned inside
+    the row (no shuffle; cost grows with |h| x |r|, bounded by
+    ``inline_max_cells``), longer pairs by the set-based alignment whose cost
+    is linear in tokens. The tokenised pairs are checkpointed once so both
+    routes read the same materialisation.
+    """
+    if stem_stage or inline_max_cells <= 0:
+        return _meteor_setwise(pairs, keys, reference, hypothesis, mode, alpha, beta, gamma,
+                               stem_stage)
+    toks = cut_lineage(pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_h"),
+                                    tokenize(F.col(reference), mode).alias("_r")))
+    small = F.size("_h") * F.size("_r") <= inline_max_cells
+    inline = _meteor_inline(toks.where(small), keys, alpha, beta, gamma)
+    big = _meteor_setwise(toks.where(~small), keys, "_r", "_h", mode, alpha, beta, gamma,
+                          tokenized=True)
+    return inline.unionByName(big)
+
+
 def meteor_max_ref(pairs: DataFrame, keys: list[str], ref_key: str, **kw) -> DataFrame:
     """Best score of one hypothesis over several references."""
     s = meteor(pairs, [*keys, ref_key], **kw)
@@ -226,28 +300,35 @@ def meteor_max_ref(pairs: DataFrame, keys: list[str], ref_key: str, **kw) -> Dat
 
 
 # ---------------------------------------------------------------- grammar rules
-def _repeated_words(text: Column) -> Column:
-    """Adjacent equal tokens: compare the token list with itself shifted by one."""
-    toks = tokenize(text, "lower")
-    n = F.size(toks)
-    same = F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(1))),
-                      F.slice(toks, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: a == b)
-    return F.when(n >= 2, F.size(F.filter(same, lambda x: x))).otherwise(F.lit(0))
+def _regex_hits(text: Column, rules: dict[str, str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in rules.values()])
+
+
+def _token_fold(text: Column, finish) -> Column:
+    """One pass over the lower-case tokens counting tokens and doubled adjacent
+    words; ``finish(n, doubled)`` builds the result (tokens are split once)."""
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("n"),
+                    F.lit(0).alias("rep"))
+
+    def step(acc, x):
+        same = F.coalesce((x == acc["prev"]).cast("int"), F.lit(0))
+        return F.struct(x.alias("prev"), (acc["n"] + 1).alias("n"), (acc["rep"] + same).alias("rep"))
+
+    return F.aggregate(tokenize(text, "lower"), init, step,
+                       lambda acc: finish(acc["n"], acc["rep"]))
 
 
 def grammar_hits(text: Column, rules: dict[str, str] = GRAMMAR_RULES) -> Column:
     """Number of rule hits in a text (regex rules + doubled adjacent word)."""
-    counts = [F.regexp_count(text, F.lit(p)) for p in rules.values()]
-    return (reduce(lambda a, b: a + b, counts) + _repeated_words(text)).cast("int")
+    return _token_fold(text, lambda n, rep: (_regex_hits(text, rules) + rep).cast("int"))
 
 
 def grammar_inverse(text: Column, rules: dict[str, str] = GRAMMAR_RULES) -> Column:
     """1 / (1 + number of hits)."""
-    return F.lit(1.0) / (F.lit(1.0) + grammar_hits(text, rules))
+    return _token_fold(text, lambda n, rep: F.lit(1.0) / (F.lit(1.0) + _regex_hits(text, rules) + rep))
 
 
 def grammar_ratio(text: Column, rules: dict[str, str] = GRAMMAR_RULES) -> Column:
     """1 - flagged tokens / tokens (hits capped at the token count); 1 for no tokens."""
-    n = F.size(tokenize(text, "lower"))
-    return F.when(n > 0, F.lit(1.0) - F.least(grammar_hits(text, rules), n) / n).otherwise(
-        F.lit(1.0))
+    return _token_fold(text, lambda n, rep: F.when(
+        n > 0, F.lit(1.0) - F.least(_regex_hits(text, rules) + rep, n) / n).otherwise(F.lit(1.0)))

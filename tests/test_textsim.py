@@ -123,3 +123,14 @@ def test_meteor_stem_stage_matches_greedy(spark):
     for i, (r, h) in enumerate(STEM_PAIRS):
         assert math.isclose(got[i], py_meteor_stem(r, h), abs_tol=1e-12), (r, h)
     assert got[len(PAIRS)] > 0.0
+
+
+def test_meteor_routes_agree(spark):
+    """Inline (short pairs) and set-based (long pairs) alignments give equal scores."""
+    df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(STEM_PAIRS)],
+                               "id int, reference string, hypothesis string")
+    inline = {r.id: r.meteor for r in TS.meteor(df, ["id"], inline_max_cells=10 ** 6).collect()}
+    setwise = {r.id: r.meteor for r in TS.meteor(df, ["id"], inline_max_cells=0).collect()}
+    assert inline.keys() == setwise.keys()
+    for k in inline:
+        assert math.isclose(inline[k], setwise[k], abs_tol=1e-12)
