@@ -496,10 +496,9 @@ SELECT g.item_id, g.distractor_set, g.n AS n_distractors,
        {f4('CASE WHEN g.n >= 2 THEN 1.0 - pr.mc ELSE 0.0 END')} AS diversity
 FROM g LEFT JOIN pr ON g.item_id = pr.item_id"""
 
-VECTOR_QUALITY = f"""vq_o AS (SELECT item_id // 2 AS question_id, slot, vector, distractor_set
-              FROM vector_slots WHERE slot > 0 AND item_id % 2 = 0),
-vq_n AS (SELECT item_id // 2 AS question_id, slot, vector FROM vector_slots
-         WHERE slot > 0 AND item_id % 2 = 1),
+VECTOR_QUALITY = f"""vq_o AS (SELECT item_id AS question_id, slot, vector, distractor_set
+              FROM vector_slots WHERE slot > 0),
+vq_n AS (SELECT item_id - 1 AS question_id, slot, vector FROM vector_slots WHERE slot > 0),
 vq_sem AS (SELECT o.question_id, avg({_COS.format(a='o.vector', b='n.vector')}) AS s
            FROM vq_o o JOIN vq_n n ON o.question_id = n.question_id AND o.slot = n.slot
            GROUP BY o.question_id),
@@ -508,7 +507,8 @@ vq_pr AS (SELECT a.question_id, avg({_COS.format(a='a.vector', b='b.vector')}) A
           FROM vq_nz a JOIN vq_nz b ON a.question_id = b.question_id AND a.slot < b.slot
           GROUP BY a.question_id),
 vq_cnt AS (SELECT question_id, count(*) AS n FROM vq_nz GROUP BY question_id),
-vq_types AS (SELECT question_id, any_value(distractor_set) AS distractor_type FROM vq_o GROUP BY question_id),
+vq_types AS (SELECT question_id, any_value(distractor_set) AS distractor_type FROM vq_o
+             WHERE question_id IN (SELECT question_id FROM vq_n) GROUP BY question_id),
 vector_quality AS (
   SELECT 'vec' || CAST(t.question_id AS VARCHAR) AS question, t.distractor_type,
          coalesce(vq_sem.s, 0.0) AS semantic_similarity,

@@ -50,20 +50,21 @@ def text_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
-    """Per vector question m: cosine of original item 2m vs new item 2m+1 by slot
-    (mean), and the diversity of the new item's distractors."""
+    """Per vector question m: cosine of item m's distractors vs item m+1's
+    distractors by slot (mean), and the diversity of item m+1's distractors.
+    Every item is the original for its successor and the new set for its
+    predecessor; the last item has no new set and no row."""
     v = B.vector_slots(spark, sf).where(F.col("slot") > 0)
-    q = F.floor(F.col("item_id") / 2).cast("long")
-    orig = v.where(F.col("item_id") % 2 == 0).select(q.alias("question_id"),
-                                                     F.col("slot").alias("pos"), "vector",
-                                                     "distractor_set")
-    new = v.where(F.col("item_id") % 2 == 1).select(q.alias("question_id"),
-                                                    F.col("slot").alias("pos"), "vector", "slot",
-                                                    "distractor_set")
-    sem = TS.cosine_paired(orig, new, key="question_id")
-    div = TS.diversity(new.select(F.col("question_id"), "slot", "vector", "distractor_set"),
-                       group="question_id")
-    types = orig.groupBy("question_id").agg(F.first("distractor_set").alias("distractor_type"))
+    orig = v.select(F.col("item_id").alias("question_id"), F.col("slot").alias("pos"), "vector",
+                    "distractor_set")
+    new = v.select((F.col("item_id") - 1).alias("question_id"), F.col("slot").alias("pos"),
+                   "vector", "slot", F.col("distractor_set").alias("new_set"))
+    has_new = new.select("question_id").distinct()
+    sem = TS.cosine_paired(orig.join(has_new, "question_id"), new, key="question_id")
+    div = TS.diversity(new.select("question_id", "slot", "vector",
+                                  F.col("new_set").alias("distractor_set")), group="question_id")
+    types = (orig.groupBy("question_id").agg(F.first("distractor_set").alias("distractor_type"))
+             .join(has_new, "question_id"))
     return (types.join(sem, "question_id", "left").join(div.select("question_id", "diversity"),
                                                          "question_id", "left")
             .select(F.concat(F.lit("vec"), F.col("question_id").cast("string")).alias("question"),
