@@ -172,14 +172,16 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"], "inner")
 
 
-# Separator with the surrounding whitespace absorbed: splitting on it after
-# stripping the text equals "split on PIECE_SPLIT, strip every piece, drop
-# empty pieces", without a per-piece expression.
+# Separator with the surrounding whitespace absorbed. Splitting "\n" + text +
+# "\n" on it equals "split text on PIECE_SPLIT, strip every piece, drop empty
+# pieces" (the sentinels turn leading/trailing whitespace into separators),
+# without a per-piece expression.
 _PIECE_SEP = r"[ \t\r\n]*(?:\. |\n)[ \t\r\n]*"
 
 
 def _doc_pieces(docs: DataFrame) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(F.col("text"), WS, ""), _PIECE_SEP), "")
+    wrapped = F.concat(F.lit("\n"), F.col("text"), F.lit("\n"))
+    return F.array_remove(F.split(wrapped, _PIECE_SEP), "")
 
 
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
