@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optiq.functions.distributions import f_pvalue, tukey_pvalue
+from optiq.session import cut_lineage
 
 DVS = {"accuracy": "is_correct", "confidence": "confidence", "response_time": "response_time"}
 
@@ -42,12 +43,14 @@ def group_stats(responses: DataFrame, by: str = "model", factor: str = "distract
 
 
 def _anova_parts(stats: DataFrame, by: str) -> DataFrame:
+    """Totals per (by, variable) by a window over the group-stats table (one row
+    per level), so the responses behind ``stats`` are read once."""
     keys = [by, "dependent_var"]
-    tot = stats.groupBy(*keys).agg(
-        F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("n_levels"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
-    j = stats.join(tot, keys)
-    return (j.groupBy(*keys)
+    w = Window.partitionBy(*keys)
+    withtot = (stats.withColumn("n_total", F.sum("n").over(w))
+               .withColumn("n_levels", F.count(F.lit(1)).over(w))
+               .withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.col("n_total")))
+    return (withtot.groupBy(*keys)
             .agg(F.first("n_total").alias("n_total"), F.first("n_levels").alias("n_levels"),
                  F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ssb"),
                  F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw")))
@@ -100,6 +103,9 @@ def tukey_hsd(stats: DataFrame, by: str = "model", alpha: float | None = None,
     Pairs are of *groups* (levels), so the self-join is on the small stats table.
     """
     keys = [by, "dependent_var"]
+    # the group-stats table is small (levels x variables x groups): materialise
+    # it once so the pair self-join and the ANOVA parts do not re-read responses
+    stats = cut_lineage(stats)
     parts = _anova_parts(stats, by).select(
         *keys, "n_levels", "n_total", (F.col("ssw") / (F.col("n_total") - F.col("n_levels"))).alias("msw"))
     a = stats.select(*keys, F.col("level").alias("A"), F.col("n").alias("nA"),

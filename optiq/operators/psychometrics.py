@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from optiq.operators.joins import join_bounded
 from optiq.operators.summary import value_counts_top1
+from optiq.session import cut_lineage
 
 N_BINS = 10
 
@@ -31,6 +32,46 @@ def _pearson_from_sums(n, sx, sy, sxx, syy, sxy, varies) -> Column:
     return F.when(varies & (vx > 0) & (vy > 0), F.try_divide(cov, den))
 
 
+def _question_model_cells(responses: DataFrame) -> DataFrame:
+    """Sufficient statistics per (question, model): one partial aggregation over
+    the responses that every per-question statistic is rolled up from."""
+    df = responses.where(F.col("question").isNotNull() & F.col("model").isNotNull())
+    ok = F.col("is_correct")
+    conf, rt = F.col("confidence"), F.col("response_time")
+
+    return df.groupBy("question", "model").agg(
+        F.min(F.struct(F.col("response_id"), F.col("subject"))).alias("first"),
+        F.count(_ok()).alias("n"), F.sum(_ok()).alias("sx"),
+        F.sum(conf).alias("s_conf"), F.count(conf).alias("n_conf"),
+        F.sum(F.when(ok, conf)).alias("s_conf_ok"), F.count(F.when(ok, conf)).alias("n_conf_ok"),
+        F.sum(F.when(~ok, conf)).alias("s_conf_bad"), F.count(F.when(~ok, conf)).alias("n_conf_bad"),
+        F.sum(rt).alias("s_rt"), F.count(rt).alias("n_rt"),
+        F.sum(F.when(ok, rt)).alias("s_rt_ok"), F.count(F.when(ok, rt)).alias("n_rt_ok"),
+        F.sum(F.when(~ok, rt)).alias("s_rt_bad"), F.count(F.when(~ok, rt)).alias("n_rt_bad"))
+
+
+def _discrimination_from_cells(j: DataFrame) -> list[Column]:
+    """Aggregates over (question, model) cells joined with the model score ``y``."""
+    return [F.sum("n").alias("_n"), F.sum("sx").alias("_sx"),
+            F.sum(F.col("n") * F.col("y")).alias("_sy"),
+            F.sum(F.col("n") * F.col("y") * F.col("y")).alias("_syy"),
+            F.sum(F.col("sx") * F.col("y")).alias("_sxy"),
+            F.min("y").alias("_ylo"), F.max("y").alias("_yhi")]
+
+
+def _discrimination_col() -> Column:
+    n, sx = F.col("_n"), F.col("_sx")
+    return _pearson_from_sums(n, sx, F.col("_sy"), sx, F.col("_syy"), F.col("_sxy"),
+                              (n > 1) & (sx > 0) & (sx < n) & (F.col("_ylo") < F.col("_yhi")))
+
+
+def _cells_with_model_score(cells: DataFrame) -> DataFrame:
+    """Attach the model's overall accuracy; the per-model table is size-checked
+    before it is broadcast (no shuffle of the cells on the few model keys)."""
+    per_model = cells.groupBy("model").agg((F.sum("sx") / F.sum("n")).alias("y"))
+    return join_bounded(cells, per_model, "model")
+
+
 def item_discrimination(responses: DataFrame) -> DataFrame:
     """Pearson r between correctness on an item and the answering model's overall accuracy.
 
@@ -39,23 +80,10 @@ def item_discrimination(responses: DataFrame) -> DataFrame:
     per-model table whose size is checked before it is broadcast.
     NULL for a single row, no variation in correctness, or a constant score.
     """
-    df = responses.where(F.col("question").isNotNull() & F.col("model").isNotNull())
-    qm = df.groupBy("question", "model").agg(
-        F.count(_ok()).alias("n"), F.sum(_ok()).alias("sx"))
-    per_model = qm.groupBy("model").agg((F.sum("sx") / F.sum("n")).alias("y"))
-    j = join_bounded(qm, per_model, "model")
-    return (j.groupBy("question")
-            .agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"),
-                 F.sum(F.col("n") * F.col("y")).alias("sy"),
-                 F.sum("sx").alias("sxx"),  # x is 0/1, so x^2 = x
-                 F.sum(F.col("n") * F.col("y") * F.col("y")).alias("syy"),
-                 F.sum(F.col("sx") * F.col("y")).alias("sxy"),
-                 F.min("y").alias("y_lo"), F.max("y").alias("y_hi"))
-            .select("question", _pearson_from_sums(
-                F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"),
-                F.col("sxy"),
-                (F.col("n") > 1) & (F.col("sx") > 0) & (F.col("sx") < F.col("n"))
-                & (F.col("y_lo") < F.col("y_hi"))).alias("discrimination")))
+    cells = cut_lineage(_question_model_cells(responses))
+    j = _cells_with_model_score(cells)
+    return (j.groupBy("question").agg(*_discrimination_from_cells(j))
+            .select("question", _discrimination_col().alias("discrimination")))
 
 
 def item_analysis(responses: DataFrame) -> DataFrame:
@@ -63,24 +91,29 @@ def item_analysis(responses: DataFrame) -> DataFrame:
 
     p_value, difficulty, discrimination, confidence and latency split by
     correctness, the most chosen wrong answer (ties: smallest text) and the
-    subject of the first row (lowest response_id).
+    subject of the first row (lowest response_id). Everything except the
+    wrong-answer counts (a different grain) is rolled up from one
+    (question, model) aggregate, materialised once.
     """
+    cells = cut_lineage(_question_model_cells(responses))
+    j = _cells_with_model_score(cells)
+
+    def ratio(s, n):
+        return F.sum(s) / F.sum(n)
+
+    q = j.groupBy("question").agg(
+        F.min("first").alias("_first"),
+        ratio("sx", "n").alias("p_value"),
+        ratio("s_conf", "n_conf").alias("avg_confidence"),
+        ratio("s_conf_ok", "n_conf_ok").alias("correct_confidence"),
+        ratio("s_conf_bad", "n_conf_bad").alias("incorrect_confidence"),
+        ratio("s_rt", "n_rt").alias("avg_response_time"),
+        ratio("s_rt_ok", "n_rt_ok").alias("correct_time"),
+        ratio("s_rt_bad", "n_rt_bad").alias("incorrect_time"),
+        *_discrimination_from_cells(j))
     df = responses.where(F.col("question").isNotNull())
-    ok = F.col("is_correct")
-    conf, rt = F.col("confidence"), F.col("response_time")
-    stats = df.groupBy("question").agg(
-        F.min(F.struct(F.col("response_id"), F.col("subject"))).alias("_first"),
-        F.avg(_ok()).alias("p_value"),
-        F.avg(conf).alias("avg_confidence"),
-        F.avg(F.when(ok, conf)).alias("correct_confidence"),
-        F.avg(F.when(~ok, conf)).alias("incorrect_confidence"),
-        F.avg(rt).alias("avg_response_time"),
-        F.avg(F.when(ok, rt)).alias("correct_time"),
-        F.avg(F.when(~ok, rt)).alias("incorrect_time"),
-    )
-    wrong = value_counts_top1(df.where(~ok), "question", "llm_answer")
-    disc = item_discrimination(df)
-    out = (stats.join(disc, "question", "left").join(wrong, "question", "left"))
+    wrong = value_counts_top1(df.where(~F.col("is_correct")), "question", "llm_answer")
+    out = q.withColumn("discrimination", _discrimination_col()).join(wrong, "question", "left")
     return out.select(
         "question",
         F.col("_first.subject").alias("subject"),
