@@ -266,7 +266,7 @@ def _meteor_inline(toks: DataFrame, keys: list[str], alpha: float, beta: float,
 
 # pairs with at most this many (hypothesis x reference) token comparisons are
 # aligned inside the row; larger pairs use the shuffle-based alignment
-INLINE_MAX_CELLS = 1024
+INLINE_MAX_CELLS = 4096
 
 
 def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",

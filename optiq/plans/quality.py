@@ -91,13 +91,19 @@ def quality_agg(per_question: DataFrame) -> DataFrame:
 
 def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFrame:
     """Per (question, set): mean METEOR (correct answer vs each distractor),
-    mean lexicon relevance and mean grammar ratio of the distractors."""
+    mean lexicon relevance and mean grammar ratio of the distractors.
+
+    Every distractor is in exactly one METEOR pair, so its lexicon and grammar
+    scores are computed in the pair projection and carried through the METEOR
+    keys: the distractors are derived once."""
     d = text_distractors(spark, sf)
-    pairs = d.select("question", "pos", F.col("correct_answer").alias("reference"),
+    pairs = d.select("question", "distractor_set", "pos",
+                     TS.lexicon_relevance(F.col("distractor"), lexicon).alias("lex"),
+                     TS.grammar_ratio(F.col("distractor")).alias("gram"),
+                     F.col("correct_answer").alias("reference"),
                      F.col("distractor").alias("hypothesis"))
-    met = TS.meteor(pairs, ["question", "pos"]).groupBy("question").agg(
+    met = TS.meteor(pairs, ["question", "distractor_set", "pos", "lex", "gram"])
+    return met.groupBy("question", "distractor_set").agg(
+        F.avg("lex").alias("legal_relevance_scores"),
+        F.avg("gram").alias("grammar_scores"),
         F.avg("meteor").alias("meteor_scores"))
-    other = d.groupBy("question", "distractor_set").agg(
-        F.avg(TS.lexicon_relevance(F.col("distractor"), lexicon)).alias("legal_relevance_scores"),
-        F.avg(TS.grammar_ratio(F.col("distractor"))).alias("grammar_scores"))
-    return other.join(met, "question", "left")
