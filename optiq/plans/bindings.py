@@ -209,3 +209,26 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("source").alias("subject"),
                 _set_name(F.col("doc_id")).alias("distractor_set"),
             ))
+
+
+def text_item_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text item with the distractor list of the next item of its document
+    (the "new" distractor set for that question), cut from the document's piece
+    array in one pass: no self-join of the items."""
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    with_p = docs.select("doc_id", "source", _doc_pieces(docs).alias("p"))
+    p = F.col("p")
+    nblocks = F.floor((F.size(p) + (ITEM_WIDTH - 1)) / ITEM_WIDTH).cast("int")
+    pair = F.transform(
+        F.sequence(F.lit(0), nblocks - 2),
+        lambda b: F.struct(b.alias("block"),
+                           F.slice(p, b * ITEM_WIDTH + 2, ITEM_WIDTH - 1).alias("orig"),
+                           F.slice(p, (b + 1) * ITEM_WIDTH + 2, ITEM_WIDTH - 1).alias("new")))
+    return (with_p.where(nblocks >= 2)
+            .select("doc_id", F.explode(pair).alias("s"))
+            .select("doc_id", F.col("s.block").cast("int").alias("block"),
+                    F.concat(F.lit("doc"), _s(F.col("doc_id")), F.lit("/"), _s(F.col("s.block")))
+                    .alias("question"),
+                    _set_name(F.col("doc_id")).alias("distractor_set"),
+                    F.col("s.orig").alias("orig"), F.col("s.new").alias("new"))
+            .where(F.size("new") > 0))

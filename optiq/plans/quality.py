@@ -28,22 +28,22 @@ def text_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
     and grammar 1/(1+hits) mean of the new distractors.
 
     The new distractor set of item (doc, b) is the distractor list of item
-    (doc, b + 1); items without a successor have no new set and no row.
+    (doc, b + 1); items without a successor have no new set and no row. An
+    item with a successor is a full block, so every new distractor has a
+    positional partner: its grammar score rides along as a METEOR key and the
+    documents are read once.
     """
-    d = text_distractors(spark, sf)
-    orig = d.select("doc_id", "block", "question", "distractor_set", "pos",
-                    F.col("distractor").alias("reference"))
-    new = d.select("doc_id", (F.col("block") - 1).alias("block"), "pos",
-                   F.col("distractor").alias("hypothesis"))
-    # every item with a successor has a pair at position 0, so the METEOR
-    # output (keyed with question and type) lists exactly those questions
-    pairs = orig.join(new, ["doc_id", "block", "pos"])
-    met = (TS.meteor(pairs, ["doc_id", "block", "question", "distractor_set", "pos"])
-           .groupBy("doc_id", "block", "question", "distractor_set")
-           .agg(F.avg("meteor").alias("meteor_score")))
-    gram = (new.groupBy("doc_id", "block")
-            .agg(F.avg(TS.grammar_inverse(F.col("hypothesis"))).alias("grammar_score")))
-    return (met.join(gram, ["doc_id", "block"], "left")
+    it = B.text_item_successors(spark, sf)
+    z = it.select("question", "distractor_set",
+                  F.posexplode(F.arrays_zip(F.col("orig").alias("o"), F.col("new").alias("n")))
+                  .alias("pos", "pr"))
+    pairs = z.where(F.col("pr.o").isNotNull() & F.col("pr.n").isNotNull()).select(
+        "question", "distractor_set", "pos",
+        TS.grammar_inverse(F.col("pr.n")).alias("gram"),
+        F.col("pr.o").alias("reference"), F.col("pr.n").alias("hypothesis"))
+    met = TS.meteor(pairs, ["question", "distractor_set", "pos", "gram"])
+    return (met.groupBy("question", "distractor_set")
+            .agg(F.avg("meteor").alias("meteor_score"), F.avg("gram").alias("grammar_score"))
             .select("question", F.col("distractor_set").alias("distractor_type"),
                     F.coalesce("meteor_score", F.lit(0.0)).alias("meteor_score"),
                     F.coalesce("grammar_score", F.lit(0.0)).alias("grammar_score")))
