@@ -1,9 +1,11 @@
 """Distractor quality: token overlap (METEOR), embedding cosine, diversity,
 lexicon relevance and rule-based grammar scores.
 
-METEOR is computed set-based: tokens are exploded once, matched by an
-equi-join and scored with a window over each pair's matches (bounded by the
-length of the two texts), so no Python runs per pair. Diversity uses the
+METEOR has two exact routes with identical results: short pairs are aligned
+inside the row with array functions (no shuffle), longer pairs by a set-based
+alignment (tokens exploded once, occurrences numbered by a window, positions
+paired by grouping, chunks counted with a window over each pair's matches)
+whose cost is linear in tokens. No Python runs per pair. Diversity uses the
 closed form over unit vectors instead of emitting all pairs of a group.
 """
 
@@ -212,14 +214,8 @@ def _meteor_setwise(pairs: DataFrame, keys: list[str], reference: str = "referen
     j = (g.withColumn("_b", brk).groupBy(*keys)
          .agg(F.count("h_pos").alias("m"), F.sum("_b").alias("chunks"),
               F.max("h_len").alias("h_len"), F.max("r_len").alias("r_len")))
-    mm = F.col("m").cast("double")
-    p = mm / F.col("h_len")
-    rc = mm / F.col("r_len")
-    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    pen = gamma * F.pow(F.col("chunks") / mm, F.lit(beta))
-    score = F.when((mm > 0) & (F.col("h_len") > 0) & (F.col("r_len") > 0),
-                   (F.lit(1.0) - pen) * fmean).otherwise(F.lit(0.0))
-    return j.select(*keys, score.alias("meteor"))
+    return j.select(*keys, _score(F.col("m"), F.col("chunks"), F.col("h_len"), F.col("r_len"),
+                                  alpha, beta, gamma).alias("meteor"))
 
 
 def _score(m: Column, chunks: Column, h_len: Column, r_len: Column,
