@@ -84,13 +84,18 @@ def _options(qname: Column) -> Column:
 
 
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ungraded replies: free text as a model would return it.
+    """Ungraded replies: free text as a model would return it (see
+    ``raw_responses_from_events``)."""
+    return raw_responses_from_events(spread(table(spark, sf_dir, "events"), "event_id"))
+
+
+def raw_responses_from_events(ev: DataFrame) -> DataFrame:
+    """The raw-reply projection; works on batch and streaming event frames alike.
 
     Six reply shapes (by event_id % 6) exercise every parser branch: reasoning
     with upper-case labels, inline lower-case labels, prose "answer is:",
     no answer label, absurd confidence digits, and an error message.
     """
-    ev = spread(table(spark, sf_dir, "events"), "event_id")
     eid, uid = F.col("event_id"), F.col("user_id")
     qname = F.concat(F.lit("q"), _s(eid % N_QUESTIONS))
     opts = _options(qname)
@@ -124,6 +129,7 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         reply.alias("raw_response"),
         (F.col("value") / F.lit(100.0)).alias("response_time"),
         F.col("event_type").alias("distractor_set"),
+        F.col("ts"),
     )
 
 

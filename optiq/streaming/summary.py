@@ -47,3 +47,14 @@ def start_summary(spark: SparkSession, source: str, checkpoint: str, sink_path:
                                window, watermark)
     return (summary.writeStream.outputMode("append").format("parquet")
             .option("checkpointLocation", checkpoint).option("path", sink_path).start())
+
+
+def graded_summary(spark: SparkSession, source: str, window: str = "1 day",
+                   watermark: str = "2 hours") -> DataFrame:
+    """Raw replies arriving as a stream are graded by the same Column
+    functions as the batch path, then summarised per event-time window."""
+    from optiq.plans.bindings import raw_responses_from_events
+    from optiq.plans.evaluate import grade_replies
+    graded = grade_replies(raw_responses_from_events(read_event_stream(spark, source)),
+                           with_reasoning=False)
+    return windowed_summary(graded, window, watermark)
