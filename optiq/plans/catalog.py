@@ -241,7 +241,13 @@ def _tukey(spark, sf):
 
 @register("tukey_pvalues")
 def _tukey_p(spark, sf):
-    """Tukey pairs with studentized-range p, only where the ANOVA p < 0.05."""
+    """All Tukey pairs with their studentized-range p-values."""
+    return INF.tukey_hsd(INF.group_stats(B.responses(spark, sf)), with_p=True)
+
+
+@register("tukey_gated")
+def _tukey_gated(spark, sf):
+    """The evaluator's post-hoc: pairs only for variables whose ANOVA p < 0.05."""
     return INF.tukey_hsd(INF.group_stats(B.responses(spark, sf)), alpha=0.05, with_p=True)
 
 

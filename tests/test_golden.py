@@ -93,3 +93,11 @@ def test_lexicon_relevance_describe_matches_golden(spark):
         for col, gcol in (("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"),
                           ("q50", "50%"), ("q75", "75%"), ("max", "max")):
             assert math.isclose(r[col], float(g[gcol]), abs_tol=1e-12), (g["distractor_set"], col)
+
+
+def test_tukey_gate_keeps_significant_anovas(spark):
+    """With the p < 0.05 gate, exactly the published post-hoc pairs remain."""
+    got = INF.tukey_hsd(_group_stats(spark), alpha=0.05, with_p=True).collect()
+    have = {(r.model, r.dependent_var) for r in got}
+    want = {(g["model"], g["dependent_var"]) for g in _csv("posthoc.csv")}
+    assert have == want and len(got) == 45
