@@ -754,3 +754,21 @@ def _xmodels(spark, sf):
 def _meteor_stem(spark, sf):
     """METEOR with the Porter stem stage (no SQL stemmer: checked by unit tests)."""
     return TS.meteor(B.conversation_pairs(spark, sf), ["conv_id", "turn"], stem_stage=True)
+
+
+@register("parse_csv_line")
+def _csv_lines(spark, sf):
+    """Each assembled item written as a quoted CSV line plus its answer index,
+    then parsed back (fields with commas and quotes survive the round trip)."""
+    a = _assembled(spark, sf)
+
+    def q(c):
+        return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    opts = F.col("presented_options")
+    line = F.concat_ws(",", q(F.col("question")), F.array_join(F.transform(opts, q), ","))
+    idx = (F.array_position(opts, F.col("correct_answer")) - 1).cast("string")
+    lines = a.select(F.col("question").alias("pos"), line.alias("line"), idx.alias("answer_line"))
+    out = FS.parse_csv_line(lines)
+    return out.select(F.col("pos").alias("item"), "question",
+                      F.concat_ws(" | ", "options").alias("options"), "correct_answer")

@@ -907,3 +907,8 @@ ORACLE["cross_models"] = with_(TEXT_ITEMS) + """
 SELECT m.model, distractor_set, count(*) AS n_calls
 FROM text_items CROSS JOIN (SELECT unnest(['model_0', 'model_1', 'model_2']) AS model) m
 GROUP BY m.model, distractor_set"""
+
+ORACLE["parse_csv_line"] = with_(TEXT_ITEMS, ASSEMBLED) + """
+SELECT question AS item, question, array_to_string(presented_options, ' | ') AS options,
+       correct_answer
+FROM assembled WHERE len(presented_options) >= 4"""

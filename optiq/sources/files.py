@@ -144,6 +144,9 @@ def scan_split_csv_pair(spark: SparkSession, questions_path: str, answers_path:
     return parse_csv_line(q.join(a, "pos"), naive).withColumn("subject", F.lit(subject))
 
 
+MAX_CSV_FIELDS = 32   # question + up to 31 options per line
+
+
 def parse_csv_line(lines: DataFrame, naive: bool = False) -> DataFrame:
     """line -> question, options, correct_answer. Naive mode splits on every
     comma and strips quotes; default honours CSV quoting. Rows with fewer
@@ -151,9 +154,11 @@ def parse_csv_line(lines: DataFrame, naive: bool = False) -> DataFrame:
     if naive:
         parts = F.transform(F.split("line", ","), lambda p: F.regexp_replace(p, '^"+|"+$', ""))
     else:
-        parts = F.from_csv(F.col("line"), "c0 string, c1 string, c2 string, c3 string, "
-                           "c4 string, c5 string, c6 string, c7 string, c8 string, c9 string")
-        parts = F.filter(F.array(*[parts[f"c{i}"] for i in range(10)]), lambda x: x.isNotNull())
+        schema = ", ".join(f"c{i} string" for i in range(MAX_CSV_FIELDS))
+        # RFC 4180: a quote inside a quoted field is written twice
+        parts = F.from_csv(F.col("line"), schema, {"escape": '"'})
+        parts = F.filter(F.array(*[parts[f"c{i}"] for i in range(MAX_CSV_FIELDS)]),
+                         lambda x: x.isNotNull())
     idx = F.regexp_replace(F.col("answer_line"), r"^\s+|\s+$", "").try_cast("int")
     df = lines.select("pos", parts.alias("parts"), idx.alias("idx"))
     opts = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1)))

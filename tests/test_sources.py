@@ -86,3 +86,11 @@ def test_empty_bank_gate(spark):
         f.write("[]")
     gate = FS.gate_dataset(FS.scan_items(spark, os.path.join(d, "empty.json"))).first()
     assert gate.usable is False
+
+
+def test_parse_csv_line_doubled_quotes(spark):
+    lines = spark.createDataFrame([(0, '"Say ""hi"", then go",A,"B, b","C ""c""",D', "3")],
+                                  "pos int, line string, answer_line string")
+    r = FS.parse_csv_line(lines).first()
+    assert r.question == 'Say "hi", then go'
+    assert list(r.options) == ["A", "B, b", 'C "c"', "D"] and r.correct_answer == "D"
