@@ -73,8 +73,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.nullif(norm(a) * norm(b), F.lit(0.0)))
 
 
-def unit(a: Column) -> Column:
-    n = norm(a)
+def unit(a: Column, n: Column) -> Column:
+    """``a`` scaled to length 1, given its norm ``n`` as a column (computing the
+    norm inside the lambda would redo it for every element)."""
     return F.when(n > 0, F.transform(a, lambda x: x / n))
 
 
@@ -96,8 +97,8 @@ def diversity(slots: DataFrame, group: str = "item_id", dim: int = 64,
     so one partially aggregated vector sum per group replaces all pairs.
     Groups with fewer than two vectors get ``empty_value``.
     """
-    u = slots.where(F.col("slot") > 0).withColumn("_u", unit(F.col("vector"))).where(
-        F.col("_u").isNotNull())
+    u = (slots.where(F.col("slot") > 0).withColumn("_norm", norm(F.col("vector")))
+         .withColumn("_u", unit(F.col("vector"), F.col("_norm"))).where(F.col("_u").isNotNull()))
     sums = u.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
                                 *[F.sum(F.col("_u")[d]).alias(f"_s{d}") for d in range(dim)],
                                 F.first("distractor_set").alias("distractor_set"))

@@ -772,3 +772,17 @@ def _csv_lines(spark, sf):
     out = FS.parse_csv_line(lines)
     return out.select(F.col("pos").alias("item"), "question",
                       F.concat_ws(" | ", "options").alias("options"), "correct_answer")
+
+
+@register("sink_parquet")
+def _sink_parquet(spark, sf):
+    """Graded responses written as parquet partitioned by model (one folder per
+    model), read back whole and summarised per model and set."""
+    g = EV.grade_replies(B.raw_responses(spark, sf), with_reasoning=False).select(
+        "response_id", "model", "distractor_set", "is_correct", "confidence", "response_time")
+    path = scratch_path(spark, "responses-parquet")
+    FS.sink_parquet(g, path, partition_by=("model",))
+    back = spark.read.parquet(path)
+    return back.groupBy("model", "distractor_set").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_correct").cast("int")).alias("n_correct"),
+        F.avg("confidence").alias("avg_confidence"))

@@ -11,10 +11,15 @@ from optiq.functions import parse as PF
 def grade_replies(raw: DataFrame, with_reasoning: bool = True) -> DataFrame:
     """Raw replies -> graded responses (answer, correctness, confidence, reasoning)."""
     reply = F.col("raw_response")
-    answer = PF.parse_answer(reply, F.col("options"))
+    # the labelled answer is extracted once into a column: the option lambdas
+    # then compare against a column, not a re-evaluated regex
+    ext = raw.withColumn("_ext", PF.extract_answer(reply))
+    a, opts = F.col("_ext"), F.col("options")
+    answer = F.when(a.isNotNull(), PF.snap_to_option(a, opts)).otherwise(
+        PF.fallback_answer(reply, opts))
     reasoning = PF.extract_reasoning(reply) if with_reasoning else F.lit("")
-    graded = raw.select(
-        "*",
+    graded = ext.select(
+        *[F.col(c) for c in raw.columns],
         answer.alias("llm_answer"),
         PF.extract_confidence(reply).alias("confidence"),
         reasoning.alias("reasoning_text"),

@@ -912,3 +912,8 @@ ORACLE["parse_csv_line"] = with_(TEXT_ITEMS, ASSEMBLED) + """
 SELECT question AS item, question, array_to_string(presented_options, ' | ') AS options,
        correct_answer
 FROM assembled WHERE len(presented_options) >= 4"""
+
+ORACLE["sink_parquet"] = with_(RAW_RESPONSES, PARSED) + f"""
+SELECT model, distractor_set, count(*) AS n, CAST(sum(CAST(is_correct AS INTEGER)) AS BIGINT) AS n_correct,
+       {f4('avg(confidence)')} AS avg_confidence
+FROM graded GROUP BY model, distractor_set"""
