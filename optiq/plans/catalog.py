@@ -786,3 +786,13 @@ def _sink_parquet(spark, sf):
     return back.groupBy("model", "distractor_set").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("is_correct").cast("int")).alias("n_correct"),
         F.avg("confidence").alias("avg_confidence"))
+
+
+@register("quality_legacy")
+def _qlegacy(spark, sf):
+    """List-valued quality records; list elements at the comparison precision."""
+    q = QL.quality_legacy(spark, sf)
+    f4 = lambda c: F.transform(c, lambda x: x.cast("float").cast("double"))
+    return q.select("question", "distractor_set", f4(F.col("meteor_scores")).alias("meteor_scores"),
+                    f4(F.col("legal_relevance_scores")).alias("legal_relevance_scores"),
+                    f4(F.col("grammar_scores")).alias("grammar_scores"))

@@ -917,3 +917,20 @@ ORACLE["sink_parquet"] = with_(RAW_RESPONSES, PARSED) + f"""
 SELECT model, distractor_set, count(*) AS n, CAST(sum(CAST(is_correct AS INTEGER)) AS BIGINT) AS n_correct,
        {f4('avg(confidence)')} AS avg_confidence
 FROM graded GROUP BY model, distractor_set"""
+
+_F4L = "list_transform({x}, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE))"
+ORACLE["quality_legacy"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """lq_pairs AS (
+  SELECT question, pos, correct_answer AS reference, distractor AS hypothesis FROM text_distractors)""",
+    meteor_sql("lq_pairs", ["question", "pos"], "lqm")) + f""",
+per AS (
+  SELECT t.question, t.distractor_set, t.pos, m.meteor,
+         {lexicon_sql('t.distractor')} AS lex,
+         CASE WHEN len({_TOK.format(x='t.distractor')}) > 0
+              THEN 1.0 - CAST(least({grammar_hits_sql('t.distractor')}, len({_TOK.format(x='t.distractor')})) AS DOUBLE)
+                   / len({_TOK.format(x='t.distractor')}) ELSE 1.0 END AS gram
+  FROM text_distractors t JOIN lqm m ON t.question = m.question AND t.pos = m.pos)
+SELECT question, distractor_set,
+       {_F4L.format(x='list(meteor ORDER BY pos)')} AS meteor_scores,
+       {_F4L.format(x='list(lex ORDER BY pos)')} AS legal_relevance_scores,
+       {_F4L.format(x='list(gram ORDER BY pos)')} AS grammar_scores
+FROM per GROUP BY question, distractor_set"""

@@ -107,3 +107,22 @@ def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFr
         F.avg("lex").alias("legal_relevance_scores"),
         F.avg("gram").alias("grammar_scores"),
         F.avg("meteor").alias("meteor_scores"))
+
+
+def quality_legacy(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFrame:
+    """Per (question, set): the list-valued quality record in distractor order
+    (METEOR vs the correct answer, lexicon relevance, grammar ratio). Lists are
+    per item (bounded by the item's distractor count)."""
+    d = text_distractors(spark, sf)
+    pairs = d.select("question", "distractor_set", "pos",
+                     TS.lexicon_relevance(F.col("distractor"), lexicon).alias("lex"),
+                     TS.grammar_ratio(F.col("distractor")).alias("gram"),
+                     F.col("correct_answer").alias("reference"),
+                     F.col("distractor").alias("hypothesis"))
+    met = TS.meteor(pairs, ["question", "distractor_set", "pos", "lex", "gram"])
+    rec = F.array_sort(F.collect_list(F.struct("pos", "meteor", "lex", "gram")))
+    g = met.groupBy("question", "distractor_set").agg(rec.alias("r"))
+    return g.select("question", "distractor_set",
+                    F.transform("r", lambda x: x["meteor"]).alias("meteor_scores"),
+                    F.transform("r", lambda x: x["lex"]).alias("legal_relevance_scores"),
+                    F.transform("r", lambda x: x["gram"]).alias("grammar_scores"))

@@ -13,4 +13,4 @@ def test_entry_smoke(spark):
 def test_registry_consistency():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 90
+    assert len(q) >= 93
