@@ -622,7 +622,9 @@ def _scan_items(spark, sf):
                                   F.col("distractors").alias("options"), "subject")
     path = scratch_path(spark, "items-json")
     FS.sink_json(it, path)
-    return FS.scan_items(spark, path, multiline=False)
+    back = FS.scan_items(spark, path, multiline=False)
+    return back.select("question", "correct_answer",
+                       F.concat_ws(" | ", "options").alias("options"), "subject")
 
 
 @register("scan_distractor_sets")
@@ -790,9 +792,14 @@ def _sink_parquet(spark, sf):
 
 @register("quality_legacy")
 def _qlegacy(spark, sf):
-    """List-valued quality records; list elements at the comparison precision."""
+    """List-valued quality records. For the value comparison each list is
+    rendered as text: elements at single precision, '%.6e', comma-joined."""
     q = QL.quality_legacy(spark, sf)
-    f4 = lambda c: F.transform(c, lambda x: x.cast("float").cast("double"))
-    return q.select("question", "distractor_set", f4(F.col("meteor_scores")).alias("meteor_scores"),
-                    f4(F.col("legal_relevance_scores")).alias("legal_relevance_scores"),
-                    f4(F.col("grammar_scores")).alias("grammar_scores"))
+
+    def text(c):
+        return F.concat_ws(",", F.transform(
+            c, lambda x: F.format_string("%.6e", x.cast("float").cast("double"))))
+
+    return q.select("question", "distractor_set", text(F.col("meteor_scores")).alias("meteor_scores"),
+                    text(F.col("legal_relevance_scores")).alias("legal_relevance_scores"),
+                    text(F.col("grammar_scores")).alias("grammar_scores"))

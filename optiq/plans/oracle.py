@@ -840,7 +840,8 @@ SELECT question, arg_min(subject, response_id) AS subject FROM responses GROUP B
 
 # ---------------------------------------------------------------- sources / sinks
 ORACLE["scan_items"] = with_(TEXT_ITEMS) + """
-SELECT question, correct_answer, distractors AS options, subject FROM text_items"""
+SELECT question, correct_answer, array_to_string(distractors, ' | ') AS options, subject
+FROM text_items"""
 ORACLE["scan_distractor_sets"] = with_(TEXT_ITEMS) + """
 SELECT question, distractor_set, CAST(len(distractors) AS INTEGER) AS n_distractors FROM text_items"""
 ORACLE["load_results"] = with_(RAW_RESPONSES, PARSED) + """
@@ -918,7 +919,8 @@ SELECT model, distractor_set, count(*) AS n, CAST(sum(CAST(is_correct AS INTEGER
        {f4('avg(confidence)')} AS avg_confidence
 FROM graded GROUP BY model, distractor_set"""
 
-_F4L = "list_transform({x}, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE))"
+_F4L = ("array_to_string(list_transform({x}, lambda v: printf('%.6e', "
+        "CAST(CAST(v AS FLOAT) AS DOUBLE))), ',')")
 ORACLE["quality_legacy"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """lq_pairs AS (
   SELECT question, pos, correct_answer AS reference, distractor AS hypothesis FROM text_distractors)""",
     meteor_sql("lq_pairs", ["question", "pos"], "lqm")) + f""",
