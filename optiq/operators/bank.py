@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from optiq.operators.joins import union_all
 from optiq.functions.parse import strip
 
-SALT_BUCKETS = 64
-
 
 def seeded_hash(seed, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
@@ -30,20 +28,19 @@ def replicate_bank(items: DataFrame, times: int = 50) -> DataFrame:
     return items.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
 
-def top_k_per_group(df: DataFrame, keys, order: list[Column], k: int,
-                    salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+def top_k_per_group(df: DataFrame, keys, order: list[Column], k: int) -> DataFrame:
     """Rows ranked 1..k per group by ``order`` (ties broken by the order list).
 
-    Two levels: rank within (group, salt) first, keep k per salt bucket, then
-    rank the at most k * salt_buckets survivors per group. A group holding a
-    third of all rows is spread over ``salt_buckets`` tasks instead of one.
+    Two levels: rank within (group, input partition) first and keep k, then
+    rank the at most k x partitions survivors per group. A first-level bucket
+    never holds more than one input split, so a group with a third of all rows
+    is spread over as many tasks as there are splits instead of one.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    salt = F.pmod(F.xxhash64(*order), F.lit(salt_buckets))
-    local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    pre = (df.withColumn("_salt", salt)
+    local = Window.partitionBy(*keys, "_part").orderBy(*order)
+    pre = (df.withColumn("_part", F.spark_partition_id())
            .withColumn("_r", F.row_number().over(local))
-           .where(F.col("_r") <= k).drop("_r", "_salt"))
+           .where(F.col("_r") <= k).drop("_r", "_part"))
     glob = Window.partitionBy(*keys).orderBy(*order)
     return pre.withColumn("rank", F.row_number().over(glob)).where(F.col("rank") <= k)
 
@@ -111,7 +108,7 @@ def build_eval_plan(items: DataFrame, models: list[str], detailed: int = 5,
     items of each set (load order) ask for reasoning.
 
     Models are a generator column, not a join. The first-k flag is computed on
-    the items once (it does not depend on the model) with the salted top-k.
+    the items once (it does not depend on the model) with the two-level top-k.
     """
     original = items.withColumn("plan_set", F.lit("original"))
     typed = items.withColumn("plan_set", F.col("distractor_set"))
