@@ -55,7 +55,7 @@ def join_reference_answers(sets: DataFrame, originals: DataFrame, key: str = "qu
     """Inner join on question text; duplicate originals: last one wins."""
     ref = dedupe_last(originals, key, order)
     ref = ref.select(key, *[F.col(c).alias(f"ref_{c}") for c in ref.columns if c != key])
-    return sets.join(ref, key, "inner")
+    return join_bounded(sets, ref, key, "inner")
 
 
 def join_original_first(sets: DataFrame, originals: DataFrame, key: str = "question",
@@ -63,12 +63,28 @@ def join_original_first(sets: DataFrame, originals: DataFrame, key: str = "quest
     """Inner join on question text; duplicate originals: first one wins."""
     ref = dedupe_first(originals, key, order)
     ref = ref.select(key, *[F.col(c).alias(f"orig_{c}") for c in ref.columns if c != key])
-    return sets.join(ref, key, "inner")
+    return join_bounded(sets, ref, key, "inner")
 
 
 def unmatched_questions(sets: DataFrame, originals: DataFrame, key: str = "question") -> DataFrame:
     """Rows of ``sets`` whose key has no original (the reference skips them)."""
-    return sets.join(originals.select(key).distinct(), key, "left_anti")
+    return join_bounded(sets, originals.select(key).distinct(), key, "left_anti")
+
+
+def left_join_small(small: DataFrame, big: DataFrame, key: str,
+                    materialize: bool = False) -> DataFrame:
+    """``small LEFT JOIN big`` on a key with few values (e.g. one row per set
+    against all questions of the set) without shuffling ``big`` by that key:
+    an inner join with the size-checked ``small`` side broadcast, plus the
+    ``small`` rows that have no match. ``big`` is read twice; with
+    ``materialize`` it is checkpointed first (for an expensive, already
+    aggregated ``big``)."""
+    if materialize:
+        big = cut_lineage(big)
+    matched = join_bounded(big, small, key, "inner")
+    keys_in_big = big.select(key).distinct()
+    missing = join_bounded(small, keys_in_big, key, "left_anti")
+    return matched.unionByName(missing, allowMissingColumns=True)
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from optiq.operators.joins import join_bounded
 from optiq.session import cut_lineage
 
 
@@ -54,9 +55,8 @@ def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
                                                F.min("_id").alias("_id0"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    # The offsets table has partitions x groups rows; AQE broadcasts it from
-    # runtime statistics.
-    j = base.join(offsets.select("_pid", *keys, "_off", "_id0"), ["_pid", *keys])
+    # The offsets table has partitions x groups rows: broadcast after a size check.
+    j = join_bounded(base, offsets.select("_pid", *keys, "_off", "_id0"), ["_pid", *keys])
     return j.select(*keys, "_v", (F.col("_off") + F.col("_id") - F.col("_id0")).alias("_rank"))
 
 
@@ -66,7 +66,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
     plus count, mean, sample std, min and max of the non-null values."""
     r = _ranked(df, keys, value)
     n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rn = r.join(n, keys)
+    rn = join_bounded(r, n, keys)   # one row per group: broadcast after a size check
     aggs = [F.first("_n").alias("count"), F.avg("_v").alias("mean"),
             F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")]
     for i, q in enumerate(probs):
@@ -97,7 +97,7 @@ def boxplot_stats(df: DataFrame, category: str, hue: str, value: str) -> DataFra
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value).cast("double")
-    j = df.where(v.isNotNull()).select(*keys, v.alias("_v")).join(q, keys)
+    j = join_bounded(df.where(v.isNotNull()).select(*keys, v.alias("_v")), q, keys)
     inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)
     return j.groupBy(*keys).agg(
         F.first("count").alias("count"), F.first("q1").alias("q1"),

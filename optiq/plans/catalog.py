@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from optiq.operators import joins as J
 from optiq.operators import psychometrics as P
 from optiq.operators import summary as S
 from optiq.plans import bindings as B
@@ -329,8 +330,10 @@ def _qsr(spark, sf):
 
 
 def _fanout(spark, sf):
-    return S.set_summary(B.responses(spark, sf)).join(QL.legacy_quality(spark, sf),
-                                                      "distractor_set", "left")
+    """Set summary LEFT JOIN per-question quality (1:N): the few set rows are
+    broadcast after a size check instead of shuffling questions by set."""
+    return J.left_join_small(S.set_summary(B.responses(spark, sf)),
+                             QL.legacy_quality(spark, sf), "distractor_set", materialize=True)
 
 
 @register("join_quality_fanout")
