@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from optiq.operators.joins import union_all
+from optiq.operators.joins import join_bounded, union_all
 from optiq.functions.parse import strip
 
 
@@ -116,7 +116,8 @@ def build_eval_plan(items: DataFrame, models: list[str], detailed: int = 5,
     firsts = (top_k_per_group(plan.select("plan_set", *order), "plan_set",
                               [F.col(c) for c in order], detailed)
               .select("plan_set", *order, F.lit(True).alias("request_reasoning")))
-    flagged = (plan.join(firsts, ["plan_set", *order], "left")
+    # k rows per set: broadcast after a size check, the plan is not shuffled
+    flagged = (join_bounded(plan, firsts, ["plan_set", *order], "left")
                .withColumn("request_reasoning",
                            F.coalesce(F.col("request_reasoning"), F.lit(False))))
     return flagged.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
