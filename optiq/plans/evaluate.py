@@ -52,3 +52,19 @@ def grade_with_errors(plan: DataFrame, received: DataFrame) -> DataFrame:
             .withColumn("reasoning_text", F.when(err, F.lit("")).otherwise(F.col("reasoning_text")))
             .withColumn("is_correct", ~err & F.col("is_correct"))
             .withColumn("reasoning_metrics", PF.reasoning_metrics(F.col("reasoning_text"))))
+
+
+def write_evaluation(graded: DataFrame, out_dir: str) -> dict[str, str]:
+    """The evaluator's outputs from graded replies: detailed results as JSON,
+    the same without the long reasoning columns as CSV, and the model / set /
+    model x set summaries (rounded as the evaluator reports them) as JSON."""
+    import os
+
+    from optiq.operators.summary import model_distractor_summary
+    from optiq.sources.files import sink_csv, sink_json
+
+    paths = {name: os.path.join(out_dir, name) for name in ("detailed", "flat", "summaries")}
+    sink_json(graded, paths["detailed"])
+    sink_csv(graded, paths["flat"])
+    sink_json(model_distractor_summary(graded, rounded=True), paths["summaries"])
+    return paths
