@@ -7,7 +7,7 @@ read directories or globs in one job; file-derived attributes come from the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,7 +144,21 @@ def scan_split_csv_pair(spark: SparkSession, questions_path: str, answers_path:
     return parse_csv_line(q.join(a, "pos"), naive).withColumn("subject", F.lit(subject))
 
 
-MAX_CSV_FIELDS = 32   # question + up to 31 options per line
+# One RFC 4180 field: quoted (quotes inside written twice) or unquoted.
+# Possessive quantifiers keep long quoted fields from deep regex backtracking.
+_CSV_FIELD = r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)'
+
+
+def csv_fields(line: Column) -> Column:
+    """Fields of one CSV line (RFC 4180 quoting; no field-length limit)."""
+    raw = F.regexp_extract_all(line, F.lit(_CSV_FIELD), 1)
+
+    def unquote(f: Column) -> Column:
+        inner = F.regexp_replace(f, '^"|"$', "")
+        quoted = f.startswith('"') & f.endswith('"') & (F.length(f) >= 2)
+        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(f)
+
+    return F.transform(raw, unquote)
 
 
 def parse_csv_line(lines: DataFrame, naive: bool = False) -> DataFrame:
@@ -154,11 +168,7 @@ def parse_csv_line(lines: DataFrame, naive: bool = False) -> DataFrame:
     if naive:
         parts = F.transform(F.split("line", ","), lambda p: F.regexp_replace(p, '^"+|"+$', ""))
     else:
-        schema = ", ".join(f"c{i} string" for i in range(MAX_CSV_FIELDS))
-        # RFC 4180: a quote inside a quoted field is written twice
-        parts = F.from_csv(F.col("line"), schema, {"escape": '"'})
-        parts = F.filter(F.array(*[parts[f"c{i}"] for i in range(MAX_CSV_FIELDS)]),
-                         lambda x: x.isNotNull())
+        parts = csv_fields(F.col("line"))
     idx = F.regexp_replace(F.col("answer_line"), r"^\s+|\s+$", "").try_cast("int")
     df = lines.select("pos", parts.alias("parts"), idx.alias("idx"))
     opts = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1)))
