@@ -65,7 +65,10 @@ def _decoder(ranks, key) -> dict[int, bytes]:
 
 
 def encode_packed(codec: Codec, text: Column) -> Column:
-    """Ids of each text as binary: little-endian unsigned 32-bit integers."""
+    """Ids of each text as binary: little-endian unsigned 32-bit integers.
+
+    Marked non-deterministic only so that the optimizer never evaluates it once
+    more for each expression that uses the ids."""
     ranks, pattern, key = codec.ranks, codec.pattern, codec.key
 
     def run(texts: pa.Array) -> pa.Array:
@@ -73,7 +76,7 @@ def encode_packed(codec: Codec, text: Column) -> Column:
         return pa.array((None if t is None else b"".join(map(ids, vocab.units(t)))
                          for t in (x.as_py() for x in texts)), type=pa.binary())
 
-    return F.arrow_udf(run, "binary")(text)
+    return F.arrow_udf(run, "binary").asNondeterministic()(text)
 
 
 def decode_packed(codec: Codec, ids: Column) -> Column:
