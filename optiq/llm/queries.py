@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from optiq.llm import near_dedup
 from optiq.llm.bpe import op1_byte_bpe
+from optiq.llm.near_dedup import op5_near_dedup
 from optiq.llm.token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_near_dedup, op6_token_counts)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_near_dedup": near_dedup.ORACLE_SQL}
