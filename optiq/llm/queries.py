@@ -5,9 +5,12 @@ from __future__ import annotations
 from optiq.llm import near_dedup
 from optiq.llm.bpe import op1_byte_bpe
 from optiq.llm.language import op7_language_id
+from optiq.llm.mixing import op10_mixing
 from optiq.llm.near_dedup import op5_near_dedup
+from optiq.llm.substring_dedup import op9_substring_dedup
 from optiq.llm.token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_near_dedup, op6_token_counts, op7_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_near_dedup, op6_token_counts, op7_language_id,
+                                  op9_substring_dedup, op10_mixing)}
 
 ORACLE: dict[str, str] = {"op5_near_dedup": near_dedup.ORACLE_SQL}
