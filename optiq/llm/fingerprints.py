@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,7 +105,7 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", b
     return docs.withColumn(out, F.arrow_udf(run, "string").asNondeterministic()(F.col(text)))
 
 
-def likeness(a: str, b: str, bits: int = BITS) -> F.Column:
+def likeness(a: str, b: str, bits: int = BITS) -> Column:
     """Estimated Jaccard similarity of two fingerprint columns of equal make."""
     per = {1: 8, 2: 4, 4: 2, 8: 1}[bits]
     mask = (1 << bits) - 1
@@ -149,7 +149,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             .select("doc_id", "text", "next_text"))
 
 
-def _cuts_below(value: F.Column, cuts: list[float]) -> F.Column:
+def _cuts_below(value: Column, cuts: list[float]) -> Column:
     """How many of the sorted cuts are at most ``value``."""
     if not cuts:
         return F.when(value.isNotNull(), F.lit(0))

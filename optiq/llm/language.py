@@ -204,18 +204,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.array([{"lang_pred": p, "score": s} for p, s in out], type=kind)
 
     found = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
-    return (docs.drop("lang_pred", "score", "_language").withColumn("_language", found(F.col(text)))
-            .select("*", "_language.lang_pred", "_language.score").drop("_language"))
+    rows = docs.drop("lang_pred", "score")
+    return (rows.select(F.struct("*").alias("row"), found(F.col(text)).alias("found"))
+            .select("row.*", "found.lang_pred", "found.score"))
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` in a learned language, with their own columns: not
     ``und``, and likelier in one language than in all others together."""
-    found = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in ("lang_pred", "score")
-                                              if c in docs.columns}), model)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    kept = kept.drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in ("lang_pred", "score")})
+    found = identify(docs.select(F.struct("*").alias("row"), "text"), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,13 +205,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     mix takes it. Rows that share doc_id, source and size are taken alike."""
     slim = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
     taken = (allot(slim.distinct(), weights, share, most).where("copies > 0")
-             .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"),
-                     F.col("size").alias("_z"), F.col("copies").alias("_copies")))
-    return (docs.withColumn("_size", size_of(F.col("text")))
-            .join(taken, F.col("doc_id").eqNullSafe(F.col("_d"))
-                  & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*docs.columns))
+             .select(F.col("doc_id").alias("d"), F.col("source").alias("s"),
+                     F.col("size").alias("z"), "copies"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    return (rows.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
+                      & (F.col("size") == F.col("z")))
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+            .select("row.*"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

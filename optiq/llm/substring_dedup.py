@@ -155,9 +155,8 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS,
                 longest: int = LONGEST) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (the first occurrence
     stays); ``n_chars``, if there, is counted anew for the texts that changed."""
-    spans = (repeated_passages(docs, min_words, bits, longest).groupBy("doc_id")
-             .agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-             .withColumnRenamed("doc_id", "_doc"))
+    spans = (repeated_passages(docs, min_words, bits, longest).groupBy(F.col("doc_id").alias("of"))
+             .agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans")))
 
     def run(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         return pa.array((t if s is None or t is None else
@@ -165,14 +164,15 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS,
                          for t, s in zip(texts.to_pylist(), cuts.to_pylist(), strict=True)),
                         type=pa.string())
 
-    cut = F.arrow_udf(run, "string").asNondeterministic()(F.col("text"), F.col("_spans"))
-    joined = docs.join(spans, docs.doc_id.cast("long") == F.col("_doc"), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars"))
-                             .otherwise(F.char_length("text")).cast(kind))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    joined = rows.join(spans, F.col("id") == F.col("of"), "left")
+    cut = F.arrow_udf(run, "string").asNondeterministic()(
+        F.when(F.col("spans").isNotNull(), F.col("row.text")), F.col("spans"))
+    done = joined.select("row", F.col("spans").isNotNull().alias("changed"), cut.alias("cut"))
+    new = {"text": F.col("cut"), "n_chars": F.char_length("cut")}
+    return done.select(*[
+        F.when(F.col("changed"), new[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
+        if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
