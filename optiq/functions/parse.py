@@ -13,9 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values (must equal the evaluator's rules) -------------------------
-ANSWER_PATTERN = r"(?i)answer:?\s*([^\n]+?)(?:\n|$|confidence)"
+ANSWER_PATTERN = r"(?iU)answer:?\s*([^\n]+?)(?:\n|$|confidence)"
 STRICT_ANSWER_PATTERN = r"(?im)^answer:[ \t]*([^\n]+)$"
-CONFIDENCE_PATTERN = r"confidence:?\s*(\d+)"
+CONFIDENCE_PATTERN = r"(?U)confidence:?\s*([0-9]+)"
 NO_ANSWER = "Error: No clear answer"
 ERROR_ANSWER = "Error"
 REASONING_MARKERS = ["reasoning:", "step ", "thinking:", "first,", "second,", "third,"]
@@ -25,11 +25,11 @@ UNCERTAINTY_WORDS = ["maybe", "perhaps", "possibly", "likely", "unlikely", "migh
                      "not sure", "unclear"]
 # ------------------------------------------------------------------------------
 
-_WS = r"^\s+|\s+$"
+_WS = r"(?U)^\s+|\s+$"
 
 
 def strip(c: Column) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace (Spark ``trim`` only cuts spaces)."""
+    """Python ``str.strip()``: Unicode white space (Spark ``trim`` only cuts spaces)."""
     return F.regexp_replace(c, _WS, "")
 
 

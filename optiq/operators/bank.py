@@ -31,18 +31,12 @@ def replicate_bank(items: DataFrame, times: int = 50) -> DataFrame:
 def top_k_per_group(df: DataFrame, keys, order: list[Column], k: int) -> DataFrame:
     """Rows ranked 1..k per group by ``order`` (ties broken by the order list).
 
-    Two levels: rank within (group, input partition) first and keep k, then
-    rank the at most k x partitions survivors per group. A first-level bucket
-    never holds more than one input split, so a group with a third of all rows
-    is spread over as many tasks as there are splits instead of one.
+    Spark limits each group to k rows in every task before the shuffle
+    (``WindowGroupLimit``), so a hot group arrives as k rows per input split.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    local = Window.partitionBy(*keys, "_part").orderBy(*order)
-    pre = (df.withColumn("_part", F.spark_partition_id())
-           .withColumn("_r", F.row_number().over(local))
-           .where(F.col("_r") <= k).drop("_r", "_part"))
-    glob = Window.partitionBy(*keys).orderBy(*order)
-    return pre.withColumn("rank", F.row_number().over(glob)).where(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def sample_exact_n(items: DataFrame, n: int = 150, seed=0, id_col: str = "question") -> DataFrame:
@@ -108,7 +102,7 @@ def build_eval_plan(items: DataFrame, models: list[str], detailed: int = 5,
     items of each set (load order) ask for reasoning.
 
     Models are a generator column, not a join. The first-k flag is computed on
-    the items once (it does not depend on the model) with the two-level top-k.
+    the items once (it does not depend on the model).
     """
     original = items.withColumn("plan_set", F.lit("original"))
     typed = items.withColumn("plan_set", F.col("distractor_set"))
@@ -116,7 +110,7 @@ def build_eval_plan(items: DataFrame, models: list[str], detailed: int = 5,
     firsts = (top_k_per_group(plan.select("plan_set", *order), "plan_set",
                               [F.col(c) for c in order], detailed)
               .select("plan_set", *order, F.lit(True).alias("request_reasoning")))
-    # k rows per set: broadcast after a size check, the plan is not shuffled
+    # k rows per set
     flagged = (join_bounded(plan, firsts, ["plan_set", *order], "left")
                .withColumn("request_reasoning",
                            F.coalesce(F.col("request_reasoning"), F.lit(False))))

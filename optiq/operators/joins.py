@@ -1,53 +1,42 @@
-"""Join helpers with explicit size checks and duplicate policies."""
+"""Join helpers with duplicate policies."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optiq.session import cut_lineage
 
-# A side is broadcast only after it has been materialised and counted below this.
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``small`` onto ``big``, broadcasting it only when its size is proven.
-
-    ``small`` is checkpointed into the shared folder and counted; at or below
-    ``max_rows`` it is broadcast (no shuffle of ``big``, so few or hot keys on
-    the big side cost nothing). Above that, a shuffle join is used and AQE's
-    skew-join splitting handles hot keys.
-    """
-    small = cut_lineage(small)
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
+def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join ``small``, usually an aggregate, onto ``big`` without a hint: adaptive
+    execution broadcasts it when its measured bytes are below the session's
+    threshold, and otherwise splits hot keys of the shuffle join."""
     return big.join(small, on, how)
 
 
 def dedupe_first(df: DataFrame, key, order: str | Column) -> DataFrame:
     """Keep the first row per key by ``order`` (``next(...)`` lookup semantics).
 
-    Implemented as an aggregate of ``min(struct(order, row))`` so a key with a
-    huge number of duplicates is reduced map-side, never buffered in one task.
+    A rank of 1 by window: Spark keeps one row per key in each task before the
+    shuffle, so a key with many duplicates reaches its task as a few rows. Ties
+    in ``order`` are settled by the other columns.
     """
+    return _ranked_first(df, key, order, descending=False)
+
+
+def _ranked_first(df: DataFrame, key, order: str | Column, descending: bool) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     order_col = F.col(order) if isinstance(order, str) else order
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(order_col.alias("__o"), *[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(F.min(packed).alias("__r"))
-            .select(*keys, *[F.col("__r")[c].alias(c) for c in rest]))
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    by = [c.desc() if descending else c.asc() for c in (order_col, *rest)]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.withColumn("__rank", first).where("__rank = 1").select(*keys, *rest)
 
 
 def dedupe_last(df: DataFrame, key, order: str | Column) -> DataFrame:
     """Keep the last row per key by ``order`` (dict-comprehension semantics)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    order_col = F.col(order) if isinstance(order, str) else order
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(order_col.alias("__o"), *[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(F.max(packed).alias("__r"))
-            .select(*keys, *[F.col("__r")[c].alias(c) for c in rest]))
+    return _ranked_first(df, key, order, descending=True)
 
 
 def join_reference_answers(sets: DataFrame, originals: DataFrame, key: str = "question",
@@ -75,7 +64,7 @@ def left_join_small(small: DataFrame, big: DataFrame, key: str,
                     materialize: bool = False) -> DataFrame:
     """``small LEFT JOIN big`` on a key with few values (e.g. one row per set
     against all questions of the set) without shuffling ``big`` by that key:
-    an inner join with the size-checked ``small`` side broadcast, plus the
+    an inner join (broadcast by measured size), plus the
     ``small`` rows that have no match. ``big`` is read twice; with
     ``materialize`` it is checkpointed first (for an expensive, already
     aggregated ``big``)."""

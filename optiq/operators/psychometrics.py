@@ -40,7 +40,7 @@ def _question_model_cells(responses: DataFrame) -> DataFrame:
     conf, rt = F.col("confidence"), F.col("response_time")
 
     return df.groupBy("question", "model").agg(
-        F.min(F.struct(F.col("response_id"), F.col("subject"))).alias("first"),
+        F.min("response_id").alias("first"),
         F.count(_ok()).alias("n"), F.sum(_ok()).alias("sx"),
         F.sum(conf).alias("s_conf"), F.count(conf).alias("n_conf"),
         F.sum(F.when(ok, conf)).alias("s_conf_ok"), F.count(F.when(ok, conf)).alias("n_conf_ok"),
@@ -66,8 +66,7 @@ def _discrimination_col() -> Column:
 
 
 def _cells_with_model_score(cells: DataFrame) -> DataFrame:
-    """Attach the model's overall accuracy; the per-model table is size-checked
-    before it is broadcast (no shuffle of the cells on the few model keys)."""
+    """Attach the model's overall accuracy (a small table, broadcast by measured size)."""
     per_model = cells.groupBy("model").agg((F.sum("sx") / F.sum("n")).alias("y"))
     return join_bounded(cells, per_model, "model")
 
@@ -77,7 +76,7 @@ def item_discrimination(responses: DataFrame) -> DataFrame:
 
     The model's overall accuracy is constant within (question, model), so the
     correlation is assembled from (question, model) partial sums joined with a
-    per-model table whose size is checked before it is broadcast.
+    small per-model table.
     NULL for a single row, no variation in correctness, or a constant score.
     """
     cells = cut_lineage(_question_model_cells(responses))
@@ -102,7 +101,7 @@ def item_analysis(responses: DataFrame) -> DataFrame:
         return F.sum(s) / F.sum(n)
 
     q = j.groupBy("question").agg(
-        F.min("first").alias("_first"),
+        F.min("first").alias("response_id"),
         ratio("sx", "n").alias("p_value"),
         ratio("s_conf", "n_conf").alias("avg_confidence"),
         ratio("s_conf_ok", "n_conf_ok").alias("correct_confidence"),
@@ -113,10 +112,14 @@ def item_analysis(responses: DataFrame) -> DataFrame:
         *_discrimination_from_cells(j))
     df = responses.where(F.col("question").isNotNull())
     wrong = value_counts_top1(df.where(~F.col("is_correct")), "question", "llm_answer")
-    out = q.withColumn("discrimination", _discrimination_col()).join(wrong, "question", "left")
+    # the first response's subject is fetched by its id: a string minimum would sort all rows
+    subjects = (df.join(q.select("question", "response_id"), ["question", "response_id"])
+                .groupBy("question").agg(F.min("subject").alias("subject")))
+    out = (q.withColumn("discrimination", _discrimination_col()).join(wrong, "question", "left")
+           .join(subjects, "question", "left"))
     return out.select(
         "question",
-        F.col("_first.subject").alias("subject"),
+        "subject",
         "p_value",
         (F.lit(1.0) - F.col("p_value")).alias("difficulty"),
         "discrimination",
@@ -134,8 +137,8 @@ def bin_fixed(confidence: Column, n: int = N_BINS) -> Column:
 
     Integer form of cutting confidence/100 at linspace(0, 1, n+1).
     """
-    width = 100 // n
-    return F.greatest(F.ceil(confidence / F.lit(width)).cast("int") - 1, F.lit(0))
+    cut = F.ceil(confidence * n / F.lit(100.0)).cast("int") - 1
+    return F.least(F.greatest(cut, F.lit(0)), F.lit(n - 1))
 
 
 def bin_center(b: Column, n: int = N_BINS) -> Column:

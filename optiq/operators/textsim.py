@@ -24,6 +24,8 @@ LEGAL_KEYWORDS = ["theft", "robbery", "assault", "battery", "fraud", "trespassin
                   "law", "jurisdiction"]
 # Python's string.punctuation (ASCII)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# words (letters, digits, underscore of any script) and single marks
+WORD_OR_MARK = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 # METEOR parameters (Lavie & Agarwal 2007 defaults)
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 # Grammar rule table (regex rules counted per text); re-aimed from a parser-based check
@@ -40,9 +42,9 @@ def tokenize(text: Column, mode: str = "lower") -> Column:
     """``lower``: lower().split(); ``raw``: split(); ``punct``: words and single
     punctuation marks as separate tokens (treebank-like)."""
     if mode == "punct":
-        return F.regexp_extract_all(text, F.lit(r"(\w+|[^\w\s])"), 1)
+        return F.regexp_extract_all(text, F.lit(WORD_OR_MARK), 1)
     t = F.lower(text) if mode == "lower" else text
-    return F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 
 def lexicon_relevance(text: Column, lexicon: list[str] = LEGAL_KEYWORDS) -> Column:
@@ -89,22 +91,23 @@ def cosine_to_answer(slots: DataFrame) -> DataFrame:
                     cosine(F.col("answer_vec"), F.col("vector")).alias("similarity")))
 
 
-def diversity(slots: DataFrame, group: str = "item_id", dim: int = 64,
+def diversity(slots: DataFrame, group: str = "item_id",
               empty_value: float | None = 0.0) -> DataFrame:
     """1 - mean pairwise cosine of a group's distractors (= mean cosine distance).
 
     Closed form: with unit vectors u_i, sum_{i<j} u_i.u_j = (|sum u|^2 - n) / 2,
-    so one partially aggregated vector sum per group replaces all pairs.
+    so the sums of the components, combined map-side for vectors of any length,
+    replace all pairs. The grouping is (``group``, distractor_set).
     Groups with fewer than two vectors get ``empty_value``.
     """
     u = (slots.where(F.col("slot") > 0).withColumn("_norm", norm(F.col("vector")))
          .withColumn("_u", unit(F.col("vector"), F.col("_norm"))).where(F.col("_u").isNotNull()))
-    sums = u.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
-                                *[F.sum(F.col("_u")[d]).alias(f"_s{d}") for d in range(dim)],
-                                F.first("distractor_set").alias("distractor_set"))
-    sq = reduce(lambda a, b: a + b, [F.col(f"_s{d}") * F.col(f"_s{d}") for d in range(dim)])
+    by = [group, "distractor_set"]
+    parts = (u.select(*by, F.posexplode("_u").alias("_d", "_x")).groupBy(*by, "_d")
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s")))
+    sums = parts.groupBy(*by).agg(F.max("_n").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_sq"))
     n = F.col("n")
-    mean_cos = (sq - n) / (n * (n - 1))
+    mean_cos = (F.col("_sq") - n) / (n * (n - 1))
     return sums.select(group, "distractor_set", n.alias("n_distractors"),
                        F.when(n >= 2, F.lit(1.0) - mean_cos)
                        .otherwise(F.lit(empty_value).cast("double")).alias("diversity"))
@@ -129,7 +132,8 @@ def cosine_paired(orig: DataFrame, new: DataFrame, key: str = "question") -> Dat
 def _meteor_setwise(pairs: DataFrame, keys: list[str], reference: str = "reference",
                     hypothesis: str = "hypothesis", mode: str = "lower",
                     alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA,
-                    stem_stage: bool = False, tokenized: bool = False) -> DataFrame:
+                    stem_stage: bool = False, tokenized: bool = False,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """Unigram METEOR per pair of texts: exact-match stage, and with
     ``stem_stage`` a second stage that re-matches leftover tokens on their
     Porter stem (the stemmer runs once per distinct leftover token).
@@ -154,19 +158,21 @@ def _meteor_setwise(pairs: DataFrame, keys: list[str], reference: str = "referen
         n = F.size(arr)
         z = F.arrays_zip(F.array_repeat(F.lit(code), n),
                          F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), arr).cast(arr_t)
-        return F.when(n > 0, z).otherwise(F.array().cast(arr_t))
+        return F.when(n > 0, z).otherwise(F.array().cast(arr_t))  # also for a null text
 
     if tokenized:
-        toks = pairs.select(*keys, F.col(hypothesis).alias("_h"), F.col(reference).alias("_r"))
+        toks = pairs.select(*keys, *carry, F.col(hypothesis).alias("_h"), F.col(reference).alias("_r"))
     else:
-        toks = pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_h"),
+        toks = pairs.select(*keys, *carry, tokenize(F.col(hypothesis), mode).alias("_h"),
                             tokenize(F.col(reference), mode).alias("_r"))
     sentinel = F.array(F.struct(F.lit(0).alias("side"), F.lit(-1).alias("p"),
                                 F.lit(None).cast("string").alias("tok")))
     rows = F.concat(side(F.col("_h"), 1), side(F.col("_r"), 2), sentinel)
-    tok = toks.select(*keys, F.size("_h").alias("h_len"), F.size("_r").alias("r_len"),
-                      F.explode(rows).alias("e")).select(*keys, "h_len", "r_len", "e.side", "e.p",
-                                                         "e.tok")
+    # lengths and carried columns ride on the sentinel row alone
+    lengths = [F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in (("_h", "h_len"), ("_r", "r_len"))]
+    tok = toks.select(*keys, *carry, *lengths, F.explode(rows).alias("e")).select(
+        *keys, *[F.when(F.col("e.side") == 0, F.col(c)).alias(c) for c in carry],
+        "h_len", "r_len", "e.side", "e.p", "e.tok")
     sd = F.col("side")
     hp, rp = F.col("hp"), F.col("rp")
 
@@ -181,14 +187,17 @@ def _meteor_setwise(pairs: DataFrame, keys: list[str], reference: str = "referen
                 .agg(F.max(F.when(sd == 1, F.col("p"))).alias("hp"),
                      F.max(F.when(sd == 2, F.col("p"))).alias("rp"),
                      F.max(F.when(sd == 0, F.col("h_len"))).alias("h_len"),
-                     F.max(F.when(sd == 0, F.col("r_len"))).alias("r_len")))
+                     F.max(F.when(sd == 0, F.col("r_len"))).alias("r_len"),
+                     *[F.max(c).alias(c) for c in carry]))
 
     g = align(tok, "tok")
     both = hp.isNotNull() & rp.isNotNull()
-    out_cols = [*keys, "h_len", "r_len", "h_pos", "r_pos"]
+    out_cols = [*keys, *carry, "h_len", "r_len", "h_pos", "r_pos"]
+    if stem_stage and carry:
+        raise ValueError("carried columns are not supported with the stem stage")
     if not stem_stage:
         # one branch: the length row and unmatched rows get NULL positions
-        g = g.select(*keys, "h_len", "r_len", F.when(both, hp).alias("h_pos"),
+        g = g.select(*keys, *carry, "h_len", "r_len", F.when(both, hp).alias("h_pos"),
                      F.when(both, rp).alias("r_pos"))
     else:
         from optiq.functions.stemmer import stem
@@ -214,8 +223,9 @@ def _meteor_setwise(pairs: DataFrame, keys: list[str], reference: str = "referen
                   | (F.col("r_pos") != F.lag("r_pos").over(w) + 1)).cast("int"))
     j = (g.withColumn("_b", brk).groupBy(*keys)
          .agg(F.count("h_pos").alias("m"), F.sum("_b").alias("chunks"),
-              F.max("h_len").alias("h_len"), F.max("r_len").alias("r_len")))
-    return j.select(*keys, _score(F.col("m"), F.col("chunks"), F.col("h_len"), F.col("r_len"),
+              F.max("h_len").alias("h_len"), F.max("r_len").alias("r_len"),
+              *[F.max(c).alias(c) for c in carry]))
+    return j.select(*keys, *carry, _score(F.col("m"), F.col("chunks"), F.col("h_len"), F.col("r_len"),
                                   alpha, beta, gamma).alias("meteor"))
 
 
@@ -230,13 +240,13 @@ def _score(m: Column, chunks: Column, h_len: Column, r_len: Column,
         F.lit(0.0))
 
 
-def _meteor_inline(toks: DataFrame, keys: list[str], alpha: float, beta: float,
+def _meteor_inline(toks: DataFrame, keys: list[str], carry: tuple[str, ...], alpha: float, beta: float,
                    gamma: float) -> DataFrame:
     """Exact stage inside the row for short pairs (token lists in ``_h``, ``_r``):
     hypothesis token i with k - 1 equal tokens after it matches the k-th last
     equal reference token; chunks are breaks between consecutive matches."""
     h, r = F.col("_h"), F.col("_r")
-    nh, nr = F.size(h), F.size(r)
+    nh, nr = F.coalesce(F.size(h), F.lit(0)), F.coalesce(F.size(r), F.lit(0))
 
     def ref_pos(i):
         x = F.get(h, i)
@@ -251,13 +261,13 @@ def _meteor_inline(toks: DataFrame, keys: list[str], alpha: float, beta: float,
         F.filter(F.transform(F.sequence(F.lit(0), F.greatest(nh - 1, F.lit(0))),
                              lambda i: F.struct(i.alias("i"), ref_pos(i).alias("j"))),
                  lambda s: s["j"].isNotNull())).otherwise(F.array().cast(pairs_t))
-    step1 = toks.select(*keys, nh.alias("h_len"), nr.alias("r_len"), matches.alias("_m"))
+    step1 = toks.select(*keys, *carry, nh.alias("h_len"), nr.alias("r_len"), matches.alias("_m"))
     mt = F.col("_m")
     m = F.size(mt)
     brk = F.size(F.filter(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1))), lambda k: (k < m) & (
         (F.get(mt, k)["i"] != F.get(mt, k - 1)["i"] + 1)
         | (F.get(mt, k)["j"] != F.get(mt, k - 1)["j"] + 1))))
-    return step1.select(*keys, _score(m, F.when(m > 0, brk + 1), F.col("h_len"), F.col("r_len"),
+    return step1.select(*keys, *carry, _score(m, F.when(m > 0, brk + 1), F.col("h_len"), F.col("r_len"),
                                       alpha, beta, gamma).alias("meteor"))
 
 
@@ -269,24 +279,26 @@ INLINE_MAX_CELLS = 4096
 def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
            hypothesis: str = "hypothesis", mode: str = "lower",
            alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA,
-           stem_stage: bool = False, inline_max_cells: int = INLINE_MAX_CELLS) -> DataFrame:
+           stem_stage: bool = False, inline_max_cells: int = INLINE_MAX_CELLS,
+           carry: tuple[str, ...] = ()) -> DataFrame:
     """Unigram METEOR per pair of texts (exact stage; optional Porter stem stage).
 
     Two exact routes with identical results: short pairs are aligned inside
     the row (no shuffle; cost grows with |h| x |r|, bounded by
     ``inline_max_cells``), longer pairs by the set-based alignment whose cost
-    is linear in tokens. The tokenised pairs are checkpointed once so both
-    routes read the same materialisation.
+    is linear in tokens. Each route filters its pairs straight from the input,
+    nothing is written in between. A pair with a null text scores 0. Columns in
+    ``carry`` come along without being grouped on.
     """
     if stem_stage or inline_max_cells <= 0:
         return _meteor_setwise(pairs, keys, reference, hypothesis, mode, alpha, beta, gamma,
-                               stem_stage)
-    toks = cut_lineage(pairs.select(*keys, tokenize(F.col(hypothesis), mode).alias("_h"),
-                                    tokenize(F.col(reference), mode).alias("_r")))
-    small = F.size("_h") * F.size("_r") <= inline_max_cells
-    inline = _meteor_inline(toks.where(small), keys, alpha, beta, gamma)
+                               stem_stage, carry=carry)
+    toks = pairs.select(*keys, *carry, tokenize(F.col(hypothesis), mode).alias("_h"),
+                        tokenize(F.col(reference), mode).alias("_r"))
+    small = F.coalesce(F.size("_h") * F.size("_r"), F.lit(0)) <= inline_max_cells
+    inline = _meteor_inline(toks.where(small), keys, carry, alpha, beta, gamma)
     big = _meteor_setwise(toks.where(~small), keys, "_r", "_h", mode, alpha, beta, gamma,
-                          tokenized=True)
+                          tokenized=True, carry=carry)
     return inline.unionByName(big)
 
 

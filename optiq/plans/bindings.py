@@ -45,7 +45,9 @@ def _chosen_index(event_id: Column, is_correct: Column) -> Column:
 
 
 def _is_correct(event_id: Column, user_id: Column) -> Column:
-    return (event_id * 31 + user_id * 17) % 100 < F.lit(50) + (user_id % N_MODELS) * 15
+    """A rule by model and by set (its name's length), so that sets do differ."""
+    by_set = (F.length("event_type") % 4) * 5
+    return (event_id * 31 + user_id * 17) % 100 < F.lit(50) + (user_id % N_MODELS) * 15 + by_set
 
 
 def _k(props: Column) -> Column:
@@ -217,7 +219,7 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
-def text_item_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_item_successors(spark: SparkSession, sf_dir: str, keep_empty: bool = False) -> DataFrame:
     """Each text item with the distractor list of the next item of its document
     (the "new" distractor set for that question), cut from the document's piece
     array in one pass: no self-join of the items."""
@@ -237,4 +239,4 @@ def text_item_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("question"),
                     _set_name(F.col("doc_id")).alias("distractor_set"),
                     F.col("s.orig").alias("orig"), F.col("s.new").alias("new"))
-            .where(F.size("new") > 0))
+            .where(F.lit(keep_empty) | (F.size("new") > 0)))

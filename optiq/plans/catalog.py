@@ -18,6 +18,7 @@ from optiq.operators import joins as J
 from optiq.operators import psychometrics as P
 from optiq.operators import summary as S
 from optiq.plans import bindings as B
+from optiq.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -401,7 +402,7 @@ def _box(spark, sf):
 @register("pivot_heatmap")
 def _heat(spark, sf):
     st = S.distractor_stats(B.responses(spark, sf))
-    return RS.pivot_wide(st, ["distractor_set"], "model", MODELS, "is_correct_mean", agg="first")
+    return RS.pivot_wide(st, ["distractor_set"], "model", value="is_correct_mean", agg="first")
 
 
 @register("pivot_mean")
@@ -477,8 +478,8 @@ def _replicate(spark, sf):
 @register("union_subjects")
 def _union(spark, sf):
     it = _items(spark, sf).select("question", "subject", "lang")
-    u = BK.union_subjects(it.where(F.col("lang") == "en"), it.where(F.col("lang") != "en"))
-    return u.groupBy("subject").agg(F.count(F.lit(1)).alias("n_questions"))
+    english = F.col("lang").eqNullSafe("en")
+    return BK.union_subjects(it.where(english), it.where(~english))
 
 
 def _assembled(spark, sf):
@@ -510,7 +511,7 @@ def _prompt(spark, sf):
 
 @register("parse_generated_lines")
 def _gen_lines(spark, sf):
-    conv = B.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    conv = B.table(spark, sf, "conversations")
     lines = BK.parse_generated_lines(F.col("text"), 9, F.col("text").isNull())
     return conv.select("conv_id", "turn", F.size(lines).alias("n_lines"),
                        F.concat_ws(" | ", lines).alias("lines"))
@@ -581,12 +582,9 @@ def _unmatched(spark, sf):
 
 @register("join_index")
 def _jindex(spark, sf):
-    r = B.responses(spark, sf)
-    acc = r.groupBy("distractor_set").agg((F.avg(F.col("is_correct").cast("double")) * 100.0)
-                                          .alias("accuracy"))
-    rt = r.groupBy("distractor_set").agg(
-        F.avg("response_time").alias("response_time"))
-    return acc.join(rt, "distractor_set", "left")
+    s = cut_lineage(S.set_summary(B.responses(spark, sf)))  # one row per set, one scan
+    return s.select("distractor_set", "accuracy").join(
+        s.select("distractor_set", "response_time"), "distractor_set", "left")
 
 
 @register("value_counts_top1")
@@ -609,8 +607,8 @@ def _nu(spark, sf):
 
 @register("first_value")
 def _fv(spark, sf):
-    return B.responses(spark, sf).groupBy("question").agg(
-        F.min_by("subject", "response_id").alias("subject"))
+    return J.dedupe_first(B.responses(spark, sf).select("question", "response_id", "subject"),
+                          "question", "response_id").select("question", "subject")
 
 
 # ---------------------------------------------------------------- sources / sinks
@@ -632,14 +630,14 @@ def _scan_items(spark, sf):
 
 @register("scan_distractor_sets")
 def _scan_sets(spark, sf):
-    """Round trip: one JSON file set per distractor set; set name from the file path."""
+    """Round trip: one folder of JSON files per distractor set; set name from the path."""
     it = _items(spark, sf)
     path = scratch_path(spark, "sets-json")
-    FS.sink_json(it.select("question", "correct_answer",
-                           BK.number_distractors(F.col("distractors")).alias("distractors"),
-                           "subject", F.col("distractor_set").alias("distractor_type")), path)
-    df = (spark.read.schema(FS.DISTRACTOR_SET).json(path)
-          .withColumn("distractor_set", F.col("distractor_type")))
+    (it.select("question", "correct_answer",
+               BK.number_distractors(F.col("distractors")).alias("distractors"),
+               "subject", F.col("distractor_set").alias("set"))
+     .write.partitionBy("set").json(path))
+    df = FS.scan_distractor_sets(spark, path, prefix="set=", multiline=False, name_from="folder")
     return df.select("question", "distractor_set", F.size("distractors").alias("n_distractors"))
 
 
@@ -688,11 +686,8 @@ def _aexcept(spark, sf):
 
 @register("zip_positional")
 def _zip(spark, sf):
-    it = _items(spark, sf)
-    orig = it.select("doc_id", "block", "question", F.col("distractors").alias("a"))
-    new = it.select("doc_id", (F.col("block") - 1).alias("block"), F.col("distractors").alias("b"))
-    z = orig.join(new, ["doc_id", "block"]).select(
-        "question", AR.zip_positional(F.col("a"), F.col("b")).alias("z"))
+    z = B.text_item_successors(spark, sf, keep_empty=True).select(
+        "question", AR.zip_positional(F.col("orig"), F.col("new")).alias("z"))
     return z.select("question", F.size("z").alias("n_pairs"),
                     F.concat_ws(" | ", F.transform("z", lambda p: F.concat(p["a"], F.lit(" -> "),
                                                                            p["b"]))).alias("pairs"))
@@ -734,10 +729,9 @@ def _norm(spark, sf):
 
 @register("distinct_values")
 def _distinct(spark, sf):
-    r = B.responses(spark, sf)
-    return (r.select(F.lit("model").alias("column"), F.col("model").alias("value")).distinct()
-            .unionByName(r.select(F.lit("distractor_set").alias("column"),
-                                  F.col("distractor_set").alias("value")).distinct()))
+    names = ["model", "distractor_set"]
+    both = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])
+    return B.responses(spark, sf).select(F.inline(both)).distinct()
 
 
 @register("json_extract")

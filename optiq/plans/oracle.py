@@ -10,7 +10,7 @@ from __future__ import annotations
 
 # ---------------------------------------------------------------- bindings
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)"
-_OK = "((event_id * 31 + user_id * 17) % 100 < 50 + (user_id % 3) * 15)"
+_OK = "((event_id * 31 + user_id * 17) % 100 < 50 + (user_id % 3) * 15 + (length(event_type) % 4) * 5)"
 _CIDX = "(event_id % 200 % 4)"
 _WIDX = "((event_id % 200 % 4 + 1 + event_id % 3) % 4)"
 
@@ -461,7 +461,7 @@ TEXT_DISTRACTORS = """text_distractors AS (
 ORACLE["tokenize"] = with_(TEXT_PIECES) + f"""
 SELECT doc_id, block, slot, CAST(len({_TOK.format(x='text')}) AS INTEGER) AS n_lower,
        CAST(len({_TOKRAW.format(x='text')}) AS INTEGER) AS n_raw,
-       array_to_string(regexp_extract_all(text, '(\\w+|[^\\w\\s])', 1), ' ') AS punct_tokens
+       array_to_string(regexp_extract_all(text, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])', 1), ' ') AS punct_tokens
 FROM text_pieces"""
 
 ORACLE["lexicon_relevance"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS) + f"""
@@ -731,9 +731,8 @@ ORACLE["replicate_bank"] = with_(TEXT_ITEMS) + """
 SELECT question, CAST(copy AS INTEGER) AS copy FROM text_items CROSS JOIN range(1, 4) AS t(copy)"""
 
 ORACLE["union_subjects"] = with_(TEXT_ITEMS) + """
-SELECT subject, count(*) AS n_questions FROM (
-  SELECT subject FROM text_items WHERE lang = 'en'
-  UNION ALL SELECT subject FROM text_items WHERE lang <> 'en') GROUP BY subject"""
+SELECT question, subject, lang FROM text_items WHERE lang = 'en'
+UNION ALL SELECT question, subject, lang FROM text_items WHERE lang IS DISTINCT FROM 'en'"""
 
 ASSEMBLED = """assembled AS (
   SELECT *, list_transform(
@@ -778,7 +777,7 @@ _GL = ("list_filter(list_transform(string_split(regexp_replace(text, '^\\s+|\\s+
        "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1:9]")
 ORACLE["parse_generated_lines"] = f"""
 SELECT conv_id, turn, CAST(len({_GL}) AS INTEGER) AS n_lines, array_to_string({_GL}, ' | ') AS lines
-FROM conversations WHERE role = 'assistant'"""
+FROM conversations"""
 
 ORACLE["strip_enumeration"] = """
 SELECT conv_id, turn, CAST(line_no AS INTEGER) AS line_no,

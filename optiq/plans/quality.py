@@ -30,8 +30,7 @@ def text_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
     The new distractor set of item (doc, b) is the distractor list of item
     (doc, b + 1); items without a successor have no new set and no row. An
     item with a successor is a full block, so every new distractor has a
-    positional partner: its grammar score rides along as a METEOR key and the
-    documents are read once.
+    positional partner: its grammar score is carried beside the pair.
     """
     it = B.text_item_successors(spark, sf)
     z = it.select("question", "distractor_set",
@@ -41,7 +40,7 @@ def text_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
         "question", "distractor_set", "pos",
         TS.grammar_inverse(F.col("pr.n")).alias("gram"),
         F.col("pr.o").alias("reference"), F.col("pr.n").alias("hypothesis"))
-    met = TS.meteor(pairs, ["question", "distractor_set", "pos", "gram"])
+    met = TS.meteor(pairs, ["question", "distractor_set", "pos"], carry=("gram",))
     return (met.groupBy("question", "distractor_set")
             .agg(F.avg("meteor").alias("meteor_score"), F.avg("gram").alias("grammar_score"))
             .select("question", F.col("distractor_set").alias("distractor_type"),
@@ -94,15 +93,14 @@ def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFr
     mean lexicon relevance and mean grammar ratio of the distractors.
 
     Every distractor is in exactly one METEOR pair, so its lexicon and grammar
-    scores are computed in the pair projection and carried through the METEOR
-    keys: the distractors are derived once."""
+    scores are computed in the pair projection and carried beside the pair."""
     d = text_distractors(spark, sf)
     pairs = d.select("question", "distractor_set", "pos",
                      TS.lexicon_relevance(F.col("distractor"), lexicon).alias("lex"),
                      TS.grammar_ratio(F.col("distractor")).alias("gram"),
                      F.col("correct_answer").alias("reference"),
                      F.col("distractor").alias("hypothesis"))
-    met = TS.meteor(pairs, ["question", "distractor_set", "pos", "lex", "gram"])
+    met = TS.meteor(pairs, ["question", "distractor_set", "pos"], carry=("lex", "gram"))
     return met.groupBy("question", "distractor_set").agg(
         F.avg("lex").alias("legal_relevance_scores"),
         F.avg("gram").alias("grammar_scores"),
@@ -119,7 +117,7 @@ def quality_legacy(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFr
                      TS.grammar_ratio(F.col("distractor")).alias("gram"),
                      F.col("correct_answer").alias("reference"),
                      F.col("distractor").alias("hypothesis"))
-    met = TS.meteor(pairs, ["question", "distractor_set", "pos", "lex", "gram"])
+    met = TS.meteor(pairs, ["question", "distractor_set", "pos"], carry=("lex", "gram"))
     rec = F.array_sort(F.collect_list(F.struct("pos", "meteor", "lex", "gram")))
     g = met.groupBy("question", "distractor_set").agg(rec.alias("r"))
     return g.select("question", "distractor_set",

@@ -11,8 +11,11 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_CONF = "spark.optiq.spread.partitions"
+
 # Defaults for a fresh local session. On a cluster the submitter's values win.
 LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -27,18 +30,28 @@ LOCAL_DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Broadcast only what is proven small: 32 MB bound, AQE may re-plan below it.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Small local inputs have one split: spread() deals them out to this many tasks.
+    SPREAD_CONF: "16",
 }
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "optiq") -> SparkSession:
+    """The running session as it is, or a new one with the defaults for every
+    key that neither the submitter nor the environment has set."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in LOCAL_DEFAULTS.items():
-        builder = builder.config(key, value)
+    submitted = SparkConf()
+    defaults = dict(LOCAL_DEFAULTS)
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        defaults["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for key, value in defaults.items():
+        if not submitted.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -47,8 +60,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide scratch folder named by ``spark.checkpoint.dir``.
 
-    When the session has none (unit tests, local runs) a private folder is
-    created and registered, so checkpoint() works the same in both settings.
+    When a local session has none (unit tests) a private folder is created and
+    registered; on a cluster the setting is required, since executors can't
+    share a machine's own folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +71,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="optiq-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

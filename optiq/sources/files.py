@@ -7,7 +7,7 @@ read directories or globs in one job; file-derived attributes come from the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +55,16 @@ def scan_items(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
 
 
 def scan_distractor_sets(spark: SparkSession, path: str, prefix: str = "",
-                         multiline: bool = True, glob: str = "*.json") -> DataFrame:
+                         multiline: bool = True, glob: str = "*.json",
+                         name_from: str = "file") -> DataFrame:
     """All set files under ``path`` in one read; the set name is the file name
-    without ``.json`` (and without ``prefix``)."""
+    without ``.json``, or with ``name_from="folder"`` the name of the folder that
+    holds the file, each without ``prefix``."""
     df = _json(spark, path, DISTRACTOR_SET, multiline, glob)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
+    if name_from == "folder":
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    else:
+        name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
     if prefix:
         name = F.regexp_replace(name, "^" + prefix, "")
     return df.withColumn("distractor_set", name)
@@ -89,11 +94,19 @@ def scan_tolerant(spark: SparkSession, path: str, multiline: bool = True,
             df.where(bad).select("file_name", "_corrupt_record"))
 
 
+def _with_double(schema: T.StructType, name: str) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == name else f
+                         for f in schema.fields])
+
+
 def load_results(spark: SparkSession, csv_path: str | None = None,
                  json_path: str | None = None) -> DataFrame:
     """Flat CSV if given, else the detailed_results array of the JSON envelope."""
     if csv_path:
-        return spark.read.schema(FLAT_RESPONSES).option("header", True).csv(csv_path)
+        read = (spark.read.schema(_with_double(FLAT_RESPONSES, "confidence")).option("header", True)
+                .option("quote", '"').option("escape", '"').option("multiLine", True).csv(csv_path))
+        # a column with nulls is written as 95.0 by other tools
+        return read.withColumn("confidence", F.col("confidence").cast("int"))
     env = T.StructType([T.StructField("detailed_results", T.ArrayType(RESPONSES))])
     return (_json(spark, json_path, env).select(F.explode("detailed_results").alias("r"))
             .select("r.*"))
@@ -133,14 +146,17 @@ def gate_dataset(items: DataFrame, min_rows: int = 5) -> DataFrame:
 
 def scan_split_csv_pair(spark: SparkSession, questions_path: str, answers_path: str,
                         subject: str, naive: bool = False) -> DataFrame:
-    """Question CSV and answer CSV paired by line position (truncated to the
-    shorter), then parsed by ``parse_csv_line``."""
-    q = (spark.read.text(questions_path, wholetext=True)
-         .select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\n"))
-                 .alias("pos", "line")))
-    a = (spark.read.text(answers_path, wholetext=True)
-         .select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\n"))
-                 .alias("pos", "answer_line")))
+    """Question CSV and answer CSV of one subject, paired by line position
+    (truncated to the shorter), then parsed by ``parse_csv_line``. Each path
+    names one file: lines of several files have no common positions."""
+    def lines(path: str, name: str) -> DataFrame:
+        text = spark.read.text(path, wholetext=True)
+        one = F.when(F.count(F.lit(1)).over(Window.partitionBy()) == 1, F.col("value")).otherwise(
+            F.raise_error(F.lit(f"{path} is more than one file")))
+        whole = text.select(F.regexp_replace(one, r"^\s+|\s+$", "").alias("whole"))
+        return whole.select(F.posexplode(F.split("whole", "\r?\n")).alias("pos", name))
+
+    q, a = lines(questions_path, "line"), lines(answers_path, "answer_line")
     return parse_csv_line(q.join(a, "pos"), naive).withColumn("subject", F.lit(subject))
 
 
@@ -151,7 +167,7 @@ _CSV_FIELD = r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)'
 
 def csv_fields(line: Column) -> Column:
     """Fields of one CSV line (RFC 4180 quoting; no field-length limit)."""
-    raw = F.regexp_extract_all(line, F.lit(_CSV_FIELD), 1)
+    raw = F.regexp_extract_all(F.regexp_replace(line, "\r$", ""), F.lit(_CSV_FIELD), 1)
 
     def unquote(f: Column) -> Column:
         inner = F.regexp_replace(f, '^"|"$', "")
@@ -187,7 +203,8 @@ def sink_csv(df: DataFrame, path: str, drop=("reasoning_text", "reasoning_metric
     """CSV drops long / nested text columns, like the evaluator's CSV."""
     keep = [c for c in df.columns if c not in drop
             and not isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType))]
-    df.select(*keep).write.mode(mode).option("header", True).csv(path)
+    (df.select(*keep).write.mode(mode).option("header", True).option("quote", '"')
+     .option("escape", '"').csv(path))
 
 
 def sink_parquet(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from optiq.session import SPREAD_CONF
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -24,15 +26,9 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute rows on ``key`` when the scan gives fewer partitions than
-    the session can run at once (e.g. one small single-row-group file feeding a
-    CPU-heavy text stage). At cluster scale scans already yield many splits and
-    this is a no-op, so no shuffle is added there."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: leave partitioning to the planner
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want, key)
+    """Hash-distribute rows on ``key`` to the number of partitions that the
+    session names in ``spark.optiq.spread.partitions``; without that setting the
+    scan's own splits stay. Local sessions set it, since their inputs are single
+    files; on a cluster scans have splits enough."""
+    want = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(want), key) if want else df

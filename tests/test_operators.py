@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from optiq.operators import psychometrics as P
@@ -43,6 +44,32 @@ def test_bins_and_calibration(spark):
     assert [r.b for r in df.select(P.bin_fixed(F.col("c")).alias("b")).collect()] == [0, 0, 1, 9]
 
 
+def test_bins_of_any_number(spark):
+    df = spark.createDataFrame([(c,) for c in range(101)], "c int")
+    for n in (7, 20):
+        got = [r.b for r in df.select(P.bin_fixed(F.col("c"), n).alias("b")).collect()]
+        assert got == [max(0, -(-c * n // 100) - 1) for c in range(101)]
+
+
+def test_quantiles_of_one_value(spark):
+    """95 % of a group is one value: it is one row of the counts, in any partition."""
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.when(F.col("id") % 20 > 0, 99)
+                                    .otherwise(F.col("id") % 97).alias("v"))
+    counts = RS.value_counts(df, ["g"], "v")
+    assert counts.count() <= 98
+    row = RS.exact_quantiles(df, ["g"], "v", [0.01, 0.5]).first()
+    values = np.array([99 if i % 20 else i % 97 for i in range(20_000)], float)
+    assert row["count"] == 20_000 and row.q50 == 99 and row.q01 == np.quantile(values, 0.01)
+    assert math.isclose(row["std"], values.std(ddof=1), rel_tol=1e-12)
+
+
+def test_pivot_of_unlisted_value(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "i string, c string, value double")
+    assert set(RS.pivot_wide(df, ["i"], "c").columns) == {"i", "x", "y"}
+    with pytest.raises(Exception, match="not listed"):
+        RS.pivot_wide(df, ["i"], "c", ["x"]).collect()
+
+
 def test_summary_levels_and_topk(spark):
     rows = [(i, f"m{i % 2}", "q", "s", "A", i % 3 == 0, 50, 1.0, f"d{i % 3}") for i in range(12)]
     df = spark.createDataFrame(rows, RESP)

@@ -1,4 +1,4 @@
-"""METEOR alignment against a plain-Python greedy matcher; vector metrics edges."""
+"""METEOR scores worked out by hand, equality of its routes, vector metrics edges."""
 
 import math
 
@@ -8,52 +8,50 @@ from pyspark.sql import functions as F
 from optiq.operators import textsim as TS
 
 
-def py_meteor(ref, hyp, alpha=0.9, beta=3.0, gamma=0.5):
-    h = [(i, w) for i, w in enumerate(hyp.lower().split())]
-    r = [(j, w) for j, w in enumerate(ref.lower().split())]
-    nh, nr = len(h), len(r)
-    matches = []
-    for i in range(len(h))[::-1]:
-        for j in range(len(r))[::-1]:
-            if h[i][1] == r[j][1]:
-                matches.append((h[i][0], r[j][0]))
-                h.pop(i)
-                r.pop(j)
-                break
-    matches.sort()
-    m = len(matches)
-    if m == 0 or nh == 0 or nr == 0:
-        return 0.0
-    p, rc = m / nh, m / nr
-    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    chunks, i = 1, 0
-    while i < m - 1:
-        if not (matches[i + 1][0] == matches[i][0] + 1 and matches[i + 1][1] == matches[i][1] + 1):
-            chunks += 1
-        i += 1
-    return (1 - gamma * (chunks / m) ** beta) * fmean
-
-
-PAIRS = [
-    ("the cat sat on the mat", "the cat sat on the mat"),
-    ("the cat sat on the mat", "on the mat the cat sat"),
-    ("a b c a b c", "c b a c b a a"),
-    ("one two three", "four five six"),
-    ("", "anything"),
-    ("The Law of the land", "the law and the LAND of law"),
-    ("x y x y x", "y x y"),
+# score = (1 - 0.5 * (chunks / m) ** 3) * P * R / (0.9 * P + 0.1 * R)
+PAIRS = [  # reference, hypothesis, score
+    # 6 of 6 matched in 1 chunk
+    ("the cat sat on the mat", "the cat sat on the mat", 1 - 0.5 / 216),
+    # last "the" to last "the": on(3) the(4) mat(5) / the(0) cat(1) sat(2), 6 matches in
+    # hypothesis order at 3, 0, 5, 4, 1, 2: chunks 3 | 0 | 5 | 4 | 1 2
+    ("the cat sat on the mat", "on the mat the cat sat", 1 - 0.5 * (5 / 6) ** 3),
+    ("one two three", "four five six", 0.0),
+    ("", "anything", 0.0),
+    # y x y against the last y x y but one: x y x y x, matches 1 2 3 or, from the
+    # end, y -> 3, x -> 4, y -> 1: three chunks; P = 1, R = 3/5
+    ("x y x y x", "y x y", (1 - 0.5) * (1 * 0.6) / (0.9 * 1 + 0.1 * 0.6)),
+    # 1 of 2 words on either side
+    ("red car", "red bus", (1 - 0.5) * 0.5),
 ]
 
 
-def test_meteor_matches_greedy(spark):
-    df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(PAIRS)],
+def test_meteor_by_hand(spark):
+    df = spark.createDataFrame([(i, r, h) for i, (r, h, _) in enumerate(PAIRS)],
                                "id int, reference string, hypothesis string")
-    got = {r.id: r.meteor for r in TS.meteor(df, ["id"]).collect()}
-    for i, (r, h) in enumerate(PAIRS):
-        assert math.isclose(got[i], py_meteor(r, h), abs_tol=1e-12), (r, h)
-    # identical m-token strings: one chunk
-    assert math.isclose(got[0], 1 - 0.5 / 6 ** 3, abs_tol=1e-12)
-    assert got[3] == 0.0
+    for cells in (TS.INLINE_MAX_CELLS, 0):
+        got = {r.id: r.meteor for r in TS.meteor(df, ["id"], inline_max_cells=cells).collect()}
+        for i, (reference, hypothesis, score) in enumerate(PAIRS):
+            assert math.isclose(got[i], score, abs_tol=1e-12), (reference, hypothesis)
+
+
+def test_meteor_null_texts_and_carried_columns(spark):
+    df = spark.createDataFrame([(1, None, "a b", 0.5), (2, "a b", None, None), (3, None, None, 0.25),
+                                (4, "a b", "a b", 1.0)], "id int, reference string, hypothesis string, w double")
+    for cells in (TS.INLINE_MAX_CELLS, 0):
+        got = TS.meteor(df, ["id"], inline_max_cells=cells, carry=("w",)).collect()
+        assert {r.id: r.w for r in got} == {1: 0.5, 2: None, 3: 0.25, 4: 1.0}
+        assert {r.id: r.meteor for r in got} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1 - 0.5 / 8}
+
+
+def test_diversity_of_any_length(spark):
+    rng = np.random.default_rng(3)
+    for size in (32, 64, 384):
+        vectors = rng.normal(size=(5, size))
+        df = spark.createDataFrame([(1, i + 1, "s", v.tolist()) for i, v in enumerate(vectors)],
+                                   "item_id long, slot int, distractor_set string, vector array<double>")
+        u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        pairwise = [1 - u[i] @ u[j] for i in range(5) for j in range(i)]
+        assert math.isclose(TS.diversity(df).first().diversity, np.mean(pairwise), abs_tol=1e-12)
 
 
 def test_diversity_closed_form(spark):
@@ -63,7 +61,7 @@ def test_diversity_closed_form(spark):
         for slot in range(1, 1 + (1 if item == 3 else 6)):
             rows.append((item, slot, "s", rng.normal(size=8).tolist()))
     df = spark.createDataFrame(rows, "item_id long, slot int, distractor_set string, vector array<double>")
-    got = {r.item_id: r.diversity for r in TS.diversity(df, dim=8).collect()}
+    got = {r.item_id: r.diversity for r in TS.diversity(df).collect()}
     for item in range(3):
         vs = np.array([r[3] for r in rows if r[0] == item])
         u = vs / np.linalg.norm(vs, axis=1, keepdims=True)
@@ -81,53 +79,31 @@ def test_cosine_zero_vector_and_lexicon(spark):
     assert math.isclose(rows[0].l, 2 / 3) and rows[1].l == 0.0
 
 
-def py_meteor_stem(ref, hyp, alpha=0.9, beta=3.0, gamma=0.5):
-    from optiq.functions.stemmer import porter_stem
-    h = [(i, w) for i, w in enumerate(hyp.lower().split())]
-    r = [(j, w) for j, w in enumerate(ref.lower().split())]
-    nh, nr = len(h), len(r)
-
-    def greedy(h, r, key):
-        out = []
-        for i in range(len(h))[::-1]:
-            for j in range(len(r))[::-1]:
-                if key(h[i][1]) == key(r[j][1]):
-                    out.append((h[i][0], r[j][0]))
-                    h.pop(i)
-                    r.pop(j)
-                    break
-        return out
-    matches = greedy(h, r, lambda w: w) + greedy(h, r, porter_stem)
-    matches.sort()
-    m = len(matches)
-    if m == 0 or nh == 0 or nr == 0:
-        return 0.0
-    p, rc = m / nh, m / nr
-    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    chunks = 1 + sum(1 for a, b in zip(matches, matches[1:])
-                     if not (b[0] == a[0] + 1 and b[1] == a[1] + 1))
-    return (1 - gamma * (chunks / m) ** beta) * fmean
-
-
-STEM_PAIRS = PAIRS + [
-    ("the cats were running fast", "a cat runs fast"),
-    ("connected connections connect", "connecting connection"),
-    ("generalizations of oscillators", "oscillator generalization"),
+STEM_PAIRS = [  # reference, hypothesis, score with the stem stage
+    # "cat" and "runs" match "cats" and "running" by stem, "fast" as it is, "a" nothing:
+    # m = 3 in two chunks (cat | run fast); P = 3/4, R = 3/5
+    ("the cats were running fast", "a cat runs fast",
+     (1 - 0.5 * (2 / 3) ** 3) * (0.75 * 0.6) / (0.9 * 0.75 + 0.1 * 0.6)),
+    # both words match by stem from the end, in one chunk; P = 1, R = 2/3
+    ("connected connections connect", "connecting connection",
+     (1 - 0.5 / 8) * (2 / 3) / (0.9 + 0.1 * 2 / 3)),
+    # both match, in the other order: two chunks of two; P = 1, R = 2/3
+    ("generalizations of oscillators", "oscillator generalization",
+     (1 - 0.5) * (2 / 3) / (0.9 + 0.1 * 2 / 3)),
 ]
 
 
-def test_meteor_stem_stage_matches_greedy(spark):
-    df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(STEM_PAIRS)],
+def test_meteor_stem_stage_by_hand(spark):
+    df = spark.createDataFrame([(i, r, h) for i, (r, h, _) in enumerate(STEM_PAIRS)],
                                "id int, reference string, hypothesis string")
     got = {r.id: r.meteor for r in TS.meteor(df, ["id"], stem_stage=True).collect()}
-    for i, (r, h) in enumerate(STEM_PAIRS):
-        assert math.isclose(got[i], py_meteor_stem(r, h), abs_tol=1e-12), (r, h)
-    assert got[len(PAIRS)] > 0.0
+    for i, (reference, hypothesis, score) in enumerate(STEM_PAIRS):
+        assert math.isclose(got[i], score, abs_tol=1e-12), (reference, hypothesis)
 
 
 def test_meteor_routes_agree(spark):
     """Inline (short pairs) and set-based (long pairs) alignments give equal scores."""
-    df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(STEM_PAIRS)],
+    df = spark.createDataFrame([(i, r, h) for i, (r, h, _) in enumerate([*PAIRS, *STEM_PAIRS])],
                                "id int, reference string, hypothesis string")
     inline = {r.id: r.meteor for r in TS.meteor(df, ["id"], inline_max_cells=10 ** 6).collect()}
     setwise = {r.id: r.meteor for r in TS.meteor(df, ["id"], inline_max_cells=0).collect()}
