@@ -14,8 +14,10 @@ by one place for each further coordinate, and the coordinate is the minimum::
    classes with its smallest and its largest one: links in proportion to the
    bucket, never all pairs within it. Pairs are confirmed on the full sets.
 3. Components of the confirmed links. A bucket that still spans several
-   components may hide a link between two other classes, so exactly the pairs
-   across components are confirmed as well, and the components updated.
+   components may hide a link between two other classes, so the pairs across
+   components are confirmed as well: row by row in buckets of few classes, in
+   blocks of members (matrix products, of which only links that join components
+   leave a block) in larger ones. Then the components are updated.
 
 With 32 bands of 4 rows a pair of similarity 0.75 shares no key with
 probability 0.684**32 = 5e-6, one of 0.8 with 5e-8; nothing is lost after that.
@@ -46,6 +48,10 @@ from optiq.sources.tables import table
 BANDS, ROWS, WIDTH = 32, 4, 5
 #: Pairs of one class that meet its set in one task.
 PAIRS_A_SALT = 2000
+#: Members of a bucket that are still paired row by row across components.
+FEW = 16
+#: Members of a block in larger buckets, and tokens in one product of matrices.
+BLOCK, COLUMNS = 512, 8192
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -163,6 +169,71 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("common") >= percent * union).select("a", "b"))
 
 
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components in buckets of many members.
+
+    A bucket is split by hash into blocks of about ``BLOCK`` members, and each
+    pair of blocks is one group: its overlaps are a product of incidence
+    matrices, and of the links found only those leave it that join components
+    not yet joined there, fewer than it has members."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    placed = members.select("key", "rep", "n", "component", own.alias("own"),
+                            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("key", "rep", "n", "component", "own", F.least("own", "other").alias("low"),
+                           F.greatest("own", "other").alias("high"))
+    rows = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        own, low, high, rep, n, part = (table.column(c).to_numpy() for c in
+                                        ("own", "low", "high", "rep", "n", "component"))
+        items = table.column("items").combine_chunks()
+        found = _links_between(np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0]), n, part,
+                               items.offsets.to_numpy(), items.values.to_numpy(), percent)
+        return pa.Table.from_arrays([pa.array(rep[[i for i, _ in found]], pa.int64()),
+                                     pa.array(rep[[j for _, j in found]], pa.int64())], schema=schema) \
+            if found else schema.empty_table()
+
+    return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def _links_between(left: np.ndarray, right: np.ndarray, n: np.ndarray, part: np.ndarray,
+                   offsets: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Index pairs that link different parts, a spanning choice of them."""
+    owner = np.repeat(np.arange(len(n)), np.diff(offsets))
+    _, token, count = np.unique(values[offsets[0]:offsets[-1]], return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    owner, token = owner[shared[token]], number[token[shared[token]]]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        here = (token >= at) & (token < at + COLUMNS)
+        has = np.zeros((len(n), COLUMNS), dtype=np.float32)
+        has[owner[here], token[here] - at] = 1
+        common += has[left] @ has[right].T
+    common = common.astype(np.int64)
+    linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+    linked &= part[left][:, None] != part[right][None, :]
+    x, y = np.nonzero(linked)
+    ends = np.stack((part[left[x]], part[right[y]]))
+    _, one = np.unique(ends, axis=1, return_index=True)
+    parent: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while parent.get(p, p) != p:
+            p = parent[p]
+        return p
+
+    found = []
+    for i in one:
+        p, q = root(int(ends[0, i])), root(int(ends[1, i]))
+        if p != q:
+            parent[p] = q
+            found.append((left[x[i]], right[y[i]]))
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS,
                     width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
@@ -194,16 +265,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
 
     labelled = members.join(parts, members.rep == parts.node, "left").select(
         "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")) \
-        .where("c1 < c2").select("key")
+    mixed = (labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"),
+                                         F.count("*").alias("members"))
+             .where("c1 < c2").select("key", "members"))
     labelled = cut_lineage(labelled.join(mixed, "key"))
-    x, y = labelled.alias("x"), labelled.alias("y")
+    few = labelled.where(F.col("members") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
     across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
                      & (F.col("x.component") != F.col("y.component"))
                      & fits(F.col("x.n"), F.col("y.n")))
               .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = confirm(cut_lineage(across.join(done, ["a", "b"], "left_anti")), sets, percent)
+    more = more.union(_block_links(labelled.where(F.col("members") > FEW), sets, percent))
     parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
                        .union(more))
 
@@ -220,8 +294,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the rows whose component has a smaller ``doc_id``."""
     gone = near_duplicates(docs, **parameters).where("NOT kept").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+        F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
