@@ -9,7 +9,7 @@ text writer commits the files (records end with two line breaks, which is the
 separator), so retried and lost tasks leave nothing behind, and any store that
 Spark writes to will do. A file has at most ``file_records`` records.
 
-Reading: whole files of archives, plain or gzip by record, are parsed by their
+Reading: whole files of archives, plain or in one or more gzip members, are parsed by their
 Content-Length fields, never by searching for marks inside blocks. Segments are
 grouped by origin, ordered by number, checked for gaps and against the total
 length, and joined; then transfer framing is removed. Only segments are
@@ -104,8 +104,9 @@ def page_records(row, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
 
 
 def write(pages: DataFrame, path: str, min_revisit: int = 100, segment_bytes: int = 32_768,
-          chunk_bytes: int = 8_192, file_records: int = 4096) -> None:
-    """Archives of ``pages`` (page_id, url, html) under ``path``."""
+          chunk_bytes: int = 8_192, file_records: int = 4096, compression: str = "gzip") -> None:
+    """Archives of ``pages`` (page_id, url, html) under ``path``; ``compression``
+    is a codec of Spark's text writer that ``plain`` can read: gzip or none."""
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                          F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     known = known.withColumn("digest", F.sha2("payload", 256))
@@ -130,7 +131,8 @@ def write(pages: DataFrame, path: str, min_revisit: int = 100, segment_bytes: in
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     (rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path))
+     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records)
+     .option("compression", compression).text(path))
 
 
 FIELDS = {"warc-type": "type", "warc-record-id": "record_id", "warc-segment-origin-id": "origin_id",
