@@ -99,7 +99,7 @@ def tukey_hsd(stats: DataFrame, by: str = "model", alpha: float | None = None,
 
     se = sqrt(MSw (1/nA + 1/nB)); p (optional) = studentized-range tail at
     sqrt(2)|T| with k levels and N-k df. With ``alpha`` only variables whose
-    ANOVA p is below alpha are kept (the evaluator's gate; needs with_p).
+    ANOVA p is below alpha are kept (the evaluator's gate).
     Pairs are of *groups* (levels), so the self-join is on the small stats table.
     """
     keys = [by, "dependent_var"]

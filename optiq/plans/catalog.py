@@ -249,8 +249,9 @@ def _tukey_p(spark, sf):
 
 @register("tukey_gated")
 def _tukey_gated(spark, sf):
-    """The evaluator's post-hoc: pairs only for variables whose ANOVA p < 0.05."""
-    return INF.tukey_hsd(INF.group_stats(B.responses(spark, sf)), alpha=0.05, with_p=True)
+    """The evaluator's post-hoc: pairs only for variables whose ANOVA p < 0.05
+    (``tukey_pvalues`` has the pairs' own p-values)."""
+    return INF.tukey_hsd(INF.group_stats(B.responses(spark, sf)), alpha=0.05)
 
 
 # ---------------------------------------------------------------- text quality
@@ -332,7 +333,7 @@ def _qsr(spark, sf):
 
 def _fanout(spark, sf):
     """Set summary LEFT JOIN per-question quality (1:N): the few set rows are
-    broadcast after a size check instead of shuffling questions by set."""
+    broadcast by measured size instead of shuffling questions by set."""
     return J.left_join_small(S.set_summary(B.responses(spark, sf)),
                              QL.legacy_quality(spark, sf), "distractor_set", materialize=True)
 

@@ -395,6 +395,21 @@ SELECT model, dependent_var, A, B, {f4('mA')} AS mean_a, {f4('mB')} AS mean_b, {
        {f4('(mA - mB) / sqrt(((nA - 1) * coalesce(vA, 0) + (nB - 1) * coalesce(vB, 0)) / (nA + nB - 2)) * (1 - 3.0 / (4.0 * (nA + nB) - 9))')} AS hedges
 FROM pp"""
 
+# F tail with an even number d1 = 4 of numerator degrees (five sets), in closed form:
+# with x = d2 / (d2 + 4 f), p = x^(d2/2) * (1 + d2/2 * (1 - x))
+_F = "((ssb / (k - 1)) / (ssw / (N - k)))"
+_X = f"((N - k) / ((N - k) + 4.0 * {_F}))"
+_P = f"CASE WHEN k = 5 AND N > k AND ssw <> 0 THEN pow({_X}, (N - k) / 2.0) * (1 + (N - k) / 2.0 * (1 - {_X})) END"
+
+ORACLE["anova_pvalues"] = (
+    "SELECT t.*, " + f4("CASE WHEN t.source <> 'Within' THEN p.p END") + " AS p_unc FROM ("
+    + ORACLE["anova_oneway"] + ") t JOIN (" + with_(RESPONSES, _LONG)
+    + f" SELECT model, dependent_var, {_P} AS p FROM parts) p USING (model, dependent_var)")
+
+ORACLE["tukey_gated"] = (
+    "SELECT t.* FROM (" + ORACLE["tukey_hsd"] + ") t JOIN (" + with_(RESPONSES, _LONG)
+    + f" SELECT model, dependent_var, {_P} AS p FROM parts) p USING (model, dependent_var) WHERE p.p < 0.05")
+
 # ---------------------------------------------------------------- text quality
 from optiq.operators.textsim import PUNCTUATION as _PUNCT  # noqa: E402
 
