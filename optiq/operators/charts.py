@@ -37,4 +37,6 @@ def quality_vs_accuracy(joined: DataFrame) -> DataFrame:
         F.first("accuracy").alias("accuracy"), F.first("response_time").alias("response_time"),
         F.avg("meteor_scores").alias("meteor_scores"),
         F.avg("legal_relevance_scores").alias("legal_relevance_scores"),
-        F.avg("grammar_scores").alias("grammar_scores"))
+        F.avg("grammar_scores").alias("grammar_scores"),
+        F.avg("semantic_scores").alias("semantic_scores"),
+        F.avg("diversity").alias("diversity"))

@@ -149,6 +149,13 @@ def vector_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_items(spark: SparkSession, sf_dir: str) -> int:
+    """Number of vector items (one number read from the table). Text questions
+    of document d are bound to vector item d mod this number."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return 0 if last is None else last // ITEM_WIDTH + 1
+
+
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-empty sentence/line of every document, numbered within the document.
 
@@ -224,7 +231,7 @@ def text_item_successors(spark: SparkSession, sf_dir: str, keep_empty: bool = Fa
     (the "new" distractor set for that question), cut from the document's piece
     array in one pass: no self-join of the items."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
-    with_p = docs.select("doc_id", "source", _doc_pieces(docs).alias("p"))
+    with_p = docs.select("doc_id", F.col("source").alias("subject"), _doc_pieces(docs).alias("p"))
     p = F.col("p")
     nblocks = F.floor((F.size(p) + (ITEM_WIDTH - 1)) / ITEM_WIDTH).cast("int")
     pair = F.transform(
@@ -233,8 +240,8 @@ def text_item_successors(spark: SparkSession, sf_dir: str, keep_empty: bool = Fa
                            F.slice(p, b * ITEM_WIDTH + 2, ITEM_WIDTH - 1).alias("orig"),
                            F.slice(p, (b + 1) * ITEM_WIDTH + 2, ITEM_WIDTH - 1).alias("new")))
     return (with_p.where(nblocks >= 2)
-            .select("doc_id", F.explode(pair).alias("s"))
-            .select("doc_id", F.col("s.block").cast("int").alias("block"),
+            .select("doc_id", "subject", F.explode(pair).alias("s"))
+            .select("doc_id", "subject", F.col("s.block").cast("int").alias("block"),
                     F.concat(F.lit("doc"), _s(F.col("doc_id")), F.lit("/"), _s(F.col("s.block")))
                     .alias("question"),
                     _set_name(F.col("doc_id")).alias("distractor_set"),

@@ -300,7 +300,8 @@ def _div(spark, sf):
 
 @register("cosine_paired")
 def _cpaired(spark, sf):
-    return QL.vector_quality_per_question(spark, sf).select("question", "semantic_similarity")
+    question = F.concat(F.lit("vec"), F.col("question_id").cast("string")).alias("question")
+    return QL.vector_quality_per_question(spark, sf).select(question, "semantic_similarity")
 
 
 @register("meteor")
@@ -341,16 +342,21 @@ def _fanout(spark, sf):
 @register("join_quality_fanout")
 def _jqf(spark, sf):
     return _fanout(spark, sf).select("distractor_set", "question", "accuracy", "response_time",
-                                     "meteor_scores", "legal_relevance_scores", "grammar_scores")
+                                     "meteor_scores", "legal_relevance_scores", "grammar_scores",
+                                     "semantic_scores", "diversity")
 
 
 @register("fanout_means")
 def _fm(spark, sf):
-    return S.fanout_means(_fanout(spark, sf))
+    """Only accuracy and time are averaged: the questions per set are enough."""
+    questions = B.text_items(spark, sf).where(F.size("distractors") > 0).select(
+        "question", "distractor_set")
+    return S.fanout_means(J.left_join_small(S.set_summary(B.responses(spark, sf)), questions,
+                                            "distractor_set"))
 
 
 LEGACY_METRICS = ["accuracy", "response_time", "meteor_scores", "legal_relevance_scores",
-                  "grammar_scores"]
+                  "grammar_scores", "semantic_scores", "diversity"]
 
 
 @register("corr_matrix_quality")
@@ -800,4 +806,5 @@ def _qlegacy(spark, sf):
 
     return q.select("question", "distractor_set", text(F.col("meteor_scores")).alias("meteor_scores"),
                     text(F.col("legal_relevance_scores")).alias("legal_relevance_scores"),
-                    text(F.col("grammar_scores")).alias("grammar_scores"))
+                    text(F.col("grammar_scores")).alias("grammar_scores"),
+                    text(F.col("semantic_scores")).alias("semantic_scores"), "diversity")

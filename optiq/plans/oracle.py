@@ -469,7 +469,7 @@ def grammar_hits_sql(x: str) -> str:
 
 
 TEXT_DISTRACTORS = """text_distractors AS (
-  SELECT doc_id, block, question, correct_answer, distractor_set,
+  SELECT doc_id, block, question, correct_answer, subject, distractor_set,
          unnest(distractors) AS distractor, unnest(range(len(distractors))) AS pos
   FROM text_items)"""
 
@@ -525,7 +525,7 @@ vq_cnt AS (SELECT question_id, count(*) AS n FROM vq_nz GROUP BY question_id),
 vq_types AS (SELECT question_id, any_value(distractor_set) AS distractor_type FROM vq_o
              WHERE question_id IN (SELECT question_id FROM vq_n) GROUP BY question_id),
 vector_quality AS (
-  SELECT 'vec' || CAST(t.question_id AS VARCHAR) AS question, t.distractor_type,
+  SELECT t.question_id, 'vec' || CAST(t.question_id AS VARCHAR) AS question, t.distractor_type,
          coalesce(vq_sem.s, 0.0) AS semantic_similarity,
          coalesce(CASE WHEN vq_cnt.n >= 2 THEN 1.0 - vq_pr.mc ELSE 0.0 END, 0.0) AS diversity_score
   FROM vq_types t LEFT JOIN vq_sem ON t.question_id = vq_sem.question_id
@@ -548,27 +548,27 @@ TEXT_QUALITY = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """tq_pairs AS (
   FROM text_distractors o JOIN text_distractors n
     ON o.doc_id = n.doc_id AND n.block = o.block + 1 AND o.pos = n.pos)""",
     meteor_sql("tq_pairs", ["doc_id", "block", "pos"], "tqm")) + f""",
-tq_q AS (SELECT DISTINCT o.doc_id, o.block, o.question, o.distractor_set
+tq_q AS (SELECT DISTINCT o.doc_id, o.block, o.question, o.subject, o.distractor_set
          FROM text_distractors o JOIN text_distractors n ON o.doc_id = n.doc_id AND n.block = o.block + 1),
 tq_m AS (SELECT doc_id, block, avg(meteor) AS meteor_score FROM tqm GROUP BY doc_id, block),
 tq_g AS (SELECT doc_id, block - 1 AS block, avg(1.0 / (1.0 + {grammar_hits_sql('distractor')})) AS grammar_score
          FROM text_distractors GROUP BY doc_id, block),
 text_quality AS (
-  SELECT q.question, q.distractor_set AS distractor_type,
+  SELECT q.question, q.doc_id, q.subject, q.distractor_set AS distractor_type,
          coalesce(tq_m.meteor_score, 0.0) AS meteor_score, coalesce(tq_g.grammar_score, 0.0) AS grammar_score
   FROM tq_q q LEFT JOIN tq_m ON q.doc_id = tq_m.doc_id AND q.block = tq_m.block
   LEFT JOIN tq_g ON q.doc_id = tq_g.doc_id AND q.block = tq_g.block)"""
 
 _QPQ = TEXT_QUALITY + ",\n" + VECTOR_SLOTS + ",\n" + VECTOR_QUALITY + """,
 qpq AS (
-  SELECT question, distractor_type, meteor_score, CAST(NULL AS DOUBLE) AS semantic_similarity,
-         grammar_score, CAST(NULL AS DOUBLE) AS diversity_score FROM text_quality
-  UNION ALL
-  SELECT question, distractor_type, NULL, semantic_similarity, NULL, diversity_score FROM vector_quality)
+  SELECT t.question, t.subject, t.distractor_type, t.meteor_score, v.semantic_similarity,
+         t.grammar_score, v.diversity_score
+  FROM text_quality t LEFT JOIN vector_quality v
+    ON v.question_id = t.doc_id % (SELECT max(item_id) FROM vector_slots))
 """
 
 ORACLE["quality_per_question"] = _QPQ + f"""
-SELECT question, distractor_type, {f4('meteor_score')} AS meteor_score,
+SELECT question, subject, distractor_type, {f4('meteor_score')} AS meteor_score,
        {f4('semantic_similarity')} AS semantic_similarity, {f4('grammar_score')} AS grammar_score,
        {f4('diversity_score')} AS diversity_score FROM qpq"""
 
@@ -578,32 +578,47 @@ ORACLE["quality_agg"] = _QPQ + "SELECT distractor_type, " + ", ".join(
     " FROM qpq GROUP BY distractor_type"
 
 _NT = f"len({_TOK.format(x='distractor')})"
-LEGACY = with_(RESPONSES, TEXT_ITEMS, TEXT_DISTRACTORS, """lq_pairs AS (
+ITEM_VECTORS = VECTOR_SLOTS + f""",
+lv_nz AS (SELECT * FROM vector_slots WHERE slot > 0 AND list_dot_product(vector, vector) > 0),
+lv_p AS (SELECT a.item_id, avg({_COS.format(a='a.vector', b='b.vector')}) AS mc
+         FROM lv_nz a JOIN lv_nz b ON a.item_id = b.item_id AND a.slot < b.slot GROUP BY a.item_id),
+lv_d AS (SELECT item_id, CASE WHEN count(*) >= 2 THEN 1.0 - any_value(mc) ELSE 0.0 END AS diversity
+         FROM lv_nz LEFT JOIN lv_p USING (item_id) GROUP BY item_id),
+lv_c AS (SELECT a.item_id, d.slot, {_COS.format(a='a.vector', b='d.vector')} AS c
+         FROM vector_slots a JOIN vector_slots d ON a.item_id = d.item_id AND a.slot = 0 AND d.slot > 0)"""
+_LV_ITEM = "(SELECT max(item_id) + 1 FROM vector_slots)"
+LEGACY = with_(RESPONSES, TEXT_ITEMS, TEXT_DISTRACTORS, ITEM_VECTORS, """lq_pairs AS (
   SELECT question, pos, correct_answer AS reference, distractor AS hypothesis FROM text_distractors)""",
     meteor_sql("lq_pairs", ["question", "pos"], "lqm")) + f""",
 legacy AS (
-  SELECT o.question, o.distractor_set, o.legal_relevance_scores, o.grammar_scores, m.meteor_scores
-  FROM (SELECT question, distractor_set, avg({lexicon_sql('distractor')}) AS legal_relevance_scores,
+  SELECT o.question, o.distractor_set, o.legal_relevance_scores, o.grammar_scores, m.meteor_scores,
+         s.semantic_scores, lv_d.diversity
+  FROM (SELECT question, distractor_set, doc_id, avg({lexicon_sql('distractor')}) AS legal_relevance_scores,
                avg(CASE WHEN {_NT} > 0 THEN 1.0 - CAST(least({grammar_hits_sql('distractor')}, {_NT}) AS DOUBLE) / {_NT} ELSE 1.0 END) AS grammar_scores
-        FROM text_distractors GROUP BY question, distractor_set) o
+        FROM text_distractors GROUP BY question, distractor_set, doc_id) o
+  LEFT JOIN (SELECT item_id, avg(c) AS semantic_scores FROM lv_c GROUP BY item_id) s
+    ON s.item_id = o.doc_id % {_LV_ITEM}
+  LEFT JOIN lv_d ON lv_d.item_id = o.doc_id % {_LV_ITEM}
   LEFT JOIN (SELECT question, avg(meteor) AS meteor_scores FROM lqm GROUP BY question) m
     ON o.question = m.question),
 ss AS (SELECT distractor_set, avg(CAST(is_correct AS DOUBLE)) * 100.0 AS accuracy,
               avg(response_time) AS response_time, count(*) AS n_responses
        FROM responses WHERE distractor_set IS NOT NULL GROUP BY distractor_set),
 fan AS (SELECT ss.*, legacy.question, legacy.legal_relevance_scores, legacy.grammar_scores,
-               legacy.meteor_scores
+               legacy.meteor_scores, legacy.semantic_scores, legacy.diversity
         FROM ss LEFT JOIN legacy ON ss.distractor_set = legacy.distractor_set)
 """
 
 ORACLE["quality_summary_row"] = LEGACY + f"""
 SELECT question, distractor_set, {f4('legal_relevance_scores')} AS legal_relevance_scores,
-       {f4('grammar_scores')} AS grammar_scores, {f4('meteor_scores')} AS meteor_scores FROM legacy"""
+       {f4('grammar_scores')} AS grammar_scores, {f4('meteor_scores')} AS meteor_scores,
+       {f4('semantic_scores')} AS semantic_scores, {f4('diversity')} AS diversity FROM legacy"""
 
 ORACLE["join_quality_fanout"] = LEGACY + f"""
 SELECT distractor_set, question, {f4('accuracy')} AS accuracy, {f4('response_time')} AS response_time,
        {f4('meteor_scores')} AS meteor_scores, {f4('legal_relevance_scores')} AS legal_relevance_scores,
-       {f4('grammar_scores')} AS grammar_scores FROM fan"""
+       {f4('grammar_scores')} AS grammar_scores, {f4('semantic_scores')} AS semantic_scores,
+       {f4('diversity')} AS diversity FROM fan"""
 
 ORACLE["fanout_means"] = LEGACY + f"""
 SELECT {f4('avg(accuracy)')} AS average_accuracy, {f4('avg(response_time)')} AS average_response_time,
@@ -624,7 +639,8 @@ def corr_sql(src: str, metrics) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-_LEG_METRICS = ["accuracy", "response_time", "meteor_scores", "legal_relevance_scores", "grammar_scores"]
+_LEG_METRICS = ["accuracy", "response_time", "meteor_scores", "legal_relevance_scores", "grammar_scores",
+                "semantic_scores", "diversity"]
 ORACLE["corr_matrix_quality"] = LEGACY + corr_sql("fan", _LEG_METRICS)
 ORACLE["argmax_abs"] = LEGACY + f""", c AS ({corr_sql("fan", _LEG_METRICS)}),
 cc AS (SELECT * FROM c WHERE metric_a = 'accuracy' AND metric_b <> 'accuracy' AND r IS NOT NULL)
@@ -724,7 +740,8 @@ SELECT distractor_set, {f4('any_value(accuracy)')} AS accuracy,
        {f4('any_value(response_time)')} AS response_time,
        {f4('avg(meteor_scores)')} AS meteor_scores,
        {f4('avg(legal_relevance_scores)')} AS legal_relevance_scores,
-       {f4('avg(grammar_scores)')} AS grammar_scores
+       {f4('avg(grammar_scores)')} AS grammar_scores,
+       {f4('avg(semantic_scores)')} AS semantic_scores, {f4('avg(diversity)')} AS diversity
 FROM fan GROUP BY distractor_set"""
 
 # ---------------------------------------------------------------- bank preparation
@@ -935,11 +952,11 @@ FROM graded GROUP BY model, distractor_set"""
 
 _F4L = ("array_to_string(list_transform({x}, lambda v: printf('%.6e', "
         "CAST(CAST(v AS FLOAT) AS DOUBLE))), ',')")
-ORACLE["quality_legacy"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """lq_pairs AS (
+ORACLE["quality_legacy"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, ITEM_VECTORS, """lq_pairs AS (
   SELECT question, pos, correct_answer AS reference, distractor AS hypothesis FROM text_distractors)""",
     meteor_sql("lq_pairs", ["question", "pos"], "lqm")) + f""",
 per AS (
-  SELECT t.question, t.distractor_set, t.pos, m.meteor,
+  SELECT t.question, t.distractor_set, t.doc_id, t.pos, m.meteor,
          {lexicon_sql('t.distractor')} AS lex,
          CASE WHEN len({_TOK.format(x='t.distractor')}) > 0
               THEN 1.0 - CAST(least({grammar_hits_sql('t.distractor')}, len({_TOK.format(x='t.distractor')})) AS DOUBLE)
@@ -948,5 +965,9 @@ per AS (
 SELECT question, distractor_set,
        {_F4L.format(x='list(meteor ORDER BY pos)')} AS meteor_scores,
        {_F4L.format(x='list(lex ORDER BY pos)')} AS legal_relevance_scores,
-       {_F4L.format(x='list(gram ORDER BY pos)')} AS grammar_scores
-FROM per GROUP BY question, distractor_set"""
+       {_F4L.format(x='list(gram ORDER BY pos)')} AS grammar_scores,
+       any_value(s.semantic_scores) AS semantic_scores, {f4('any_value(lv_d.diversity)')} AS diversity
+FROM per LEFT JOIN (SELECT item_id, {_F4L.format(x='list(c ORDER BY slot)')} AS semantic_scores
+                    FROM lv_c GROUP BY item_id) s ON s.item_id = per.doc_id % {_LV_ITEM}
+LEFT JOIN lv_d ON lv_d.item_id = per.doc_id % {_LV_ITEM}
+GROUP BY question, distractor_set"""

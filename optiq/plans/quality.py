@@ -33,17 +33,18 @@ def text_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
     positional partner: its grammar score is carried beside the pair.
     """
     it = B.text_item_successors(spark, sf)
-    z = it.select("question", "distractor_set",
+    z = it.select("question", "distractor_set", "doc_id", "subject",
                   F.posexplode(F.arrays_zip(F.col("orig").alias("o"), F.col("new").alias("n")))
                   .alias("pos", "pr"))
     pairs = z.where(F.col("pr.o").isNotNull() & F.col("pr.n").isNotNull()).select(
-        "question", "distractor_set", "pos",
+        "question", "distractor_set", "doc_id", "subject", "pos",
         TS.grammar_inverse(F.col("pr.n")).alias("gram"),
         F.col("pr.o").alias("reference"), F.col("pr.n").alias("hypothesis"))
-    met = TS.meteor(pairs, ["question", "distractor_set", "pos"], carry=("gram",))
-    return (met.groupBy("question", "distractor_set")
+    keys = ["question", "distractor_set", "doc_id", "subject"]
+    met = TS.meteor(pairs, [*keys, "pos"], carry=("gram",))
+    return (met.groupBy(*keys)
             .agg(F.avg("meteor").alias("meteor_score"), F.avg("gram").alias("grammar_score"))
-            .select("question", F.col("distractor_set").alias("distractor_type"),
+            .select("question", "doc_id", "subject", F.col("distractor_set").alias("distractor_type"),
                     F.coalesce("meteor_score", F.lit(0.0)).alias("meteor_score"),
                     F.coalesce("grammar_score", F.lit(0.0)).alias("grammar_score")))
 
@@ -66,18 +67,36 @@ def vector_quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
              .join(has_new, "question_id"))
     return (types.join(sem, "question_id", "left").join(div.select("question_id", "diversity"),
                                                          "question_id", "left")
-            .select(F.concat(F.lit("vec"), F.col("question_id").cast("string")).alias("question"),
-                    "distractor_type",
+            .select("question_id", "distractor_type",
                     F.coalesce("semantic_similarity", F.lit(0.0)).alias("semantic_similarity"),
                     F.coalesce("diversity", F.lit(0.0)).alias("diversity_score")))
 
 
 def quality_per_question(spark: SparkSession, sf: str) -> DataFrame:
-    """All four enhanced metrics per (question, type); a metric a source cannot
-    provide is NULL (the text rows carry no embeddings and vice versa)."""
+    """All four enhanced metrics and the subject per (question, type). Questions of
+    document d have the vectors of vector question d mod their number (the last
+    vector item has no successor, so it is no question)."""
     t = text_quality_per_question(spark, sf)
-    v = vector_quality_per_question(spark, sf)
-    return t.unionByName(v, allowMissingColumns=True)
+    v = vector_quality_per_question(spark, sf).drop("distractor_type")
+    n = max(B.vector_items(spark, sf) - 1, 1)
+    return (t.join(v, F.pmod(F.col("doc_id"), F.lit(n)) == F.col("question_id"), "left")
+            .select("question", "subject", "distractor_type", "meteor_score", "semantic_similarity",
+                    "grammar_score", "diversity_score"))
+
+
+def vector_item_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Per vector item: mean cosine of the answer and each distractor, and the
+    diversity of the distractors."""
+    slots = B.vector_slots(spark, sf)
+    sem = TS.cosine_to_answer(slots).groupBy("item_id").agg(F.avg("similarity").alias("semantic_scores"))
+    return sem.join(TS.diversity(slots).select("item_id", "diversity"), "item_id", "left")
+
+
+def with_item_vectors(spark: SparkSession, sf: str, questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``questions`` (with doc_id) and the columns of their vector item."""
+    n = max(B.vector_items(spark, sf), 1)
+    return questions.join(vectors, F.pmod(F.col("doc_id"), F.lit(n)) == F.col("item_id"),
+                          "left").drop("item_id", "doc_id")
 
 
 def quality_agg(per_question: DataFrame) -> DataFrame:
@@ -90,37 +109,48 @@ def quality_agg(per_question: DataFrame) -> DataFrame:
 
 def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFrame:
     """Per (question, set): mean METEOR (correct answer vs each distractor),
-    mean lexicon relevance and mean grammar ratio of the distractors.
+    mean lexicon relevance and grammar ratio of the distractors, mean cosine and
+    diversity of the bound vector item.
 
     Every distractor is in exactly one METEOR pair, so its lexicon and grammar
     scores are computed in the pair projection and carried beside the pair."""
     d = text_distractors(spark, sf)
-    pairs = d.select("question", "distractor_set", "pos",
+    pairs = d.select("question", "distractor_set", "doc_id", "pos",
                      TS.lexicon_relevance(F.col("distractor"), lexicon).alias("lex"),
                      TS.grammar_ratio(F.col("distractor")).alias("gram"),
                      F.col("correct_answer").alias("reference"),
                      F.col("distractor").alias("hypothesis"))
-    met = TS.meteor(pairs, ["question", "distractor_set", "pos"], carry=("lex", "gram"))
-    return met.groupBy("question", "distractor_set").agg(
+    keys = ["question", "distractor_set", "doc_id"]
+    met = TS.meteor(pairs, [*keys, "pos"], carry=("lex", "gram"))
+    means = met.groupBy(*keys).agg(
         F.avg("lex").alias("legal_relevance_scores"),
         F.avg("gram").alias("grammar_scores"),
         F.avg("meteor").alias("meteor_scores"))
+    return with_item_vectors(spark, sf, means, vector_item_quality(spark, sf))
 
 
 def quality_legacy(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFrame:
     """Per (question, set): the list-valued quality record in distractor order
-    (METEOR vs the correct answer, lexicon relevance, grammar ratio). Lists are
-    per item (bounded by the item's distractor count)."""
+    (METEOR vs the correct answer, lexicon relevance, grammar ratio, cosines of the
+    bound vector item) and the vector item's diversity. Lists are per item
+    (bounded by the item's distractor count)."""
     d = text_distractors(spark, sf)
-    pairs = d.select("question", "distractor_set", "pos",
+    pairs = d.select("question", "distractor_set", "doc_id", "pos",
                      TS.lexicon_relevance(F.col("distractor"), lexicon).alias("lex"),
                      TS.grammar_ratio(F.col("distractor")).alias("gram"),
                      F.col("correct_answer").alias("reference"),
                      F.col("distractor").alias("hypothesis"))
-    met = TS.meteor(pairs, ["question", "distractor_set", "pos"], carry=("lex", "gram"))
+    keys = ["question", "distractor_set", "doc_id"]
+    met = TS.meteor(pairs, [*keys, "pos"], carry=("lex", "gram"))
     rec = F.array_sort(F.collect_list(F.struct("pos", "meteor", "lex", "gram")))
-    g = met.groupBy("question", "distractor_set").agg(rec.alias("r"))
-    return g.select("question", "distractor_set",
+    g = met.groupBy(*keys).agg(rec.alias("r"))
+    slots = B.vector_slots(spark, sf)
+    cosines = TS.cosine_to_answer(slots).groupBy("item_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "similarity"))),
+                    lambda x: x["similarity"]).alias("semantic_scores"))
+    vectors = cosines.join(TS.diversity(slots).select("item_id", "diversity"), "item_id", "left")
+    g = with_item_vectors(spark, sf, g, vectors)
+    return g.select("question", "distractor_set", "semantic_scores", "diversity",
                     F.transform("r", lambda x: x["meteor"]).alias("meteor_scores"),
                     F.transform("r", lambda x: x["lex"]).alias("legal_relevance_scores"),
                     F.transform("r", lambda x: x["gram"]).alias("grammar_scores"))
