@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from optiq.llm import vocab
 from optiq.sources.tables import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+SLICE = 1 << 19
 
 
 def default_pattern() -> str:
@@ -115,10 +117,39 @@ def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded")
     return df.withColumn(out, decode_packed(codec, F.col(ids)))
 
 
+def round_trip(df: DataFrame, codec: Codec, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys``, ids and decoded for each text, encoded and decoded in one pass
+    that holds about ``SLICE`` characters of texts at a time."""
+    ranks, pattern, key = codec.ranks, codec.pattern, codec.key
+    rows = df.select(F.struct(*keys).alias("row"), F.col(text).alias("text"))
+
+    def run(batches):
+        ids, token = _encoder(ranks, pattern, key).__getitem__, _decoder(ranks, key).__getitem__
+        for batch in batches:
+            row, texts = batch.column(0), batch.column(1)
+            packed, decoded, size, at = [], [], 0, 0
+            for i in range(len(texts)):
+                t = texts[i].as_py()
+                p = None if t is None else b"".join(map(ids, vocab.units(t)))
+                packed.append(p)
+                decoded.append(None if p is None else
+                               b"".join(map(token, np.frombuffer(p, dtype="<u4").tolist())))
+                size += len(t or "")
+                if size >= SLICE or i + 1 == len(texts):
+                    yield pa.RecordBatch.from_arrays(
+                        [row.slice(at, i + 1 - at), pa.array(packed, pa.binary()),
+                         pa.array(decoded, pa.binary())], names=["row", "ids", "decoded"])
+                    packed, decoded, size, at = [], [], 0, i + 1
+
+    out = T.StructType([rows.schema["row"], T.StructField("ids", T.BinaryType()),
+                        T.StructField("decoded", T.BinaryType())])
+    return rows.mapInArrow(run, out).select("row.*", "ids", "decoded")
+
+
 def token_digests(df: DataFrame, codec: Codec) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents (null text: empty)."""
     docs = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    both = decode(encode(docs, codec).drop("text"), codec)
+    both = round_trip(docs, codec, ["doc_id"])
     return both.select("doc_id", n_ids(F.col("ids")).alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
