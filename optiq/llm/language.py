@@ -3,9 +3,10 @@
 For each language a suffix automaton is built over a sample of labelled text.
 A text is parsed greedily against each automaton: a phrase is the longest match
 of the text's next characters anywhere in the sample, then the next phrase
-begins. Text of the sample's language falls into few, long phrases. A phrase
-costs log2(sample length) bits (a pointer into the sample), and the language
-that needs the fewest bits wins; ``score`` is its share of the likelihood,
+begins; a byte that the sample doesn't have opens a phrase. Text of the
+sample's language falls into few, long phrases. A phrase costs
+log2(sample length) bits (a pointer into the sample), and the language that
+needs the fewest bits wins; ``score`` is its share of the likelihood,
 1 / sum over languages of 2 ** (its bits - their bits).
 
 Texts are lower-cased and reduced to runs of letters joined by one space. They
