@@ -128,9 +128,26 @@ PROMPT_SHORT = (
     "Respond with your answer choice exactly as it appears in the options.\n"
     "Also rate your confidence from 0-100, where 100 means absolutely certain.\n\n"
     "Format: Answer: [your answer]\nConfidence: [0-100]\n")
+# wording of the first evaluator and of the distractor generator
+PROMPT_LEGACY = (
+    "Read the question and select the best answer from the provided options.\n\n",
+    "Question: ", "\n\nOptions: ", "\n\nRespond with the best answer choice exactly as it appears.")
+PROMPT_GENERATE = (
+    "Given the following multiple-choice question and correct answer, generate ",
+    " plausible but incorrect distractors.\n\nQuestion: ", "\nCorrect Answer: ", "\nDistractors:\n")
 # --------------------------------------------------------------------------------
 
 
+def legacy_prompt(question: Column, options: Column) -> Column:
+    intro, q, o, end = map(F.lit, PROMPT_LEGACY)
+    return F.concat(intro, q, question, o, F.concat_ws(", ", options), end)
+
+
+def generate_prompt(question: Column, correct: Column, n: Column) -> Column:
+    intro, q, answer, end = map(F.lit, PROMPT_GENERATE)
+    return F.concat(intro, n.cast("string"), q, question, answer, correct, end)
+
+
 def format_prompt(question: Column, options: Column, request_reasoning: Column) -> Column:
     head = F.concat(F.lit("Question: "), question, F.lit("\nOptions: "),
                     F.concat_ws(", ", options), F.lit("\n\n"))

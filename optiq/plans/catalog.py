@@ -516,6 +516,15 @@ def _prompt(spark, sf):
                                      F.col("request_reasoning")).alias("prompt"))
 
 
+@register("prompt_styles")
+def _prompt_styles(spark, sf):
+    """The first evaluator's and the generator's prompt of each item."""
+    a = _assembled(spark, sf)
+    return a.select("question", BK.legacy_prompt(F.col("question"), F.col("presented_options")).alias("legacy"),
+                    BK.generate_prompt(F.col("question"), F.col("correct_answer"),
+                                       F.size("distractors")).alias("generate"))
+
+
 @register("parse_generated_lines")
 def _gen_lines(spark, sf):
     conv = B.table(spark, sf, "conversations")
@@ -606,6 +615,18 @@ def _cm(spark, sf):
                               F.col("is_correct"))
 
 
+@register("filter_in")
+def _fin(spark, sf):
+    """Membership filter on the set, then one summary row per set."""
+    return S.set_summary(B.responses(spark, sf).where(F.col("distractor_set").isin("click", "view")))
+
+
+@register("round_n")
+def _rounded(spark, sf):
+    """The summaries rounded as the evaluator reports them."""
+    return S.model_distractor_summary(B.responses(spark, sf), rounded=True)
+
+
 @register("nunique")
 def _nu(spark, sf):
     return B.responses(spark, sf).groupBy("question").agg(
@@ -650,16 +671,44 @@ def _scan_sets(spark, sf):
 
 @register("load_results")
 def _load_results(spark, sf):
-    """Round trip of graded responses through the flat CSV sink and loader."""
+    """Round trip of graded responses through the flat CSV sink and loader; the
+    answers hold quotes, commas and line breaks, confidences hold nulls."""
     g = EV.grade_replies(B.raw_responses(spark, sf))
-    flat = g.select("question", F.lit("unknown").alias("subject"), "correct_answer", "llm_answer",
+    flat = g.select("question", F.lit("unknown").alias("subject"), "correct_answer",
+                    F.concat("llm_answer", F.lit(' "so",\nthen')).alias("llm_answer"),
                     "is_correct", "confidence", "response_time", "reasoning_text",
                     "reasoning_metrics", "distractor_set",
                     F.col("distractor_set").alias("distractor_type"), "model")
     path = scratch_path(spark, "responses-csv")
     FS.sink_csv(flat, path)
-    return FS.load_results(spark, csv_path=path).groupBy("model", "distractor_set").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_correct").cast("int")).alias("n_correct"))
+    return FS.load_results(spark, csv_path=path).select(
+        "model", "distractor_set", "question", "correct_answer", "llm_answer", "is_correct",
+        "confidence", "response_time")
+
+
+@register("scan_reading_sets")
+def _scan_reading(spark, sf):
+    """Round trip of items with a passage through JSON files."""
+    it = _items(spark, sf)
+    path = scratch_path(spark, "reading-json")
+    FS.sink_json(it.select(F.concat_ws(" / ", "question", "correct_answer").alias("passage"), "question",
+                           "correct_answer", BK.number_distractors(F.col("distractors")).alias("distractors"),
+                           "subject"), path)
+    back = FS.scan_reading_sets(spark, path, multiline=False)
+    return back.select("passage", "question", "correct_answer", F.size("distractors").alias("n_distractors"))
+
+
+@register("scan_tolerant")
+def _scan_tolerant(spark, sf):
+    """JSON lines of which every other one is cut off: good rows and quarantined records."""
+    it = _items(spark, sf).select("question", "correct_answer", "block")
+    whole = F.to_json(F.struct("question", "correct_answer"))
+    cut = F.concat(F.lit('{"question": "'), F.col("question"))
+    path = scratch_path(spark, "tolerant-json")
+    it.select(F.when(F.col("block") % 2 == 0, whole).otherwise(cut).alias("value")).write.text(path)
+    good, bad = FS.scan_tolerant(spark, path, multiline=False, glob="*.txt")
+    return good.select("question", F.lit(True).alias("good")).unionByName(
+        bad.select(F.col("_corrupt_record").alias("question"), F.lit(False).alias("good")))
 
 
 @register("gate_dataset")

@@ -145,6 +145,18 @@ SELECT distractor_set, {f4('avg(CAST(is_correct AS DOUBLE)) * 100.0')} AS accura
        {f4('avg(response_time)')} AS response_time, count(*) AS n_responses
 FROM responses WHERE distractor_set IS NOT NULL GROUP BY distractor_set"""
 
+ORACLE["filter_in"] = with_(RESPONSES) + f"""
+SELECT distractor_set, {f4('avg(CAST(is_correct AS DOUBLE)) * 100.0')} AS accuracy,
+       {f4('avg(response_time)')} AS response_time, count(*) AS n_responses
+FROM responses WHERE distractor_set IN ('click', 'view') GROUP BY distractor_set"""
+
+ORACLE["round_n"] = f"""
+SELECT level, model, distractor_set, {f4('round(accuracy, 2)')} AS accuracy,
+       {f4('round(avg_confidence, 2)')} AS avg_confidence,
+       {f4('round(avg_response_time, 3)')} AS avg_response_time,
+       {f4('round(confidence_calibration, 3)')} AS confidence_calibration, count
+FROM ({ORACLE["model_distractor_summary"]})"""
+
 ORACLE["distractor_stats"] = with_(RESPONSES) + f"""
 SELECT model, distractor_set,
        {f4('avg(CAST(is_correct AS DOUBLE))')} AS is_correct_mean,
@@ -805,6 +817,21 @@ SELECT question, plan_set, model,
        || CASE WHEN request_reasoning THEN '{_PR}' ELSE '{_PS}' END AS prompt
 FROM plan"""
 
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+from optiq.operators.bank import PROMPT_GENERATE as _PG, PROMPT_LEGACY as _PL  # noqa: E402
+
+ORACLE["prompt_styles"] = with_(TEXT_ITEMS, ASSEMBLED) + f"""
+SELECT question, {_quoted(_PL[0] + _PL[1])} || question || {_quoted(_PL[2])}
+         || array_to_string(presented_options, ', ') || {_quoted(_PL[3])} AS legacy,
+       {_quoted(_PG[0])} || CAST(len(distractors) AS VARCHAR) || {_quoted(_PG[1])} || question
+         || {_quoted(_PG[2])} || correct_answer || {_quoted(_PG[3])} AS generate
+FROM assembled"""
+
 _GL = ("list_filter(list_transform(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)), "
        "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1:9]")
 ORACLE["parse_generated_lines"] = f"""
@@ -875,9 +902,16 @@ SELECT question, correct_answer, array_to_string(distractors, ' | ') AS options,
 FROM text_items"""
 ORACLE["scan_distractor_sets"] = with_(TEXT_ITEMS) + """
 SELECT question, distractor_set, CAST(len(distractors) AS INTEGER) AS n_distractors FROM text_items"""
-ORACLE["load_results"] = with_(RAW_RESPONSES, PARSED) + """
-SELECT model, distractor_set, count(*) AS n, CAST(sum(CAST(is_correct AS INTEGER)) AS BIGINT) AS n_correct
-FROM graded GROUP BY model, distractor_set"""
+ORACLE["load_results"] = with_(RAW_RESPONSES, PARSED) + f"""
+SELECT model, distractor_set, question, correct_answer, llm_answer || ' "so",' || chr(10) || 'then' AS llm_answer,
+       is_correct, confidence, {f4('response_time')} AS response_time
+FROM graded"""
+ORACLE["scan_reading_sets"] = with_(TEXT_ITEMS) + """
+SELECT question || ' / ' || correct_answer AS passage, question, correct_answer,
+       CAST(len(distractors) AS INTEGER) AS n_distractors FROM text_items"""
+ORACLE["scan_tolerant"] = with_(TEXT_ITEMS) + """
+SELECT CASE WHEN block % 2 = 0 THEN question ELSE '{"question": "' || question END AS question,
+       block % 2 = 0 AS good FROM text_items"""
 ORACLE["gate_dataset"] = with_(TEXT_ITEMS) + """
 SELECT CAST(sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS valid_rows,
        CAST(sum(CASE WHEN question IS NOT NULL AND correct_answer IS NOT NULL THEN 0 ELSE 1 END) AS BIGINT) AS invalid_rows,
