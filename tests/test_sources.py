@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from optiq.sources import files as FS
@@ -94,3 +95,23 @@ def test_parse_csv_line_doubled_quotes(spark):
     r = FS.parse_csv_line(lines).first()
     assert r.question == 'Say "hi", then go'
     assert list(r.options) == ["A", "B, b", 'C "c"', "D"] and r.correct_answer == "D"
+
+
+def test_split_csv_pair_line_ends_and_several_files(spark):
+    d = _tmp()
+    for name, text in (("q.csv", 'Q1,a,b,c,d\r\nQ2,"e, ""f""",g,h,i\r\n'), ("a.csv", "3\r\n0\r\n")):
+        with open(os.path.join(d, name), "w", newline="") as f:
+            f.write(text)
+    got = FS.scan_split_csv_pair(spark, os.path.join(d, "q.csv"), os.path.join(d, "a.csv"), "s").orderBy("pos").collect()
+    assert [(r.question, r.correct_answer) for r in got] == [("Q1", "d"), ("Q2", 'e, "f"')]
+    with pytest.raises(Exception, match="more than one file"):
+        FS.scan_split_csv_pair(spark, d, os.path.join(d, "a.csv"), "s").collect()
+
+
+def test_results_csv_of_other_tools(spark):
+    d = _tmp()
+    with open(os.path.join(d, "r.csv"), "w", newline="") as f:
+        f.write("question,subject,correct_answer,llm_answer,is_correct,confidence,response_time,distractor_set,"
+                'distractor_type,model\n"a ""b"",\nc",s,x,y,True,95.0,0.5,o,o,m\nq2,s,x,y,False,,0.5,o,o,m\n')
+    rows = FS.load_results(spark, csv_path=os.path.join(d, "r.csv")).collect()
+    assert [(r.question, r.confidence) for r in rows] == [('a "b",\nc', 95), ("q2", None)]
