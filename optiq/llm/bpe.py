@@ -49,21 +49,21 @@ class Codec:
 
 def _encoder(ranks, pattern: str, key) -> vocab.Memo:
     """piece -> its ids as little-endian unsigned 32-bit integers."""
-    cache = vocab.worker_cache("bpe_encoder")
-    if key not in cache:
+    cache = vocab.worker_cache("bpe")
+    if ("encoder", key) not in cache:
         import tiktoken
         enc = tiktoken.Encoding("ranks", pat_str=pattern, special_tokens={},
                                 mergeable_ranks=vocab.rank_table(ranks.value))
         ordinary = enc.encode_ordinary
-        cache[key] = vocab.Memo(lambda piece: np.array(ordinary(piece), dtype="<u4").tobytes())
-    return cache[key]
+        cache["encoder", key] = vocab.Memo(lambda piece: np.array(ordinary(piece), dtype="<u4").tobytes())
+    return cache["encoder", key]
 
 
 def _decoder(ranks, key) -> dict[int, bytes]:
-    cache = vocab.worker_cache("bpe_decoder")
-    if key not in cache:
-        cache[key] = {i: tok for tok, i in vocab.rank_table(ranks.value).items()}
-    return cache[key]
+    cache = vocab.worker_cache("bpe")
+    if ("decoder", key) not in cache:
+        cache["decoder", key] = {i: tok for tok, i in vocab.rank_table(ranks.value).items()}
+    return cache["decoder", key]
 
 
 def encode_packed(codec: Codec, text: Column) -> Column:

@@ -185,7 +185,7 @@ def learn(docs: DataFrame, rows: int = 256, chars: int = 256) -> Model:
 
 
 def _parser(samples, key) -> Parser:
-    cache = vocab.worker_cache("language_parser")
+    cache = vocab.worker_cache("language")
     if key not in cache:
         cache.clear()
         cache[key] = Parser(samples.value)
@@ -199,9 +199,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(texts: pa.Array) -> pa.Array:
         parser = _parser(samples, key)
-        values, out = texts.to_pylist(), []
-        for a in range(0, len(values), 512):
-            out.extend(parser.predict(values[a:a + 512]))
+        out = []
+        for a in range(0, len(texts), 512):
+            out.extend(parser.predict(texts.slice(a, 512).to_pylist()))
         return pa.array([{"lang_pred": p, "score": s} for p, s in out], type=kind)
 
     found = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from optiq.llm.components import components
-from optiq.llm.shingles import Shingler, mix64, slices
+from optiq.llm.shingles import Shingler, mix64, text_slices
 from optiq.session import cut_lineage
 from optiq.sources.tables import table
 
@@ -106,10 +106,8 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1",
 def _signed(batches, bands: int, rows: int, width: int):
     shingler = Shingler(width)
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        for a, b in slices(texts):
-            sets = shingler.sets(texts[a:b])
+        for a, b, texts in text_slices(batch.column(1)):
+            sets = shingler.sets(texts)
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
             keys = iter(())
@@ -120,7 +118,7 @@ def _signed(batches, bands: int, rows: int, width: int):
             digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
                                      dtype=np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[a:b], pa.int64()), pa.array(sizes, pa.int64()),
+                batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()),
                 pa.array([d[0] for d in digests], pa.int64()),
                 pa.array([d[1] for d in digests], pa.int64()),
                 pa.array([next(keys) if n else [] for n in sizes], pa.list_(pa.int64()))],
@@ -141,13 +139,10 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         shingler = Shingler(width)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [(t or "").encode("utf-8", "surrogatepass")
-                     for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                sets = [s.view(np.int64) for s in shingler.sets(texts[a:b])]
+            for a, b, texts in text_slices(batch.column(1)):
+                sets = [s.view(np.int64) for s in shingler.sets(texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                    [batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))],
                     schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(

@@ -10,6 +10,10 @@ fewer words is one shingle of all of them, and one without words has none.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from optiq.llm import vocab
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -95,6 +99,21 @@ class Shingler:
         return [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES):
+    """(first row, end row, bytes of each text) over an Arrow column of strings in
+    slices of about ``limit`` bytes, so no batch is copied whole; null: empty."""
+    vocab.worker_cache("shingles")
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > limit:
+            yield at, i, [t or b"" for t in texts.slice(at, i - at).cast(pa.binary()).to_pylist()]
+            at, size = i, 0
+        size += n + 1
+    if at < len(sizes):
+        yield at, len(sizes), [t or b"" for t in texts.slice(at).cast(pa.binary()).to_pylist()]
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES):
     """Ranges of texts of about ``limit`` bytes; a longer text is a range alone."""
     at = size = 0

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from optiq.llm.shingles import BASE, INVERSE, Shingler, mix64, slices
+from optiq.llm import vocab
+from optiq.llm.shingles import BASE, INVERSE, Shingler, mix64, text_slices
 from optiq.sources.tables import table
 
 BITS, LONGEST, MIN_WORDS = 2, 16, 20
@@ -94,11 +95,9 @@ def chunks(docs: DataFrame, bits: int = BITS, longest: int = LONGEST) -> DataFra
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            texts = [(t or "").encode("utf-8", "surrogatepass")
-                     for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                text, start, words, digest = chunk(shingler, texts[a:b], bits, longest)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, texts in text_slices(batch.column(1)):
+                text, start, words, digest = chunk(shingler, texts, bits, longest)
                 if not len(text):
                     continue
                 own = mix64(text.astype(np.uint64) + np.uint64(1)) ^ digest
@@ -159,10 +158,10 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS,
              .agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans")))
 
     def run(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-        return pa.array((t if s is None or t is None else
-                         without_words(t, [(x["start_word"], x["n_words"]) for x in s])
-                         for t, s in zip(texts.to_pylist(), cuts.to_pylist(), strict=True)),
-                        type=pa.string())
+        vocab.worker_cache("substring")
+        return pa.array((None if t.as_py() is None else
+                         without_words(t.as_py(), [(x["start_word"], x["n_words"]) for x in s.as_py() or ()])
+                         for t, s in zip(texts, cuts, strict=True)), type=pa.string())
 
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     joined = rows.join(spans, F.col("id") == F.col("of"), "left")

@@ -15,6 +15,8 @@ import re
 import sys
 from collections.abc import Callable
 
+import pyarrow as pa
+
 # The byte-level patterns have no alternative that crosses the places below,
 # and none that looks back, so the text on either side can be matched alone:
 # - a plain space after a character that is no white space;
@@ -41,10 +43,16 @@ def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def worker_cache(name: str) -> dict:
-    """A dict that outlives the tasks of one Python worker (built tokenizers).
-    It holds nothing but values that can be computed again."""
-    return sys.__dict__.setdefault("_optiq_llm_caches", {}).setdefault(name, {})
+def worker_cache(operator: str) -> dict:
+    """A dict that outlives the tasks of one Python worker (built tokenizers). It
+    holds nothing but values that can be computed again, and those of one
+    operator only: a worker that is used for another one lets go of them."""
+    held = sys.__dict__.setdefault("_optiq_llm_cache", {})
+    if operator not in held:
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        held[operator] = {}
+    return held[operator]
 
 
 def rank_table(data: bytes) -> dict[bytes, int]:
