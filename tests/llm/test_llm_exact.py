@@ -312,6 +312,43 @@ def test_repeated_passages(spark):
         assert len(words(out[d])) == len(words(t)) - hit[d]
 
 
+def test_passages_stand_in_one_place(spark):
+    rng = random.Random(5)
+    phrases = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 7))] for _ in range(40)]
+    mixed = lambda: [w for _ in range(30) for w in rng.choice(phrases)]
+    docs = {i: mixed() for i in range(60)}
+    whole = [docs[i][20:80] for i in range(20)]
+    docs.update({100 + i: mixed()[:50] + p + mixed()[:50] for i, p in enumerate(whole)})
+    docs.update({200 + i: docs[i][60:110] + mixed()[:40] + docs[20 + i][:70] for i in range(10)})
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    covered = defaultdict(set)
+    for r in got:
+        span = docs[r.doc_id][r.start_word:r.start_word + r.n_words]
+        places = [j for j in range(len(docs[r.first_doc_id]) - r.n_words + 1)
+                  if docs[r.first_doc_id][j:j + r.n_words] == span]
+        assert len(span) == r.n_words and places
+        assert not covered[r.doc_id] & set(range(r.start_word, r.start_word + r.n_words))
+        assert r.first_doc_id < r.doc_id or r.first_doc_id == r.doc_id and places[0] < r.start_word
+        covered[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    assert all(len(covered[100 + i] & set(range(50, 110))) > 28 for i in range(20))
+    assert all(len(covered[200 + i] & set(range(90, 160))) > 38 for i in range(10))
+    assert not any(covered[i] for i in range(60))
+    assert sum(r.n_words < 20 for r in got) < 0.05 * len(got)
+    out = {r.doc_id: words(r.text) for r in substring_dedup.cut_repeats(df).collect()}
+    assert all(out[i] == [x for k, x in enumerate(w) if k not in covered[i]] for i, w in docs.items())
+
+
+def test_overlapping_passages_are_shared_out():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = sorted((a, a + rng.randrange(20, 60), i) for i, a in enumerate(
+            rng.randrange(0, 400) for _ in range(rng.randrange(1, 12))))
+        got = substring_dedup.share_out(spans, 20)
+        assert all(any(f == i and a <= x < y <= b for a, b, i in spans) for x, y, f in got)
+        assert [k for x, y, _ in got for k in range(x, y)] == sorted({k for a, b, _ in spans for k in range(a, b)})
+
+
 def test_chunks_cover_the_words(texts):
     cases = [t.encode() for t in [*texts.values(), *HARD]]
     text, start, n, _ = substring_dedup.chunk(shingles.Shingler(), cases, 2, 16)
