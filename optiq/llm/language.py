@@ -5,8 +5,9 @@ A text is parsed greedily against each automaton: a phrase is the longest match
 of the text's next characters anywhere in the sample, then the next phrase
 begins; a byte that the sample doesn't have opens a phrase. Text of the
 sample's language falls into few, long phrases. A phrase costs
-log2(sample length) bits (a pointer into the sample), and the language that
-needs the fewest bits wins; ``score`` is its share of the likelihood,
+log2(sample length) bits (a pointer into the sample), a byte that the sample
+lacks ``LITERAL`` bits more (it has to be spelled out, so a tiny sample gains
+nothing by failing to match), and the language that needs the fewest bits wins; ``score`` is its share of the likelihood,
 1 / sum over languages of 2 ** (its bits - their bits).
 
 Texts are lower-cased and reduced to runs of letters joined by one space. They
@@ -42,6 +43,8 @@ from optiq.sources.tables import table
 BLOCK = 256
 LANES = 8192
 LETTERS = regex.compile(r"\p{L}+")
+#: Bits of a byte that a sample lacks.
+LITERAL = 8
 #: Set on a transition that ends a phrase.
 BREAK = 1 << 30
 
@@ -92,11 +95,13 @@ class Parser:
         self.separator, self.padding = len(seen) + 1, len(seen) + 2
         self.width = len(seen) + 3
         self.languages, self.tables, self.cost = [], [], []
+        self.lacks = np.ones((self.width, len(samples)), dtype=np.int64)
         for lang, texts in samples:
             symbols: list[int] = []
             for t in texts:
                 symbols.extend(self.symbol[np.frombuffer(t, dtype=np.uint8)].tolist())
                 symbols.append(self.separator)
+            self.lacks[symbols, len(self.languages)] = 0
             self.languages.append(lang)
             self.tables.append(self._dense(suffix_automaton(symbols)))
             self.cost.append(np.log2(max(len(symbols), 2)))
@@ -141,11 +146,18 @@ class Parser:
                 out[:, j] += np.bincount(owner[a:a + LANES], ended, len(texts)).astype(np.int64)
         return out
 
+    def literals(self, texts: list[bytes]) -> np.ndarray:
+        """Number of bytes of each text (row) that a language's sample lacks (column)."""
+        counts = np.zeros((len(texts), self.width), dtype=np.int64)
+        for i, t in enumerate(texts):
+            counts[i] = np.bincount(self.symbol[np.frombuffer(t, dtype=np.uint8)], minlength=self.width)
+        return counts @ self.lacks
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         plain = [letters(t) if t else b"" for t in texts]
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        bits = self.phrases(plain) * np.array(self.cost)
+        bits = self.phrases(plain) * np.array(self.cost) + LITERAL * self.literals(plain)
         best = bits.argmin(axis=1)
         gap = bits.min(axis=1, keepdims=True) - bits
         score = 1.0 / np.exp2(np.maximum(gap, -1000.0)).sum(axis=1)

@@ -209,6 +209,23 @@ def test_cross_parsing_equals_search():
         assert parser.phrases([long])[0, j] == sum(phrases_by_search(b, parts) for b in blocks)
 
 
+def test_tiny_samples_win_no_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    texts = [r.text[:200] for r in docs.where("lang = 'en'").limit(60).collect()]
+    want = [p for p, _ in language.Parser(language.learn(docs).samples.value).predict(texts)]
+    assert want.count("en") == 60
+    for stray in ("a", "ok", "hola", "e t", "\u4f60"):
+        row = spark.createDataFrame([(10 ** 6, stray, "xx")], docs.schema)
+        parser = language.Parser(language.learn(docs.unionByName(row)).samples.value)
+        assert "xx" in parser.languages
+        assert [p for p, _ in parser.predict(texts)] == want, stray
+
+
+def test_literals():
+    parser = language.Parser([("a", [b"abc", b"d"]), ("b", [b"xyz"])])
+    assert parser.literals([b"abxq", b"", b"q"]).tolist() == [[2, 3], [0, 0], [1, 1]]
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = E.queries()["op7_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
