@@ -298,6 +298,19 @@ def test_quality_rejects_planted_outliers(spark):
     assert got[2000].kept and got[2000].d2 is None
 
 
+def test_quality_rejects_moderate_outliers(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "en", "s", int(n), int(n * np.exp(rng.normal(1.62, 0.03))), 0, int(rng.random() < 0.02),
+             int(n * 0.1 * (rng.random() < 0.05))) for i, n in enumerate(rng.lognormal(5.6, 0.6, 3000) + 60)]
+    planted = [(300, 1500, 36, 0, 0), (300, 1500, 0, 12, 0), (300, 2250, 0, 0, 0), (300, 1500, 15, 0, 0), (300, 1500, 0, 5, 0)]
+    rows += [(10_000 + 100 * k + i, "en", "s", *p) for k, p in enumerate(planted) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, "
+                                     "n_symbols long, n_dup_lines long, n_repeat_words long")
+    kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert not any(k for i, k in kept.items() if i >= 10_000)
+    assert sum(not k for i, k in kept.items() if i < 10_000) <= 0.002 * 3000
+
+
 def test_chi_squared():
     assert math.isclose(quality.chi2_cdf(2 * math.log(2), 2), 0.5, abs_tol=1e-12)
     assert math.isclose(quality.chi2_quantile(0.95, 1), 3.841458820694, rel_tol=1e-9)
