@@ -18,8 +18,7 @@ from optiq.sources.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; others (no letters, no text, no language
-    likelier than the rest) go."""
+    """Documents in a learned language; others (no letters, no text) go."""
     return language.keep_known(docs, language.learn(docs))
 
 

@@ -222,11 +222,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             .select("row.*", "found.lang_pred", "found.score"))
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in a learned language, with their own columns: not
-    ``und``, and likelier in one language than in all others together."""
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` in a learned language, with their own columns: all
+    but ``und``, however close the languages are."""
     found = identify(docs.select(F.struct("*").alias("row"), "text"), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
+    return found.where(F.col("lang_pred") != "und").select("row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

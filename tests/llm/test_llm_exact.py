@@ -221,6 +221,14 @@ def test_tiny_samples_win_no_text(spark):
         assert [p for p, _ in parser.predict(texts)] == want, stray
 
 
+def test_short_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs)
+    short = docs.withColumn("text", F.regexp_extract("text", r"\p{L}+", 0)).where("text <> ''")
+    assert language.identify(short, model).where("score < 0.5").count() > 0
+    assert language.keep_known(short, model).count() == short.count()
+
+
 def test_literals():
     parser = language.Parser([("a", [b"abc", b"d"]), ("b", [b"xyz"])])
     assert parser.literals([b"abxq", b"", b"q"]).tolist() == [[2, 3], [0, 0], [1, 1]]
