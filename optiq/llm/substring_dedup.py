@@ -7,7 +7,7 @@ the text. Boundaries thus follow from the words around them, and after an
 insertion they fall back into step within a few words.
 
 At each chunk's start a window of ``min_words`` words begins, known by a 64-bit
-digest of all its words. The place of smallest (``doc_id``, word) with a digest
+digest of all its words. The place of smallest (``doc_id``, text digest, word) with a digest
 keeps the window; at any later place, in another document or in the same one,
 it is repeated. Windows that overlap or touch and whose first places lie at the
 same distance make one passage, so a passage stands word for word in one
@@ -26,7 +26,8 @@ a passage in a third of all documents is one row of that table; the join is by
 equal digests only. What stays together is one document's own windows.
 
 Null and blank texts have no windows. Rows with a null ``doc_id`` are neither
-cut nor counted. Rows that share a ``doc_id`` share their passages. Extra
+cut nor counted. Rows that share ``doc_id`` and text share their passages; those
+that share ``doc_id`` only are told apart by a digest of the text. Extra
 columns pass through ``cut_repeats`` untouched.
 """
 
@@ -103,16 +104,16 @@ def chunk(shingler: Shingler, texts: list[bytes], bits: int, longest: int, width
     return text, start - first_word[text], words, digests(values, start, words)
 
 
-SCHEMA = pa.schema([(c, pa.int64()) for c in ("digest", "doc_id", "at", "back")])
+SCHEMA = pa.schema([(c, pa.int64()) for c in ("digest", "doc_id", "key", "at", "back")])
 
 
 def windows(docs: DataFrame, width: int = MIN_WORDS, bits: int = BITS, longest: int = LONGEST) -> DataFrame:
-    """A row for each window: digest, doc_id, ``at``, its first word, and
+    """A row for each window: digest, doc_id, ``key`` (of the text), ``at``, its first word, and
     ``back``, how many words before it last stood in the same text (0: nowhere)."""
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for a, b, texts in text_slices(batch.column(1)):
                 text, start, _, digest = chunk(shingler, texts, bits, longest, width)
                 if not len(text):
@@ -123,12 +124,12 @@ def windows(docs: DataFrame, width: int = MIN_WORDS, bits: int = BITS, longest:
                 back = np.zeros(len(text), dtype=np.int64)
                 back[order[1:][same]] = (start[order[1:]] - start[order[:-1]])[same]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest.view(np.int64)), pa.array(ids[a:b][text]), pa.array(start),
-                     pa.array(back)], schema=SCHEMA)
+                    [pa.array(digest.view(np.int64)), pa.array(ids[a:b][text]), pa.array(keys[a:b][text]),
+                     pa.array(start), pa.array(back)], schema=SCHEMA)
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key"))
     return known.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        run, "digest long, doc_id long, at long, back long")
+        run, "digest long, doc_id long, key long, at long, back long")
 
 
 def share_out(passages: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -160,22 +161,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = B
     """doc_id, start_word, n_words, first_doc_id of each passage of at least
     ``min_words`` words that stands as a whole in the document ``first_doc_id``
     of smaller id or earlier in the same one."""
+    return _passages(docs, min_words, bits, longest).drop("key")
+
+
+def _passages(docs: DataFrame, min_words: int, bits: int, longest: int) -> DataFrame:
     rows = windows(docs, min_words, bits, longest)
     first = (rows.groupBy("digest")
-             .agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
+             .agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc_id"),
+                                    F.col("first.key").alias("first_key"),
                                     F.col("first.at").alias("first_at")))
-    found = (rows.join(first, "digest").where("first_doc_id < doc_id OR back > 0")
-             .select("doc_id", "at", "first_doc_id",
-                     F.when(F.col("first_doc_id") < F.col("doc_id"), F.col("first_at") - F.col("at"))
+    elsewhere = F.expr("first_doc_id < doc_id OR first_doc_id = doc_id AND first_key < key")
+    found = (rows.join(first, "digest").where(elsewhere | (F.col("back") > 0))
+             .select("doc_id", "key", "at", "first_doc_id", "first_key",
+                     F.when(elsewhere, F.col("first_at") - F.col("at"))
                      .otherwise(-F.col("back")).alias("shift")))
-    one_place = ["doc_id", "first_doc_id", "shift"]
+    one_place = ["doc_id", "key", "first_doc_id", "first_key", "shift"]
     in_order = W.partitionBy(*one_place).orderBy("at")
     gap = F.coalesce(F.col("at") - F.lag("at").over(in_order) > min_words, F.lit(False)).cast("long")
     runs = (found.withColumn("gap", gap).withColumn("run", F.sum("gap").over(in_order))
             .groupBy(*one_place, "run").agg(F.min("at").alias("start"),
                                             (F.max("at") + min_words).alias("end")))
-    passages = runs.groupBy("doc_id").agg(
+    passages = runs.groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("passages"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())]))
 
@@ -185,8 +192,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = B
                          for v in values), type=kind)
 
     shared = F.arrow_udf(run, "array<struct<start: bigint, end: bigint, first: bigint>>")
-    return (passages.select("doc_id", F.explode(shared("passages")).alias("p"))
-            .select("doc_id", F.col("p.start").alias("start_word"),
+    return (passages.select("doc_id", "key", F.explode(shared("passages")).alias("p"))
+            .select("doc_id", "key", F.col("p.start").alias("start_word"),
                     (F.col("p.end") - F.col("p.start")).alias("n_words"),
                     F.col("p.first").alias("first_doc_id")))
 
@@ -209,7 +216,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS,
                 longest: int = LONGEST) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (the first occurrence
     stays); ``n_chars``, if there, is counted anew for the texts that changed."""
-    spans = (repeated_passages(docs, min_words, bits, longest).groupBy(F.col("doc_id").alias("of"))
+    spans = (_passages(docs, min_words, bits, longest).groupBy(F.col("doc_id").alias("of"), "key")
              .agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans")))
 
     def run(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -218,8 +225,9 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS,
                          without_words(t.as_py(), [(x["start_word"], x["n_words"]) for x in s.as_py() or ()])
                          for t, s in zip(texts, cuts, strict=True)), type=pa.string())
 
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = rows.join(spans, F.col("id") == F.col("of"), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64("text").alias("row_key"))
+    joined = rows.join(spans, (F.col("id") == F.col("of")) & (F.col("row_key") == F.col("key")), "left")
     cut = F.arrow_udf(run, "string").asNondeterministic()(
         F.when(F.col("spans").isNotNull(), F.col("row.text")), F.col("spans"))
     done = joined.select("row", F.col("spans").isNotNull().alias("changed"), cut.alias("cut"))

@@ -377,6 +377,16 @@ def test_passages_stand_in_one_place(spark):
     assert all(out[i] == [x for k, x in enumerate(w) if k not in covered[i]] for i, w in docs.items())
 
 
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    fresh = lambda c: [f"{c}{i}" for i in range(120)]
+    rows = [(1, " ".join(fresh("a"))), (2, " ".join(fresh("a")[:90] + fresh("b"))), (2, " ".join(fresh("c")))]
+    df = spark.createDataFrame(rows + rows[2:], "doc_id long, text string")
+    out = sorted((r.doc_id, r.text) for r in substring_dedup.cut_repeats(df).collect())
+    assert out.count(rows[2]) == 2 and rows[0] in out
+    rest, = [words(t) for d, t in out if d == 2 and t != rows[2][1]]
+    assert len(rest) < 160 and set(fresh("b")) <= set(rest)
+
+
 def test_overlapping_passages_are_shared_out():
     rng = random.Random(6)
     for _ in range(300):
