@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from optiq.llm import chat, near_dedup, warc
+from optiq.llm import chat, line_dedup, near_dedup, warc
 from optiq.llm.bpe import op1_byte_bpe
 from optiq.llm.chat import op3_chat_formatting
 from optiq.llm.fingerprints import op4_fingerprints
 from optiq.llm.language import op7_language_id
+from optiq.llm.line_dedup import op11_line_dedup
 from optiq.llm.mixing import op10_mixing
 from optiq.llm.near_dedup import op5_near_dedup
 from optiq.llm.quality import op8_quality
@@ -16,7 +17,7 @@ from optiq.llm.warc import op2_warc
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_warc, op3_chat_formatting, op4_fingerprints, op5_near_dedup, op6_token_counts,
-    op7_language_id, op8_quality, op9_substring_dedup, op10_mixing)}
+    op7_language_id, op8_quality, op9_substring_dedup, op10_mixing, op11_line_dedup)}
 
 ORACLE: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_chat_formatting": chat.ORACLE_SQL,
-                          "op5_near_dedup": near_dedup.ORACLE_SQL}
+                          "op5_near_dedup": near_dedup.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL}
