@@ -23,8 +23,9 @@ would hold nearly everything, so none are made and all digests are shuffled,
 24 bytes a line; the result is the same.
 
 Skew: a line in a third of all documents is counted by (digest, document) first
-and then by digest, with partial sums in each task; the documents that hold it
-meet its verdict in an adaptive join (broadcast by measured size, or split).
+and then by digest, with partial sums in each task. Digests that hold more than one
+in ``HOT_DIGESTS`` of the repeated lines are fewer than ``HOT_DIGESTS``, so their
+verdicts are broadcast; the documents of the rarer ones meet theirs by a join.
 
 Null and empty texts are one empty line. Rows that share a ``doc_id`` are one
 document. Rows with a null ``doc_id`` keep all their lines and count as no
@@ -52,6 +53,8 @@ SEGMENT = 1 << 16
 LEAST_BITS, MOST_BITS, BITS_A_LINE = 1 << 20, 1 << 28, 16
 #: Digests whose bits a task holds before it sends them on; bytes of text cut at once.
 FLUSH, SLICE_BYTES = 1 << 20, 1 << 20
+#: Digests that hold over one in so many repeated lines are broadcast: fewer than this number.
+HOT_DIGESTS = 10_000
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("digests", pa.binary())])
 PAIR = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -210,11 +213,18 @@ def dropped_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     bits = filter_bits(n_lines // 16)
     found = suspects(digests, seen_twice(digests, bits) if bits else None)
     best = F.max if keep == "last" else F.min
-    repeated = (found.groupBy("d1", "d2").agg(F.countDistinct("doc_id").alias("n"), best("doc_id").alias("stays"))
-                .where(F.col("n") >= min_docs).drop("n"))
+    repeated = cut_lineage(
+        found.groupBy("d1", "d2").agg(F.countDistinct("doc_id").alias("n"), best("doc_id").alias("stays"))
+        .where(F.col("n") >= min_docs))
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = repeated.where(F.col("n") * HOT_DIGESTS > total).select("d1", "d2", F.col("stays").alias("hot_stays"))
+    split = found.join(F.broadcast(hot), ["d1", "d2"], "left")
+    rare = repeated.where(F.col("n") * HOT_DIGESTS <= total).select("d1", "d2", "stays")
+    held = (split.where("hot_stays IS NULL").drop("hot_stays").join(rare, ["d1", "d2"])
+            .union(split.where("hot_stays IS NOT NULL")))
     packed = F.struct("d1", "d2")
-    return (found.join(repeated, ["d1", "d2"]).where("doc_id <> stays")
-            .groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(packed).alias("gone")))
+    return (held.where("doc_id <> stays").groupBy(F.col("doc_id").alias("of"))
+            .agg(F.collect_set(packed).alias("gone")))
 
 
 def without_lines(text: str, gone: set[bytes]) -> tuple[str, int]:
