@@ -116,6 +116,8 @@ def _unpack(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _segments(positions: np.ndarray) -> dict[int, bytes]:
     """segment -> its set positions, as sorted unsigned 16-bit integers."""
+    if not len(positions):
+        return {}
     positions = np.unique(positions)
     segment = (positions >> np.uint64(16)).astype(np.int64)
     at = np.flatnonzero(np.diff(segment, prepend=-1))

@@ -154,7 +154,7 @@ class Alignment:
         system: dict[int, int] = {}
         for i in np.flatnonzero((self.initials == ord("s")) & ~self.required).tolist():
             lead = DELETE * i + TRUNCATED * int(self.truncated[i])
-            if lead > best:
+            if DELETE * i > best:
                 break
             row = self.held[i + 1] if i + 1 in self.held else self.rows((i + 1) // KEEP)[i + 1]
             k = np.arange(self.low[i + 1], self.high[i + 1] + 1)
@@ -166,19 +166,22 @@ class Alignment:
                 system.update({int(x): i for x in k[cost == now]})
         return best, found + [(i, x, True) for x, i in system.items()]
 
-    def trace(self, start: tuple[int, int, bool]) -> bytes:
-        """The ASCII-least edits of least cost for one target."""
-        i, k, system = start
-        out = bytearray(b"D" * i)
-        if system:
-            out += b"K"
-            i += 1
-        n, block, rows = len(self.initials), -1, {}
-        while i < n or k:
-            if i // KEEP != block and i < n:
-                block = i // KEEP
-                rows = self.rows(block)
-            here = (rows if i in rows else self.held)[i]
+    def traces(self, starts: list[tuple[int, int, bool]]) -> list[bytes]:
+        """The ASCII-least edits of least cost for each target, block by block."""
+        n = len(self.initials)
+        going = [(i + system, k, bytearray(b"D" * i + b"K" * system)) for i, k, system in starts]
+        for block in range(n // KEEP + 1):
+            rows = self.rows(block)
+            end = n if (block + 1) * KEEP > n else (block + 1) * KEEP - 1
+            going = [self._along(t, rows, end) if t[0] <= end else t for t in going]
+        return [bytes(out) for _, _, out in going]
+
+    def _along(self, traced, rows: dict[int, np.ndarray], end: int):
+        """The trace as far as it stays at turns up to ``end``."""
+        i, k, out = traced
+        n = len(self.initials)
+        while i <= end and (i < n or k):
+            here = rows[i]
             now = here[k - self.low[i]]
             if i < n:
                 below, at = rows[i + 1], k - self.low[i + 1]
@@ -193,7 +196,7 @@ class Alignment:
                 continue
             out += b"K" if self.initials[i] == (ord("a") if k % 2 else ord("u")) else b"R"
             i, k = i + 1, k - 1
-        return bytes(out)
+        return i, k, out
 
 
 def audit(initials: np.ndarray, required: np.ndarray, truncated: np.ndarray) -> tuple[int, str]:
@@ -204,7 +207,7 @@ def audit(initials: np.ndarray, required: np.ndarray, truncated: np.ndarray) ->
         made = Alignment(initials, required, truncated, budget)
         cost, starts = made.starts()
         if cost - need <= budget:
-            return cost, min(made.trace(s) for s in starts).decode()
+            return cost, min(made.traces(starts)).decode()
         # at most the band that the incumbent implies; a wider one may find a better incumbent
         budget = min(WIDEN * budget, cost - need, DELETE * len(initials))
 
