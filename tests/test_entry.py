@@ -1,7 +1,14 @@
 """Driver contract: entry runs, every query has a callable, oracle keys are a subset."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import __spark_entry__ as E
 
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
@@ -10,6 +17,18 @@ def test_entry_smoke(spark):
     assert {"level", "model", "distractor_set", "accuracy"} <= set(df.columns)
 
 
+def test_import_without_the_llm_folders(tmp_path):
+    """The rest lists its queries where the subpackage and its tests are gone."""
+    copy = tmp_path / "repo"
+    shutil.copytree(REPO, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "llm", "__pycache__")])
+    script = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()), *sorted(E.queries()))"
+    out = subprocess.run([sys.executable, "-c", script], cwd=copy, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n, m, *names = out.stdout.split()
+    assert int(n) >= 98 and int(m) >= 96 and "pipeline" not in names and "op1_byte_bpe" not in names
+    assert set(names) <= set(E.queries())
+
+
 def test_registry_consistency():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
