@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -696,6 +696,57 @@ def _load_results(spark, sf):
         "confidence", "response_time")
 
 
+@register("load_results_envelope")
+def _load_envelope(spark, sf):
+    """Round trip of graded responses through JSON envelopes, one from each task, whose
+    ``detailed_results`` arrays are read back in splits."""
+    import pyarrow as pa
+    g = EV.grade_replies(B.raw_responses(spark, sf))
+    rows = g.select(F.to_json(F.struct(
+        "question", "correct_answer", F.concat("llm_answer", F.lit(' }{"so",\n[then]')).alias("llm_answer"), "is_correct",
+        "confidence", "response_time", "reasoning_text", "reasoning_metrics", "distractor_set", "model")).alias("value"))
+
+    def envelope(batches):
+        yield pa.RecordBatch.from_pydict({"value": ['{"summary": {"n": {"of": 1}}, "detailed_results": [']})
+        comma = ""
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [comma + lines[0], *("," + x for x in lines[1:])] if lines else []},
+                                             schema=pa.schema([("value", pa.string())]))
+            comma = "," if lines else comma
+        yield pa.RecordBatch.from_pydict({"value": ['], "more": [{"question": "no"}]}']})
+
+    path = scratch_path(spark, "responses-envelope")
+    rows.mapInArrow(envelope, "value string").write.text(path)
+    return FS.load_results(spark, json_path=path).select(
+        "model", "distractor_set", "question", "correct_answer", "llm_answer", "is_correct", "confidence",
+        "response_time", "reasoning_metrics.steps_count")
+
+
+@register("scan_split_csv_pair")
+def _split_pairs(spark, sf):
+    """Question and answer files of every subject in the order of the items, the last answer of
+    each subject left out; read back in splits and paired by line number. A subject's lines go to
+    several files where it is large; these follow each other by name."""
+    a = _assembled(spark, sf).withColumn("subject", F.coalesce("subject", F.lit("none")))
+
+    def q(c):
+        return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    opts = F.col("presented_options")
+    lines = a.select("subject", "question", (F.array_position(opts, F.col("correct_answer")) - 1).cast("string").alias("at"),
+                     F.concat_ws(",", q(F.col("question")), F.array_join(F.transform(opts, q), ",")).alias("line"))
+    last = lines.groupBy("subject").agg(F.max("question").alias("question"))
+    path = scratch_path(spark, "split-pairs")
+    for side, rows, value in (("questions", lines, "line"),
+                              ("answers", lines.join(last, ["subject", "question"], "left_anti"), "at")):
+        (rows.select("subject", "question", F.col(value).alias("value"))
+         .repartitionByRange("subject", "question").sortWithinPartitions("subject", "question").drop("question")
+         .write.partitionBy("subject").text(f"{path}/{side}"))
+    out = FS.scan_split_csv_folders(spark, f"{path}/questions", f"{path}/answers", prefix="subject=")
+    return out.select("subject", "pos", "question", F.concat_ws(" | ", "options").alias("options"), "correct_answer")
+
+
 @register("scan_reading_sets")
 def _scan_reading(spark, sf):
     """Round trip of items with a passage through JSON files."""
@@ -763,7 +814,6 @@ def _zip(spark, sf):
 def _trend(spark, sf):
     """Per-set accuracy and latency with the set's rank by accuracy (chart order).
     The window runs on the aggregated table: one row per set."""
-    from pyspark.sql import Window
     s = S.set_summary(B.responses(spark, sf))
     return s.withColumn("accuracy_rank", F.rank().over(Window.orderBy(F.col("accuracy").desc())))
 

@@ -917,6 +917,16 @@ ORACLE["load_results"] = with_(RAW_RESPONSES, PARSED) + f"""
 SELECT model, distractor_set, question, correct_answer, llm_answer || ' "so",' || chr(10) || 'then' AS llm_answer,
        is_correct, confidence, {f4('response_time')} AS response_time
 FROM graded"""
+ORACLE["load_results_envelope"] = with_(RAW_RESPONSES, PARSED) + f"""
+SELECT model, distractor_set, question, correct_answer, llm_answer || ' }}{{"so",' || chr(10) || '[then]' AS llm_answer,
+       is_correct, confidence, {f4('response_time')} AS response_time, CAST(steps_count AS INTEGER) AS steps_count
+FROM graded"""
+ORACLE["scan_split_csv_pair"] = with_(TEXT_ITEMS, ASSEMBLED) + """,
+placed AS (SELECT *, coalesce(subject, 'none') AS s,
+                  row_number() OVER (PARTITION BY coalesce(subject, 'none') ORDER BY question) - 1 AS pos,
+                  max(question) OVER (PARTITION BY coalesce(subject, 'none')) AS last FROM assembled)
+SELECT s AS subject, pos, question, array_to_string(presented_options, ' | ') AS options, correct_answer
+FROM placed WHERE question <> last AND len(presented_options) >= 4"""
 ORACLE["scan_reading_sets"] = with_(TEXT_ITEMS) + """
 SELECT question || ' / ' || correct_answer AS passage, question, correct_answer,
        CAST(len(distractors) AS INTEGER) AS n_distractors FROM text_items"""

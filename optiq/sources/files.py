@@ -7,11 +7,12 @@ read directories or globs in one job; file-derived attributes come from the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from optiq.session import cut_lineage
+from optiq.sources import splits
 
 ITEMS = T.StructType([
     T.StructField("question", T.StringType()),
@@ -94,22 +95,32 @@ def scan_tolerant(spark: SparkSession, path: str, multiline: bool = True,
             df.where(bad).select("file_name", "_corrupt_record"))
 
 
-def _with_double(schema: T.StructType, name: str) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == name else f
-                         for f in schema.fields])
-
-
 def load_results(spark: SparkSession, csv_path: str | None = None,
                  json_path: str | None = None) -> DataFrame:
-    """Flat CSV if given, else the detailed_results array of the JSON envelope."""
+    """Flat CSV if given, else the ``detailed_results`` array of the JSON envelope. Either
+    is read in splits (``splits.py``), so one large file is many tasks."""
     if csv_path:
-        read = (spark.read.schema(_with_double(FLAT_RESPONSES, "confidence")).option("header", True)
-                .option("quote", '"').option("escape", '"').option("multiLine", True).csv(csv_path))
+        rows = _by_header(splits.csv_records(spark, csv_path))
         # a column with nulls is written as 95.0 by other tools
-        return read.withColumn("confidence", F.col("confidence").cast("int"))
-    env = T.StructType([T.StructField("detailed_results", T.ArrayType(RESPONSES))])
-    return (_json(spark, json_path, env).select(F.explode("detailed_results").alias("r"))
-            .select("r.*"))
+        return rows.select(*[
+            (F.col(f.name).try_cast("double").try_cast("int") if f.name == "confidence"
+             else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in FLAT_RESPONSES.fields])
+    found = splits.json_elements(spark, json_path, "detailed_results")
+    return found.select(F.from_json("record", RESPONSES).alias("r")).select("r.*")
+
+
+def _by_header(records: DataFrame) -> DataFrame:
+    """A string column for each flat response field, found by each file's header record;
+    empty fields are null. Headers are a row for each file. Rows keep the files' order."""
+    fields = records.select("file", "start", csv_fields(F.col("record")).alias("f"))
+    at = fields.groupBy("file").agg(F.min_by("f", "start").alias("header"), F.min("start").alias("head"))
+    rows = fields.join(at, "file").where(F.col("start") > F.col("head"))
+
+    def field(name: str) -> Column:
+        place = F.array_position("header", F.lit(name)).cast("int")
+        return F.when(place > 0, F.nullif(F.get(F.col("f"), place - 1), F.lit("")))
+
+    return rows.orderBy("file", "start").select(*[field(f.name).alias(f.name) for f in FLAT_RESPONSES.fields])
 
 
 def scan_summary_maps(spark: SparkSession, path: str) -> DataFrame:
@@ -144,17 +155,39 @@ def gate_dataset(items: DataFrame, min_rows: int = 5) -> DataFrame:
         "usable", F.coalesce(F.col("valid_rows"), F.lit(0)) >= min_rows)
 
 
+def scan_split_csv_pairs(spark: SparkSession, path: str, questions: str = "test.csv",
+                         answers: str = "test_answers.csv", naive: bool = False) -> DataFrame:
+    """Question CSV and answer CSV of every subject (folder) under ``path`` in one run,
+    paired by line position inside the subject (truncated to the shorter), then parsed
+    by ``parse_csv_line``. ``questions`` and ``answers`` are file name patterns; files of
+    a subject follow each other by name. Blank lines at either end do not count."""
+    return _paired(spark, (path, questions), (path, answers), "", naive)
+
+
+def scan_split_csv_folders(spark: SparkSession, questions_path: str, answers_path: str, prefix: str = "",
+                           naive: bool = False) -> DataFrame:
+    """``scan_split_csv_pairs`` where questions and answers lie in two trees, each with a
+    folder for each subject, named ``prefix`` and the subject."""
+    return _paired(spark, (questions_path, None), (answers_path, None), prefix, naive)
+
+
+def _paired(spark: SparkSession, questions: tuple, answers: tuple, prefix: str, naive: bool) -> DataFrame:
+    subject = F.regexp_replace(splits.folder_of(F.col("file")), "^" + prefix, "")
+
+    def lines(side: tuple, name: str) -> DataFrame:
+        return splits.numbered_lines(spark, side[0], subject, side[1]).select(
+            F.col("source").alias("subject"), "pos", F.col("value").alias(name))
+
+    return parse_csv_line(lines(questions, "line").join(lines(answers, "answer_line"), ["subject", "pos"]),
+                          naive, carry=("subject",))
+
+
 def scan_split_csv_pair(spark: SparkSession, questions_path: str, answers_path: str,
                         subject: str, naive: bool = False) -> DataFrame:
-    """Question CSV and answer CSV of one subject, paired by line position
-    (truncated to the shorter), then parsed by ``parse_csv_line``. Each path
-    names one file: lines of several files have no common positions."""
+    """``scan_split_csv_pairs`` of one subject by its two paths, each of one file."""
     def lines(path: str, name: str) -> DataFrame:
-        text = spark.read.text(path, wholetext=True)
-        one = F.when(F.count(F.lit(1)).over(Window.partitionBy()) == 1, F.col("value")).otherwise(
-            F.raise_error(F.lit(f"{path} is more than one file")))
-        whole = text.select(F.regexp_replace(one, r"^\s+|\s+$", "").alias("whole"))
-        return whole.select(F.posexplode(F.split("whole", "\r?\n")).alias("pos", name))
+        return splits.numbered_lines(spark, path, F.lit(subject), single=True).select(
+            "pos", F.col("value").alias(name))
 
     q, a = lines(questions_path, "line"), lines(answers_path, "answer_line")
     return parse_csv_line(q.join(a, "pos"), naive).withColumn("subject", F.lit(subject))
@@ -177,7 +210,7 @@ def csv_fields(line: Column) -> Column:
     return F.transform(raw, unquote)
 
 
-def parse_csv_line(lines: DataFrame, naive: bool = False) -> DataFrame:
+def parse_csv_line(lines: DataFrame, naive: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """line -> question, options, correct_answer. Naive mode splits on every
     comma and strips quotes; default honours CSV quoting. Rows with fewer
     than 5 fields, a non-integer answer or an out-of-range index are dropped."""
@@ -186,11 +219,11 @@ def parse_csv_line(lines: DataFrame, naive: bool = False) -> DataFrame:
     else:
         parts = csv_fields(F.col("line"))
     idx = F.regexp_replace(F.col("answer_line"), r"^\s+|\s+$", "").try_cast("int")
-    df = lines.select("pos", parts.alias("parts"), idx.alias("idx"))
+    df = lines.select("pos", *carry, parts.alias("parts"), idx.alias("idx"))
     opts = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1)))
     return (df.where((F.size("parts") >= 5) & F.col("idx").isNotNull() & (F.col("idx") >= 0)
                      & (F.col("idx") < F.size("parts") - 1))
-            .select("pos", F.col("parts")[0].alias("question"), opts.alias("options"),
+            .select("pos", *carry, F.col("parts")[0].alias("question"), opts.alias("options"),
                     F.element_at(opts, (F.col("idx") + 1).cast("int")).alias("correct_answer")))
 
 
