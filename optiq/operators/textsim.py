@@ -1,11 +1,10 @@
 """Distractor quality: token overlap (METEOR), embedding cosine, diversity,
 lexicon relevance and rule-based grammar scores.
 
-METEOR has two exact routes with identical results: short pairs are aligned
-inside the row with array functions (no shuffle), longer pairs by a set-based
-alignment (tokens exploded once, occurrences numbered by a window, positions
-paired by grouping, chunks counted with a window over each pair's matches)
-whose cost is linear in tokens. No Python runs per pair. Diversity uses the
+METEOR aligns each pair inside its row (Arrow batches, linear in tokens, no
+shuffle); a set-based alignment with equal scores (tokens exploded once,
+occurrences numbered by a window, positions paired by grouping, chunks counted
+with a window over each pair's matches) needs no Python. Diversity uses the
 closed form over unit vectors instead of emitting all pairs of a group.
 """
 
@@ -16,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from optiq.functions import alignment as AL
 from optiq.session import cut_lineage
 
 # ---- fixed values --------------------------------------------------------------
@@ -26,6 +26,39 @@ LEGAL_KEYWORDS = ["theft", "robbery", "assault", "battery", "fraud", "trespassin
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # words (letters, digits, underscore of any script) and single marks
 WORD_OR_MARK = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
+# Treebank word tokens: rewrites in order, the text then has a space at either end before
+# those of TREEBANK_ENDS; tokens are what white space separates
+TREEBANK = [
+    (r"([«“‘„]|`+)", r" \1 "),
+    (r'^"', "``"),
+    (r"(``)", r" \1 "),
+    (r"""([ (\[{<])("|'{2})""", r"\1 `` "),
+    (r"""([^.])(\.)([\])}>"'»”’ ]*)\s*$""", r"\1 \2 \3 "),
+    (r"([:,])([^0-9])", r" \1 \2"),
+    (r"([:,])$", r" \1 "),
+    (r"(\.{2,})", r" \1 "),
+    (r"([;@#$%&])", r" \1 "),
+    (r"([?!])", r" \1 "),
+    (r"([^'])' ", r"\1 ' "),
+    (r"([*])", r" \1 "),
+    (r"([\]\[(){}<>])", r" \1 "),
+    (r"--", " -- "),
+]
+TREEBANK_ENDS = [
+    (r"([»”’])", r" \1 "),
+    (r"''", " '' "),
+    (r'"', " '' "),
+    (r"\s+", " "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    (r" ([Cc][Aa][Nn])([Nn][Oo][Tt]) ", r" \1 \2 "),
+    (r" ([Gg][Ii][Mm])([Mm][Ee]) ", r" \1 \2 "),
+    (r" ([Gg][Oo][Nn])([Nn][Aa]) ", r" \1 \2 "),
+    (r" ([Gg][Oo][Tt])([Tt][Aa]) ", r" \1 \2 "),
+    (r" ([Ll][Ee][Mm])([Mm][Ee]) ", r" \1 \2 "),
+    (r" ([Ww][Aa][Nn])([Nn][Aa]) ", r" \1 \2 "),
+    (r" ('[Tt])([Ii][Ss]|[Ww][Aa][Ss]) ", r" \1 \2 "),
+]
 # METEOR parameters (Lavie & Agarwal 2007 defaults)
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 # Grammar rule table (regex rules counted per text); re-aimed from a parser-based check
@@ -40,7 +73,17 @@ GRAMMAR_RULES = {
 
 def tokenize(text: Column, mode: str = "lower") -> Column:
     """``lower``: lower().split(); ``raw``: split(); ``punct``: words and single
-    punctuation marks as separate tokens (treebank-like)."""
+    punctuation marks as separate tokens; ``treebank``: the ordered rewrites of
+    treebank tokenizers (clitics, quotes, brackets, final stop, ellipses), lower-cased."""
+    if mode == "treebank":
+        def rewritten(t: Column, rules: list[tuple[str, str]]) -> Column:
+            for pattern, by in rules:
+                t = F.regexp_replace(t, pattern, by.replace("$", r"\$").replace("\\1", "$1").replace(
+                    "\\2", "$2").replace("\\3", "$3"))
+            return t
+
+        spaced = F.concat(F.lit(" "), rewritten(text, TREEBANK), F.lit(" "))
+        return F.filter(F.split(F.lower(rewritten(spaced, TREEBANK_ENDS)), r"\s+"), lambda x: x != "")
     if mode == "punct":
         return F.regexp_extract_all(text, F.lit(WORD_OR_MARK), 1)
     t = F.lower(text) if mode == "lower" else text
@@ -240,66 +283,68 @@ def _score(m: Column, chunks: Column, h_len: Column, r_len: Column,
         F.lit(0.0))
 
 
-def _meteor_inline(toks: DataFrame, keys: list[str], carry: tuple[str, ...], alpha: float, beta: float,
-                   gamma: float) -> DataFrame:
-    """Exact stage inside the row for short pairs (token lists in ``_h``, ``_r``):
-    hypothesis token i with k - 1 equal tokens after it matches the k-th last
-    equal reference token; chunks are breaks between consecutive matches."""
-    h, r = F.col("_h"), F.col("_r")
-    nh, nr = F.coalesce(F.size(h), F.lit(0)), F.coalesce(F.size(r), F.lit(0))
-
-    def ref_pos(i):
-        x = F.get(h, i)
-        occ = F.size(F.filter(F.slice(h, i + 2, F.greatest(nh, F.lit(1))), lambda y: y == x)) + 1
-        cand = F.filter(F.sequence(F.lit(0), F.greatest(nr - 1, F.lit(0))),
-                        lambda j: F.get(r, j) == x)
-        return F.when(F.size(cand) >= occ, F.element_at(cand, -occ))
-
-    pairs_t = "array<struct<i:int,j:int>>"
-    matches = F.when(
-        (nh > 0) & (nr > 0),
-        F.filter(F.transform(F.sequence(F.lit(0), F.greatest(nh - 1, F.lit(0))),
-                             lambda i: F.struct(i.alias("i"), ref_pos(i).alias("j"))),
-                 lambda s: s["j"].isNotNull())).otherwise(F.array().cast(pairs_t))
-    step1 = toks.select(*keys, *carry, nh.alias("h_len"), nr.alias("r_len"), matches.alias("_m"))
-    mt = F.col("_m")
-    m = F.size(mt)
-    brk = F.size(F.filter(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1))), lambda k: (k < m) & (
-        (F.get(mt, k)["i"] != F.get(mt, k - 1)["i"] + 1)
-        | (F.get(mt, k)["j"] != F.get(mt, k - 1)["j"] + 1))))
-    return step1.select(*keys, *carry, _score(m, F.when(m > 0, brk + 1), F.col("h_len"), F.col("r_len"),
-                                      alpha, beta, gamma).alias("meteor"))
-
-
-# pairs with at most this many (hypothesis x reference) token comparisons are
-# aligned inside the row; larger pairs use the shuffle-based alignment
-INLINE_MAX_CELLS = 4096
+def _meteor_rows(pairs: DataFrame, keys: list[str], reference: str, hypothesis: str, mode: str, alpha: float,
+                 beta: float, gamma: float, stems: bool, synonyms: DataFrame | None,
+                 carry: tuple[str, ...]) -> DataFrame:
+    """Alignment inside the row (``functions/alignment.py``), one pass over the pairs.
+
+    With ``synonyms`` (token, synset; many to many) the tokens that stay free are
+    exploded beside one row a pair that carries its matches, meet their synsets in an
+    equi-join on the token, and are aligned per pair on shared synsets."""
+    h, r = tokenize(F.col(hypothesis), mode), tokenize(F.col(reference), mode)
+    if synonyms is None:
+        counted = pairs.select(*keys, *carry, AL.match_counts(h, r, stems).alias("_c")).select(*keys, *carry, "_c.*")
+    else:
+        toks = pairs.select(*keys, *carry, h.alias("_h"), r.alias("_r"))
+        found = toks.select(*keys, *carry, *[F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in
+                                             (("_h", "h_len"), ("_r", "r_len"))],
+                            "_h", "_r", AL.matched_places(F.col("_h"), F.col("_r"), stems).alias("_m"))
+
+        def free(tokens: str, taken: Column, side: int) -> Column:
+            places = F.transform(F.col(tokens), lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("p"), t.alias("tok")))
+            rest = F.filter(places, lambda e: ~F.array_contains(taken, e["p"]))
+            return F.coalesce(rest, F.array().cast("array<struct<side:int,p:int,tok:string>>"))
+
+        whole = F.array(F.struct(F.lit(0).alias("side"), F.lit(-1).alias("p"), F.lit(None).cast("string").alias("tok")))
+        left = F.concat(whole, free("_h", F.col("_m.h"), 1), free("_r", F.col("_m.r"), 2))
+        held = (*carry, "h_len", "r_len", "_m")
+        rows = found.select(*keys, *held, F.explode(left).alias("e")).select(
+            *keys, *[F.when(F.col("e.side") == 0, F.col(c)).alias(c) for c in held], "e.side", "e.p", "e.tok")
+        sets = (synonyms.where("token IS NOT NULL AND synset IS NOT NULL").groupBy(F.col("token").alias("tok"))
+                .agg(F.collect_set("synset").alias("members")))
+        entry = F.when(F.col("members").isNotNull() & (F.col("side") > 0), F.struct("side", "p", "members"))
+        pair = rows.join(sets, "tok", "left").groupBy(*keys).agg(
+            F.collect_list(entry).alias("_left"), *[F.max_by(c, F.col("side") == 0).alias(c) for c in held])
+        counted = pair.select(*keys, *carry, "h_len", "r_len",
+                              AL.with_members(F.col("_m"), F.col("_left")).alias("_c")).select(
+            *keys, *carry, "h_len", "r_len", "_c.*")
+    return counted.select(*keys, *carry, _score(F.col("m"), F.col("chunks"), F.col("h_len"), F.col("r_len"),
+                                                alpha, beta, gamma).alias("meteor"))
+
+
+#: ``inline_max_cells`` of the in-row alignment; 0 takes the set-based one.
+INLINE_MAX_CELLS = 1
 
 
 def meteor(pairs: DataFrame, keys: list[str], reference: str = "reference",
            hypothesis: str = "hypothesis", mode: str = "lower",
            alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA,
            stem_stage: bool = False, inline_max_cells: int = INLINE_MAX_CELLS,
-           carry: tuple[str, ...] = ()) -> DataFrame:
-    """Unigram METEOR per pair of texts (exact stage; optional Porter stem stage).
-
-    Two exact routes with identical results: short pairs are aligned inside
-    the row (no shuffle; cost grows with |h| x |r|, bounded by
-    ``inline_max_cells``), longer pairs by the set-based alignment whose cost
-    is linear in tokens. Each route filters its pairs straight from the input,
-    nothing is written in between. A pair with a null text scores 0. Columns in
-    ``carry`` come along without being grouped on.
+           carry: tuple[str, ...] = (), synonyms: DataFrame | None = None) -> DataFrame:
+    """Unigram METEOR per pair of texts (exact stage; optional Porter stem and synonym stages).
+
+    Pairs are aligned inside their row, in one pass and linear in their tokens. With
+    ``inline_max_cells`` 0 the alignment is set-based instead: tokens are exploded and
+    matched by windows and grouping, without Python; the scores are equal (no synonym
+    stage there). A pair with a null text scores 0. Columns in ``carry`` come along
+    without being grouped on. ``synonyms`` has columns token and synset.
     """
-    if stem_stage or inline_max_cells <= 0:
+    if inline_max_cells <= 0:
+        if synonyms is not None:
+            raise ValueError("the set-based alignment has no synonym stage")
         return _meteor_setwise(pairs, keys, reference, hypothesis, mode, alpha, beta, gamma,
                                stem_stage, carry=carry)
-    toks = pairs.select(*keys, *carry, tokenize(F.col(hypothesis), mode).alias("_h"),
-                        tokenize(F.col(reference), mode).alias("_r"))
-    small = F.coalesce(F.size("_h") * F.size("_r"), F.lit(0)) <= inline_max_cells
-    inline = _meteor_inline(toks.where(small), keys, carry, alpha, beta, gamma)
-    big = _meteor_setwise(toks.where(~small), keys, "_r", "_h", mode, alpha, beta, gamma,
-                          tokenized=True, carry=carry)
-    return inline.unionByName(big)
+    return _meteor_rows(pairs, keys, reference, hypothesis, mode, alpha, beta, gamma, stem_stage, synonyms, carry)
 
 
 def meteor_max_ref(pairs: DataFrame, keys: list[str], ref_key: str, **kw) -> DataFrame:

@@ -319,6 +319,25 @@ def _meteor(spark, sf):
     return TS.meteor(B.conversation_pairs(spark, sf), ["conv_id", "turn"])
 
 
+@register("meteor_synonym")
+def _meteor_syn(spark, sf):
+    """METEOR with a synonym stage: words of five letters or more are in the synset of
+    their first three letters and in that of their last three."""
+    pairs = B.conversation_pairs(spark, sf)
+    words = pairs.select(F.explode(F.array_union(
+        F.coalesce(TS.tokenize(F.col("hypothesis")), F.array().cast("array<string>")),
+        F.coalesce(TS.tokenize(F.col("reference")), F.array().cast("array<string>")))).alias("token")).distinct()
+    synonyms = words.where(F.length("token") >= 5).select("token", F.explode(F.array(
+        F.concat(F.left("token", F.lit(3)), F.lit("-")), F.concat(F.lit("-"), F.right("token", F.lit(3))))).alias("synset"))
+    return TS.meteor(pairs, ["conv_id", "turn"], synonyms=synonyms)
+
+
+@register("tokenize_treebank")
+def _treebank(spark, sf):
+    p = B.text_pieces(spark, sf)
+    return p.select("doc_id", "block", "slot", F.array_join(TS.tokenize(F.col("text"), "treebank"), " ").alias("tokens"))
+
+
 @register("meteor_max_ref")
 def _meteor_max(spark, sf):
     d = QL.text_distractors(spark, sf)
@@ -905,13 +924,14 @@ def _sink_parquet(spark, sf):
 
 @register("quality_legacy")
 def _qlegacy(spark, sf):
-    """List-valued quality records. For the value comparison each list is
-    rendered as text: elements at single precision, '%.6e', comma-joined."""
+    """List-valued quality records. For the value comparison each list is rendered as
+    text: elements at single precision, in units of 1e-7 rounded half up (``%e`` rounds
+    ties of exact binary fractions differently in the two engines), comma-joined."""
     q = QL.quality_legacy(spark, sf)
 
     def text(c):
         return F.concat_ws(",", F.transform(
-            c, lambda x: F.format_string("%.6e", x.cast("float").cast("double"))))
+            c, lambda x: F.round(x.cast("float").cast("double") * 1e7).cast("long").cast("string")))
 
     return q.select("question", "distractor_set", text(F.col("meteor_scores")).alias("meteor_scores"),
                     text(F.col("legal_relevance_scores")).alias("legal_relevance_scores"),

@@ -434,19 +434,34 @@ def _on(a: str, b: str, keys) -> str:
     return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
 
 
-def meteor_sql(src: str, keys, name: str) -> str:
+def treebank_sql(x: str) -> str:
+    """Treebank tokens by the same ordered rewrites."""
+    from optiq.operators.textsim import TREEBANK, TREEBANK_ENDS
+
+    def rewritten(t, rules):
+        for pattern, by in rules:
+            t = "regexp_replace({}, '{}', '{}', 'g')".format(t, pattern.replace("'", "''"), by.replace("'", "''"))
+        return t
+
+    spaced = f"(' ' || {rewritten(x, TREEBANK)} || ' ')"
+    return _TOK.format(x=rewritten(spaced, TREEBANK_ENDS))
+
+
+def meteor_sql(src: str, keys, name: str, tokens=None, more: str = "") -> str:
+    """METEOR of ``src``; ``more`` adds matches to those of equal tokens."""
     k = ", ".join(keys)
-    tok_h = _TOK.format(x="hypothesis")
-    tok_r = _TOK.format(x="reference")
+    tok_h = tokens("hypothesis") if tokens else _TOK.format(x="hypothesis")
+    tok_r = tokens("reference") if tokens else _TOK.format(x="reference")
     return f"""{name}_h AS (
   SELECT {k}, unnest(tl) AS tok, unnest(range(len(tl))) AS tpos FROM (SELECT {k}, {tok_h} AS tl FROM {src})),
 {name}_r AS (
   SELECT {k}, unnest(tl) AS tok, unnest(range(len(tl))) AS tpos FROM (SELECT {k}, {tok_r} AS tl FROM {src})),
 {name}_ho AS (SELECT *, row_number() OVER (PARTITION BY {k}, tok ORDER BY tpos DESC) AS occ FROM {name}_h),
 {name}_ro AS (SELECT *, row_number() OVER (PARTITION BY {k}, tok ORDER BY tpos DESC) AS occ FROM {name}_r),
-{name}_m AS (
+{name}_e AS (
   SELECT {", ".join("h." + x for x in keys)}, h.tpos AS h_pos, r.tpos AS r_pos
   FROM {name}_ho h JOIN {name}_ro r ON {_on("h", "r", keys)} AND h.tok = r.tok AND h.occ = r.occ),
+{more}{name}_m AS (SELECT * FROM {name}_e{f" UNION ALL SELECT * FROM {name}_more" if more else ""}),
 {name}_c AS (
   SELECT {k}, count(*) AS m,
          sum(CASE WHEN lh IS NULL OR h_pos <> lh + 1 OR r_pos <> lr + 1 THEN 1 ELSE 0 END) AS chunks
@@ -561,6 +576,31 @@ SELECT question, {f4('semantic_similarity')} AS semantic_similarity FROM vector_
 ORACLE["meteor"] = with_(CONV_PAIRS, meteor_sql("conversation_pairs", ["conv_id", "turn"], "met")) + f"""
 SELECT conv_id, turn, {f4('meteor')} AS meteor FROM met"""
 
+_SHARE = " OR ".join(f"(length({{a}}) >= 5 AND length({{b}}) >= 5 AND {f}({{a}}, 3) = {f}({{b}}, 3))" for f in ("left", "right"))
+_SYN = f"""syn_l AS (
+  SELECT conv_id, turn, list({{{{'p': tpos, 't': tok}}}} ORDER BY tpos) FILTER (side = 'h') AS h,
+         list({{{{'p': tpos, 't': tok}}}} ORDER BY tpos) FILTER (side = 'r') AS r
+  FROM (SELECT 'h' AS side, x.* FROM syn_h x ANTI JOIN syn_e e ON x.conv_id = e.conv_id AND x.turn = e.turn AND x.tpos = e.h_pos
+        UNION ALL
+        SELECT 'r', x.* FROM syn_r x ANTI JOIN syn_e e ON x.conv_id = e.conv_id AND x.turn = e.turn AND x.tpos = e.r_pos)
+  GROUP BY conv_id, turn HAVING h IS NOT NULL AND r IS NOT NULL),
+syn_f AS (
+  SELECT conv_id, turn, h, r, len(h) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS h_pos, CAST(NULL AS BIGINT) AS r_pos
+  FROM syn_l
+  UNION ALL
+  SELECT conv_id, turn, h, r, i - 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END,
+         CASE WHEN j IS NOT NULL THEN h[i].p END, j
+  FROM (SELECT *, list_max(list_transform(list_filter(r, lambda x: NOT list_contains(used, x.p)
+                     AND ({_SHARE.format(a='h[i].t', b='x.t')})), lambda x: x.p)) AS j
+        FROM syn_f WHERE i > 0)),
+syn_more AS (SELECT conv_id, turn, h_pos, r_pos FROM syn_f WHERE h_pos IS NOT NULL),
+""".replace("{{", "{").replace("}}", "}")
+ORACLE["meteor_synonym"] = with_(CONV_PAIRS, meteor_sql("conversation_pairs", ["conv_id", "turn"], "syn", more=_SYN)).replace(
+    "WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT conv_id, turn, {f4('meteor')} AS meteor FROM syn"""
+ORACLE["tokenize_treebank"] = with_(TEXT_PIECES) + f"""
+SELECT doc_id, block, slot, array_to_string({treebank_sql('text')}, ' ') AS tokens FROM text_pieces"""
+
 ORACLE["meteor_max_ref"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """mp AS (
   SELECT question, pos, correct_answer AS hypothesis, distractor AS reference FROM text_distractors)""",
     meteor_sql("mp", ["question", "pos"], "met")) + f"""
@@ -612,7 +652,7 @@ lv_c AS (SELECT a.item_id, d.slot, {_COS.format(a='a.vector', b='d.vector')} AS
 _LV_ITEM = "(SELECT max(item_id) + 1 FROM vector_slots)"
 LEGACY = with_(RESPONSES, TEXT_ITEMS, TEXT_DISTRACTORS, ITEM_VECTORS, """lq_pairs AS (
   SELECT question, pos, correct_answer AS reference, distractor AS hypothesis FROM text_distractors)""",
-    meteor_sql("lq_pairs", ["question", "pos"], "lqm")) + f""",
+    meteor_sql("lq_pairs", ["question", "pos"], "lqm", treebank_sql)) + f""",
 legacy AS (
   SELECT o.question, o.distractor_set, o.legal_relevance_scores, o.grammar_scores, m.meteor_scores,
          s.semantic_scores, lv_d.diversity
@@ -1005,11 +1045,11 @@ SELECT model, distractor_set, count(*) AS n, CAST(sum(CAST(is_correct AS INTEGER
        {f4('avg(confidence)')} AS avg_confidence
 FROM graded GROUP BY model, distractor_set"""
 
-_F4L = ("array_to_string(list_transform({x}, lambda v: printf('%.6e', "
-        "CAST(CAST(v AS FLOAT) AS DOUBLE))), ',')")
+_F4L = ("array_to_string(list_transform({x}, lambda v: CAST(CAST(round("
+        "CAST(CAST(v AS FLOAT) AS DOUBLE) * 1e7) AS BIGINT) AS VARCHAR)), ',')")
 ORACLE["quality_legacy"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, ITEM_VECTORS, """lq_pairs AS (
   SELECT question, pos, correct_answer AS reference, distractor AS hypothesis FROM text_distractors)""",
-    meteor_sql("lq_pairs", ["question", "pos"], "lqm")) + f""",
+    meteor_sql("lq_pairs", ["question", "pos"], "lqm", treebank_sql)) + f""",
 per AS (
   SELECT t.question, t.distractor_set, t.doc_id, t.pos, m.meteor,
          {lexicon_sql('t.distractor')} AS lex,

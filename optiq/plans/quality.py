@@ -107,8 +107,8 @@ def quality_agg(per_question: DataFrame) -> DataFrame:
     return per_question.groupBy("distractor_type").agg(*aggs)
 
 
-def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFrame:
-    """Per (question, set): mean METEOR (correct answer vs each distractor),
+def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON, stem_stage: bool = False) -> DataFrame:
+    """Per (question, set): mean METEOR of word tokens (correct answer vs each distractor),
     mean lexicon relevance and grammar ratio of the distractors, mean cosine and
     diversity of the bound vector item.
 
@@ -121,7 +121,7 @@ def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFr
                      F.col("correct_answer").alias("reference"),
                      F.col("distractor").alias("hypothesis"))
     keys = ["question", "distractor_set", "doc_id"]
-    met = TS.meteor(pairs, [*keys, "pos"], carry=("lex", "gram"))
+    met = TS.meteor(pairs, [*keys, "pos"], mode="treebank", stem_stage=stem_stage, carry=("lex", "gram"))
     means = met.groupBy(*keys).agg(
         F.avg("lex").alias("legal_relevance_scores"),
         F.avg("gram").alias("grammar_scores"),
@@ -129,9 +129,9 @@ def legacy_quality(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFr
     return with_item_vectors(spark, sf, means, vector_item_quality(spark, sf))
 
 
-def quality_legacy(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFrame:
+def quality_legacy(spark: SparkSession, sf: str, lexicon=TEST_LEXICON, stem_stage: bool = False) -> DataFrame:
     """Per (question, set): the list-valued quality record in distractor order
-    (METEOR vs the correct answer, lexicon relevance, grammar ratio, cosines of the
+    (METEOR of word tokens vs the correct answer, lexicon relevance, grammar ratio, cosines of the
     bound vector item) and the vector item's diversity. Lists are per item
     (bounded by the item's distractor count)."""
     d = text_distractors(spark, sf)
@@ -141,7 +141,7 @@ def quality_legacy(spark: SparkSession, sf: str, lexicon=TEST_LEXICON) -> DataFr
                      F.col("correct_answer").alias("reference"),
                      F.col("distractor").alias("hypothesis"))
     keys = ["question", "distractor_set", "doc_id"]
-    met = TS.meteor(pairs, [*keys, "pos"], carry=("lex", "gram"))
+    met = TS.meteor(pairs, [*keys, "pos"], mode="treebank", stem_stage=stem_stage, carry=("lex", "gram"))
     rec = F.array_sort(F.collect_list(F.struct("pos", "meteor", "lex", "gram")))
     g = met.groupBy(*keys).agg(rec.alias("r"))
     slots = B.vector_slots(spark, sf)

@@ -1,10 +1,12 @@
 """METEOR scores worked out by hand, equality of its routes, vector metrics edges."""
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from optiq.functions import alignment as AL
 from optiq.operators import textsim as TS
 
 
@@ -110,3 +112,79 @@ def test_meteor_routes_agree(spark):
     assert inline.keys() == setwise.keys()
     for k in inline:
         assert math.isclose(inline[k], setwise[k], abs_tol=1e-12)
+
+
+SYNONYMS = [("car", "auto.n"), ("automobile", "auto.n"), ("big", "large.a"), ("large", "large.a"), ("grand", "large.a"),
+            ("bank", "slope.n"), ("bank", "money.n"), ("hill", "slope.n"), ("fund", "money.n"), (None, "x"), ("x", None)]
+SYNONYM_PAIRS = [  # reference, hypothesis, score with the synonym stage
+    # the = the, automobile ~ car, big ~ large; 3 of 3 in one chunk
+    ("the big car", "the large automobile", 1 - 0.5 / 27),
+    # the last "grand" takes "big", the first nothing is left for: m = 1, P = 1/2, R = 1/2
+    ("big tree", "grand grand", 0.5 * 0.5),
+    # last first: fund takes bank (the only money word); hill finds no free slope word
+    ("a bank", "hill fund", 0.5 * 0.5),
+    # equal words match first: car to car, automobile is left without a partner
+    ("car", "automobile car", 0.5 * (0.5 * 1) / (0.9 * 0.5 + 0.1 * 1)),
+    ("x y", "z w", 0.0),
+]
+
+
+def test_meteor_synonym_stage_by_hand(spark):
+    df = spark.createDataFrame([(i, r, h, float(i)) for i, (r, h, _) in enumerate(SYNONYM_PAIRS)] + [(99, None, "car", 9.0)],
+                               "id int, reference string, hypothesis string, w double")
+    syn = spark.createDataFrame(SYNONYMS * 2, "token string, synset string")
+    rows = TS.meteor(df, ["id"], synonyms=syn, carry=("w",)).collect()
+    got = {r.id: r.meteor for r in rows}
+    assert len(rows) == len(SYNONYM_PAIRS) + 1 and got[99] == 0.0 and all(r.w == r.id for r in rows if r.id < 99)
+    for i, (reference, hypothesis, score) in enumerate(SYNONYM_PAIRS):
+        assert math.isclose(got[i], score, abs_tol=1e-12), (reference, hypothesis, got[i])
+
+
+def test_shared_members_equal_a_scan():
+    rng = random.Random(5)
+    for _ in range(500):
+        h = [(i, rng.sample("abcdefg", rng.randint(1, 3))) for i in range(rng.randint(0, 8))]
+        r = [(i, rng.sample("abcdefg", rng.randint(1, 3))) for i in range(rng.randint(0, 8))]
+        free, want = dict(r), []
+        for i, members in reversed(h):
+            hits = [j for j in sorted(free, reverse=True) if set(free[j]) & set(members)]
+            if hits:
+                want.append((i, hits[0]))
+                free.pop(hits[0])
+        assert AL.by_members(h, r) == want
+
+
+def test_synonyms_after_stems(spark):
+    df = spark.createDataFrame([(1, "large cars", "big automobile car")], "id int, reference string, hypothesis string")
+    syn = spark.createDataFrame(SYNONYMS, "token string, synset string")
+    # car matches cars by stem, big ~ large by synset: m = 2, two chunks; P = 2/3, R = 1
+    want = (1 - 0.5) * (2 / 3) / (0.9 * 2 / 3 + 0.1)
+    assert math.isclose(TS.meteor(df, ["id"], stem_stage=True, synonyms=syn).first().meteor, want)
+
+
+def test_stem_stage_of_both_alignments(spark):
+    df = spark.createDataFrame([(i, r, h) for i, (r, h, _) in enumerate([*PAIRS, *STEM_PAIRS])],
+                               "id int, reference string, hypothesis string")
+    rows = [{r.id: r.meteor for r in TS.meteor(df, ["id"], stem_stage=True, inline_max_cells=c).collect()} for c in (1, 0)]
+    assert rows[0].keys() == rows[1].keys() and all(math.isclose(rows[0][k], rows[1][k], abs_tol=1e-12) for k in rows[0])
+
+
+TREEBANK = [  # text, tokens
+    ("They'll save and invest more.", "they 'll save and invest more ."),
+    ("hi, my name can't hello,", "hi , my name ca n't hello ,"),
+    ('"We beat some pretty good teams," he said.', "`` we beat some pretty good teams , '' he said ."),
+    ("Good muffins cost $3.88 in New York.", "good muffins cost $ 3.88 in new york ."),
+    ("Wait... what? No!", "wait ... what ? no !"),
+    ("cannot gimme [x] (y) {z} <w>", "can not gim me [ x ] ( y ) { z } < w >"),
+    ("the dogs' bone, the dog's bone", "the dogs ' bone , the dog 's bone"),
+    ("one--two; three: four 10:30 1,000", "one -- two ; three : four 10:30 1,000"),
+    ("e.g. Mr. X lives here.", "e.g. mr. x lives here ."),
+    ("'tis a “quoted” word.", "'t is a “ quoted ” word ."),
+    ("", ""), ("  ", ""), (".", "."),
+]
+
+
+def test_treebank_tokens(spark):
+    df = spark.createDataFrame([(t,) for t, _ in TREEBANK] + [(None,)], "t string")
+    got = [r[0] for r in df.select(F.array_join(TS.tokenize(F.col("t"), "treebank"), " ")).collect()]
+    assert got == [want for _, want in TREEBANK] + [None]
