@@ -8,19 +8,14 @@ largest (``keep="last"``) or smallest (``keep="first"``) ``doc_id``.
 
 1. One pass over the texts writes a 128-bit digest of each document's distinct
    long keys (16 bytes a line) to the shared folder.
-2. Two Bloom filters of ``bits`` bits go over the digests, one of what was seen
-   once and one of what was seen twice: a task fills its own pair, and pairs
-   merge as ``twice = twice1 | twice2 | (once1 & once2)``, ``once = once1 | once2``.
-   They travel in segments of 2**16 bits, as the positions set, so a task sends
-   two bytes a bit; a segment's pair is merged from a sorted stream.
+2. Two Bloom filters (``bloom.py``) go over the digests, one of what was seen once
+   and one of what was seen twice.
 3. Only digests that the twice-seen filter holds are shuffled. There they are
    counted by document, so the filters' false hits change nothing.
 4. Documents that lose lines get the digests of these; the others stay as they are.
 
-``bits`` is 16 a line, between ``LEAST_BITS`` and ``MOST_BITS`` (32 MB, what is sent
-to the driver and broadcast). With more than ``MOST_BITS`` lines filters of that size
-would hold nearly everything, so none are made and all digests are shuffled,
-24 bytes a line; the result is the same.
+With more lines than the largest filter has bits none is made and all digests are
+shuffled, 24 bytes a line; the result is the same.
 
 Skew: a line in a third of all documents is counted by (digest, document) first
 and then by digest, with partial sums in each task. Digests that hold more than one
@@ -44,20 +39,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optiq.llm import vocab
+from optiq.llm import bloom, vocab
 from optiq.session import cut_lineage
 from optiq.sources.tables import table
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SEGMENT = 1 << 16
-LEAST_BITS, MOST_BITS, BITS_A_LINE = 1 << 20, 1 << 28, 16
-#: Digests whose bits a task holds before it sends them on; bytes of text cut at once.
-FLUSH, SLICE_BYTES = 1 << 20, 1 << 20
+#: Bytes of text cut at once.
+SLICE_BYTES = 1 << 20
 #: Digests that hold over one in so many repeated lines are broadcast: fewer than this number.
 HOT_DIGESTS = 10_000
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("digests", pa.binary())])
-PAIR = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 SUSPECT = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64())])
 
 
@@ -108,98 +100,15 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         run, "doc_id long, digests binary")
 
 
-def _unpack(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n x 2 halves of all digests, how many each row has)."""
-    count = pc.divide(pc.binary_length(digests), 16).to_numpy(zero_copy_only=False)
-    return np.frombuffer(b"".join(digests.to_pylist()), dtype="<u8").reshape(-1, 2), count
-
-
-def _segments(positions: np.ndarray) -> dict[int, bytes]:
-    """segment -> its set positions, as sorted unsigned 16-bit integers."""
-    if not len(positions):
-        return {}
-    positions = np.unique(positions)
-    segment = (positions >> np.uint64(16)).astype(np.int64)
-    at = np.flatnonzero(np.diff(segment, prepend=-1))
-    low = (positions & np.uint64(SEGMENT - 1)).astype("<u2")
-    return {int(segment[a]): low[a:b].tobytes() for a, b in zip(at, [*at[1:], len(low)], strict=True)}
-
-
-def _own_pairs(batches, bits: int):
-    """What a task has seen once and twice, by segment, for every ``FLUSH`` digests."""
-    def pairs(parts):
-        both = np.concatenate(parts)
-        _, first, count = np.unique(both[:, 0], return_index=True, return_counts=True)
-        place = both & np.uint64(bits - 1)
-        once, twice = _segments(place[first].ravel()), _segments(place[first[count > 1]].ravel())
-        names = list(once)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int32()), pa.array([once[s] for s in names], pa.binary()),
-             pa.array([twice.get(s, b"") for s in names], pa.binary())], schema=PAIR)
-
-    held, n = [], 0
-    for batch in batches:
-        both, _ = _unpack(batch.column(0))
-        if len(both):
-            held.append(both)
-            n += len(both)
-        if n >= FLUSH:
-            yield pairs(held)
-            held, n = [], 0
-    if held:
-        yield pairs(held)
-
-
-def _merged(batches):
-    """The twice-seen bits of each segment, from a stream in order of segments."""
-    now, once, twice = None, None, None
-    for batch in batches:
-        for segment, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if segment != now:
-                if now is not None and twice.any():
-                    yield pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int32()),
-                                                      "twice": [np.packbits(twice, bitorder="little").tobytes()]})
-                now, once, twice = segment, np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-            one, two = np.frombuffer(one, dtype="<u2"), np.frombuffer(two, dtype="<u2")
-            twice[one[once[one]]] = True
-            twice[two] = True
-            once[one] = True
-    if now is not None and twice.any():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int32()),
-                                          "twice": [np.packbits(twice, bitorder="little").tobytes()]})
-
-
-def filter_bits(n_lines: int) -> int:
-    """Bits of each filter for so many lines; 0: more lines than ``MOST_BITS``, no filter."""
-    if n_lines > MOST_BITS:
-        return 0
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_LINE * n_lines - 1).bit_length()))
-
-
-def seen_twice(digests: DataFrame, bits: int) -> Broadcast[bytes]:
-    """The filter of digests that may stand in two rows or more."""
-    pairs = digests.select("digests").mapInArrow(lambda b: _own_pairs(b, bits),
-                                                 "segment int, once binary, twice binary")
-    merged = (pairs.repartition("segment").sortWithinPartitions("segment")
-              .mapInArrow(_merged, "segment int, twice binary"))
-    whole = np.zeros(bits // 8, dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        at = r.segment * SEGMENT // 8
-        whole[at:at + SEGMENT // 8] = np.frombuffer(r.twice, dtype=np.uint8)
-    return digests.sparkSession.sparkContext.broadcast(whole.tobytes())
-
-
 def suspects(digests: DataFrame, seen: Broadcast[bytes] | None) -> DataFrame:
     """(d1, d2, doc_id) of the digests that ``seen`` holds (None: of all)."""
     def run(batches):
-        held = None if seen is None else np.frombuffer(seen.value, dtype=np.uint8)
         for batch in batches:
-            both, count = _unpack(batch.column(1))
+            both = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, 2)
+            count = pc.divide(pc.binary_length(batch.column(1)), 16).to_numpy(zero_copy_only=False)
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
-            if held is not None:
-                place = both & np.uint64(len(held) * 8 - 1)
-                bit = held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)
-                hit = bit.all(axis=1)
+            if seen is not None:
+                hit = bloom.holds(seen.value, both[:, 0])
                 both, ids = both[hit], ids[hit]
             half = np.ascontiguousarray(both.T).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(half[0]), pa.array(half[1]), pa.array(ids)], schema=SUSPECT)
@@ -212,8 +121,8 @@ def dropped_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     """``of`` (a doc_id) and ``gone``, the digests of the keys whose lines it loses."""
     digests = cut_lineage(line_digests(docs, min_chars))
     n_lines = digests.agg(F.sum(F.octet_length("digests"))).first()[0] or 0
-    bits = filter_bits(n_lines // 16)
-    found = suspects(digests, seen_twice(digests, bits) if bits else None)
+    bits = bloom.filter_bits(n_lines // 16)
+    found = suspects(digests, bloom.seen_twice(digests, "digests", bits, 2) if bits else None)
     best = F.max if keep == "last" else F.min
     repeated = cut_lineage(
         found.groupBy("d1", "d2").agg(F.countDistinct("doc_id").alias("n"), best("doc_id").alias("stays"))

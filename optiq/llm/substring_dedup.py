@@ -1,31 +1,33 @@
-"""Repeated passages by windows anchored with a gear rolling hash.
+"""Repeated passages by content-defined chunks of a gear rolling hash.
 
 The words of a text (as in ``shingles.py``) run through a gear hash,
-``h = 2 * h + value(word)``; its low bits depend on the last few words only. A
-chunk ends where ``h mod 2**bits`` is 0, at ``longest`` words, or at the end of
-the text. Boundaries thus follow from the words around them, and after an
-insertion they fall back into step within a few words.
-
-At each chunk's start a window of ``min_words`` words begins, known by a 64-bit
-digest of all its words. The place of smallest (``doc_id``, text digest, word) with a digest
-keeps the window; at any later place, in another document or in the same one,
-it is repeated. Windows that overlap or touch and whose first places lie at the
-same distance make one passage, so a passage stands word for word in one
-earlier place (``first_doc_id``), however common its parts are; if that is in
-the text itself, the last place before counts. Passages of different places may
-overlap: they are shared out so that each word is reported once, and a passage
-gets under ``min_words`` of them only where the whole has too few for all.
-
-With chunks of 4 words on average, a passage's first window begins within a
-chunk of its start and its last one ends within a chunk of its end; a passage
-over 50 words is missed in fewer than 1 of 1000 cases. Among 10 ** 9 windows
-0.03 pairs are expected to share a digest by chance.
-
-Scale: windows are aggregated by digest before they meet their occurrences, so
-a passage in a third of all documents is one row of that table; the join is by
-equal digests only. What stays together is one document's own windows.
-
-Null and blank texts have no windows. Rows with a null ``doc_id`` are neither
+``h = 2 * h + value(word)``, begun anew in each text; its deciding bits depend on the
+last four words. A chunk ends where ``bits`` of them are 0, at ``longest`` words, or at
+the end of the text. Boundaries thus follow from the words around them: equal texts
+have equal chunks, and after an insertion they fall back into step within a few words.
+
+What is deduplicated are variable runs of whole chunks: from each chunk's start the
+fewest chunks that cover ``min_words`` words, known by a 64-bit digest of all their
+words. The place of smallest (``doc_id``, text digest, word) with a digest keeps the
+run; at any later place, in another document or in the same one, it is repeated. Runs
+that overlap or touch and whose first places lie at the same distance make one
+passage, so a passage stands word for word in one earlier place (``first_doc_id``),
+however common its parts are; if that is in the text itself, the last place before
+counts. Passages of different places may overlap: they are shared out so that each word
+is reported once, and a passage gets under ``min_words`` of them only where the whole
+has too few for all.
+
+With chunks of 4 words on average, a passage's first run begins within a chunk of its
+start and its last one ends within a chunk of its end; a passage over 50 words has no
+run of its own in fewer than 1 of 100 cases. Among 10 ** 9 runs 0.03 pairs are
+expected to share a digest by chance.
+
+Scale: one pass over the texts writes 14 bytes a run to the shared folder. Two Bloom
+filters (``bloom.py``) tell which digests may stand twice; only their runs are
+shuffled, to be aggregated by digest (a passage in a third of all documents is one row
+then) and joined by equal digests. What stays together is one document's own runs.
+
+Null and blank texts have no runs. Rows with a null ``doc_id`` are neither
 cut nor counted. Rows that share ``doc_id`` and text share their passages; those
 that share ``doc_id`` only are told apart by a digest of the text. Extra
 columns pass through ``cut_repeats`` untouched.
@@ -37,24 +39,27 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from optiq.llm import vocab
+from optiq.llm import bloom, vocab
 from optiq.llm.shingles import BASE, INVERSE, Shingler, mix64, text_slices
+from optiq.session import cut_lineage
 from optiq.sources.tables import table
 
 BITS, LONGEST, MIN_WORDS = 2, 16, 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def gear(values: np.ndarray, window: int) -> np.ndarray:
-    """The gear hash after each word; terms beyond ``window`` words ago are
+def gear(values: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """The gear hash after each word of its text; terms beyond ``window`` words ago are
     shifted out of the bits that decide."""
     h = values.copy()
     for j in range(1, window):
-        h[j:] += values[:-j] << np.uint64(j)
+        h[j:] += np.where(owner[j:] == owner[:-j], values[:-j] << np.uint64(j), np.uint64(0))
     return h
 
 
@@ -62,7 +67,7 @@ def ends(values: np.ndarray, owner: np.ndarray, bits: int, longest: int) -> np.n
     """Whether a chunk ends with the word, for one word or more."""
     n = len(values)
     # the lowest bits see too few words: decide by those of the last four
-    decide = (gear(values, 4) >> np.uint64(4 - bits)) & np.uint64((1 << bits) - 1)
+    decide = (gear(values, owner, 4) >> np.uint64(4 - bits)) & np.uint64((1 << bits) - 1)
     end = decide == 0
     end[:-1] |= owner[1:] != owner[:-1]
     end[-1] = True
@@ -84,52 +89,83 @@ def digests(values: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndar
                  + words.astype(np.uint64))
 
 
-def chunk(shingler: Shingler, texts: list[bytes], bits: int, longest: int, width: int | None = None):
-    """(text index, first word, number of words, digest) of all chunks, in order;
-    with ``width``, of the windows of so many words that begin where a chunk does
-    and end in the same text."""
+def chunk(shingler: Shingler, texts: list[bytes], bits: int, longest: int, least: int = 1):
+    """(text index, first word, number of words, digest) of all chunks, in order; with
+    ``least``, of the runs of chunks that begin where a chunk does, cover so many words
+    with as few chunks as possible and end in the same text."""
     values, owner = shingler.words(texts)
     if not len(values):
         none = np.empty(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64)
-    last = np.flatnonzero(ends(values, owner, bits, longest))
-    start = np.concatenate(([0], last[:-1] + 1))
-    words = last - start + 1
-    if width:
-        start = start[start + width <= len(values)]
-        start = start[owner[start] == owner[start + width - 1]]
-        words = np.full(len(start), width)
+    stop = np.flatnonzero(ends(values, owner, bits, longest)) + 1
+    start = np.concatenate(([0], stop[:-1]))
+    last = np.searchsorted(stop, start + least)
+    start, last = start[last < len(stop)], last[last < len(stop)]
+    inside = owner[start] == owner[stop[last] - 1]
+    start, words = start[inside], (stop[last] - start)[inside]
     text = owner[start]
     first_word = np.searchsorted(owner, np.arange(len(texts)))
     return text, start - first_word[text], words, digests(values, start, words)
 
 
-SCHEMA = pa.schema([(c, pa.int64()) for c in ("digest", "doc_id", "key", "at", "back")])
+#: A run as it is stored: digest, first word, number of words.
+RUN = np.dtype([("digest", "<u8"), ("at", "<u4"), ("words", "<u2")])
+SCHEMA = pa.schema([(c, pa.int64()) for c in ("digest", "doc_id", "key", "at", "words", "back")])
 
 
-def windows(docs: DataFrame, width: int = MIN_WORDS, bits: int = BITS, longest: int = LONGEST) -> DataFrame:
-    """A row for each window: digest, doc_id, ``key`` (of the text), ``at``, its first word, and
-    ``back``, how many words before it last stood in the same text (0: nowhere)."""
+def runs(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, longest: int = LONGEST) -> DataFrame:
+    """doc_id, ``key`` (of the text), and a row's packed digests and packed ``runs``."""
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            ids, keys = batch.column(0), batch.column(2)
             for a, b, texts in text_slices(batch.column(1)):
-                text, start, _, digest = chunk(shingler, texts, bits, longest, width)
+                text, start, words, digest = chunk(shingler, texts, bits, longest, min_words)
                 if not len(text):
                     continue
-                own = mix64(text.astype(np.uint64) + np.uint64(1)) ^ digest
-                order = np.argsort(own, kind="stable")
-                same = own[order[1:]] == own[order[:-1]]
-                back = np.zeros(len(text), dtype=np.int64)
-                back[order[1:][same]] = (start[order[1:]] - start[order[:-1]])[same]
+                packed = np.empty(len(text), dtype=RUN)
+                packed["digest"], packed["at"], packed["words"] = digest, start, words
+                rows, first = np.unique(text, return_index=True)
+                parts = list(zip(first.tolist(), [*first[1:].tolist(), len(text)], strict=True))
+                at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest.view(np.int64)), pa.array(ids[a:b][text]), pa.array(keys[a:b][text]),
-                     pa.array(start), pa.array(back)], schema=SCHEMA)
+                    [ids.slice(a, b - a).take(at), keys.slice(a, b - a).take(at),
+                     pa.array([packed["digest"][x:y].tobytes() for x, y in parts], pa.binary()),
+                     pa.array([packed[["at", "words"]][x:y].copy().astype(
+                         [("at", "<u4"), ("words", "<u2")]).tobytes() for x, y in parts], pa.binary())],
+                    names=["doc_id", "key", "digests", "spans"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key"))
     return known.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        run, "digest long, doc_id long, key long, at long, back long")
+        run, "doc_id long, key long, digests binary, spans binary")
+
+
+def suspects(stored: DataFrame, seen: Broadcast[bytes] | None) -> DataFrame:
+    """A row for each run whose digest ``seen`` holds (None: for each run): digest, doc_id,
+    key, ``at``, its first word, ``words``, and ``back``, how many words before it last stood
+    in the same text (0: nowhere)."""
+    span = np.dtype([("at", "<u4"), ("words", "<u2")])
+
+    def run(batches):
+        for batch in batches:
+            digest = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8")
+            spans = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=span)
+            count = pc.divide(pc.binary_length(batch.column(2)), 8).to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(count)), count)
+            if seen is not None:
+                hit = bloom.holds(seen.value, digest)
+                digest, spans, text = digest[hit], spans[hit], text[hit]
+            start = spans["at"].astype(np.int64)
+            own = mix64(text.astype(np.uint64) + np.uint64(1)) ^ digest
+            order = np.argsort(own, kind="stable")
+            same = own[order[1:]] == own[order[:-1]]
+            back = np.zeros(len(text), dtype=np.int64)
+            back[order[1:][same]] = (start[order[1:]] - start[order[:-1]])[same]
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[text] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids), pa.array(keys), pa.array(start),
+                                              pa.array(spans["words"].astype(np.int64)), pa.array(back)], schema=SCHEMA)
+
+    return stored.mapInArrow(run, "digest long, doc_id long, key long, at long, words long, back long")
 
 
 def share_out(passages: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -165,7 +201,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = B
 
 
 def _passages(docs: DataFrame, min_words: int, bits: int, longest: int) -> DataFrame:
-    rows = windows(docs, min_words, bits, longest)
+    stored = cut_lineage(runs(docs, min_words, bits, longest))
+    n = stored.agg(F.sum(F.octet_length("digests"))).first()[0] or 0
+    size = bloom.filter_bits(n // 8)
+    rows = suspects(stored, bloom.seen_twice(stored, "digests", size) if size else None)
     first = (rows.groupBy("digest")
              .agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc_id"),
@@ -173,16 +212,16 @@ def _passages(docs: DataFrame, min_words: int, bits: int, longest: int) -> DataF
                                     F.col("first.at").alias("first_at")))
     elsewhere = F.expr("first_doc_id < doc_id OR first_doc_id = doc_id AND first_key < key")
     found = (rows.join(first, "digest").where(elsewhere | (F.col("back") > 0))
-             .select("doc_id", "key", "at", "first_doc_id", "first_key",
+             .select("doc_id", "key", "at", (F.col("at") + F.col("words")).alias("end"), "first_doc_id", "first_key",
                      F.when(elsewhere, F.col("first_at") - F.col("at"))
                      .otherwise(-F.col("back")).alias("shift")))
     one_place = ["doc_id", "key", "first_doc_id", "first_key", "shift"]
     in_order = W.partitionBy(*one_place).orderBy("at")
-    gap = F.coalesce(F.col("at") - F.lag("at").over(in_order) > min_words, F.lit(False)).cast("long")
-    runs = (found.withColumn("gap", gap).withColumn("run", F.sum("gap").over(in_order))
-            .groupBy(*one_place, "run").agg(F.min("at").alias("start"),
-                                            (F.max("at") + min_words).alias("end")))
-    passages = runs.groupBy("doc_id", "key").agg(
+    # a run that begins later does not end before
+    gap = F.coalesce(F.col("at") > F.lag("end").over(in_order), F.lit(False)).cast("long")
+    runs_of = (found.withColumn("gap", gap).withColumn("run", F.sum("gap").over(in_order))
+               .groupBy(*one_place, "run").agg(F.min("at").alias("start"), F.max("end").alias("end")))
+    passages = runs_of.groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("passages"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())]))
 

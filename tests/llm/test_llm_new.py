@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from optiq.llm import line_dedup, turn_repair, whitening
+from optiq.llm import bloom, line_dedup, shingles, substring_dedup, turn_repair, whitening
 
 SF = "/root/testdata/sf0.001"
 SPACES = " \t\n\v\f\r"
@@ -41,7 +41,7 @@ def lines_by_spark(df, **how):
                    for r in line_dedup.drop_repeated_lines(df, **how).collect())
 
 
-def test_lines_equal_brute_force(spark):
+def test_lines_equal_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     pool = ["x" * 39, "x" * 40, "É" * 40, "\x1c" + "y" * 39, "A long line that many documents share, Nr. %d"]
     pool = [p % i if "%" in p else p for p in pool for i in range(3)] + ["", " ", "short"]
@@ -57,23 +57,20 @@ def test_lines_equal_brute_force(spark):
     assert lines_by_spark(df) == want
     # filters so small that nearly everything is suspected, and no filters at all
     for bits in (64 * 1024, 0):
-        was = line_dedup.filter_bits
-        line_dedup.filter_bits = lambda n, bits=bits: bits
-        try:
-            assert lines_by_spark(df.repartition(5)) == want
-        finally:
-            line_dedup.filter_bits = was
+        monkeypatch.setattr(bloom, "filter_bits", lambda n, bits=bits: bits)
+        assert lines_by_spark(df.repartition(5)) == want
+    monkeypatch.undo()
     assert lines_by_spark(df, min_chars=1, min_docs=2) == lines_by_hand(docs, 1, 2)
 
 
 def test_filter_holds_every_digest_of_two_rows(spark):
     rows = [(i, hashlib.md5(str(j).encode()).digest()) for i in range(8) for j in range(i, 200, 1 + i)]
     df = spark.createDataFrame(rows, "doc_id long, digests binary").repartition(4)
-    found = line_dedup.suspects(df, line_dedup.seen_twice(df, 1 << 16)).distinct()
+    found = line_dedup.suspects(df, bloom.seen_twice(df, "digests", 1 << 16, 2)).distinct()
     twice = {d for d, n in Counter(d for _, d in rows).items() if n > 1}
     got = {np.array([r.d1, r.d2], "<i8").tobytes() for r in found.collect()}
     assert twice <= got and len(got - twice) < 5
-    assert line_dedup.filter_bits(0) == line_dedup.LEAST_BITS and line_dedup.filter_bits(1 << 29) == 0
+    assert bloom.filter_bits(0) == bloom.LEAST_BITS and bloom.filter_bits(1 << 29) == 0
 
 
 def test_lines_edges(spark):
@@ -262,3 +259,76 @@ def test_audits_by_hand(spark, rows, edits, cost):
         return
     none = np.zeros(len(rows), bool)
     assert turn_repair.audit(np.array([ord(r) for r in rows]), none, none) == (cost, edits)
+
+
+# ---- substrings
+
+def chunk_ends(shingler, text, bits=2, longest=16):
+    """Places after the last word of each chunk, word by word."""
+    values = [int(v) for v in shingler.words([text.encode()])[0]]
+    out, since = [], 0
+    for i in range(len(values)):
+        h = sum(v << j for j, v in enumerate(reversed(values[max(0, i - 3):i + 1]))) % 2 ** 64
+        since += 1
+        if (h >> (4 - bits)) % 2 ** bits == 0 or since == longest or i + 1 == len(values):
+            out.append(i + 1)
+            since = 0
+    return out
+
+
+def passages_by_hand(docs, least=20):
+    """Repeated passages of (doc_id, text) rows with different ids, from runs of chunks."""
+    shingler, first, runs = shingles.Shingler(), {}, []
+    for i, text in sorted(docs):
+        ends = chunk_ends(shingler, text)
+        words, last = text.lower().split(), {}
+        for start in [0, *ends[:-1]]:
+            end = next((e for e in ends if e - start >= least), None)
+            if end is None:
+                break
+            run = tuple(words[start:end])
+            place = first.setdefault(run, (i, start))
+            if place[0] != i:
+                runs.append((i, start, end, place[0], place[1] - start))
+            elif run in last:
+                runs.append((i, start, end, i, last[run] - start))
+            last[run] = start
+    spans = defaultdict(list)
+    for i, start, end, of, shift in sorted(runs, key=lambda r: (r[0], r[3], r[4], r[1])):
+        held = spans[i]
+        if held and held[-1][2:] == [of, shift] and start <= held[-1][1]:
+            held[-1][1] = end
+        else:
+            held.append([start, end, of, shift])
+    return sorted((i, a, b - a, of) for i, held in spans.items()
+                  for a, b, of in substring_dedup.share_out(sorted((a, b, of) for a, b, of, _ in held), least))
+
+
+def repeated_texts():
+    rng = random.Random(8)
+    phrases = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(15, 70))) for _ in range(12)]
+    text = lambda: " ".join(rng.choice(phrases) if rng.random() < .4 else f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 40)))
+    return [(i, text()) for i in range(120)] + [(500, phrases[0]), (501, phrases[0] + " " + phrases[0]), (502, "w1 " * 300)]
+
+
+def test_passages_equal_brute_force_in_any_layout(spark, monkeypatch):
+    docs = repeated_texts()
+    want = passages_by_hand(docs)
+    assert len(want) > 60
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for parts, bits in ((1, None), (7, None), (40, 1 << 16), (3, 0)):
+        if bits is not None:
+            monkeypatch.setattr(bloom, "filter_bits", lambda n, bits=bits: bits)
+        got = substring_dedup.repeated_passages(df.repartition(parts, F.rand(parts))).collect()
+        assert sorted((r.doc_id, r.start_word, r.n_words, r.first_doc_id) for r in got) == want
+
+
+def test_chunks_do_not_depend_on_neighbours():
+    shingler = shingles.Shingler()
+    texts = [t.encode() for _, t in repeated_texts()]
+    for bits, longest in ((2, 16), (3, 32)):
+        alone = [[tuple(map(int, c[1:])) for c in zip(*substring_dedup.chunk(shingler, [t], bits, longest), strict=True)] for t in texts]
+        for t in range(1, len(texts)):
+            both = zip(*substring_dedup.chunk(shingler, [texts[t - 1], texts[t]], bits, longest), strict=True)
+            assert [tuple(map(int, c[1:])) for c in both if c[0] == 1] == alone[t]
+    assert [c[0] + c[1] for c in alone[5]] == chunk_ends(shingler, texts[5].decode(), 3, 32)
