@@ -3,7 +3,9 @@
 ``encode`` cuts each text where the pre-tokenizing pattern always ends a token
 (``vocab.units``) and lets the tiktoken library encode the pieces, so the
 pattern never runs over one long text and repeated words are merged once per
-worker. ``decode`` joins the raw bytes of the ids; a sequence of ids may end
+worker. A run of ``LONG_SPACE`` white-space characters or more, on which the library's
+pattern engine would overflow its stack, is cut by the pattern's own rule (all of it
+at the end of a text, all but the last character elsewhere) and encoded as one piece. ``decode`` joins the raw bytes of the ids; a sequence of ids may end
 inside a character, so its result is binary.
 
 Rows are independent: no shuffle, one Arrow batch in memory at a time, and a
@@ -17,6 +19,8 @@ raise an error in ``decode``.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -29,6 +33,23 @@ from optiq.sources.tables import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 SLICE = 1 << 19
+LONG_SPACE = 4096
+# White_Space of Unicode
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_RUN = re.compile(f"[{SPACE}]{{{LONG_SPACE},}}")
+
+
+def pieces(text: str) -> list[str]:
+    """``vocab.units`` with long white-space runs as pieces of their own; joined they
+    give the text again."""
+    out, at = [], 0
+    for run in SPACE_RUN.finditer(text) if len(text) >= LONG_SPACE else ():
+        stop = run.end() - (run.end() < len(text))
+        if run.start() > at:
+            out += vocab.units(text[at:run.start()])
+        out.append(text[run.start():stop])
+        at = stop
+    return out + vocab.units(text[at:]) if at < len(text) or not out else out
 
 
 def default_pattern() -> str:
@@ -54,8 +75,13 @@ def _encoder(ranks, pattern: str, key) -> vocab.Memo:
         import tiktoken
         enc = tiktoken.Encoding("ranks", pat_str=pattern, special_tokens={},
                                 mergeable_ranks=vocab.rank_table(ranks.value))
-        ordinary = enc.encode_ordinary
-        cache["encoder", key] = vocab.Memo(lambda piece: np.array(ordinary(piece), dtype="<u4").tobytes())
+
+        def encoded(piece: str) -> bytes:
+            run = len(piece) >= LONG_SPACE - 1 and SPACE_RUN.fullmatch(piece + " ")
+            ids = enc._encode_single_piece(piece) if run else enc.encode_ordinary(piece)
+            return np.array(ids, dtype="<u4").tobytes()
+
+        cache["encoder", key] = vocab.Memo(encoded)
     return cache["encoder", key]
 
 
@@ -75,7 +101,7 @@ def encode_packed(codec: Codec, text: Column) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         ids = _encoder(ranks, pattern, key).__getitem__
-        return pa.array((None if t is None else b"".join(map(ids, vocab.units(t)))
+        return pa.array((None if t is None else b"".join(map(ids, pieces(t)))
                          for t in (x.as_py() for x in texts)), type=pa.binary())
 
     return F.arrow_udf(run, "binary").asNondeterministic()(text)
@@ -130,7 +156,7 @@ def round_trip(df: DataFrame, codec: Codec, keys: list[str], text: str = "text")
             packed, decoded, size, at = [], [], 0, 0
             for i in range(len(texts)):
                 t = texts[i].as_py()
-                p = None if t is None else b"".join(map(ids, vocab.units(t)))
+                p = None if t is None else b"".join(map(ids, pieces(t)))
                 packed.append(p)
                 decoded.append(None if p is None else
                                b"".join(map(token, np.frombuffer(p, dtype="<u4").tolist())))
