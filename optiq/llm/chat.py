@@ -14,9 +14,10 @@ leaves after the system turn and the history. Turns that lie inside a stride
 make a window; a turn across its end is a window alone. Each turn is new in
 exactly one window. Later windows repeat the system turn (first turn, role
 ``system``) and at most ``history_turns`` turns before them, of at most
-``history_tokens`` tokens; what is repeated is never a target, so the loss mask
+``history_tokens`` tokens and no more than the budget leaves; what is repeated is never a target, so the loss mask
 holds each assistant text once. No turn is cut: a turn longer than the budget
-makes a window over it, marked ``over_budget``.
+makes a window over it, marked ``over_budget``, as does one that fits the budget but
+not beside the system turn.
 
 Scale: prefix sums go over blocks of turn numbers first, so a conversation with
 a third of all rows is summed in many tasks; windows, history and system turns
@@ -107,16 +108,19 @@ def windows(conversations: DataFrame, budget: int = 512, history_turns: int = 2,
     new = (placed.join(system, _same("conv_id", "c"), "left")
            .withColumn("window", 2 * first + (last > first).cast("long"))
            .select("conv_id", "window", "pos", "tokens", "before", "head", "body",
-                   "target", F.lit(False).alias("repeated")))
-    begun = new.groupBy("conv_id", "window").agg(F.min("pos").alias("at"), F.min("before").alias("upto")) \
-        .where("at > 0")
+                   "target", F.lit(False).alias("repeated"), "system_tokens"))
+    left = F.lit(budget) - F.coalesce(F.max("system_tokens"), F.lit(0)) - F.sum("tokens")
+    begun = new.groupBy("conv_id", "window").agg(
+        F.min("pos").alias("at"), F.min("before").alias("upto"),
+        F.least(F.lit(history_tokens), left).alias("room")).where("at > 0")
+    new = new.drop("system_tokens")
     back = F.array(*[F.col("at") - i for i in range(1, max(history_turns, 1) + 1)])
     wanted = begun.where(F.lit(history_turns > 0)).select(
-        F.col("conv_id").alias("c"), F.col("window").alias("w"), "at", "upto", F.explode(back).alias("p"))
+        F.col("conv_id").alias("c"), F.col("window").alias("w"), "at", "upto", "room", F.explode(back).alias("p"))
     again = [F.col("w").alias("window"), "pos", "tokens", "before", "head", "body",
              F.lit(False).alias("target"), F.lit(True).alias("repeated")]
     history = (placed.join(wanted, _same("conv_id", "c") & (F.col("pos") == F.col("p")))
-               .where((F.col("upto") - F.col("before") <= history_tokens) & ~F.col("is_system"))
+               .where((F.col("upto") - F.col("before") <= F.col("room")) & ~F.col("is_system"))
                .select("conv_id", *again))
     retained = (placed.where("is_system")
                 .join(begun.select(F.col("conv_id").alias("c"), F.col("window").alias("w")),
@@ -202,19 +206,20 @@ t AS (
 p AS (
   SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) AS after,
     sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS before,
-    greatest(384 - coalesce(max(CASE WHEN pos = 0 AND role = 'system' THEN tokens END)
-      OVER (PARTITION BY conv_id), 0), 64) AS stride,
+    coalesce(max(CASE WHEN pos = 0 AND role = 'system' THEN tokens END)
+      OVER (PARTITION BY conv_id), 0) AS kept,
     pos = 0 AND role = 'system' AS is_system,
     length('<|im_start|>' || replace(replace(regexp_replace(role, '<(~*)\|', '<~\1|', 'g'),
       '%', '%25'), chr(10), '%0A') || chr(10) || regexp_replace(text, '<(~*)\|', '<~\1|', 'g')
       || '<|im_end|>' || chr(10)) AS chars FROM t),
 n AS (
   SELECT *, 2 * (before // stride) + CASE WHEN (after - 1) // stride > before // stride
-    THEN 1 ELSE 0 END AS win FROM p),
-b AS (SELECT conv_id, win, min(pos) AS at, min(before) AS upto FROM n GROUP BY 1, 2 HAVING min(pos) > 0),
+    THEN 1 ELSE 0 END AS win FROM (SELECT *, greatest(384 - kept, 64) AS stride FROM p)),
+b AS (SELECT conv_id, win, min(pos) AS at, min(before) AS upto, least(128, 512 - max(kept) - sum(tokens)) AS room
+  FROM n GROUP BY 1, 2 HAVING min(pos) > 0),
 again AS (
   SELECT b.conv_id, sum(n.chars) AS chars FROM b JOIN n ON n.conv_id = b.conv_id
-    AND (n.is_system OR (n.pos >= b.at - 2 AND n.pos < b.at AND b.upto - n.before <= 128))
+    AND (n.is_system OR (n.pos >= b.at - 2 AND n.pos < b.at AND b.upto - n.before <= b.room))
   GROUP BY 1)
 SELECT n.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
