@@ -42,8 +42,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record_id(page_id: int | None, part: str = "") -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page {page_id} {part}'.encode()).digest())}>"
+def record_id(page_id: int | None, digest: str, part: str = "") -> str:
+    """The id of a page's record: rows that share page and payload share it."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page {page_id} {digest} {part}'.encode()).digest())}>"
 
 
 def chunked(payload: bytes, chunk_bytes: int) -> bytes:
@@ -82,14 +83,14 @@ def page_records(row, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
     """The records of one page (page_id, url, payload, digest, first_id, row)."""
     page_id, url, payload, digest, first_id, number = row
     url = url and re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-    own = record_id(page_id)
+    own = record_id(page_id, digest)
     base = [("WARC-Record-ID", own), ("WARC-Target-URI", url),
             ("WARC-Payload-Digest", f"sha256:{digest}"), ("Optiq-Page-Id", page_id),
             ("Optiq-Row", number), ("Content-Type", "application/http; msgtype=response")]
     if first_id is not None and first_id != page_id:
         head = HTTP_HEAD + b"Content-Length: %d\r\n\r\n" % len(payload)
         return [_record("revisit", [*base, ("WARC-Profile", PROFILE),
-                                    ("WARC-Refers-To", record_id(first_id))], head)]
+                                    ("WARC-Refers-To", record_id(first_id, digest))], head)]
     block = HTTP_HEAD + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
         return [_record("response", base, block)]
@@ -97,7 +98,7 @@ def page_records(row, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
     out = [_record("response", [*base, ("WARC-Segment-Number", 1)], parts[0])]
     for i, part in enumerate(parts[1:], start=2):
         out.append(_record("continuation", [
-            ("WARC-Record-ID", record_id(page_id, f"{number} {i}")), ("WARC-Target-URI", url),
+            ("WARC-Record-ID", record_id(page_id, digest, f"{number} {i}")), ("WARC-Target-URI", url),
             ("Optiq-Row", number), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", i),
             ("WARC-Segment-Total-Length", len(block) if i == len(parts) else None)], part))
     return out
@@ -146,57 +147,113 @@ RECORDS = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("origin
 NUMBERS = {"segment", "total_length", "page_id", "row"}
 
 
-def plain(content: bytes) -> bytes:
-    """A file's records, from gzip members where it has them."""
+PIECE = 1 << 20
+
+
+def inflated(content: bytes):
+    """A file's bytes in pieces, out of gzip members where it has them; ValueError where a
+    member is damaged or cut."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
+        yield from (content[i:i + PIECE] for i in range(0, len(content), PIECE))
+        return
     while content:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(content) + member.flush())
-        content = member.unused_data
-    return b"".join(out)
+        while not member.eof:
+            try:
+                piece = member.decompress(content, PIECE)
+            except zlib.error as e:
+                raise ValueError(f"a gzip member is damaged: {e}") from e
+            content = member.unused_data if member.eof else member.unconsumed_tail
+            if not piece and not content and not member.eof:
+                raise ValueError("a gzip member is cut")
+            yield piece
 
 
-def parse(content: bytes):
-    """Records of one archive as dicts; the header fields not in FIELDS are dropped."""
-    at, view = 0, memoryview(content)
+def plain(content: bytes) -> bytes:
+    """A file's bytes as a whole."""
+    return b"".join(inflated(content))
+
+
+class _Buffer:
+    """What has been read of a stream and not yet used."""
+
+    def __init__(self, stream):
+        self.stream, self.held = iter(stream), bytearray()
+
+    def more(self) -> bool:
+        piece = next(self.stream, None)
+        self.held += piece or b""
+        return piece is not None
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        if len(self.held) < n:
+            raise ValueError("a record is cut")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def until(self, mark: bytes) -> bytes:
+        at = 0
+        while (end := self.held.find(mark, at)) < 0:
+            at = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                raise ValueError("a record's header is cut")
+        return self.take(end + len(mark))[:end]
+
+
+def parse(stream):
+    """Records of one archive (pieces of its bytes) as dicts, one in memory at a time; the
+    header fields not in FIELDS are dropped. ValueError where the archive is damaged."""
+    buffer = _Buffer([stream] if isinstance(stream, bytes) else stream)
     while True:
-        while content[at:at + 2] == BREAK:
-            at += 2
-        if at >= len(content):
+        while buffer.held[:2] == BREAK or (len(buffer.held) < 2 and buffer.more()):
+            if buffer.held[:2] == BREAK:
+                del buffer.held[:2]
+        if not buffer.held:
             return
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8").split("\r\n")
+        lines = buffer.until(b"\r\n\r\n").decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError("no record where one should begin")
         header = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
-        size = int(header["content-length"])
+        if not header.get("content-length", "").isdigit():
+            raise ValueError("a record has no length")
         found = {name: header.get(field) for field, name in FIELDS.items()}
         yield {**{k: int(v) if k in NUMBERS and v is not None else v for k, v in found.items()},
-               "block": bytes(view[end + 4:end + 4 + size])}
-        at = end + 4 + size
+               "block": buffer.take(int(header["content-length"]))}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives under ``path``: FIELDS and ``block``."""
+    """All records of the archives under ``path``: FIELDS and ``block``. Where an archive is
+    damaged, a row with ``problem`` and ``url``, the file, stands for the rest of it."""
+    schema = RECORDS.append(pa.field("problem", pa.string()))
+
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
+            for name, content in zip(*batch.columns, strict=True):
                 out, size = [], 0
-                for record in parse(plain(content.as_py())):
+                records = parse(inflated(content.as_py()))
+                while True:
+                    try:
+                        record = next(records, None)
+                    except ValueError as e:  # the file can't be read any further
+                        record = {"type": "damaged", "url": name.as_py(), "problem": str(e)[:200]}
+                        records = iter(())
+                    if record is None:
+                        break
                     out.append(record)
-                    size += len(record["block"])
+                    size += len(record.get("block") or b"")
                     if size > 1 << 22:
-                        yield pa.RecordBatch.from_pylist(out, schema=RECORDS)
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
                         out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=RECORDS)
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "type string, record_id string, origin_id string, segment long, "
                             "total_length long, refers_to string, url string, digest string, "
-                            "page_id long, row long, block binary")
+                            "page_id long, row long, block binary, problem string")
 
 
 def _joined(blocks: pa.Array) -> pa.Array:
@@ -206,8 +263,8 @@ def _joined(blocks: pa.Array) -> pa.Array:
 def reassemble(records: DataFrame) -> DataFrame:
     """``records`` without continuations: segmented ones with their whole block,
     or a null block and the ``problem`` where segments are missing or doubled
-    or don't add up to the total length."""
-    names = [c for c in records.columns if c not in ("origin_id", "segment", "total_length")]
+    or don't add up to the total length. Rows of damaged archives pass through."""
+    names = [c for c in records.columns if c not in ("origin_id", "segment", "total_length", "problem")]
     whole = records.where("type <> 'continuation' AND segment IS NULL")
     parts = records.where("segment IS NOT NULL").withColumn(
         "origin", F.coalesce("origin_id", "record_id"))
@@ -226,7 +283,8 @@ def reassemble(records: DataFrame) -> DataFrame:
     whole_again = groups.withColumn("problem", problem).select(
         *[(F.when(F.col("problem").isNull(), joined) if c == "block" else F.element_at(f"p.{c}", 1)).alias(c)
           for c in names], "problem")
-    return whole.select(*names, F.lit(None).cast("string").alias("problem")).unionByName(whole_again)
+    own = F.col("problem") if "problem" in records.columns else F.lit(None).cast("string")
+    return whole.select(*names, own.alias("problem")).unionByName(whole_again)
 
 
 def _bodies(blocks: pa.Array) -> pa.Array:
