@@ -202,11 +202,14 @@ def _settle(rounded: DataFrame, most: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``docs`` (doc_id, text, source and any others), each row as often as the
-    mix takes it. Rows that share doc_id, source and size are taken alike."""
+    mix takes it. Rows that share doc_id, source and size are taken alike: they are
+    one document of all their words."""
     slim = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    taken = (allot(slim.distinct(), weights, share, most).where("copies > 0")
-             .select(F.col("doc_id").alias("d"), F.col("source").alias("s"),
-                     F.col("size").alias("z"), "copies"))
+    groups = slim.groupBy("doc_id", "source", "size").agg((F.col("size") * F.count("*")).alias("words")).select(
+        F.struct("doc_id", "size").alias("doc_id"), "source", F.col("words").alias("size"))
+    taken = (allot(groups, weights, share, most).where("copies > 0")
+             .select(F.col("doc_id.doc_id").alias("d"), F.col("source").alias("s"),
+                     F.col("doc_id.size").alias("z"), "copies"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
     return (rows.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
                       & (F.col("size") == F.col("z")))

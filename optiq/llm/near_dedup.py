@@ -287,11 +287,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller ``doc_id``."""
+    """``docs`` without the rows whose component has a smaller ``doc_id``; of rows that share
+    ``doc_id`` and text one stays, any where they differ in other columns."""
     gone = near_duplicates(docs, **parameters).where("NOT kept").select(
         F.col("doc_id").alias("gone")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    # the ids that stand more than once, without their texts
+    many = (docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("many")).agg(F.count("*").alias("n"))
+            .where("n > 1").select("many"))
+    named = left.join(many, F.col("id") == F.col("many"), "left")
+    text = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col("row.text")), F.lit("")), 256)
+    again = (named.where("many IS NOT NULL").withColumn("sha", text).groupBy("id", "sha")
+             .agg(F.first("row").alias("row")))
+    return named.where("many IS NULL").select("row.*").unionByName(again.select("row.*"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

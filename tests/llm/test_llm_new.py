@@ -1,7 +1,9 @@
 """Line dedup, whitening and turn repair against brute force and small cases."""
 
+import gzip
 import hashlib
 import math
+import os
 import random
 import sys
 import zlib
@@ -12,7 +14,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from optiq.llm import bloom, line_dedup, shingles, substring_dedup, turn_repair, whitening
+from optiq.llm import (bloom, bpe, chat, line_dedup, mixing, near_dedup, shingles, substring_dedup, turn_repair, warc,
+                       whitening)
+from optiq.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 SPACES = " \t\n\v\f\r"
@@ -332,3 +336,118 @@ def test_chunks_do_not_depend_on_neighbours():
             both = zip(*substring_dedup.chunk(shingler, [texts[t - 1], texts[t]], bits, longest), strict=True)
             assert [tuple(map(int, c[1:])) for c in both if c[0] == 1] == alone[t]
     assert [c[0] + c[1] for c in alone[5]] == chunk_ends(shingler, texts[5].decode(), 3, 32)
+
+
+# ---- mended operators
+
+def test_long_white_space(spark):
+    import base64
+    import public_tokenizers
+    import tiktoken
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.RANK_FILE), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    cases = [a + run + b for a in ("", "a", "a!", "1 ", "\x1c", "é\n") for b in ("", "b", "!", "1", "\x1d", "'s", "\u200b x")
+             for run in (" " * 5000, "\n" * 4096, " \n\t\u3000" * 2000, " " * 4095, "\xa0" * 4100)]
+    cases += ["x" + " " * 9000 + "y" + "\n" * 9000 + " z", " " * 8192 + " a " + "\r\n" * 5000]
+    for t in cases:
+        assert "".join(bpe.pieces(t)) == t
+    many = [" " * 1_100_000, "a" + "\n" * 1_100_000 + "b", "plain words", " \t" * 600_000 + "c"]
+    df = spark.createDataFrame(list(enumerate(cases + many)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.token_digests(df, bpe.Codec(spark)).collect()}
+    assert len(got) == len(cases) + 4
+    for i, t in enumerate(cases + many):
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        if i < len(cases) or t == "plain words":
+            ids = own.encode_ordinary(t)
+            assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), repr(t[:20])
+    # the library's own single-piece encoding of what the pattern matches
+    ids = own._encode_single_piece(" " * 1_100_000)
+    assert got[len(cases)].n_tokens == len(ids)
+
+
+def test_windows_leave_history_what_the_budget_leaves(spark):
+    turns = [(1, i, "user" if i % 2 else "assistant", "w " * (n - 4)) for i, n in enumerate((64, 64, 64, 474, 14))]
+    rng = random.Random(1)
+    turns += [(c, i, "system" if not i and c % 2 else rng.choice(["user", "assistant"]), "w " * rng.choice([0, 5, 60, 300, 450, 700]))
+              for c in range(2, 40) for i in range(rng.randint(1, 12))]
+    size = lambda t: len(t.split()) + 4
+    made = chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    system = {c: size(t) for c, i, r, t in turns if r == "system" and i == 0}
+    for r in made:
+        pieces = [p.split("\n", 1)[1][:-len("<|im_end|>\n")] for p in r.formatted.split("<|im_start|>")[1:]]
+        assert r.n_tokens == sum(map(size, pieces)) and r.over_budget == (r.n_tokens > 512)
+        fresh = list(map(size, pieces))[r.n_repeated:]
+        if max(fresh) + (system.get(r.conv_id, 0) if r.window else 0) <= 512:
+            assert r.n_tokens <= 512, (r.conv_id, fresh)
+    assert any(r.n_repeated for r in made) and any(r.over_budget for r in made)
+
+
+def test_archives_of_repeated_page_ids(spark):
+    a, b = "A" * 203, "B" * 303
+    pages = spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "u", b), (3, "u", a), (3, "u", a)],
+                                  "page_id long, url string, html string")
+    path = scratch_path(spark, "warc-ids")
+    warc.write(pages, path)
+    got = warc.resolved(warc.reassemble(warc.read_records(spark, path))).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [
+        (1, 203, "response", 0), (1, 303, "response", 0), (2, 303, "revisit", 1), (3, 203, "revisit", 1), (3, 203, "revisit", 1)]
+
+
+def test_damaged_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 400) for i in range(6)], "page_id long, url string, html string")
+    source = str(tmp_path / "source")
+    warc.write(pages.repartition(6), source, file_records=1)
+    files = sorted(f for f in os.listdir(source) if f.endswith(".gz"))
+    assert len(files) == 6
+    whole = {f: open(os.path.join(source, f), "rb").read() for f in files}
+    text = {f: gzip.decompress(c) for f, c in whole.items()}
+    out = tmp_path / "mixed"
+    out.mkdir()
+    put = lambda name, data: (out / name).write_bytes(data)
+    put("good.gz", whole[files[0]])
+    put("members.gz", whole[files[1]] + whole[files[2]][:-40])                     # a cut second member
+    put("bits.gz", whole[files[2]][:60] + b"\xff" * 40 + whole[files[2]][100:])    # a damaged one
+    put("cut.warc", text[files[3]] + text[files[4]][:200])                         # a cut header or block
+    put("noise.warc", text[files[5]] + b"no record\r\n\r\nabc")
+    put("empty.warc", b"")
+    records = warc.reassemble(warc.read_records(spark, str(out)))
+    problems = {r.url.rsplit("/", 1)[1]: r.problem for r in records.where("problem IS NOT NULL").collect()}
+    assert set(problems) == {"members.gz", "bits.gz", "cut.warc", "noise.warc"}
+    rows = warc.resolved(records).collect()
+    page = lambda f: int(text[f].split(b"Optiq-Page-Id: ")[1].split(b"\r")[0])
+    assert {page(files[i]) for i in (0, 1, 3, 5)} <= {r.page_id for r in rows}
+    assert all(r.payload_bytes == len(f"{r.page_id} " * 400) for r in rows)
+
+
+def test_archives_are_parsed_in_pieces():
+    data = b"".join(warc._record("response", [("WARC-Record-ID", f"<{i}>")], b"x" * (i * 7)) + b"\r\n\r\n" for i in range(30))
+    for size in (1, 2, 3, 17, 1000):
+        found = list(warc.parse(data[i:i + size] for i in range(0, len(data), size)))
+        assert [len(r["block"]) for r in found] == [i * 7 for i in range(30)]
+
+
+def test_one_of_equal_rows_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, text, "a"), (1, "other words of the same id here", "a"), (2, None, "b"), (2, None, "b"), (2, "", "b"),
+            (3, "unique text that stands once only", "c"), (4, text, "c"), (None, text, "d"), (None, text, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("many", F.lit(1))
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(1, text), (1, rows[2][1]), (2, None), (2, ""), (3, rows[6][1]), (None, text), (None, text)])
+
+
+def test_mix_of_equal_rows_meets_its_targets(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(1, 40), "abc"[i % 3]) for i in range(300)]
+    rows += [rows[i] for i in range(0, 300, 4) for _ in range(rng.randint(1, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    got = Counter()
+    for r in mixing.mix(docs).collect():
+        got[r.source] += len(r.text.split())
+    targets = {r.source: r.target for r in mixing.allot(docs.select(
+        "doc_id", "source", mixing.size_of(F.col("text")).alias("size"))).select("source", "target").distinct().collect()}
+    assert all(abs(got[s] - targets[s]) <= 6 * 40 for s in size), (got, targets)
