@@ -18,7 +18,7 @@ from optiq.operators import joins as J
 from optiq.operators import psychometrics as P
 from optiq.operators import summary as S
 from optiq.plans import bindings as B
-from optiq.session import cut_lineage
+from optiq.session import cut_lineage, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -255,6 +255,7 @@ def _tukey_gated(spark, sf):
 
 
 # ---------------------------------------------------------------- text quality
+from optiq.operators import overlap as OV  # noqa: E402
 from optiq.operators import textsim as TS  # noqa: E402
 from optiq.plans import quality as QL  # noqa: E402
 
@@ -338,6 +339,22 @@ def _treebank(spark, sf):
     return p.select("doc_id", "block", "slot", F.array_join(TS.tokenize(F.col("text"), "treebank"), " ").alias("tokens"))
 
 
+@register("ngram_precision")
+def _ngrams(spark, sf):
+    return OV.ngram_precision(B.conversation_pairs(spark, sf), ["conv_id", "turn"])
+
+
+@register("corpus_bleu")
+def _corpus_bleu(spark, sf):
+    pairs = B.conversation_pairs(spark, sf).withColumn("after", F.pmod(F.col("turn"), F.lit(2)))
+    return OV.corpus_bleu(pairs, ["after"])
+
+
+@register("lcs_overlap")
+def _lcs(spark, sf):
+    return OV.lcs_overlap(B.conversation_pairs(spark, sf), ["conv_id", "turn"])
+
+
 @register("meteor_max_ref")
 def _meteor_max(spark, sf):
     d = QL.text_distractors(spark, sf)
@@ -545,6 +562,27 @@ def _prompt(spark, sf):
                                      F.col("request_reasoning")).alias("prompt"))
 
 
+def _fixed_reply(rows):
+    """The responder of the registered query: the option at the question's length; it
+    fails on questions whose length is a multiple of eleven."""
+    out = []
+    for r in rows:
+        n, options = len(r["question"]), r["presented_options"]
+        if n % 11 == 0:
+            raise RuntimeError("no answer")
+        out.append(f"Answer: {options[n % len(options)]}\nConfidence: {50 + n % 50}")
+    return out
+
+
+@register("score_with")
+def _score_with(spark, sf):
+    """The evaluation plan answered by a responder in the tasks, in three written rounds."""
+    from optiq.plans.responder import score_with
+    p = _plan(spark, sf).select(F.concat_ws("|", "question", "plan_set", "model").alias("response_id"),
+                                "question", "presented_options")
+    return score_with(p, _fixed_reply, scratch_path(spark, "replies"), rounds=3)
+
+
 @register("prompt_styles")
 def _prompt_styles(spark, sf):
     """The first evaluator's and the generator's prompt of each item."""
@@ -669,7 +707,6 @@ def _fv(spark, sf):
 
 
 # ---------------------------------------------------------------- sources / sinks
-from optiq.session import scratch_path  # noqa: E402
 from optiq.sources import files as FS  # noqa: E402
 
 

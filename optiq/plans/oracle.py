@@ -601,6 +601,44 @@ SELECT conv_id, turn, {f4('meteor')} AS meteor FROM syn"""
 ORACLE["tokenize_treebank"] = with_(TEXT_PIECES) + f"""
 SELECT doc_id, block, slot, array_to_string({treebank_sql('text')}, ' ') AS tokens FROM text_pieces"""
 
+def _ngram_sql(n: int) -> str:
+    """Clipped matches and number of the hypothesis' n-grams of each pair."""
+    def grams(side):
+        return f"""SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest(list_transform(
+            range(1, len({side}) - {n} + 2), lambda i: array_to_string({side}[i:i + {n} - 1], ' '))) AS g FROM pt) GROUP BY ALL"""
+    return f"""h{n} AS ({grams('h')}), r{n} AS ({grams('r')}),
+g{n} AS (SELECT pt.conv_id, pt.turn, greatest(0, coalesce(len(h), 0) - {n - 1}) AS total,
+           coalesce((SELECT sum(least(a.c, b.c)) FROM h{n} a JOIN r{n} b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.g = b.g
+                     WHERE a.conv_id = pt.conv_id AND a.turn = pt.turn), 0) AS matched FROM pt)"""
+
+
+_PT = f"pt AS (SELECT conv_id, turn, {_TOK.format(x='hypothesis')} AS h, {_TOK.format(x='reference')} AS r FROM conversation_pairs)"
+_NG = with_(CONV_PAIRS, _PT, *[_ngram_sql(n) for n in (1, 2, 3, 4)]) + """,
+ng AS (SELECT pt.conv_id, pt.turn, coalesce(len(h), 0) AS hl, coalesce(len(r), 0) AS rl, """ + ", ".join(
+    f"CAST(g{n}.matched AS DOUBLE) AS m{n}, CAST(g{n}.total AS DOUBLE) AS t{n}" for n in (1, 2, 3, 4)) + """
+  FROM pt """ + " ".join(f"JOIN g{n} ON g{n}.conv_id = pt.conv_id AND g{n}.turn = pt.turn" for n in (1, 2, 3, 4)) + ")"
+ORACLE["ngram_precision"] = _NG + "\nSELECT conv_id, turn, " + ", ".join(
+    f4(f"CASE WHEN t{n} > 0 THEN m{n} / t{n} END") + f" AS precision_{n}" for n in (1, 2, 3, 4)) + ", " + f4(
+    "CASE WHEN m1 > 0 THEN exp(least(0, 1 - CAST(rl AS DOUBLE) / hl) + (ln(m1 / t1) + "
+    + " + ".join(f"ln((m{n} + 1) / (t{n} + 1))" for n in (2, 3, 4)) + ") / 4) ELSE 0.0 END") + " AS bleu FROM ng"
+ORACLE["corpus_bleu"] = _NG + """,
+w AS (SELECT turn % 2 AS after, count(*) AS n_pairs, sum(hl) AS hl, sum(rl) AS rl, """ + ", ".join(
+    f"sum(m{n}) AS m{n}, sum(t{n}) AS t{n}" for n in (1, 2, 3, 4)) + " FROM ng GROUP BY 1)\nSELECT after, n_pairs, " + f4(
+    "CASE WHEN m1 > 0 AND m2 > 0 AND m3 > 0 AND m4 > 0 THEN exp(least(0, 1 - CAST(rl AS DOUBLE) / hl) + ("
+    + " + ".join(f"ln(m{n} / t{n})" for n in (1, 2, 3, 4)) + ") / 4) ELSE 0.0 END") + " AS bleu FROM w"
+#: A row of the usual table at each step, for all pairs at once.
+ORACLE["lcs_overlap"] = with_(CONV_PAIRS, _PT, """lcs AS (
+  SELECT conv_id, turn, h, r, 1 AS i, list_transform(r, lambda x: 0) AS best FROM pt
+  UNION ALL
+  SELECT conv_id, turn, h, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: greatest(best[j], coalesce(list_max(
+    list_transform(list_filter(hit, lambda k: k <= j), lambda k: 1 + CASE WHEN k > 1 THEN best[k - 1] ELSE 0 END)), 0)))
+  FROM (SELECT *, list_filter(range(1, len(r) + 1), lambda k: r[k] = h[i]) AS hit FROM lcs WHERE i <= len(h)))""").replace(
+    "WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT conv_id, turn, CAST(l AS BIGINT) AS lcs, {f4('coalesce(l / hl, 0.0)')} AS precision, {f4('coalesce(l / rl, 0.0)')} AS recall,
+       {f4('CASE WHEN l > 0 THEN 2 * (l / hl) * (l / rl) / (l / hl + l / rl) ELSE 0.0 END')} AS f
+FROM (SELECT conv_id, turn, CAST(coalesce(max(list_max(best)), 0) AS DOUBLE) AS l, nullif(len(any_value(h)), 0) AS hl,
+             nullif(len(any_value(r)), 0) AS rl FROM lcs GROUP BY conv_id, turn)"""
+
 ORACLE["meteor_max_ref"] = with_(TEXT_ITEMS, TEXT_DISTRACTORS, """mp AS (
   SELECT question, pos, correct_answer AS hypothesis, distractor AS reference FROM text_distractors)""",
     meteor_sql("mp", ["question", "pos"], "met")) + f"""
@@ -861,6 +899,11 @@ _PR = ("Please think through this step-by-step before answering. "
 _PS = ("Respond with your answer choice exactly as it appears in the options.' || chr(10) || '"
        "Also rate your confidence from 0-100, where 100 means absolutely certain.' || chr(10) || chr(10) || '"
        "Format: Answer: [your answer]' || chr(10) || 'Confidence: [0-100]' || chr(10) || '")
+ORACLE["score_with"] = with_(TEXT_ITEMS, ASSEMBLED, PLAN) + """
+SELECT question || '|' || plan_set || '|' || model AS response_id,
+       CASE WHEN length(question) % 11 <> 0 THEN 'Answer: ' || presented_options[1 + length(question) % len(presented_options)]
+         || chr(10) || 'Confidence: ' || CAST(50 + length(question) % 50 AS VARCHAR) END AS raw_response,
+       CASE WHEN length(question) % 11 = 0 THEN 'RuntimeError: no answer' END AS error FROM plan"""
 ORACLE["format_prompt"] = with_(TEXT_ITEMS, ASSEMBLED, PLAN) + f"""
 SELECT question, plan_set, model,
        'Question: ' || question || chr(10) || 'Options: ' || array_to_string(presented_options, ', ')
