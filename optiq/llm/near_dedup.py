@@ -52,6 +52,8 @@ PAIRS_A_SALT = 2000
 FEW = 16
 #: Members of a block in larger buckets, and tokens in one product of matrices.
 BLOCK, COLUMNS = 512, 8192
+#: Repeated ids that are broadcast (8 bytes each); more of them are joined by a shuffle.
+FEW_IDS = 100_000
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -291,16 +293,21 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     ``doc_id`` and text one stays, any where they differ in other columns."""
     gone = near_duplicates(docs, **parameters).where("NOT kept").select(
         F.col("doc_id").alias("gone")).distinct()
+    # the ids that stand more than once, without their texts; few are broadcast
+    many = cut_lineage(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("many"))
+                       .agg(F.count("*").alias("n")).where("n > 1").select("many"))
+    if many.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        many = F.broadcast(many)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
-    # the ids that stand more than once, without their texts
-    many = (docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("many")).agg(F.count("*").alias("n"))
-            .where("n > 1").select("many"))
-    named = left.join(many, F.col("id") == F.col("many"), "left")
+
+    def stay(part: DataFrame) -> DataFrame:
+        return part.join(gone, F.col("id") == F.col("gone"), "left_anti")
+
+    once = stay(rows.join(many, F.col("id") == F.col("many"), "left_anti")).select("row.*")
     text = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col("row.text")), F.lit("")), 256)
-    again = (named.where("many IS NOT NULL").withColumn("sha", text).groupBy("id", "sha")
-             .agg(F.first("row").alias("row")))
-    return named.where("many IS NULL").select("row.*").unionByName(again.select("row.*"))
+    again = (stay(rows.join(many, F.col("id") == F.col("many"), "left_semi")).withColumn("sha", text)
+             .groupBy("id", "sha").agg(F.first("row").alias("row")))
+    return once.unionByName(again.select("row.*"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
