@@ -74,8 +74,9 @@ GRAMMAR_RULES = {
 def tokenize(text: Column, mode: str = "lower") -> Column:
     """``lower``: lower().split(); ``raw``: split(); ``punct``: words and single
     punctuation marks as separate tokens; ``treebank``: the ordered rewrites of
-    treebank tokenizers (clitics, quotes, brackets, final stop, ellipses), lower-cased."""
-    if mode == "treebank":
+    treebank tokenizers (clitics, quotes, brackets, final stop, ellipses), lower-cased;
+    ``treebank_cased``: the same with the case kept."""
+    if mode.startswith("treebank"):
         def rewritten(t: Column, rules: list[tuple[str, str]]) -> Column:
             for pattern, by in rules:
                 t = F.regexp_replace(t, pattern, by.replace("$", r"\$").replace("\\1", "$1").replace(
@@ -83,7 +84,8 @@ def tokenize(text: Column, mode: str = "lower") -> Column:
             return t
 
         spaced = F.concat(F.lit(" "), rewritten(text, TREEBANK), F.lit(" "))
-        return F.filter(F.split(F.lower(rewritten(spaced, TREEBANK_ENDS)), r"\s+"), lambda x: x != "")
+        whole = rewritten(spaced, TREEBANK_ENDS)
+        return F.filter(F.split(F.lower(whole) if mode == "treebank" else whole, r"\s+"), lambda x: x != "")
     if mode == "punct":
         return F.regexp_extract_all(text, F.lit(WORD_OR_MARK), 1)
     t = F.lower(text) if mode == "lower" else text

@@ -289,6 +289,21 @@ def _gratio(spark, sf):
     return p.select("doc_id", "block", "slot", TS.grammar_ratio(F.col("text")).alias("grammar_score"))
 
 
+@register("grammar_spans")
+def _gspans(spark, sf):
+    """Matches of the rule table in every text piece (an automaton: checked against a
+    brute-force matcher)."""
+    from optiq.operators.grammar import grammar_spans
+    return grammar_spans(B.text_pieces(spark, sf), ["doc_id", "block", "slot"])
+
+
+@register("grammar_rule_scores")
+def _gscores(spark, sf):
+    """Faults of the rule table in every text piece, and the scores made of them."""
+    from optiq.operators.grammar import grammar_scores
+    return grammar_scores(B.text_pieces(spark, sf), ["doc_id", "block", "slot"])
+
+
 @register("cosine_to_answer")
 def _cos(spark, sf):
     return TS.cosine_to_answer(B.vector_slots(spark, sf))
