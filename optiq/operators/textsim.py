@@ -12,8 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from optiq.functions import alignment as AL
 from optiq.session import cut_lineage
@@ -59,6 +63,10 @@ TREEBANK_ENDS = [
     (r" ([Ww][Aa][Nn])([Nn][Aa]) ", r" \1 \2 "),
     (r" ('[Tt])([Ii][Ss]|[Ww][Aa][Ss]) ", r" \1 \2 "),
 ]
+# a text without any of these needs the rewrites of final stops, colons and commas,
+# ellipses, question and exclamation marks only (their places in TREEBANK)
+TREEBANK_MARKS = r"""[«“‘„`"'\[\](){}<>;@#$%&*»”’]|--|(?i:cannot|gimme|gonna|gotta|lemme|wanna)"""
+TREEBANK_PLAIN = (4, 5, 6, 7, 9)
 # METEOR parameters (Lavie & Agarwal 2007 defaults)
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 # Grammar rule table (regex rules counted per text); re-aimed from a parser-based check
@@ -84,7 +92,9 @@ def tokenize(text: Column, mode: str = "lower") -> Column:
             return t
 
         spaced = F.concat(F.lit(" "), rewritten(text, TREEBANK), F.lit(" "))
-        whole = rewritten(spaced, TREEBANK_ENDS)
+        # plain prose: the other rewrites would change nothing but white space
+        plain = rewritten(text, [TREEBANK[i] for i in TREEBANK_PLAIN])
+        whole = F.when(text.rlike(TREEBANK_MARKS), rewritten(spaced, TREEBANK_ENDS)).otherwise(plain)
         return F.filter(F.split(F.lower(whole) if mode == "treebank" else whole, r"\s+"), lambda x: x != "")
     if mode == "punct":
         return F.regexp_extract_all(text, F.lit(WORD_OR_MARK), 1)
@@ -136,21 +146,61 @@ def cosine_to_answer(slots: DataFrame) -> DataFrame:
                     cosine(F.col("answer_vec"), F.col("vector")).alias("similarity")))
 
 
+def vector_sums(rows: DataFrame, by: list[str], groups: int = 4096) -> DataFrame:
+    """by, n, s: number and sum of the vectors (last column of ``rows``) of each group, a row
+    from every task that holds any; a task sends on what it has after ``groups`` groups."""
+    out = T.StructType([*rows.select(*by).schema.fields, T.StructField("n", T.LongType()),
+                        T.StructField("s", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        kinds = None
+        held: dict = {}
+
+        def flush():
+            keys = list(zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array(k, t) for k, t in zip(keys, kinds, strict=True)], pa.array([n for n, _ in held.values()], pa.int64()),
+                 pa.array([s for _, s in held.values()], pa.list_(pa.float64()))], names=[*by, "n", "s"])
+
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[:-1]]
+            vectors = batch.column(len(by))
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(vectors).to_numpy(zero_copy_only=False)).tolist()
+            for key, a, b in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), [0, *ends[:-1]], ends, strict=True):
+                n, s = held.get(key, (0, None))
+                v = flat[a:b]
+                if s is not None and len(s) != len(v):
+                    size = max(len(s), len(v))
+                    s, v = (np.pad(x, (0, size - len(x))) for x in (s, v))
+                held[key] = (n + 1, v.copy() if s is None else s + v)
+            if len(held) >= groups:
+                yield flush()
+                held = {}
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, out)
+
+
 def diversity(slots: DataFrame, group: str = "item_id",
               empty_value: float | None = 0.0) -> DataFrame:
     """1 - mean pairwise cosine of a group's distractors (= mean cosine distance).
 
     Closed form: with unit vectors u_i, sum_{i<j} u_i.u_j = (|sum u|^2 - n) / 2,
-    so the sums of the components, combined map-side for vectors of any length,
+    so sums of vectors of any length, made in each task and then merged as arrays,
     replace all pairs. The grouping is (``group``, distractor_set).
     Groups with fewer than two vectors get ``empty_value``.
     """
     u = (slots.where(F.col("slot") > 0).withColumn("_norm", norm(F.col("vector")))
          .withColumn("_u", unit(F.col("vector"), F.col("_norm"))).where(F.col("_u").isNotNull()))
     by = [group, "distractor_set"]
-    parts = (u.select(*by, F.posexplode("_u").alias("_d", "_x")).groupBy(*by, "_d")
-             .agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s")))
-    sums = parts.groupBy(*by).agg(F.max("_n").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_sq"))
+    partial = vector_sums(u.select(*by, "_u"), by)
+    # a group has a row from each task that holds any of it: these are few, whatever its size
+    sums = partial.groupBy(*by).agg(F.sum("n").alias("n"), F.collect_list("s").alias("_parts")).select(
+        *by, "n", F.aggregate(F.slice("_parts", 2, F.size("_parts")), F.get("_parts", F.lit(0)), lambda a, x: F.zip_with(
+            a, x, lambda p, q: F.coalesce(p, F.lit(0.0)) + F.coalesce(q, F.lit(0.0)))).alias("_s"))
+    sums = sums.select(*by, "n", dot(F.col("_s"), F.col("_s")).alias("_sq"))
     n = F.col("n")
     mean_cos = (F.col("_sq") - n) / (n * (n - 1))
     return sums.select(group, "distractor_set", n.alias("n_distractors"),

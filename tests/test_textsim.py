@@ -188,3 +188,18 @@ def test_treebank_tokens(spark):
     df = spark.createDataFrame([(t,) for t, _ in TREEBANK] + [(None,)], "t string")
     got = [r[0] for r in df.select(F.array_join(TS.tokenize(F.col("t"), "treebank"), " ")).collect()]
     assert got == [want for _, want in TREEBANK] + [None]
+
+
+def test_plain_texts_skip_rewrites_that_change_nothing(spark):
+    rng = random.Random(9)
+    parts = ["word", "Wort", "é", ".", "..", "...", ",", ":", "!", "?", "3,5", "10:30", " ", "  ", "\n", "-", "'s", "can't", "(x)", "cannot", "a--b", ";"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14)))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    fast = [r[1] for r in df.select("i", F.array_join(TS.tokenize(F.col("t"), "treebank"), " ")).orderBy("i").collect()]
+    held = TS.TREEBANK_MARKS
+    TS.TREEBANK_MARKS = ""  # every text takes all rewrites
+    try:
+        full = [r[1] for r in df.select("i", F.array_join(TS.tokenize(F.col("t"), "treebank"), " ")).orderBy("i").collect()]
+    finally:
+        TS.TREEBANK_MARKS = held
+    assert fast == full
