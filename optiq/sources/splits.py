@@ -14,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from optiq.session import cut_lineage
+
 SPLIT = ["file", "block"]
+#: Splits whose offsets are broadcast (under 100 bytes each and a path); more are joined by a shuffle.
+FEW_SPLITS = 50_000
 
 
 def pieces(spark: SparkSession, path: str, sep: str = "\n", glob: str | None = None) -> DataFrame:
@@ -67,18 +71,29 @@ def numbered_lines(spark: SparkSession, path: str, source: Column, glob: str | N
     """source, pos, value: lines of each source, counted from its first line that is not
     blank to its last such line. Several files of a source follow each other by name;
     with ``single`` they are an error."""
-    lines = pieces(spark, path, glob=glob).select("*", source.alias("source")).select(
-        "source", "file", "block", "no", F.regexp_replace("value", "\r$", "").alias("value"))
-    counted = before(lines, "source", line=F.lit(1))
-    full = F.when(F.col("value").rlike(r"\S"), F.col("line"))
-    span = counted.groupBy(F.col("source").alias("of")).agg(
-        F.min(full).alias("first"), F.max(full).alias("last"), (F.min("file") < F.max("file")).alias("several"))
+    lines = pieces(spark, path, glob=glob).select(
+        source.alias("source"), "file", "block", "no", F.regexp_replace("value", "\r$", "").alias("value"))
+    # numbers of a split's lines follow each other, so where it begins is all that is missing:
+    # a row for each split, made from the numbers alone
+    full = F.when(F.col("value").rlike(r"\S"), F.col("no"))
+    whole = Window.partitionBy("source")
+    ahead = whole.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    ends = (lines.groupBy("source", *SPLIT).agg(F.min("no").alias("at"), F.count("*").alias("n"),
+                                                F.min(full).alias("low"), F.max(full).alias("high"))
+            .withColumn("shift", F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("at"))
+            .withColumn("first", F.min(F.col("low") + F.col("shift")).over(whole))
+            .withColumn("last", F.max(F.col("high") + F.col("shift")).over(whole)))
     if single:
-        span = span.withColumn("first", F.when(F.col("several"), F.raise_error(
+        several = F.min("file").over(whole) < F.max("file").over(whole)
+        ends = ends.withColumn("first", F.when(several, F.raise_error(
             F.lit(f"{path} is more than one file"))).otherwise(F.col("first")))
-    return (counted.join(span, F.col("source") == F.col("of"))
-            .where(F.col("line").between(F.col("first"), F.col("last")))
-            .select("source", (F.col("line") - F.col("first")).alias("pos"), "value"))
+    ends = cut_lineage(ends.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "shift", "first", "last"))
+    if ends.limit(FEW_SPLITS + 1).count() <= FEW_SPLITS:
+        ends = F.broadcast(ends)
+    line = F.col("no") + F.col("shift")
+    return (lines.join(ends, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+            .where(line.between(F.col("first"), F.col("last")))
+            .select("source", (line - F.col("first")).alias("pos"), "value"))
 
 
 def _joined(df: DataFrame, by: list[str], order: list[str], sep: str) -> DataFrame:
