@@ -11,8 +11,10 @@ has splits, and no task sees more than one of them.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from optiq.session import cut_lineage
 
@@ -29,6 +31,7 @@ def pieces(spark: SparkSession, path: str, sep: str = "\n", glob: str | None = N
         read = read.option("pathGlobFilter", glob)
     return read.text(path, lineSep=sep).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_block_length").alias("length"),
         F.monotonically_increasing_id().alias("no"), "value")
 
 
@@ -66,34 +69,55 @@ def last_before(df: DataFrame, source: str, value: str, out: str) -> DataFrame:
     return joined.select(*df.columns, F.coalesce("_own", "_carried").alias(out))
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """``lines`` (source, file, block, length, value, in the order read) with ``no``, counted from 0 in
+    each split, whatever splits share a task."""
+    def run(batches):
+        now, n = None, 0
+        for batch in batches:
+            numbers = []
+            for split in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                now, n = split, n + 1 if split == now else 0
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())],
+                                             names=[*batch.schema.names, "no"])
+
+    return lines.mapInArrow(run, T.StructType([*lines.schema.fields, T.StructField("no", T.LongType())]))
+
+
 def numbered_lines(spark: SparkSession, path: str, source: Column, glob: str | None = None,
                    single: bool = False) -> DataFrame:
     """source, pos, value: lines of each source, counted from its first line that is not
     blank to its last such line. Several files of a source follow each other by name;
     with ``single`` they are an error."""
-    lines = pieces(spark, path, glob=glob).select(
-        source.alias("source"), "file", "block", "no", F.regexp_replace("value", "\r$", "").alias("value"))
-    # numbers of a split's lines follow each other, so where it begins is all that is missing:
-    # a row for each split, made from the numbers alone
+    lines = _counted(pieces(spark, path, glob=glob).select(
+        source.alias("source"), "file", "block", "length", F.regexp_replace("value", "\r$", "").alias("value")))
+    # lines are numbered inside their split, so where it begins is all that is missing:
+    # a row for each split
     full = F.when(F.col("value").rlike(r"\S"), F.col("no"))
     whole = Window.partitionBy("source")
     ahead = whole.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    ends = (lines.groupBy("source", *SPLIT).agg(F.min("no").alias("at"), F.count("*").alias("n"),
+    ends = (lines.groupBy("source", *SPLIT, "length").agg(F.count("*").alias("n"),
                                                 F.min(full).alias("low"), F.max(full).alias("high"))
-            .withColumn("shift", F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("at"))
+            .withColumn("shift", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
             .withColumn("first", F.min(F.col("low") + F.col("shift")).over(whole))
             .withColumn("last", F.max(F.col("high") + F.col("shift")).over(whole)))
     if single:
         several = F.min("file").over(whole) < F.max("file").over(whole)
         ends = ends.withColumn("first", F.when(several, F.raise_error(
             F.lit(f"{path} is more than one file"))).otherwise(F.col("first")))
-    ends = cut_lineage(ends.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "shift", "first", "last"))
+    ends = cut_lineage(ends.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("length").alias("_length"),
+                                   "shift", "first", "last"))
     if ends.limit(FEW_SPLITS + 1).count() <= FEW_SPLITS:
         ends = F.broadcast(ends)
     line = F.col("no") + F.col("shift")
-    return (lines.join(ends, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
-            .where(line.between(F.col("first"), F.col("last")))
-            .select("source", (line - F.col("first")).alias("pos"), "value"))
+    placed = lines.join(ends, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
+                        & (F.col("length") == F.col("_length")), "left").where(
+        F.col("shift").isNull() | line.between(F.col("first"), F.col("last")))
+    # both passes see the same splits, unless the number of cores changed in between
+    pos = F.when(F.col("shift").isNull(), F.raise_error(F.lit(
+        "the files were split anew between two passes; read them again")).cast("long")).otherwise(line - F.col("first"))
+    return placed.select("source", pos.alias("pos"), "value")
 
 
 def _joined(df: DataFrame, by: list[str], order: list[str], sep: str) -> DataFrame:
