@@ -6,20 +6,32 @@ the other documents are judged against their kind: per language and source, a
 minimum-covariance-determinant estimate of the transformed counts' centre and
 covariance, and a cut on the squared Mahalanobis distance.
 
-The estimate starts at the medians and spreads and takes concentration steps:
-the ``share`` of the group nearest by the present estimate gives the next mean
-and covariance. Distances are binned by their logarithm and each step is one
-aggregation by (group, bin) of counts, sums and products, so a step never sorts
-a group and a hot source is combined before it is shuffled. The covariance is
-scaled to be consistent under normality and its diagonal gets small floors
-(``FLOORS``), since many counts are 0 for most documents of a kind. The cut is
-the 1 - 1e-4 quantile of chi-squared, 5.1 deviations of one feature: where a
-count is 0 for a kind, 4 symbols per 100 words or 4 repeated lines reject, and
-words of 1.3 times the usual length; one repeated line does not.
-
-Groups of under ``min_rows`` judged documents are pooled by language; a pool
-that is still smaller gives no estimate and rejects nothing. Null languages and
-sources are groups of their own.
+An estimate's subset is the ``share`` of its group with the least determinant
+of the covariance that can be found: concentration steps (the nearest ``share``
+by the present estimate gives the next mean and covariance) go on until the
+determinant stops falling, from several starts (``_starts``: quartile spreads,
+all rows, spatial signs, bounded scores, the level above). After two steps the
+two starts of least determinant go on, at the end the least one stands.
+Distances are binned by their logarithm and each step is one aggregation by
+(group, start, bin) of counts, sums and products, so a step never sorts a group
+and a hot source is combined before it is shuffled; of the last bin the part
+that fills the share counts, so every subset has the same weight.
+
+Groups nest: all documents, languages, sources of a language. Each estimate
+holds ``prior`` pseudo-documents with the mean and covariance of the level above,
+which always are in the subset. So groups of any size are judged alike: a small
+one mostly by the level above, a large one by its own rows. For a group of n rows
+far from the level above, the pseudo-documents alone bring no squared distance
+over prior / (share * n): a document alone in its language is never rejected, nor
+are three alike of one source. Null languages and sources are groups of their own.
+
+Covariances are scaled to be consistent under normality and the diagonal gets
+small floors (``FLOORS``), since many counts are 0 for most documents of a kind;
+the determinant compared is that of the matrix so regularised, for which the steps
+still never raise it, but for the width of a bin.
+The cut is the 1 - 1e-4 quantile of chi-squared, 5.1 deviations of one feature:
+where a count is 0 for a kind, 4 symbols per 100 words or 4 repeated lines reject,
+and words of 1.3 times the usual length; one repeated line does not.
 
 Null texts are empty. Rows are judged one by one: repeated rows, repeated or
 null ids get the verdict of their counts. Extra columns are not read.
@@ -27,6 +39,7 @@ null ids get the verdict of their counts. Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,94 +138,154 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _cholesky(spread: DataFrame) -> DataFrame:
-    """Columns l_i_j of the lower factor from columns c_i_j, row by row."""
-    for i in range(N):
-        for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            spread = spread.withColumn(f"l_{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return spread.select("g", "n", *[f"m_{i}" for i in range(N)],
-                         *[f"l_{i}_{j}" for i in range(N) for j in range(i + 1)])
-
-
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``rows`` with d2, the squared Mahalanobis distance to their group's centre."""
-    found = rows.join(estimate.withColumnRenamed("g", "eg").withColumnRenamed("n", "en"),
-                      F.col("g").eqNullSafe(F.col("eg")))
-    for i in range(N):
-        y = F.col(f"x_{i}") - F.col(f"m_{i}")
-        for j in range(i):
-            y = y - F.col(f"l_{i}_{j}") * F.col(f"y_{j}")
-        found = found.withColumn(f"y_{i}", y / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(N)), F.lit(0.0))
-    return found.withColumn("d2", d2)
-
-
-def _begin(rows: DataFrame) -> DataFrame:
-    """Medians, and quartile spreads on the diagonal."""
-    def quantile(i: int, p: float) -> Column:
-        return F.percentile_approx(f"x_{i}", p, 2000)
-
-    start = rows.groupBy("g").agg(
-        F.count("*").alias("n"), *[quantile(i, 0.5).alias(f"m_{i}") for i in range(N)],
-        *[((quantile(i, 0.75) - quantile(i, 0.25)) / 1.349).alias(f"s_{i}") for i in range(N)])
-    for i, floor in enumerate(FLOORS):
-        for j in range(i + 1):
-            value = F.col(f"s_{i}") * F.col(f"s_{i}") + floor ** 2 if i == j else F.lit(0.0)
-            start = start.withColumn(f"c_{i}_{j}", value)
-    return _cholesky(start)
-
-
-def _step(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
-    """One concentration step: mean and covariance of the nearest ``share``."""
-    pairs = [(i, j) for i in range(N) for j in range(i + 1)]
-    binned = _distance(rows, estimate).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * 100))
-    sums = binned.groupBy("g", "bin").agg(
-        F.count("*").alias("k"), F.first("en").alias("n"),
-        *[F.sum(f"x_{i}").alias(f"t_{i}") for i in range(N)],
-        *[F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"q_{i}_{j}") for i, j in pairs])
-    nearer = W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    near = sums.withColumn("before", F.coalesce(F.sum("k").over(nearer), F.lit(0))) \
-        .where(F.col("before") < share * F.col("n"))
-    total = near.groupBy("g").agg(
-        F.max("n").alias("n"), F.sum("k").alias("k"), *[F.sum(f"t_{i}").alias(f"t_{i}") for i in range(N)],
-        *[F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in pairs])
+PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
+CENTRE = [f"m_{i}" for i in range(N)]
+SPREAD = [f"r_{i}_{j}" for i, j in PAIRS]
+#: Estimates that are broadcast to the rows at most (some 400 bytes each).
+FEW_ESTIMATES = 50_000
+
+
+def _factor(estimate: DataFrame, consistent: float) -> DataFrame:
+    """``estimate`` with l_i_j, the lower factor of the regularised covariance (from
+    the raw one, r_i_j), and logdet, the logarithm of its determinant."""
+    factor = []  # each column uses those before it in the same select
+    for i, j in PAIRS:
+        rest = f"{consistent!r}D * r_{i}_{j}" + (f" + {FLOORS[i] ** 2!r}D" if i == j else "")
+        rest += "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+        factor.append(f"sqrt({rest}) AS l_{i}_{j}" if i == j else f"({rest}) / l_{j}_{j} AS l_{i}_{j}")
+    logdet = " + ".join(f"2 * ln(l_{i}_{i})" for i in range(N))
+    return estimate.selectExpr("*", *factor, f"{logdet} AS logdet")
+
+
+def _distance(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with d2, the squared Mahalanobis distance to each estimate of their group."""
+    known = estimate.withColumnRenamed("g", "eg")
+    found = rows.join(F.broadcast(known) if few else known, F.col("g") == F.col("eg"))
+    solved = [f"(x_{i} - m_{i}" + "".join(f" - l_{i}_{j} * y_{j}" for j in range(i)) + f") / l_{i}_{i} AS y_{i}"
+              for i in range(N)]
+    return found.selectExpr("*", *solved, " + ".join(f"y_{i} * y_{i}" for i in range(N)) + " AS d2")
+
+
+def _moments(weight: str) -> list[str]:
+    """Mean and raw covariance from sums t_i and products q_i_j of ``weight`` rows."""
+    return [*[f"t_{i} / {weight} AS m_{i}" for i in range(N)],
+            *[f"q_{i}_{j} / {weight} - t_{i} * t_{j} / ({weight} * {weight}) AS r_{i}_{j}" for i, j in PAIRS]]
+
+
+def _sums() -> list[Column]:
+    """t_i and q_i_j, the sums and the sums of products of the features."""
+    return [*[F.expr(f"sum(x_{i}) AS t_{i}") for i in range(N)],
+            *[F.expr(f"sum(x_{i} * x_{j}) AS q_{i}_{j}") for i, j in PAIRS]]
+
+
+def _starts(rows: DataFrame, above: DataFrame | None, few: bool) -> DataFrame:
+    """First estimates (g, start, n, m_i, r_i_j) of each group: medians with quartile
+    spreads, mean and covariance of all rows, medians with the covariance of the
+    spatial signs and of bounded scores (hyperbolic tangents) of the standardised
+    rows, and the estimate ``above``."""
+    wide = [f"hypot((percentile_approx(x_{i}, 0.75, 2000) - percentile_approx(x_{i}, 0.25, 2000)) / 1.349D, "
+            f"{FLOORS[i]}D) AS s_{i}" for i in range(N)]
+    middle = cut_lineage(rows.groupBy("g").agg(
+        F.count("*").alias("n"), *[F.expr(f"percentile_approx(x_{i}, 0.5, 2000) AS m_{i}") for i in range(N)],
+        *map(F.expr, wide)))
+    known = middle.withColumnRenamed("g", "eg")
+    z = rows.join(F.broadcast(known) if few else known, F.col("g") == F.col("eg"))
+    z = z.selectExpr("*", *[f"(x_{i} - m_{i}) / s_{i} AS z_{i}" for i in range(N)])
+    norm = " + ".join(f"z_{i} * z_{i}" for i in range(N))
+    found = z.selectExpr("*", f"{norm} + 1e-12D AS norm").groupBy("g").agg(
+        F.count("*").alias("k"), *_sums(),
+        *[F.expr(f"{N} * sum(z_{i} * z_{j} / norm) AS u_{i}_{j}") for i, j in PAIRS],
+        *[F.expr(f"sum(tanh(z_{i}) * tanh(z_{j})) AS h_{i}_{j}") for i, j in PAIRS])
+    both = cut_lineage(middle.join(found, "g"))
+    shapes = {"quartiles": [*CENTRE, *[f"{f's_{i} * s_{j}' if i == j else '0D'} AS r_{i}_{j}" for i, j in PAIRS]],
+              "rows": _moments("k"),
+              "signs": [*CENTRE, *[f"u_{i}_{j} / k * s_{i} * s_{j} AS r_{i}_{j}" for i, j in PAIRS]],
+              "tanh": [*CENTRE, *[f"h_{i}_{j} / k * s_{i} * s_{j} AS r_{i}_{j}" for i, j in PAIRS]]}
+    starts = [both.selectExpr("g", f"'{name}' AS start", "n", *columns) for name, columns in shapes.items()]
+    if above is not None:
+        starts.append(above.selectExpr("g", "'above' AS start", "n", *[f"p{c} AS {c}" for c in (*CENTRE, *SPREAD)]))
+    return functools.reduce(DataFrame.unionByName, starts)
+
+
+def _step(rows: DataFrame, estimate: DataFrame, above: DataFrame | None, share: float, prior: float,
+          consistent: float, few: bool) -> DataFrame:
+    """One concentration step of each estimate: mean and covariance of the nearest
+    ``share`` of its group, together with the ``prior`` pseudo-documents of ``above``."""
+    binned = _distance(rows, estimate, few).selectExpr("*", "floor(ln(d2 + 1e-9D) * 100) AS bin")
+    sums = binned.groupBy("g", "start", "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"),
+                                                  F.first("logdet").alias("was"), *_sums())
+    nearer = "sum(k) OVER (PARTITION BY g, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    part = sums.selectExpr("*", f"least(1D, ({share!r}D * n - coalesce({nearer}, 0)) / k) AS part").where("part > 0")
+    names = [*[f"t_{i}" for i in range(N)], *[f"q_{i}_{j}" for i, j in PAIRS]]
+    total = part.groupBy("g", "start").agg(F.max("n").alias("n"), F.max("was").alias("was"), *[F.expr(f"sum(part * {c}) AS {c}") for c in names])
+    weight = f"({share!r}D * n)"
+    if above is not None:
+        total = total.join(above.drop("n"), "g").selectExpr(
+            "g", "start", "n", "was", *[f"t_{i} + {prior!r}D * pm_{i} AS t_{i}" for i in range(N)],
+            *[f"q_{i}_{j} + {prior!r}D * (pr_{i}_{j} + pm_{i} * pm_{j}) AS q_{i}_{j}" for i, j in PAIRS])
+        weight = f"({share!r}D * n + {prior!r}D)"
+    return _factor(total.selectExpr("g", "start", "n", "was", *_moments(weight)), consistent)
+
+
+def _least(rows: DataFrame, above: DataFrame | None, share: float, prior: float, tol: float = 1e-3) -> DataFrame:
+    """The estimate of least determinant of each group g of ``rows`` (x_i): g, start,
+    n, m_i, r_i_j, l_i_j, logdet. ``above``: g, n, pm_i and pr_i_j of each group."""
     consistent = share / chi2_cdf(chi2_quantile(share, N), N + 2)
-    spread = total.select("g", "n", *[(F.col(f"t_{i}") / F.col("k")).alias(f"m_{i}") for i in range(N)], *[
-        (consistent * (F.col(f"q_{i}_{j}") / F.col("k")
-                       - F.col(f"t_{i}") * F.col(f"t_{j}") / (F.col("k") * F.col("k")))
-         + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in pairs])
-    return _cholesky(spread)
-
-
-def judge(counts: DataFrame, share: float = 0.75, steps: int = 4, tail: float = 1e-4,
-          min_rows: int = 50) -> DataFrame:
-    """``counts`` (with lang and source) with base_failed, d2 and kept."""
+    few = rows.select("g").distinct().limit(FEW_ESTIMATES // 5 + 1).count() <= FEW_ESTIMATES // 5
+    first = _factor(_starts(rows, above, few), consistent).withColumn("logdet", F.lit(math.inf))
+    state = cut_lineage(first.withColumn("falling", F.lit(True)))
+    at = 0
+    while not state.where("falling").isEmpty():
+        at += 1
+        new = _step(rows, state.where("falling"), above, share, prior, consistent, few)
+        new = new.withColumn("falling", F.col("was") - F.col("logdet") > tol).drop("was")
+        state = new.unionByName(state.where("NOT falling")) if at > 1 else new
+        if at == 2:  # the two best starts go on
+            state = _ranked(state, 2)
+        state = cut_lineage(state)
+    return cut_lineage(_ranked(state, 1).drop("falling"))
+
+
+def _ranked(state: DataFrame, few: int) -> DataFrame:
+    """The ``few`` estimates of least determinant of each group."""
+    rank = F.row_number().over(W.partitionBy("g").orderBy("logdet", "start"))
+    return state.withColumn("rank", rank).where(F.col("rank") <= few).drop("rank")
+
+
+def estimates(rows: DataFrame, share: float = 0.75, prior: tuple[float, float] = (16.0, 50.0)) -> DataFrame:
+    """The estimate of each language and source of ``rows`` (from ``with_features``), one
+    level after another."""
+    above = found = None
+    levels = ("all", "by_lang", "by_kind")
+    for depth, level in enumerate(levels):
+        g = rows.withColumn("g", F.col(level))
+        if found is not None:
+            upper = levels[depth - 1]
+            held = found.select(F.col("g").alias(upper), *[F.col(c).alias(f"p{c}") for c in (*CENTRE, *SPREAD)])
+            above = cut_lineage(g.groupBy("g", upper).agg(F.count("*").alias("n")).join(held, upper).drop(upper))
+        found = _least(g, above, share, prior[depth - 1] if depth else 0.0)
+    return found
+
+
+def with_features(judged: DataFrame) -> DataFrame:
+    """The rows of ``judged`` as one column, the names of their groups and their features x_i."""
+    return judged.select(
+        F.struct(*judged.columns).alias("row"), F.lit("").alias("all"), F.to_json(F.struct("lang")).alias("by_lang"),
+        F.to_json(F.struct("lang", "source")).alias("by_kind"), *[x.alias(f"x_{i}") for i, x in enumerate(features())])
+
+
+def judge(counts: DataFrame, share: float = 0.75, tail: float = 1e-4,
+          prior: tuple[float, float] = (16.0, 50.0)) -> DataFrame:
+    """``counts`` (with lang and source) with base_failed, d2 (null where it failed) and kept."""
     marked = cut_lineage(counts.withColumn("base_failed", base_failed()))
-    judged = marked.where("NOT base_failed")
-    size = judged.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    large = size.where(F.col("n") >= min_rows).select(F.col("lang").alias("gl"), F.col("source").alias("gs"),
-                                                      F.lit(True).alias("alone"))
-    both = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
-    group = F.struct("lang", F.when(F.col("alone"), F.col("source")).alias("source"),
-                     F.col("alone").isNotNull().alias("alone"))
-    rows = judged.join(large, both, "left").withColumn("g", F.to_json(group))
-    for i, x in enumerate(features()):
-        rows = rows.withColumn(f"x_{i}", x)
-    rows = cut_lineage(rows.drop("gl", "gs", "alone"))
-    estimate = cut_lineage(_begin(rows).where(F.col("n") >= min_rows))
-    for _ in range(steps):
-        estimate = cut_lineage(_step(rows, estimate, share))
+    rows = cut_lineage(with_features(marked.where("NOT base_failed")))
+    estimate = estimates(rows, share, prior)
+    few = estimate.limit(FEW_ESTIMATES + 1).count() <= FEW_ESTIMATES
+    known = _distance(rows.withColumn("g", F.col("by_kind")), estimate, few).select("row.*", "d2")
+    failed = marked.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     cut = chi2_quantile(1 - tail, N)
-    names = [*marked.columns]
-    known = _distance(rows, estimate).select(*names, "d2")
-    missing = rows.join(estimate.select(F.col("g").alias("eg")), F.col("g") == F.col("eg"), "left_anti")
-    none = F.lit(None).cast("double").alias("d2")
-    every = (known.unionByName(missing.select(*names, none))
-             .unionByName(marked.where("base_failed").select(*names, none)))
-    return every.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
+    return known.unionByName(failed).withColumn(
+        "kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
