@@ -183,20 +183,20 @@ def _starts(rows: DataFrame, above: DataFrame | None, few: bool) -> DataFrame:
     spreads, mean and covariance of all rows, medians with the covariance of the
     spatial signs and of bounded scores (hyperbolic tangents) of the standardised
     rows, and the estimate ``above``."""
-    wide = [f"hypot((percentile_approx(x_{i}, 0.75, 2000) - percentile_approx(x_{i}, 0.25, 2000)) / 1.349D, "
-            f"{FLOORS[i]}D) AS s_{i}" for i in range(N)]
-    middle = cut_lineage(rows.groupBy("g").agg(
-        F.count("*").alias("n"), *[F.expr(f"percentile_approx(x_{i}, 0.5, 2000) AS m_{i}") for i in range(N)],
-        *map(F.expr, wide)))
-    known = middle.withColumnRenamed("g", "eg")
+    quartiles = rows.groupBy("g").agg(
+        F.count("*").alias("n"),
+        *[F.expr(f"percentile_approx(x_{i}, array(0.25, 0.5, 0.75), 2000) AS p_{i}") for i in range(N)])
+    known = quartiles.selectExpr(
+        "g AS eg", "n", *[f"p_{i}[1] AS m_{i}" for i in range(N)],
+        *[f"hypot((p_{i}[2] - p_{i}[0]) / 1.349D, {FLOORS[i]}D) AS s_{i}" for i in range(N)])
     z = rows.join(F.broadcast(known) if few else known, F.col("g") == F.col("eg"))
     z = z.selectExpr("*", *[f"(x_{i} - m_{i}) / s_{i} AS z_{i}" for i in range(N)])
     norm = " + ".join(f"z_{i} * z_{i}" for i in range(N))
-    found = z.selectExpr("*", f"{norm} + 1e-12D AS norm").groupBy("g").agg(
-        F.count("*").alias("k"), *_sums(),
+    both = cut_lineage(z.selectExpr("*", f"{norm} + 1e-12D AS norm").groupBy("g").agg(
+        F.count("*").alias("k"), F.first("n").alias("n"),
+        *[F.first(f"{c}_{i}").alias(f"{c}_{i}") for c in "ms" for i in range(N)], *_sums(),
         *[F.expr(f"{N} * sum(z_{i} * z_{j} / norm) AS u_{i}_{j}") for i, j in PAIRS],
-        *[F.expr(f"sum(tanh(z_{i}) * tanh(z_{j})) AS h_{i}_{j}") for i, j in PAIRS])
-    both = cut_lineage(middle.join(found, "g"))
+        *[F.expr(f"sum(tanh(z_{i}) * tanh(z_{j})) AS h_{i}_{j}") for i, j in PAIRS]))
     shapes = {"quartiles": [*CENTRE, *[f"{f's_{i} * s_{j}' if i == j else '0D'} AS r_{i}_{j}" for i, j in PAIRS]],
               "rows": _moments("k"),
               "signs": [*CENTRE, *[f"u_{i}_{j} / k * s_{i} * s_{j} AS r_{i}_{j}" for i, j in PAIRS]],
@@ -227,23 +227,22 @@ def _step(rows: DataFrame, estimate: DataFrame, above: DataFrame | None, share:
     return _factor(total.selectExpr("g", "start", "n", "was", *_moments(weight)), consistent)
 
 
-def _least(rows: DataFrame, above: DataFrame | None, share: float, prior: float, tol: float = 1e-3) -> DataFrame:
+def _least(rows: DataFrame, above: DataFrame | None, share: float, prior: float, few: bool,
+           tol: float = 1e-3) -> DataFrame:
     """The estimate of least determinant of each group g of ``rows`` (x_i): g, start,
     n, m_i, r_i_j, l_i_j, logdet. ``above``: g, n, pm_i and pr_i_j of each group."""
     consistent = share / chi2_cdf(chi2_quantile(share, N), N + 2)
-    few = rows.select("g").distinct().limit(FEW_ESTIMATES // 5 + 1).count() <= FEW_ESTIMATES // 5
-    first = _factor(_starts(rows, above, few), consistent).withColumn("logdet", F.lit(math.inf))
-    state = cut_lineage(first.withColumn("falling", F.lit(True)))
-    at = 0
+
+    def step(estimate: DataFrame) -> DataFrame:
+        new = _step(rows, estimate, above, share, prior, consistent, few)
+        return new.withColumn("falling", F.col("was") - F.col("logdet") > tol).drop("was")
+
+    # each step is cut: a plan of two steps takes longer to plan than two jobs take
+    once = cut_lineage(step(cut_lineage(_factor(_starts(rows, above, few), consistent))))
+    state = cut_lineage(_ranked(step(once), 2))  # the two best starts go on
     while not state.where("falling").isEmpty():
-        at += 1
-        new = _step(rows, state.where("falling"), above, share, prior, consistent, few)
-        new = new.withColumn("falling", F.col("was") - F.col("logdet") > tol).drop("was")
-        state = new.unionByName(state.where("NOT falling")) if at > 1 else new
-        if at == 2:  # the two best starts go on
-            state = _ranked(state, 2)
-        state = cut_lineage(state)
-    return cut_lineage(_ranked(state, 1).drop("falling"))
+        state = cut_lineage(step(state.where("falling")).unionByName(state.where("NOT falling")))
+    return _ranked(state, 1).drop("falling")
 
 
 def _ranked(state: DataFrame, few: int) -> DataFrame:
@@ -252,9 +251,17 @@ def _ranked(state: DataFrame, few: int) -> DataFrame:
     return state.withColumn("rank", rank).where(F.col("rank") <= few).drop("rank")
 
 
-def estimates(rows: DataFrame, share: float = 0.75, prior: tuple[float, float] = (16.0, 50.0)) -> DataFrame:
+def few_groups(rows: DataFrame, level: str) -> bool:
+    """Whether the estimates from all starts of the groups of ``level`` may be broadcast."""
+    bound = FEW_ESTIMATES // 5
+    return rows.select(level).distinct().limit(bound + 1).count() <= bound
+
+
+def estimates(rows: DataFrame, few: bool, share: float = 0.75,
+              prior: tuple[float, float] = (16.0, 50.0)) -> DataFrame:
     """The estimate of each language and source of ``rows`` (from ``with_features``), one
-    level after another."""
+    level after another. ``few``: ``few_groups`` of the last level; where it holds, it
+    holds for the levels above, which have no more groups."""
     above = found = None
     levels = ("all", "by_lang", "by_kind")
     for depth, level in enumerate(levels):
@@ -263,7 +270,8 @@ def estimates(rows: DataFrame, share: float = 0.75, prior: tuple[float, float] =
             upper = levels[depth - 1]
             held = found.select(F.col("g").alias(upper), *[F.col(c).alias(f"p{c}") for c in (*CENTRE, *SPREAD)])
             above = cut_lineage(g.groupBy("g", upper).agg(F.count("*").alias("n")).join(held, upper).drop(upper))
-        found = _least(g, above, share, prior[depth - 1] if depth else 0.0)
+        found = _least(g, above, share, prior[depth - 1] if depth else 0.0,
+                       few or depth == 0 or few_groups(rows, level))
     return found
 
 
@@ -279,8 +287,8 @@ def judge(counts: DataFrame, share: float = 0.75, tail: float = 1e-4,
     """``counts`` (with lang and source) with base_failed, d2 (null where it failed) and kept."""
     marked = cut_lineage(counts.withColumn("base_failed", base_failed()))
     rows = cut_lineage(with_features(marked.where("NOT base_failed")))
-    estimate = estimates(rows, share, prior)
-    few = estimate.limit(FEW_ESTIMATES + 1).count() <= FEW_ESTIMATES
+    few = few_groups(rows, "by_kind")
+    estimate = estimates(rows, few, share, prior)
     known = _distance(rows.withColumn("g", F.col("by_kind")), estimate, few).select("row.*", "d2")
     failed = marked.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     cut = chi2_quantile(1 - tail, N)

@@ -372,7 +372,7 @@ def test_quality_finds_least_determinants(spark):
                   for name, part in pdf.groupby(level)]
             names = ["g", "n", *["p" + c for c in (*quality.CENTRE, *quality.SPREAD)]]
             above = spark.createDataFrame(pr, names)
-        got = {r.g: r for r in quality._least(g, above, share, prior).collect()}
+        got = {r.g: r for r in quality._least(g, above, share, prior, True).collect()}
         assert len(got) == pdf[level].nunique()
         for name, part in pdf.groupby(level):
             mean = raw = None
