@@ -5,7 +5,8 @@ tasks, on batches of ``batch_rows`` rows at most. A batch that raises is tried a
 ``retries`` times, then row by row, so one bad call costs no other one; what still
 fails becomes an error row. The plan goes through in ``rounds``, each written as a whole
 into ``out_dir``: a run that was stopped goes on after the last written round, and calls
-that have a reply are not made again. Error rows are tried again by the next run.
+that have a reply are not made again. Error rows are tried again by the next run. The plan
+is read once a round, so a plan that is costly to make is best written first.
 """
 
 from __future__ import annotations
@@ -68,13 +69,15 @@ def score_with(plan: DataFrame, respond: Respond, out_dir: str, key: str = "resp
                batch_rows: int = 64, retries: int = 2) -> DataFrame:
     """key, raw_response and error of every row of ``plan`` (distinct keys): replies that
     ``out_dir`` holds already, and new ones for the rest, which are added to it."""
+    before = _written(plan, out_dir)  # the rounds of one run have no keys in common
     for n in range(rounds):
         mine = plan.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == n)
-        held = _written(plan, out_dir)
-        if held is not None:
-            mine = mine.join(held.where("error IS NULL").select(key), key, "left_anti").select(*plan.columns)
+        if before is not None:
+            mine = mine.join(before.where("error IS NULL").select(key), key, "left_anti").select(*plan.columns)
         replies_of(mine, respond, key, batch_rows, retries).write.mode("append").parquet(out_dir)
-    held = _written(plan, out_dir)
+    held = _written(plan, out_dir).select(key, "raw_response", "error")
+    if before is None:
+        return held
     # a call that failed in an earlier run has rows of both kinds: the reply stands
     last = held.groupBy(key).agg(F.min_by(F.struct("raw_response", "error"), F.col("error").isNotNull()).alias("r"))
     return plan.select(key).join(last, key).select(key, "r.raw_response", "r.error")
