@@ -97,9 +97,11 @@ def assemble_options(items: DataFrame, seed=0, key: str = "question") -> DataFra
 
 
 def build_eval_plan(items: DataFrame, models: list[str], detailed: int = 5,
-                    order: tuple[str, ...] = ("doc_id", "block")) -> DataFrame:
+                    order: tuple[str, ...] = ("doc_id", "block"), firsts_dir: str | None = None) -> DataFrame:
     """(original bank + every distractor set) x models; the first ``detailed``
-    items of each set (load order) ask for reasoning.
+    items of each set (load order) ask for reasoning. The keys of those items are
+    written to ``firsts_dir`` if given: then their size is known when the join is
+    planned, and while they are few the items are not shuffled.
 
     Models are a generator column, not a join. The first-k flag is computed on
     the items once (it does not depend on the model).
@@ -110,6 +112,9 @@ def build_eval_plan(items: DataFrame, models: list[str], detailed: int = 5,
     firsts = (top_k_per_group(plan.select("plan_set", *order), "plan_set",
                               [F.col(c) for c in order], detailed)
               .select("plan_set", *order, F.lit(True).alias("request_reasoning")))
+    if firsts_dir is not None:
+        firsts.write.parquet(firsts_dir)
+        firsts = items.sparkSession.read.parquet(firsts_dir)
     # k rows per set
     flagged = (join_bounded(plan, firsts, ["plan_set", *order], "left")
                .withColumn("request_reasoning",

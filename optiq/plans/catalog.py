@@ -596,7 +596,8 @@ def _score_with(spark, sf):
     # each round reads the plan: its items are made once, their six rows each time
     items = scratch_path(spark, "items")
     _assembled(spark, sf).select("doc_id", "block", "distractor_set", "question", "presented_options").write.parquet(items)
-    p = BK.build_eval_plan(spark.read.parquet(items), MODELS, 5).select(
+    plan = BK.build_eval_plan(spark.read.parquet(items), MODELS, 5, firsts_dir=scratch_path(spark, "firsts"))
+    p = plan.select(
         F.concat_ws("|", "question", "plan_set", "model").alias("response_id"), "question", "presented_options")
     return score_with(p, _fixed_reply, scratch_path(spark, "replies"), rounds=3)
 
