@@ -101,3 +101,17 @@ def test_broken_rules():
     for pattern in ("@unknown", "a? b?"):
         with pytest.raises(ValueError):
             G.Automaton([G.Rule("x", pattern)])
+
+
+def test_matches_begin_only_where_neighbours_fit():
+    """The places that a batch's neighbours leave give the matches of all places, at a
+    small part of the places."""
+    import pyarrow as pa
+    rng, automaton = random.Random(3), G.Automaton(G.RULES)
+    words = "very had a one apple of should not must quickly to two many child then better , . ! x The the it".split()
+    lists = [[rng.choice(words) for _ in range(rng.randint(0, 25))] for _ in range(800)] + [[], ["plain"] + ["alpha", "beta"] * 50]
+    want = [(i, automaton.matches(x)) for i, x in enumerate(lists) if automaton.matches(x)]
+    tokens = pa.array([["cut"], *lists], pa.list_(pa.string())).slice(1)
+    assert [(i, m) for i, own, m in automaton.batch_matches(tokens) if own == lists[i]] == want
+    at = automaton.live(pa.array([lists[-1]], pa.list_(pa.string())))[0]
+    assert len(at) == 0 and list(automaton.batch_matches(pa.array([[], None], pa.list_(pa.string())))) == []

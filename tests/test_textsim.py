@@ -203,3 +203,31 @@ def test_plain_texts_skip_rewrites_that_change_nothing(spark):
     finally:
         TS.TREEBANK_MARKS = held
     assert fast == full
+
+
+def test_equal_texts_are_cut_into_words_once():
+    import pyarrow as pa
+    from optiq.functions import alignment as AL
+    seen = []
+
+    def words(texts):
+        seen.extend(texts.to_pylist())
+        return TS.treebank("treebank")(texts)
+
+    h, r = AL.token_lists(pa.array(["A b.", "c, d", None]), pa.array(["A b."] * 3), words)
+    assert sorted(seen) == ["A b.", "c, d"]
+    assert h.to_pylist() == [["a", "b", "."], ["c", ",", "d"], None] and r.to_pylist() == [["a", "b", "."]] * 3
+
+
+def test_synonym_stage_holds_one_pair_at_a_time():
+    import tracemalloc
+    import pyarrow as pa
+    from optiq.functions import alignment as AL
+    entries = [{"side": 1 + i % 2, "p": i // 2, "members": [f"set-{i // 2}", f"other-{i}"]} for i in range(60)]
+    rest = pa.array([entries] * 1500)
+    found = pa.array([{"h": [], "r": []}] * 1500, type=AL.MATCHES)
+    tracemalloc.start()
+    got = AL.added(found, rest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [{"m": 30, "chunks": 1}] * 1500 and peak < 5_000_000
