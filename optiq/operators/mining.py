@@ -34,6 +34,8 @@ from optiq.session import cut_lineage
 
 #: Rows of a block and of a batch of queries; batches that meet a block in one task.
 BLOCK, BATCH, BATCHES = 4096, 1024, 32
+#: Queries whose lists are told in one batch: it has a row for each list and query.
+PROBED = 128
 DIGITS = 9
 
 
@@ -190,29 +192,35 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def probed(batch: pa.RecordBatch, centroids: np.ndarray, angle: np.ndarray, size: np.ndarray, probes: int,
+           second: bool) -> pa.RecordBatch:
+    """The queries of a batch with each list that they are compared with."""
+    u = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.float64).reshape(len(batch), -1)
+    cos = u @ centroids.T
+    order = np.argsort(-cos, axis=1, kind="stable")
+    first = np.zeros(cos.shape, dtype=bool)
+    np.put_along_axis(first, order[:, :probes], True, axis=1)
+    if second:
+        kth = batch.column(4).to_numpy(zero_copy_only=False)
+        apart = np.maximum(0.0, np.arccos(np.clip(cos, -1, 1)) - angle - 1e-7)
+        first = ~first & (np.cos(np.minimum(apart, np.pi)) + 10.0 ** -DIGITS >= kth[:, None])
+    row, col = np.nonzero(first & (size > 0))
+    taken = batch.select([0, 1, 2, 3]).take(pa.array(row))
+    return pa.RecordBatch.from_arrays([*taken.columns, pa.array(col.astype(np.int32))], names=["id", "own", "same", "u", "list"])
+
+
+def all_probed(batches, *index):
+    """``probed`` of every query, so many queries at a time that memory does not grow with the batch."""
+    for batch in batches:
+        for a in range(0, len(batch), PROBED):
+            yield probed(batch.slice(a, PROBED), *index)
+
+
 def _probes(index: Index, queries: DataFrame, probes: int, second: bool) -> DataFrame:
     """Query rows with each list of the first round, or of the second one."""
-    centroids, angle, size = index.centroids, index.angle, index.size
-
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            u = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.float64).reshape(len(batch), -1)
-            cos = u @ centroids.T
-            order = np.argsort(-cos, axis=1, kind="stable")
-            first = np.zeros(cos.shape, dtype=bool)
-            np.put_along_axis(first, order[:, :probes], True, axis=1)
-            if second:
-                kth = batch.column(4).to_numpy(zero_copy_only=False)
-                apart = np.maximum(0.0, np.arccos(np.clip(cos, -1, 1)) - angle - 1e-7)
-                first = ~first & (np.cos(np.minimum(apart, np.pi)) + 10.0 ** -DIGITS >= kth[:, None])
-            row, col = np.nonzero(first & (size > 0))
-            taken = batch.select([0, 1, 2, 3]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(col.astype(np.int32))],
-                                             names=["id", "own", "same", "u", "list"])
-
-    return cut_lineage(queries.mapInArrow(run, "id long, own long, same long, u binary, list int"))
+    held = (index.centroids, index.angle, index.size, probes, second)
+    return cut_lineage(queries.mapInArrow(lambda batches: all_probed(batches, *held),
+                                          "id long, own long, same long, u binary, list int"))
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: bool = True) -> DataFrame:

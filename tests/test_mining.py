@@ -74,3 +74,16 @@ def test_best_takes_equal_ones_from_the_left():
     rows = np.array([[1, 3, 3, 3, 2], [-np.inf, -np.inf, 5, -np.inf, -np.inf]])
     assert mining.best(rows, 2).tolist() == [[1, 2], [2, -1]]
     assert mining.best(rows, 7)[1].tolist() == [2] + [-1] * 6
+
+
+def test_probed_batches_are_bounded():
+    """A large batch of queries that probe all lists leaves as many batches of bounded size."""
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    u, lists, n = rng.normal(size=(1000, 4)), rng.normal(size=(32, 4)), 1000
+    batch = pa.RecordBatch.from_arrays([*[pa.array(range(n))] * 3, pa.array([x.tobytes() for x in u], pa.binary()),
+                                        pa.array([-2.0] * n)], names=["id", "own", "same", "u", "kth"])
+    out = list(mining.all_probed([batch], lists, np.zeros(32), np.ones(32), 8, True))
+    assert max(len(x) for x in out) <= mining.PROBED * 32 and sum(len(x) for x in out) == n * 24
+    whole = mining.probed(batch, lists, np.zeros(32), np.ones(32), 8, True)
+    assert pa.Table.from_batches(out).combine_chunks().equals(pa.Table.from_batches([whole]))
