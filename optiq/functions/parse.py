@@ -99,16 +99,21 @@ def extract_reasoning(reply: Column) -> Column:
     init = F.struct(F.lit(False).alias("on"),
                     F.array().cast("array<string>").alias("out"))
 
-    def step(acc, raw):
-        line = strip(raw)
-        marker = _any_contains(F.lower(line), REASONING_MARKERS)
-        stop = _any_prefix(line, REASONING_STOPS)
+    # each in a step of its own: a lambda computes an expression anew at each place of use
+    stripped = F.transform(F.split(reply, "\n"), strip)
+    lowered = F.transform(stripped, lambda t: F.struct(t.alias("line"), F.lower(t).alias("low")))
+    lines = F.transform(lowered, lambda t: F.struct(
+        t["line"].alias("line"), _any_contains(t["low"], REASONING_MARKERS).alias("marker"),
+        _any_prefix(t["line"], REASONING_STOPS).alias("stop")))
+
+    def step(acc, t):
+        line, marker, stop = t["line"], t["marker"], t["stop"]
         keep = marker | (acc["on"] & (line != "") & ~stop)
         on = F.when(marker, F.lit(True)).when(acc["on"] & stop, F.lit(False)).otherwise(acc["on"])
         out = F.when(keep, F.concat(acc["out"], F.array(line))).otherwise(acc["out"])
         return F.struct(on.alias("on"), out.alias("out"))
 
-    return F.aggregate(F.split(reply, "\n"), init, step,
+    return F.aggregate(lines, init, step,
                        lambda acc: F.array_join(acc["out"], "\n"))
 
 

@@ -109,3 +109,58 @@ def test_empty_files(spark, cut):
     assert FS.load_results(spark, csv_path=os.path.join(root, "x.csv")).collect() == []
     assert FS.load_results(spark, json_path=os.path.join(root, "y.json")).collect() == []
     assert splits.numbered_lines(spark, root, F.lit("s")).collect() == []
+
+
+def test_json_envelope_after_a_string_with_a_brace(spark, cut):
+    root = folder()
+    for name, text in (("a.json", '{"note": "a}b{\\"}", "detailed_results": [{"question": "1"}, {"question": "{2}"}], "o": [{"question": "no"}]}'),
+                       ("b.json", '{"o": [{"question": "no"}], "detailed_results": [' + ",".join('{"question": "%s}"}' % ("x" * 300)
+                                                                                           for _ in range(30)) + "]}\n"),
+                       ("c.json", '{"n": 1}\n{"detailed_results": [{"question": "4"}]}\n')):
+        with open(os.path.join(root, name), "w") as f:
+            f.write(text)
+    got = [r.question for r in FS.load_results(spark, json_path=root).select("question").collect()]
+    assert sorted(got) == sorted(["1", "{2}", *["x" * 300 + "}"] * 30, "4"])
+
+
+def scans(df):
+    """Text scans of a plan; what is read from written tables is not counted."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [value")
+
+
+def test_files_are_not_scanned_again_for_each_sum(spark):
+    root = folder()
+    with open(os.path.join(root, "a.json"), "w") as f:
+        json.dump({"detailed_results": records(5)}, f)
+    with open(os.path.join(root, "b.csv"), "w") as f:
+        f.write('question,model\n"a\nb",m\n')
+    assert scans(splits.pieces(spark, root)) == 1
+    assert scans(FS.load_results(spark, json_path=os.path.join(root, "a.json"))) <= 1
+    assert scans(FS.load_results(spark, csv_path=os.path.join(root, "b.csv"))) <= 1
+
+
+def test_csv_fields_of_a_line_are_made_once(spark):
+    root = folder()
+    spark.createDataFrame([(0, 'q,"a ""b""",c,d,e', "1")], "pos int, line string, answer_line string").write.parquet(f"{root}/lines")
+    df = FS.parse_csv_line(spark.read.parquet(f"{root}/lines"))
+    assert [(r.question, r.options, r.correct_answer) for r in df.collect()] == [("q", ['a "b"', "c", "d", "e"], "c")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_split_walks_meet_at_any_cut():
+    rng = random.Random(3)
+    text = json.dumps({"s": 'a}b"{', "detailed_results": records(12), "o": [{"x": {"y": "}"}}]})
+    cells = text.split("}")
+    whole = [(first, key, text) for first, _, _, key, text in splits._json_walk(cells, 0, 0)]
+    assert [json.loads(t + "}") for _, key, t in whole if key == "detailed_results"] == records(12)
+    for _ in range(20):
+        at, inside, depth, parts = sorted(rng.sample(range(1, len(cells)), 3)), 0, 0, []
+        for low, high in zip([0, *at], [*at, len(cells)], strict=True):
+            parts += [(low + first, begun, t) for first, begun, _, _, t in splits._json_walk(cells[low:high], inside, depth)]
+            plain = [c for c in splits._ESCAPED.sub("", "}".join([*cells[low:high], ""])).split('"')]
+            out = "".join(plain[inside::2])
+            inside, depth = (inside + len(plain) - 1) % 2, depth + out.count("{") - out.count("}")
+        joined = []
+        for first, begun, t in parts:
+            joined = [*joined, (first, t)] if begun else [*joined[:-1], (joined[-1][0], joined[-1][1] + "}" + t)]
+        assert joined == [(first, t) for first, _, t in whole]
