@@ -112,9 +112,10 @@ def load_results(spark: SparkSession, csv_path: str | None = None,
 def _by_header(records: DataFrame) -> DataFrame:
     """A string column for each flat response field, found by each file's header record;
     empty fields are null. Headers are a row for each file. Rows keep the files' order."""
-    fields = records.select("file", "start", csv_fields(F.col("record")).alias("f"))
-    at = fields.groupBy("file").agg(F.min_by("f", "start").alias("header"), F.min("start").alias("head"))
-    rows = fields.join(at, "file").where(F.col("start") > F.col("head"))
+    at = (records.groupBy("file").agg(F.min_by("record", "start").alias("first"), F.min("start").alias("head"))
+          .select("file", csv_fields(F.col("first")).alias("header"), "head"))
+    rows = (records.join(at, "file").where(F.col("start") > F.col("head"))
+            .select("file", "start", "header", F.explode(F.array(csv_fields(F.col("record")))).alias("f")))
 
     def field(name: str) -> Column:
         place = F.array_position("header", F.lit(name)).cast("int")
@@ -200,10 +201,11 @@ _CSV_FIELD = r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)'
 
 def csv_fields(line: Column) -> Column:
     """Fields of one CSV line (RFC 4180 quoting; no field-length limit)."""
-    raw = F.regexp_extract_all(F.regexp_replace(line, "\r$", ""), F.lit(_CSV_FIELD), 1)
+    bare = F.when(line.contains("\r"), F.regexp_replace(line, "\r$", "")).otherwise(line)
+    raw = F.regexp_extract_all(bare, F.lit(_CSV_FIELD), 1)
 
     def unquote(f: Column) -> Column:
-        inner = F.regexp_replace(f, '^"|"$', "")
+        inner = F.substr(f, F.lit(2), F.length(f) - 2)
         quoted = f.startswith('"') & f.endswith('"') & (F.length(f) >= 2)
         return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(f)
 
@@ -219,7 +221,9 @@ def parse_csv_line(lines: DataFrame, naive: bool = False, carry: tuple[str, ...]
     else:
         parts = csv_fields(F.col("line"))
     idx = F.regexp_replace(F.col("answer_line"), r"^\s+|\s+$", "").try_cast("int")
-    df = lines.select("pos", *carry, parts.alias("parts"), idx.alias("idx"))
+    # as a generator's output the fields are made once; a column's expression would be
+    # copied into each condition below
+    df = lines.select("pos", *carry, F.explode(F.array(parts)).alias("parts"), idx.alias("idx"))
     opts = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1)))
     return (df.where((F.size("parts") >= 5) & F.col("idx").isNotNull() & (F.col("idx") >= 0)
                      & (F.col("idx") < F.size("parts") - 1))

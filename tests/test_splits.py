@@ -164,3 +164,13 @@ def test_split_walks_meet_at_any_cut():
         for first, begun, t in parts:
             joined = [*joined, (first, t)] if begun else [*joined[:-1], (joined[-1][0], joined[-1][1] + "}" + t)]
         assert joined == [(first, t) for first, _, t in whole]
+
+
+@pytest.mark.parametrize("texts", [[], ["one. two. three. four. five"], ["one. two. three. four. five"] * 2 + [None]])
+def test_split_pairs_query_without_answers(spark, texts):
+    from optiq.plans.catalog import QUERIES
+    root = folder()
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
+    got = [(r.subject, r.pos, r.question, r.correct_answer) for r in QUERIES["scan_split_csv_pair"](spark, root).collect()]
+    assert got == ([("s", 0, "doc0/0", "one")] if len(texts) == 3 else [])
