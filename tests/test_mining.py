@@ -87,3 +87,61 @@ def test_probed_batches_are_bounded():
     assert max(len(x) for x in out) <= mining.PROBED * 32 and sum(len(x) for x in out) == n * 24
     whole = mining.probed(batch, lists, np.zeros(32), np.ones(32), 8, True)
     assert pa.Table.from_batches(out).combine_chunks().equals(pa.Table.from_batches([whole]))
+
+
+def test_the_query_asks_for_every_id(spark, tmp_path):
+    from optiq.plans.catalog import QUERIES
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, np.float32(rng.normal(size=8)).tolist()) for i in range(90)] + [(7, 2, [1.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in QUERIES["mine_distractors"](spark, str(tmp_path)).collect():
+        got.setdefault(r["item"], []).append((r["rank"], r.candidate))
+    want = by_hand(rows, set(range(90)), 9)
+    assert {i: [c for _, c in sorted(g)] for i, g in got.items()} == {i: [c for _, c in w] for i, w in want.items()}
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.01])
+def test_rows_of_one_id_leave_room_for_others(spark, spread):
+    """An id with more rows than k in one block counts once, copies and near copies alike."""
+    rng = np.random.default_rng(5)
+    hub = rng.normal(size=8)
+    near = lambda s: np.float32(hub + rng.normal(size=8) * s).tolist()
+    rows = [(i, 1, near(0.3)) for i in range(40)] + [(100, 2, near(spread)) for _ in range(60)]
+    rows += [(200 + i, 3, near(0.0)) for i in range(60)] + [(300, 4, near(0.1))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in mining.mine_distractors(df, df.select("id"), k=5, lists=4, sample=100).collect():
+        got.setdefault(r.id, []).append((r.rank, r.candidate))
+    want = by_hand(rows, {i for i, *_ in rows}, 5)
+    assert {i: [c for _, c in sorted(g)] for i, g in got.items()} == {i: [c for _, c in w] for i, w in want.items()}
+
+
+def test_single_precision_does_not_decide(spark):
+    """Candidates that differ by less than single precision tells apart, the best ones of largest id."""
+    turned = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(0, 0, turned(0.0))] + [(i, 1, turned(1.0 - i * 4e-9)) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "id long, group int, vector array<double>")
+    got = mining.mine_distractors(df, df.where("id = 0").select("id"), k=3, lists=2, sample=50).collect()
+    assert [r.candidate for r in sorted(got, key=lambda r: r["rank"])] == [100, 99, 98]
+
+
+def test_a_query_is_sent_once_to_a_shelf():
+    """Not once to each list: lists share shelves, whatever their number."""
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    unit = lambda n: (x := rng.normal(size=(n, 4))) / np.linalg.norm(x, axis=1, keepdims=True)
+    size = np.full(256, 200)
+    size[9] = 3 * mining.BLOCK
+    shelf, parts = mining.Index(unit(256), None, np.ones(256), size).shelves()
+    assert len(parts) < 20 and parts[shelf[9]] > 1 and (shelf == shelf[9]).sum() == 1
+    for more in (1, 10, 1000):
+        many, dealt = mining.Index(None, None, None, size * more).shelves()
+        room = min(max(mining.BLOCK, size.sum() * more / mining.SHELVES), mining.LARGER * mining.BLOCK)
+        assert max((size[many == j] * more).sum() / n for j, n in enumerate(dealt)) <= room
+    batch = pa.RecordBatch.from_arrays([*[pa.array(range(100))] * 3, pa.array([x.tobytes() for x in unit(100)], pa.binary()),
+                                        pa.array([-2.0] * 100)], names=["id", "own", "same", "u", "kth"])
+    out = pa.Table.from_batches(mining.all_probed([batch], unit(256), np.ones(256), size, 8, True, shelf))
+    assert len(set(zip(out.column("id").to_pylist(), out.column("shelf").to_pylist(), strict=True))) == len(out) <= 100 * len(parts)
+    wants = np.unpackbits(np.frombuffer(b"".join(out.column("lists").to_pylist()), dtype=np.uint8).reshape(len(out), -1), axis=1)
+    assert (wants.sum(axis=1) == 248).all()
